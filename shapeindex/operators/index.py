@@ -303,16 +303,15 @@ def add_documents(idx: Index, docs: DataFrame, batch_seq: int | None = None) ->
 def explode_items(items: DataFrame, batch_seq: int = 0) -> DataFrame:
     """EXT12: one document per snippet of a section item; title and url repeated.
 
-    Items carry an ``item_ord`` (arrival order); documents get ``ord = item_ord * 2^20 + snippet
-    position`` so ties in ranking follow arrival order.
+    ``ord`` is the snippet's position in its item; the id hashes (url, item position, snippet
+    position, content), so equal input gives equal ids on every run.
     """
     if "item_ord" not in items.columns:
         items = items.withColumn("item_ord", F.lit(0).cast("long"))
-    return (items.select("title", "url", "item_ord", F.posexplode("code_snippets").alias("k", "content"))
-            .select("title", "url", "content",
-                    (F.col("item_ord") * F.lit(1 << 20) + F.col("k")).cast("int").alias("ord"),
-                    F.lit(batch_seq).cast("long").alias("batch_seq"))
-            .withColumn("snippet_id", F.xxhash64("url", "ord", "content")))
+    return (items.select("title", "url", "item_ord", F.posexplode("code_snippets").alias("ord", "content"))
+            .withColumn("snippet_id", F.xxhash64("url", "item_ord", "ord", "content"))
+            .withColumn("batch_seq", F.lit(batch_seq).cast("long"))
+            .drop("item_ord"))
 
 
 def add_items(idx: Index, items: DataFrame) -> tuple[int, int]:
