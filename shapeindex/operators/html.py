@@ -70,7 +70,8 @@ def parse_pages(pages: DataFrame, rules: HtmlRules = LIBRARY_RULES, url_col: str
     """One pass per page: input columns + ``links`` and ``items`` arrays."""
     schema = T.StructType(list(pages.schema.fields) + [T.StructField("links", T.ArrayType(LINK_T)),
                                                        T.StructField("items", T.ArrayType(ITEM_T))])
-    return pages.mapInArrow(partial(_pages_batches, url_col=url_col, html_col=html_col, rules=rules,
+    from .terms import spread
+    return spread(pages, url_col).mapInArrow(partial(_pages_batches, url_col=url_col, html_col=html_col, rules=rules,
                                     validate=validate), schema)
 
 

@@ -275,7 +275,7 @@ def _build_segment(idx: Index, docs: DataFrame, seq: int) -> tuple[str, int, int
         finally:
             parsed.unpersist()
         return seg, int(counts["a"]), int(counts["r"])
-    words = docs.withColumn("words", tok.word_array(F.col("content")))
+    words = tok.spread(docs, "snippet_id").withColumn("words", tok.word_array(F.col("content")))
     words = words.withColumn("dl", F.size("words")).withColumn("n_nodes", F.lit(None).cast("int"))
     snippets = words.select("snippet_id", "batch_seq", "ord", "title", "url", "content", "dl", "n_nodes")
     # the map-side partial aggregate combines each document's words before the shuffle

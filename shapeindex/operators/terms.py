@@ -109,8 +109,28 @@ def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, wi
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
+    """Give a CPU-heavy Python pass at least ``factor`` tasks per core.
+
+    Large inputs already have far more splits than cores and pass through unchanged; a small
+    input (one parquet row group, a short query list) is hash-partitioned by ``key`` first,
+    which stays deterministic when a task is retried.
+    """
+    if df.isStreaming:
+        return df
+    want = df.sparkSession.sparkContext.defaultParallelism * factor
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave the plan alone
+        return df
+    if have >= want:
+        return df
+    return df.repartition(want, key) if key and key in df.columns else df.repartition(want)
+
+
 def parse_code(df: DataFrame, text_col: str = "content", options: TokenizerOptions = DEFAULT_OPTIONS,
-               keep_nodes: str = "all", with_text: bool = False, lstrip: bool = False) -> DataFrame:
+               keep_nodes: str = "all", with_text: bool = False, lstrip: bool = False,
+               id_col: str | None = "snippet_id") -> DataFrame:
     """TOK1-TOK9, TOK11: parse every text once, keep all input columns, append
     ``valid, reason, n_nodes, dl, nodes, postings``.
 
@@ -122,7 +142,7 @@ def parse_code(df: DataFrame, text_col: str = "content", options: TokenizerOptio
     out_schema = T.StructType(list(df.schema.fields) + PARSE_FIELDS)
     fn = partial(_parse_batches, text_col=text_col, opts=options, keep=keep_nodes,
                  with_text=with_text, lstrip=lstrip)
-    return df.mapInArrow(fn, out_schema)
+    return spread(df, id_col).mapInArrow(fn, out_schema)
 
 
 def parse_status(parsed: DataFrame, id_col: str = "snippet_id") -> DataFrame:
