@@ -51,7 +51,7 @@ def dump_text(node, opts: TokenizerOptions, depth: int = 0) -> str:
 
 
 def _encode_value(value, digests: dict) -> bytes:
-    if isinstance(value, ast.AST):
+    if isinstance(value, AST):
         return b"A" + digests[id(value)]
     if isinstance(value, list):
         return b"L" + len(value).to_bytes(4, "little") + b"".join(_encode_value(x, digests) for x in value)
@@ -59,15 +59,6 @@ def _encode_value(value, digests: dict) -> bytes:
     return b"R" + len(r).to_bytes(4, "little") + r
 
 
-def _node_digest(node, opts: TokenizerOptions, digests: dict) -> bytes:
-    parts = [type(node).__name__.encode()]
-    for fname, value in ast.iter_fields(node):
-        if opts.annotate_fields and fname in opts.drop_field_names:
-            continue
-        parts.append(b"|" + fname.encode() + b"=" + _encode_value(value, digests))
-    return xxhash.xxh64_digest(b"".join(parts), seed=_SEED)
-
-
 class Parsed:
     """Flat preorder arrays of one parsed text."""
 
@@ -78,10 +69,13 @@ class Parsed:
         return len(self.node_type)
 
 
+AST = ast.AST
+
+
 def analyze(source: str, opts: TokenizerOptions, with_text: bool = False) -> Parsed:
     """Parse ``source`` and return its nodes in preorder with term hashes. Raises PARSE_ERRORS."""
     tree = ast.parse(source)
-    order, depth, parent = [], [], []
+    order, depth, parent, fields_of = [], [], [], []
     stack = [(tree, 0, -1)]
     while stack:
         node, d, p = stack.pop()
@@ -89,21 +83,30 @@ def analyze(source: str, opts: TokenizerOptions, with_text: bool = False) -> Par
         order.append(node)
         depth.append(d)
         parent.append(p)
-        kids = list(ast.iter_child_nodes(node))
+        fields = [(f, getattr(node, f)) for f in node._fields if hasattr(node, f)]
+        fields_of.append(fields)
+        kids = []
+        for _, v in fields:
+            if isinstance(v, AST):
+                kids.append(v)
+            elif isinstance(v, list):
+                kids.extend(x for x in v if isinstance(x, AST))
+        d1 = d + 1
         for kid in reversed(kids):
-            stack.append((kid, d + 1, i))
+            stack.append((kid, d1, i))
     n = len(order)
     size = [1] * n
     height = [0] * n
     for i in range(n - 1, 0, -1):
         p = parent[i]
         size[p] += size[i]
-        if height[i] + 1 > height[p]:
+        if height[i] >= height[p]:
             height[p] = height[i] + 1
 
     names = [type(x).__name__ for x in order]
     min_depth = opts.min_depth or 0
-    is_term = [height[i] >= min_depth and names[i] not in opts.drop_node_names for i in range(n)]
+    drop_nodes = opts.drop_node_names
+    is_term = [height[i] >= min_depth and names[i] not in drop_nodes for i in range(n)]
 
     term_hash = [None] * n
     term_text = [None] * n if with_text else None
@@ -116,13 +119,21 @@ def analyze(source: str, opts: TokenizerOptions, with_text: bool = False) -> Par
                     term_text[i] = text
     else:
         digests: dict = {}
+        drop = opts.drop_field_names if opts.annotate_fields else ()
+        seed = _SEED
         for i in range(n - 1, -1, -1):
             node = order[i]
             key = id(node)
-            if key not in digests:  # ctx/operator singletons recur; their digest is the same
-                digests[key] = _node_digest(node, opts, digests)
+            dg = digests.get(key)
+            if dg is None:  # ctx/operator singletons recur; their digest is the same everywhere
+                parts = [names[i].encode()]
+                for f, v in fields_of[i]:
+                    if f in drop:
+                        continue
+                    parts.append(b"|" + f.encode() + b"=" + _encode_value(v, digests))
+                dg = digests[key] = xxhash.xxh64_digest(b"".join(parts), seed=seed)
             if is_term[i]:
-                term_hash[i] = int.from_bytes(digests[key], "big", signed=True)
+                term_hash[i] = int.from_bytes(dg, "big", signed=True)
                 if with_text:
                     term_text[i] = dump_text(node, opts)
 

@@ -33,16 +33,6 @@ _POSTING_ARROW = pa.struct([("term_hash", pa.int64()), ("tf", pa.int32()),
                             ("positions", pa.list_(pa.int32()))])
 
 
-def _keep(p: pyast.Parsed, i: int, mode: str) -> bool:
-    if mode == "all":
-        return True
-    if mode == "terms":
-        return p.term_hash[i] is not None
-    if mode == "index":
-        return p.lineno[i] is not None or p.first_term_hash[i] is not None
-    return False
-
-
 def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, with_text: bool,
                    lstrip: bool):
     for batch in batches:
@@ -68,23 +58,29 @@ def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, wi
             if parsed is not None:
                 n = len(parsed)
                 valid.append(True), reason.append(None), n_nodes.append(n)
+                th = parsed.term_hash
                 by_term: dict = {}
                 for i in range(n):
-                    h = parsed.term_hash[i]
+                    h = th[i]
                     if h is not None:
                         by_term.setdefault(h, []).append(parsed.pos[i])
-                    if _keep(parsed, i, keep):
-                        cols["pre"].append(i)
-                        cols["size"].append(parsed.size[i])
-                        cols["parent"].append(parsed.parent[i])
-                        cols["depth"].append(parsed.depth[i])
-                        cols["height"].append(parsed.height[i])
-                        cols["node_type"].append(parsed.node_type[i])
-                        cols["lineno"].append(parsed.lineno[i])
-                        cols["term_hash"].append(h)
-                        cols["pos"].append(parsed.pos[i])
-                        cols["first_term_hash"].append(parsed.first_term_hash[i])
-                        cols["term"].append(parsed.term_text[i] if with_text else None)
+                if keep == "all":
+                    idx = range(n)
+                elif keep == "terms":
+                    idx = [i for i in range(n) if th[i] is not None]
+                elif keep == "index":
+                    ln, ft = parsed.lineno, parsed.first_term_hash
+                    idx = [i for i in range(n) if ln[i] is not None or ft[i] is not None]
+                else:
+                    idx = ()
+                if idx:
+                    cols["pre"].extend(idx)
+                    for name, src in (("size", parsed.size), ("parent", parsed.parent), ("depth", parsed.depth),
+                                      ("height", parsed.height), ("node_type", parsed.node_type),
+                                      ("lineno", parsed.lineno), ("term_hash", th), ("pos", parsed.pos),
+                                      ("first_term_hash", parsed.first_term_hash)):
+                        cols[name].extend([src[i] for i in idx])
+                    cols["term"].extend([parsed.term_text[i] for i in idx] if with_text else [None] * len(idx))
                 dl.append(sum(len(v) for v in by_term.values()))
                 for h, positions in by_term.items():
                     p_hash.append(h)

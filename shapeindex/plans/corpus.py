@@ -26,9 +26,11 @@ def _by_template(t: Column, texts: dict, k: Column) -> Column:
     return out
 
 
-def snippet_key(orderkey: Column, linenumber: Column, partkey: Column, suppkey: Column) -> Column:
-    """Unique, ordered id of a lineitem row (unique at the test scales)."""
-    return ((orderkey * 8 + linenumber) * F.lit(10 ** 10) + partkey * F.lit(10 ** 5) + suppkey).cast("long")
+def snippet_key(orderkey: Column, linenumber: Column, extendedprice: Column) -> Column:
+    """Ordered id of a lineitem row: (order, line number, price in cents), unique in the given
+    tables and inside 63 bits up to scale factor 100."""
+    cents = F.round(extendedprice * 100).cast("long")
+    return ((orderkey * 8 + linenumber) * F.lit(10 ** 8) + cents).cast("long")
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +44,8 @@ def code_corpus_from(lineitem: DataFrame) -> DataFrame:
     Rows with return flag ``R`` play documentation snippets (docs url, title used as filename),
     the others repository files (``"{repo} {file}"`` titles, blob urls).
     """
-    li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    sid = snippet_key(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
+    li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice")
+    sid = snippet_key(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_extendedprice"))
     t = ((F.col("l_orderkey") + F.col("l_linenumber")) % 8).cast("int")
     repo = F.concat(F.lit("r"), F.col("l_suppkey").cast("string"))
     file = F.concat(F.lit("f"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".py"))

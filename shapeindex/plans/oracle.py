@@ -8,7 +8,7 @@ template's terms occur exactly in the rows of that template: df = rows of the te
 
 CORPUS = """
 corpus AS (
-  SELECT (l_orderkey * 8 + l_linenumber) * 10000000000 + l_partkey * 100000 + l_suppkey AS sid,
+  SELECT (l_orderkey * 8 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS sid,
          CAST((l_orderkey + l_linenumber) % 8 AS INTEGER) AS t,
          l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag
   FROM lineitem),
