@@ -23,13 +23,25 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from ..config import DEFAULT_OPTIONS, TITLE_STOP_WORDS, TokenizerOptions
+from ..schemas import INDEX_NODE, INDEX_POSTING, SNIPPET, TERM_STAT
 from ..sources import store
 from . import terms as tok
 
 KINDS = ("structural", "words")
 
+_DOC_BUCKET = T.StructField("doc_bucket", T.IntegerType())
+TABLE_SCHEMAS = {
+    "snippets": T.StructType(SNIPPET.fields + [_DOC_BUCKET]),
+    "nodes": T.StructType(INDEX_NODE.fields + [_DOC_BUCKET]),
+    "postings": INDEX_POSTING,
+}
+TERMS_SCHEMA = T.StructType(TERM_STAT.fields + [T.StructField("term_bucket", T.IntegerType())])
+STATS_SCHEMA = T.StructType([T.StructField("n_docs", T.LongType()), T.StructField("total_len", T.LongType())])
+TOMB_SCHEMA = T.StructType([T.StructField("snippet_id", T.LongType())])
+
 
 def python_tag() -> str:
     return "%d.%d" % sys.version_info[:2]
@@ -87,19 +99,20 @@ class Index:
     def _p(self, name: str) -> str:
         return f"{self.path.rstrip('/')}/{name}"
 
-    def _read(self, rel: str) -> DataFrame:
-        return self.spark.read.parquet(self._p(rel))
+    def _read(self, rel: str, schema=None) -> DataFrame:
+        r = self.spark.read
+        return (r.schema(schema) if schema is not None else r).parquet(self._p(rel))
 
     def _union(self, table: str) -> DataFrame | None:
         segs = self.meta["segments"]
         if not segs:
             return None
-        return _union_all([self._read(f"{s}/{table}") for s in segs])
+        return _union_all([self._read(f"{s}/{table}", TABLE_SCHEMAS[table]) for s in segs])
 
     # ---- live views
     def tombstones(self) -> DataFrame | None:
         t = self.meta.get("tombstones")
-        return self._read(t) if t else None
+        return self._read(t, TOMB_SCHEMA) if t else None
 
     def _live(self, df: DataFrame | None) -> DataFrame | None:
         tomb = self.tombstones()
@@ -110,7 +123,6 @@ class Index:
     def snippets(self) -> DataFrame:
         df = self._live(self._union("snippets"))
         if df is None:
-            from ..schemas import SNIPPET
             return self.spark.createDataFrame([], SNIPPET)
         return df
 
@@ -122,10 +134,10 @@ class Index:
         return self._live(df) if live else df
 
     def terms(self) -> DataFrame:
-        return self._read(self.meta["terms"])
+        return self._read(self.meta["terms"], TERMS_SCHEMA)
 
     def stats(self) -> DataFrame:
-        return self._read(self.meta["stats"])
+        return self._read(self.meta["stats"], STATS_SCHEMA)
 
     def stats_row(self) -> tuple[int, int]:
         r = self.stats().first()
@@ -172,33 +184,55 @@ def open_index(spark: SparkSession, path: str) -> Index:
 
 
 def _commit(idx: Index, meta: dict, new_segment: str | None, new_tombstones: DataFrame | None) -> Index:
-    """Recompute live statistics, then publish a new metadata version."""
+    """Publish a new metadata version with statistics maintained incrementally.
+
+    df and (N, total length) of the new version = previous values + the new segment's
+    contribution - the contribution of documents replaced now. Replaced documents' terms come from
+    the ``nodes`` table (partitioned by document), so a commit costs O(vocabulary + change),
+    never a scan of all postings.
+    """
     spark = idx.spark
+    prev = Index(spark, idx.path, dict(meta))
     v = meta["version"] + 1
     meta = dict(meta, version=v)
+    n_docs, total_len = prev.stats_row() if meta.get("stats") else (0, 0)
+    deltas = [prev.terms().select("term_hash", "df")] if meta.get("terms") else []
     if new_segment:
+        seg_post = prev._read(f"{new_segment}/postings", INDEX_POSTING)
+        deltas.append(doc_freq(seg_post))
+        r = prev._read(f"{new_segment}/snippets", TABLE_SCHEMAS["snippets"]).agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+        n_docs, total_len = n_docs + int(r["n"]), total_len + int(r["t"])
         meta["segments"] = list(meta["segments"]) + [new_segment]
     if new_tombstones is not None:
+        fresh = new_tombstones.select("snippet_id").distinct()
+        old_tomb = prev.tombstones()
+        if old_tomb is not None:
+            fresh = fresh.join(old_tomb.select("snippet_id"), "snippet_id", "left_anti")
         tname = f"tomb-{v:06d}"
-        old = idx.tombstones()
-        t = new_tombstones.select("snippet_id")
-        if old is not None:
-            t = t.unionByName(old.select("snippet_id"))
-        t.distinct().write.parquet(idx._p(tname))
+        all_tomb = fresh if old_tomb is None else fresh.unionByName(old_tomb.select("snippet_id"))
+        all_tomb.write.parquet(idx._p(tname))
+        if prev.meta["segments"]:
+            gone = prev.snippets().join(fresh, "snippet_id", "left_semi")
+            r = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+            n_docs, total_len = n_docs - int(r["n"]), total_len - int(r["t"])
+            if prev.kind == "structural":
+                gone_terms = (prev.nodes().where(F.col("term_hash").isNotNull()).join(fresh, "snippet_id", "left_semi")
+                              .select("snippet_id", "term_hash").distinct())
+            else:
+                gone_terms = prev.postings().join(fresh, "snippet_id", "left_semi").select("snippet_id", "term_hash")
+            deltas.append(gone_terms.groupBy("term_hash").agg((-F.count(F.lit(1))).cast("long").alias("df")))
         meta["tombstones"] = tname
-    view = Index(spark, idx.path, meta)
-    snippets = view.snippets()
-    stats = snippets.agg(F.count(F.lit(1)).cast("long").alias("n_docs"),
-                         F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_len"))
+    stats = spark.createDataFrame([(n_docs, total_len)], "n_docs long, total_len long")
     stats.coalesce(1).write.parquet(idx._p(f"stats-{v:06d}"))
     meta["stats"] = f"stats-{v:06d}"
-    postings = view.postings()
-    if postings is not None:
-        terms_df = doc_freq(postings).withColumn("term_bucket", term_bucket(F.col("term_hash"), meta["term_buckets"]))
+    if deltas:
+        terms_df = (_union_all(deltas).groupBy("term_hash").agg(F.sum("df").cast("long").alias("df"))
+                    .where(F.col("df") > 0))
     else:
-        from ..schemas import TERM_STAT
-        terms_df = spark.createDataFrame([], TERM_STAT).withColumn("term_bucket", F.lit(0))
-    (terms_df.repartition("term_bucket").sortWithinPartitions("term_hash")
+        terms_df = spark.createDataFrame([], TERM_STAT)
+    terms_df = terms_df.withColumn("term_bucket", term_bucket(F.col("term_hash"), meta["term_buckets"]))
+    (terms_df.repartitionByRange("term_bucket", "term_hash").sortWithinPartitions("term_hash")
      .write.partitionBy("term_bucket").parquet(idx._p(f"terms-{v:06d}")))
     meta["terms"] = f"terms-{v:06d}"
     store.write_text(spark, f"{_meta_dir(idx.path)}/v{v:06d}.json", json.dumps(meta), overwrite=False)
@@ -243,8 +277,9 @@ def _with_defaults(docs: DataFrame, batch_seq: int) -> DataFrame:
 def _write_segment(idx: Index, seg: str, snippets: DataFrame, node_rows: DataFrame | None,
                    postings: DataFrame) -> None:
     tb, dbk = idx.term_buckets, idx.doc_buckets
+    # range partitioning on (bucket, id): tasks write contiguous id ranges, few files per bucket
     (snippets.withColumn("doc_bucket", doc_bucket(F.col("snippet_id"), dbk))
-     .repartition("doc_bucket").sortWithinPartitions("snippet_id")
+     .repartitionByRange("doc_bucket", "snippet_id").sortWithinPartitions("snippet_id")
      .write.partitionBy("doc_bucket").parquet(idx._p(f"{seg}/snippets")))
     if node_rows is not None:
         (node_rows.withColumn("doc_bucket", doc_bucket(F.col("snippet_id"), dbk))
@@ -284,7 +319,7 @@ def _build_segment(idx: Index, docs: DataFrame, seq: int) -> tuple[str, int, int
                 .agg(F.count(F.lit(1)).cast("int").alias("tf"),
                      F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("positions")))
     _write_segment(idx, seg, snippets, None, postings)
-    accepted = idx.spark.read.parquet(idx._p(f"{seg}/snippets")).count()
+    accepted = idx._read(f"{seg}/snippets", TABLE_SCHEMAS["snippets"]).count()
     return seg, accepted, 0
 
 
@@ -304,13 +339,14 @@ def explode_items(items: DataFrame, batch_seq: int = 0) -> DataFrame:
     """EXT12: one document per snippet of a section item; title and url repeated.
 
     ``ord`` is the snippet's position in its item; the id hashes (url, item position, snippet
-    position, content), so equal input gives equal ids on every run.
+    position, content, batch), so equal input gives equal ids on every run and a re-sent item
+    never collides with the copy it replaces.
     """
     if "item_ord" not in items.columns:
         items = items.withColumn("item_ord", F.lit(0).cast("long"))
     return (items.select("title", "url", "item_ord", F.posexplode("code_snippets").alias("ord", "content"))
-            .withColumn("snippet_id", F.xxhash64("url", "item_ord", "ord", "content"))
             .withColumn("batch_seq", F.lit(batch_seq).cast("long"))
+            .withColumn("snippet_id", F.xxhash64("url", "item_ord", "ord", "content", "batch_seq"))
             .drop("item_ord"))
 
 
@@ -330,7 +366,7 @@ def update_items(idx: Index, items: DataFrame) -> tuple[int, int]:
     replaced.write.parquet(stage)  # fixed before the new rows exist
     seg, accepted, rejected = _build_segment(idx, explode_items(items, seq), seq)
     meta = dict(idx.meta, next_batch_seq=seq + 1)
-    _commit(idx, meta, new_segment=seg, new_tombstones=idx.spark.read.parquet(stage))
+    _commit(idx, meta, new_segment=seg, new_tombstones=idx.spark.read.schema(TOMB_SCHEMA).parquet(stage))
     return accepted, rejected
 
 
