@@ -29,6 +29,8 @@ _NODE_ARROW = pa.struct([
     ("term_hash", pa.int64()), ("pos", pa.int32()), ("first_term_hash", pa.int64()),
     ("term", pa.string()),
 ])
+_INDEX_FIELDS = ("pre", "size", "lineno", "term_hash", "first_term_hash")
+_INDEX_NODE_ARROW = pa.struct([f for f in _NODE_ARROW if f.name in _INDEX_FIELDS])
 _POSTING_ARROW = pa.struct([("term_hash", pa.int64()), ("tf", pa.int32()),
                             ("positions", pa.list_(pa.int32()))])
 
@@ -38,7 +40,8 @@ def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, wi
     for batch in batches:
         texts = batch.column(text_col).to_pylist()
         valid, reason, n_nodes, dl = [], [], [], []
-        cols = {f: [] for f in _NODE_ARROW.names}
+        node_arrow = _INDEX_NODE_ARROW if keep == "index" else _NODE_ARROW
+        cols = {f: [] for f in node_arrow.names}
         node_offsets = [0]
         p_hash, p_tf, p_pos, p_pos_offsets, post_offsets = [], [], [], [0], [0]
         for text in texts:
@@ -79,8 +82,10 @@ def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, wi
                                       ("height", parsed.height), ("node_type", parsed.node_type),
                                       ("lineno", parsed.lineno), ("term_hash", th), ("pos", parsed.pos),
                                       ("first_term_hash", parsed.first_term_hash)):
-                        cols[name].extend([src[i] for i in idx])
-                    cols["term"].extend([parsed.term_text[i] for i in idx] if with_text else [None] * len(idx))
+                        if name in cols:
+                            cols[name].extend([src[i] for i in idx])
+                    if "term" in cols:
+                        cols["term"].extend([parsed.term_text[i] for i in idx] if with_text else [None] * len(idx))
                 dl.append(sum(len(v) for v in by_term.values()))
                 for h, positions in by_term.items():
                     p_hash.append(h)
@@ -90,7 +95,7 @@ def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, wi
             node_offsets.append(len(cols["pre"]))
             post_offsets.append(len(p_hash))
         node_values = pa.StructArray.from_arrays(
-            [pa.array(cols[f.name], type=f.type) for f in _NODE_ARROW], fields=list(_NODE_ARROW))
+            [pa.array(cols[f.name], type=f.type) for f in node_arrow], fields=list(node_arrow))
         positions = pa.ListArray.from_arrays(pa.array(p_pos_offsets, pa.int32()), pa.array(p_pos, pa.int32()))
         post_values = pa.StructArray.from_arrays(
             [pa.array(p_hash, pa.int64()), pa.array(p_tf, pa.int32()), positions],
@@ -135,7 +140,11 @@ def parse_code(df: DataFrame, text_col: str = "content", options: TokenizerOptio
     ``lstrip`` strips leading whitespace first (query preparation, QRY1).
     """
     assert keep_nodes in NODE_KEEP
-    out_schema = T.StructType(list(df.schema.fields) + PARSE_FIELDS)
+    fields = list(PARSE_FIELDS)
+    if keep_nodes == "index":  # only what line matching (QRY7) reads
+        node_t = T.StructType([f for f in NODE.fields if f.name in _INDEX_FIELDS])
+        fields = [T.StructField("nodes", T.ArrayType(node_t)) if f.name == "nodes" else f for f in fields]
+    out_schema = T.StructType(list(df.schema.fields) + fields)
     fn = partial(_parse_batches, text_col=text_col, opts=options, keep=keep_nodes,
                  with_text=with_text, lstrip=lstrip)
     return spread(df, id_col).mapInArrow(fn, out_schema)
