@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..config import LIBRARY_RULES, SHELL_PROMPTS, HtmlRules
 from ..functions import htmltree
+from ..session import ship_package
 
 _LINK = pa.struct([("ord", pa.int32()), ("href", pa.string()), ("link", pa.string())])
 _ITEM = pa.struct([("ord", pa.int32()), ("title", pa.string()), ("url", pa.string()),
@@ -71,6 +72,7 @@ def parse_pages(pages: DataFrame, rules: HtmlRules = LIBRARY_RULES, url_col: str
     schema = T.StructType(list(pages.schema.fields) + [T.StructField("links", T.ArrayType(LINK_T)),
                                                        T.StructField("items", T.ArrayType(ITEM_T))])
     from .terms import spread
+    ship_package(pages.sparkSession)
     return spread(pages, url_col).mapInArrow(partial(_pages_batches, url_col=url_col, html_col=html_col, rules=rules,
                                     validate=validate), schema)
 

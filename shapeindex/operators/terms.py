@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..config import DEFAULT_OPTIONS, TokenizerOptions
 from ..functions import pyast
 from ..schemas import NODE, PARSE_FIELDS
+from ..session import ship_package
 
 Tokenizer = Callable[[DataFrame], DataFrame]
 
@@ -147,6 +148,7 @@ def parse_code(df: DataFrame, text_col: str = "content", options: TokenizerOptio
     out_schema = T.StructType(list(df.schema.fields) + fields)
     fn = partial(_parse_batches, text_col=text_col, opts=options, keep=keep_nodes,
                  with_text=with_text, lstrip=lstrip)
+    ship_package(df.sparkSession)
     return spread(df, id_col).mapInArrow(fn, out_schema)
 
 

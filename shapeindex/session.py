@@ -51,3 +51,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder path under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by every Python worker of the application (once).
+
+    The package is zipped in memory, written to the shared checkpoint folder and added with
+    ``addPyFile``, the same mechanism as ``--py-files``.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import hashlib
+    import io
+    import zipfile
+
+    from .sources import store
+
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        pkg = os.path.join(_PKG_DIR, "shapeindex")
+        for base, _, names in os.walk(pkg):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    z.write(full, os.path.relpath(full, _PKG_DIR))
+    data = buf.getvalue()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shapeindex-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+    store.write_bytes(spark, path, data)
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

@@ -39,6 +39,15 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = Fals
         out.close()
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _fs(spark, path)
     stream = fs.open(p)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators import index as I
 from ..operators.html import is_valid_snippet
+from ..session import ship_package
 
 
 def dedup_stream(items: DataFrame, watermark: tuple[str, str] | None = None, url_col: str = "url") -> DataFrame:
@@ -31,6 +32,7 @@ def _valid_batches(batches, col: str):
 
 def clean_stream(items: DataFrame, col: str = "code_snippets") -> DataFrame:
     """STR2: keep valid snippets of each item (stateless pass), then drop items left empty."""
+    ship_package(items.sparkSession)
     valid = items.mapInArrow(partial(_valid_batches, col=col), items.schema)
     return valid.where(F.size(col) > 0)
 
