@@ -227,3 +227,40 @@ WHERE len(pieces) > 1
 QUALIFY row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) = 1"""
 
 SQL["stream_dedup_urls"] = "SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages"
+
+SQL["code_type_sequences"] = f"""WITH {CORPUS},
+seqs(t, type_sequence) AS (VALUES
+  (0, 'Module Assign Name Store Call Attribute Name Load Load Assign Name Store BinOp Name Load Add Constant'),
+  (1, 'Module FunctionDef arguments arg arg Assign Name Store BinOp Name Load Mult Name Load Return BinOp Call '
+      || 'Attribute Name Load Load Add Constant'),
+  (2, 'Module ClassDef Name Load FunctionDef arguments arg arg For Name Store Call Name Load Name Load Expr Call '
+      || 'Attribute Attribute Name Load Load Load Name Load Return Attribute Name Load Load'),
+  (4, 'Module Assign Name Store Constant'),
+  (5, 'Module Import alias Assign Name Store Constant Assign Name Store ListComp Attribute Name Load Load '
+      || 'comprehension Name Store Name Load Compare Attribute Name Load Load Gt Constant Expr Call Name Load '
+      || 'Attribute Subscript Name Load Constant Load Load'),
+  (6, 'Module'),
+  (7, 'Module Assign Name Store Constant Assign Name Store Constant Try Expr Call Attribute Name Load Load Constant '
+      || 'ExceptHandler Name Load Expr Call Attribute Name Load Load Name Load Raise'))
+SELECT type_sequence, CAST(count(*) AS BIGINT) AS n FROM corpus JOIN seqs USING (t) GROUP BY type_sequence"""
+
+SQL["code_iter_documents"] = f"""WITH {CORPUS}
+SELECT sid AS snippet_id,
+  CASE WHEN l_returnflag = 'R' THEN 'T: m' || l_partkey || '.f' || sid
+       ELSE 'r' || l_suppkey || ' f' || l_partkey || '_' || l_linenumber || '.py' END AS title,
+  CASE WHEN l_returnflag = 'R' THEN 'https://docs.python.org/3/library/m' || l_partkey || '.html#f' || sid
+       ELSE 'https://github.com/x/r' || l_suppkey || '/blob/h' || l_suppkey || '/src/f' || l_partkey || '_'
+            || l_linenumber || '.py' END AS url
+FROM corpus JOIN tmpl USING (t) WHERE valid ORDER BY sid LIMIT 10"""
+
+SQL["code_title_terms"] = f"""WITH {CORPUS},
+titles AS (
+  SELECT CASE WHEN l_returnflag = 'R' THEN 'T: m' || l_partkey || '.f' || sid
+              ELSE 'r' || l_suppkey || ' f' || l_partkey || '_' || l_linenumber || '.py' END AS title
+  FROM corpus JOIN tmpl USING (t) WHERE valid),
+words AS (SELECT unnest(regexp_extract_all(lower(title), '\\w+(\\.?\\w+)*', 0)) AS word FROM titles)
+SELECT word, CAST(count(*) AS BIGINT) AS n FROM words
+WHERE length(word) > 1 AND word NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'can', 'for', 'from',
+  'have', 'if', 'in', 'is', 'it', 'may', 'not', 'of', 'on', 'or', 'tbd', 'that', 'the', 'this', 'to', 'us', 'we',
+  'when', 'will', 'with', 'yet', 'you', 'your')
+GROUP BY word"""

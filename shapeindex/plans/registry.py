@@ -72,6 +72,22 @@ def q_code_df_histogram(spark, sf_dir):
     return t.groupBy("df").agg(F.count(F.lit(1)).cast("long").alias("n_terms"))
 
 
+def q_code_type_sequences(spark, sf_dir):
+    c = code_corpus(spark, sf_dir).select("snippet_id", "content")
+    seq = TK.type_sequence(TK.parse_code(c, keep_nodes="all").where("valid"))
+    return seq.groupBy("type_sequence").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+def q_code_iter_documents(spark, sf_dir):
+    idx = _index(spark, sf_dir, "structural")
+    return I.iter_documents(idx, limit=10).select("snippet_id", "title", "url")
+
+
+def q_code_title_terms(spark, sf_dir):
+    idx = _index(spark, sf_dir, "structural")
+    return I.title_terms(idx.snippets()).groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
 def _code_search(spark, sf_dir):
     idx = _index(spark, sf_dir, "structural")
     return S.search(idx, code_queries(spark, sf_dir).select("query_id", "code"), SearchOptions())
@@ -310,7 +326,10 @@ def q_stream_index_stats(spark, sf_dir):
 QUERIES = {
     "code_parse_status": q_code_parse_status,
     "code_term_roots": q_code_term_roots,
+    "code_type_sequences": q_code_type_sequences,
     "code_index_stats": q_code_index_stats,
+    "code_iter_documents": q_code_iter_documents,
+    "code_title_terms": q_code_title_terms,
     "code_df_histogram": q_code_df_histogram,
     "code_search_hits": q_code_search_hits,
     "code_search_results": q_code_search_results,
