@@ -383,16 +383,35 @@ def iter_documents(idx: Index, limit: int | None = None) -> DataFrame:
     return df
 
 
+def running_sum_before(df: DataFrame, order_cols, value_col: str, n_parts: int | None = None) -> DataFrame:
+    """Exclusive running sum in a global order without one window partition holding every row.
+
+    Rows are range-partitioned on the order, summed inside each range, the (n_parts) range totals
+    are prefix-summed and their offsets (exactly n_parts rows: a proven bound) are broadcast back.
+    The ranged rows are checkpointed so both uses read the same partitioning.
+    """
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    n = n_parts or max(1, df.sparkSession.sparkContext.defaultParallelism)
+    r = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    local = r.withColumn("_local", F.coalesce(F.sum(value_col).over(
+        Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    totals = r.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
+    return (local.join(F.broadcast(offsets), "_pid")
+            .withColumn(value_col + "_before", (F.col("_local") + F.col("_off")).cast("long"))
+            .drop("_pid", "_local", "_off"))
+
+
 def admit_within_budget(sizes: DataFrame, max_bytes: int, order_col: str = "seq",
                         size_col: str = "bytes", key_cols=("repo",)) -> DataFrame:
     """IDX9: admit entries in order while the bytes admitted *before* each one are <= max_bytes.
 
-    The running sum is a window over the whole ordered list of repositories (one row per
-    repository, small); per-file byte counts are aggregated before it.
+    ``sizes`` has one row per repository (per-file bytes are aggregated before); the running
+    total is the distributed two-level prefix sum above.
     """
-    w = Window.orderBy(order_col, *key_cols).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size_col).over(w), F.lit(0))
-    return sizes.withColumn("bytes_before", before.cast("long")).where(F.col("bytes_before") <= max_bytes)
+    ran = running_sum_before(sizes, [order_col, *key_cols], size_col)
+    return ran.withColumnRenamed(size_col + "_before", "bytes_before").where(F.col("bytes_before") <= max_bytes)
 
 
 def title_terms(snippets: DataFrame) -> DataFrame:

@@ -184,11 +184,12 @@ def height_by_self_join(node_rows: DataFrame, id_col: str = "snippet_id") -> Dat
             .agg((F.max("d.depth") - F.first("a.depth")).alias("height")))
 
 
-def term_stream(parsed: DataFrame, id_col: str = "snippet_id") -> DataFrame:
-    """TOK8: (id, pos, term_hash[, term]) for surviving subtrees in preorder."""
+def term_stream(parsed: DataFrame, id_col: str = "snippet_id", start_pos: int = 0) -> DataFrame:
+    """TOK8: (id, pos, term_hash[, term]) for surviving subtrees in preorder; ``pos`` counts
+    from ``start_pos``."""
     return (parsed.select(id_col, F.explode("nodes").alias("n"))
             .where(F.col("n.term_hash").isNotNull())
-            .select(id_col, F.col("n.pos").alias("pos"), F.col("n.term_hash").alias("term_hash"),
+            .select(id_col, (F.col("n.pos") + start_pos).alias("pos"), F.col("n.term_hash").alias("term_hash"),
                     F.col("n.term").alias("term")))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import threading
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ARTICLE_RULES, SearchOptions
@@ -228,25 +228,10 @@ def q_orders_upsert(spark, sf_dir):
                           o.where("o_orderstatus = 'O'").drop("o_orderstatus"), "url")
 
 
-def running_sum_before(df: DataFrame, order_col: str, value_col: str, n_parts: int = 8) -> DataFrame:
-    """Exclusive running sum over a global order without one giant window partition: range
-    partition, sum inside each range, prefix-sum the (n_parts) range totals, add the offsets."""
-    r = df.repartitionByRange(n_parts, order_col).withColumn("_pid", F.spark_partition_id()).checkpoint()
-    local = r.withColumn("_local", F.coalesce(F.sum(value_col).over(
-        Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    totals = r.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
-    # offsets has exactly n_parts rows: a proven size bound for the broadcast
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(value_col + "_before", (F.col("_local") + F.col("_off")).cast("long"))
-            .drop("_pid", "_local", "_off"))
-
-
 def q_orders_budget(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     sizes = o.groupBy("o_custkey").agg(F.sum(F.floor("o_totalprice").cast("long")).alias("bytes"))
-    ran = running_sum_before(sizes, "o_custkey", "bytes", n_parts=max(1, spark.sparkContext.defaultParallelism))
+    ran = I.running_sum_before(sizes, "o_custkey", "bytes")
     return ran.where(F.col("bytes_before") <= 1_000_000_000).select("o_custkey", "bytes", "bytes_before")
 
 
