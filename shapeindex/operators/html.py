@@ -154,17 +154,18 @@ def files_to_documents(files: DataFrame, repos: DataFrame) -> DataFrame:
 def crawl_edges(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
                 checkpoint: bool = True) -> DataFrame:
     """EXT3 frontier over an edge table (src, dst): (url, depth) with each url once at its
-    smallest depth. A bounded loop of joins; every level is checkpointed to the shared folder so
-    the lineage stays short and a lost executor recomputes one level only."""
+    smallest depth. A bounded loop of joins; the visited set is checkpointed to the shared folder
+    at every level, so the lineage stays one level long and a lost executor recomputes one level."""
     e = edges.select("src", "dst").distinct()
     frontier = seeds.select(F.col("url")).distinct().withColumn("depth", F.lit(0))
-    visited = frontier
+    visited = frontier.checkpoint() if checkpoint else frontier
     level = 0
     while max_depth is None or level < max_depth:
         nxt = (frontier.join(e, frontier["url"] == e["src"]).select(F.col("dst").alias("url")).distinct()
-               .join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(level + 1)))
-        nxt = nxt.checkpoint() if checkpoint else nxt.persist(StorageLevel.MEMORY_AND_DISK)
+               .join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(level + 1))
+               .persist(StorageLevel.MEMORY_AND_DISK))
         if nxt.isEmpty():
+            nxt.unpersist()
             break
         visited = visited.unionByName(nxt)
         if checkpoint:
