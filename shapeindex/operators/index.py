@@ -370,6 +370,13 @@ def update_items(idx: Index, items: DataFrame) -> tuple[int, int]:
     return accepted, rejected
 
 
+def replace_by_key(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """IDX6 relational core: rows of ``existing`` whose key occurs in the batch are replaced by
+    all batch rows with that key (anti-join on the distinct batch keys + union)."""
+    keep = existing.join(batch.select(key).distinct(), key, "left_anti").withColumn("is_new", F.lit(False))
+    return keep.unionByName(batch.withColumn("is_new", F.lit(True)))
+
+
 def index_len(idx: Index) -> int:
     """IDX7: live document count (replaced documents excluded)."""
     return idx.stats_row()[0]

@@ -214,17 +214,10 @@ def q_events_first_wins(spark, sf_dir):
         "event_id", "user_id", "event_type", "value")
 
 
-def replace_by_key(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """IDX6 relational core: rows of ``existing`` whose key is in the batch are replaced by all
-    batch rows with that key (anti-join + union)."""
-    keep = existing.join(batch.select(key).distinct(), key, "left_anti").withColumn("is_new", F.lit(False))
-    return keep.unionByName(batch.withColumn("is_new", F.lit(True)))
-
-
 def q_orders_upsert(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c/"), F.col("o_custkey").cast("string")).alias("url"),
                                               "o_orderkey", "o_orderstatus")
-    return replace_by_key(o.where("o_orderstatus = 'F'").drop("o_orderstatus"),
+    return I.replace_by_key(o.where("o_orderstatus = 'F'").drop("o_orderstatus"),
                           o.where("o_orderstatus = 'O'").drop("o_orderstatus"), "url")
 
 
