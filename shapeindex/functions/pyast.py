@@ -72,28 +72,45 @@ class Parsed:
 AST = ast.AST
 
 
+_FIELD_CACHE: dict = {}
+
+
+def _type_info(cls, drop):
+    """Per node type: (name, encoded name, [(field, b"|field=", dropped?)])."""
+    key = (cls, drop)
+    info = _FIELD_CACHE.get(key)
+    if info is None:
+        info = (cls.__name__, cls.__name__.encode(),
+                [(f, b"|" + f.encode() + b"=", f in drop) for f in cls._fields])
+        _FIELD_CACHE[key] = info
+    return info
+
+
 def analyze(source: str, opts: TokenizerOptions, with_text: bool = False) -> Parsed:
     """Parse ``source`` and return its nodes in preorder with term hashes. Raises PARSE_ERRORS."""
     tree = ast.parse(source)
-    order, depth, parent, fields_of = [], [], [], []
+    drop = frozenset(opts.drop_field_names) if opts.annotate_fields else frozenset()
+    order, depth, parent, values_of, infos = [], [], [], [], []
     stack = [(tree, 0, -1)]
+    push = stack.append
     while stack:
         node, d, p = stack.pop()
         i = len(order)
         order.append(node)
         depth.append(d)
         parent.append(p)
-        fields = [(f, getattr(node, f)) for f in node._fields if hasattr(node, f)]
-        fields_of.append(fields)
-        kids = []
-        for _, v in fields:
-            if isinstance(v, AST):
-                kids.append(v)
-            elif isinstance(v, list):
-                kids.extend(x for x in v if isinstance(x, AST))
+        info = _type_info(type(node), drop)
+        infos.append(info)
+        vals = [getattr(node, f, None) for f, _, _ in info[2]]
+        values_of.append(vals)
         d1 = d + 1
-        for kid in reversed(kids):
-            stack.append((kid, d1, i))
+        for v in reversed(vals):
+            if isinstance(v, AST):
+                push((v, d1, i))
+            elif type(v) is list:
+                for x in reversed(v):
+                    if isinstance(x, AST):
+                        push((x, d1, i))
     n = len(order)
     size = [1] * n
     height = [0] * n
@@ -103,7 +120,7 @@ def analyze(source: str, opts: TokenizerOptions, with_text: bool = False) -> Par
         if height[i] >= height[p]:
             height[p] = height[i] + 1
 
-    names = [type(x).__name__ for x in order]
+    names = [info[0] for info in infos]
     min_depth = opts.min_depth or 0
     drop_nodes = opts.drop_node_names
     is_term = [height[i] >= min_depth and names[i] not in drop_nodes for i in range(n)]
@@ -119,19 +136,20 @@ def analyze(source: str, opts: TokenizerOptions, with_text: bool = False) -> Par
                     term_text[i] = text
     else:
         digests: dict = {}
-        drop = opts.drop_field_names if opts.annotate_fields else ()
         seed = _SEED
+        digest = xxhash.xxh64_digest
         for i in range(n - 1, -1, -1):
             node = order[i]
             key = id(node)
             dg = digests.get(key)
             if dg is None:  # ctx/operator singletons recur; their digest is the same everywhere
-                parts = [names[i].encode()]
-                for f, v in fields_of[i]:
-                    if f in drop:
-                        continue
-                    parts.append(b"|" + f.encode() + b"=" + _encode_value(v, digests))
-                dg = digests[key] = xxhash.xxh64_digest(b"".join(parts), seed=seed)
+                info = infos[i]
+                parts = [info[1]]
+                for (f, fb, dropped), v in zip(info[2], values_of[i]):
+                    if not dropped:
+                        parts.append(fb)
+                        parts.append(b"A" + digests[id(v)] if isinstance(v, AST) else _encode_value(v, digests))
+                dg = digests[key] = digest(b"".join(parts), seed=seed)
             if is_term[i]:
                 term_hash[i] = int.from_bytes(dg, "big", signed=True)
                 if with_text:
