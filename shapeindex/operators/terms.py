@@ -36,6 +36,29 @@ _POSTING_ARROW = pa.struct([("term_hash", pa.int64()), ("tf", pa.int32()),
                             ("positions", pa.list_(pa.int32()))])
 
 
+def _line_nodes(p: pyast.Parsed) -> list:
+    """Nodes line matching (QRY7) needs: every node that can be matched (it has a first term),
+    and every node whose line number is new below its nearest line-numbered ancestor. A node
+    repeating that ancestor's line is dropped unless a line-less node that can be matched (e.g.
+    ``comprehension``) lies between them, so every matched subtree keeps its exact line set."""
+    ln, ft, par = p.lineno, p.first_term_hash, p.parent
+    n = len(ln)
+    carry_line = [None] * n  # line of the nearest node at or above with a line number
+    carry_gap = [False] * n  # a matchable line-less node lies below that line-numbered node
+    keep = []
+    for i in range(n):
+        q = par[i]
+        anc_line = carry_line[q] if q >= 0 else None
+        gap = carry_gap[q] if q >= 0 else False
+        if ln[i] is not None:
+            carry_line[i], carry_gap[i] = ln[i], False
+        else:
+            carry_line[i], carry_gap[i] = anc_line, gap or ft[i] is not None
+        if ft[i] is not None or (ln[i] is not None and (ln[i] != anc_line or gap)):
+            keep.append(i)
+    return keep
+
+
 def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, with_text: bool,
                    lstrip: bool):
     for batch in batches:
@@ -73,8 +96,7 @@ def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, wi
                 elif keep == "terms":
                     idx = [i for i in range(n) if th[i] is not None]
                 elif keep == "index":
-                    ln, ft = parsed.lineno, parsed.first_term_hash
-                    idx = [i for i in range(n) if ln[i] is not None or ft[i] is not None]
+                    idx = _line_nodes(parsed)
                 else:
                     idx = ()
                 if idx:
@@ -136,8 +158,8 @@ def parse_code(df: DataFrame, text_col: str = "content", options: TokenizerOptio
     """TOK1-TOK9, TOK11: parse every text once, keep all input columns, append
     ``valid, reason, n_nodes, dl, nodes, postings``.
 
-    ``keep_nodes`` chooses the node records kept in ``nodes``: ``all``; ``index`` (nodes with a
-    line number or a term in their subtree, enough for QRY7); ``terms``; ``none``.
+    ``keep_nodes`` chooses the node records kept in ``nodes``: ``all``; ``index`` (the nodes line
+    matching needs, see ``_line_nodes``); ``terms``; ``none``.
     ``lstrip`` strips leading whitespace first (query preparation, QRY1).
     """
     assert keep_nodes in NODE_KEEP

@@ -5,6 +5,7 @@ lines / anchors of search equal a brute force that walks every node of the hit d
 """
 import ast
 import os
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,13 +106,22 @@ def test_queries_from_real_code_match_brute_force(spark, real):
         defs = [n for n in tree.body if isinstance(n, (ast.FunctionDef, ast.ClassDef))][:2]
         for k, d in enumerate(defs):
             queries.append((sid * 10 + k, ast.get_source_segment(code, d)))
+        # inner statements, comprehensions first (their line-less `comprehension` nodes can match)
+        inner = [n for f in defs for n in ast.walk(f) if isinstance(n, ast.stmt) and n is not f]
+        inner.sort(key=lambda n: not any(isinstance(x, ast.comprehension) for x in ast.walk(n)))
+        for k, st in enumerate(inner[:4]):
+            text = textwrap.dedent(ast.get_source_segment(code, st, padded=True))
+            queries.append((sid * 10 + 2 + k, text))
     qs = spark.createDataFrame(queries, "query_id long, code string")
     hits, _ = S.search(idx, qs, SearchOptions(k=3))
     rows = hits.collect()
     by_id = {sid: code for sid, _, _, code in docs}
     qtext = dict(queries)
-    with_terms = {q for q, c in queries if any(h is not None for h in analyze(c, O).term_hash)}
-    assert {r.query_id for r in rows if r.rank == 1} == with_terms
+    corpus_terms = set()
+    for _, _, _, code in docs:
+        corpus_terms |= {t for t in analyze(code, O, with_text=True).term_text if t}
+    findable = {q for q, c in queries if corpus_terms & {t for t in analyze(c, O, with_text=True).term_text if t}}
+    assert {r.query_id for r in rows if r.rank == 1} == findable
     for r in rows:
         q_terms = set(t for t in analyze(qtext[r.query_id], O, with_text=True).term_text if t)
         doc_terms = set(t for t in analyze(by_id[r.snippet_id], O, with_text=True).term_text if t)
