@@ -74,3 +74,14 @@ def test_files_to_documents(spark):
     repos = spark.createDataFrame([("flask", "https://github.com/x/flask", "abc")], "name string, html_url string, head string")
     r = H.files_to_documents(files, repos).collect()
     assert [(x.title, x.url) for x in r] == [("flask app.py", "https://github.com/x/flask/blob/abc/src/app.py")]
+
+
+def test_tutorial_crawl_is_one_level(spark):
+    toc2 = '<ul><li class="toctree-l1"><a href="other.html">O</a></li></ul>'
+    pages = spark.createDataFrame([(BASE + "index.html", TOC), (BASE + "demo.html", toc2 + DEMO),
+                                   (BASE + "other.html", DEMO)], "url string, html string")
+    seeds = spark.createDataFrame([(BASE + "index.html",)], "url string")
+    tut = {r.url: (r.depth, r.is_leaf) for r in H.crawl(pages, seeds, TUTORIAL_RULES).collect()}
+    assert tut == {BASE + "index.html": (0, False), BASE + "demo.html": (1, True)}
+    lib = {r.url: (r.depth, r.is_leaf) for r in H.crawl(pages, seeds, LIBRARY_RULES).collect()}
+    assert lib == {BASE + "index.html": (0, False), BASE + "demo.html": (1, False), BASE + "other.html": (2, True)}

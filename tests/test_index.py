@@ -77,3 +77,12 @@ def test_words_index_bm25(spark):
     idf = math.log(n / 3) + 1
     w = lambda tf, dl: idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
     assert got == [(2, round(w(2, 3), 6)), (1, round(w(1, 3), 6))]
+
+
+def test_search_on_empty_index(spark):
+    idx = I.create_index(spark, scratch_path(spark, "empty"))
+    hits, results = S.search(idx, spark.createDataFrame([(0, "x = a.f()")], "query_id long, code string"))
+    assert hits.count() == 0
+    r = results.first()
+    assert not r.has_results and r.error is None
+    assert I.index_len(idx) == 0
