@@ -15,7 +15,7 @@ from ..session import ship_package
 
 def dedup_stream(items: DataFrame, watermark: tuple[str, str] | None = None, url_col: str = "url") -> DataFrame:
     """STR1: first item per url wins. Without a watermark the state is every url ever seen (as
-    the batch pipeline); with ``(event_time_col, delay)`` state is bounded by the watermark."""
+    the batch build); with ``(event_time_col, delay)`` state is bounded by the watermark."""
     if watermark is None:
         return items.dropDuplicates([url_col])
     col, delay = watermark
