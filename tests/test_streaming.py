@@ -42,3 +42,30 @@ def test_index_stream_equals_batch(spark):
     assert sorted(tuple(r) for r in s.terms().select("term_hash", "df").collect()) == \
         sorted(tuple(r) for r in I.open_index(spark, bpath).terms().select("term_hash", "df").collect())
     assert len(s.meta["stream_batches"]) == 2
+
+
+def test_dedup_within_watermark(spark):
+    src = scratch_path(spark, "wm")
+    rows = [("u1", "2024-01-01 00:00:00", 1), ("u1", "2024-01-01 00:00:05", 2), ("u2", "2024-01-01 00:00:01", 3)]
+    (spark.createDataFrame(rows, "url string, ts string, n int").withColumn("ts", F.to_timestamp("ts"))
+     .coalesce(1).write.parquet(src))
+    stream = spark.readStream.schema("url string, ts timestamp, n int").parquet(src)
+    out = scratch_path(spark, "wm-out")
+    q = (dedup_stream(stream, watermark=("ts", "1 hour")).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", out + "-ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["u1", "u2"]
+
+
+def test_index_stream_upsert(spark):
+    src = scratch_path(spark, "feed3")
+    _write_feed(spark, [("t", "u1", ["a = x.f()"], 0), ("t", "u2", ["b = y.g()"], 1)], os.path.join(src, "0"))
+    _write_feed(spark, [("t", "u1", ["c = z.h()", "d = w.k()"], 0)], os.path.join(src, "1"))
+    path = scratch_path(spark, "uidx")
+    I.create_index(spark, path)
+    stream = spark.readStream.schema(ITEM_STREAM_SCHEMA).option("maxFilesPerTrigger", 1).json(src + "/*")
+    index_stream(stream, path, path + "-ck", upsert=True).awaitTermination()
+    idx = I.open_index(spark, path)
+    assert sorted((r.url, r.content) for r in I.iter_documents(idx).collect()) == [
+        ("u1", "c = z.h()"), ("u1", "d = w.k()"), ("u2", "b = y.g()")]
+    assert I.index_len(idx) == 3
