@@ -171,15 +171,18 @@ def q_word_bm25_top10(spark, sf_dir):
 
 
 def q_doc_line_window(spark, sf_dir):
+    """QRY8-QRY11 on documents: marked lines = lines longer than 80 characters; kept from the
+    first longest run on; anchor from their first run; preview window from the first kept line.
+    A document's lines are bounded by the document, so runs are one array pass per document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = (d.select("doc_id", F.posexplode(L.text_lines(F.col("text"))).alias("i", "line"))
-             .where(F.length("line") > 80).select("doc_id", (F.col("i") + 1).cast("int").alias("lineno")))
-    kept = L.trim_to_longest_run(lines, ["doc_id"], "lineno")
-    fr = L.first_run(kept, ["doc_id"], "lineno")
-    arr = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("lineno")).alias("kept"))
-    out = arr.join(fr, "doc_id").join(d, "doc_id").withColumn("pv", L.preview(F.col("text"), F.col("kept"), 10))
+    marked = F.filter(F.transform(L.text_lines(F.col("text")), lambda line, i: F.when(F.length(line) > 80, i + 1)),
+                      lambda n: n.isNotNull())
+    run = L.longest_run_of_sorted(F.col("marked"))
+    out = (d.withColumn("marked", marked).where(F.size("marked") > 0)
+           .withColumn("run", run).withColumn("kept", F.filter("marked", lambda n: n >= F.col("run.start")))
+           .withColumn("pv", L.preview(F.col("text"), F.col("kept"), 10)))
     return out.select("doc_id", F.array_join("kept", ",").alias("kept_lines"),
-                      L.anchor(F.col("first_start"), F.col("first_end")).alias("anchor"),
+                      L.anchor(F.col("run.start"), F.col("run.end")).alias("anchor"),
                       F.col("pv.display_start").alias("display_start"), F.size("pv.rows").alias("n_rows"),
                       F.length(F.get("pv.rows", 0)).alias("first_row_len"), F.array_join("pv.hl", ",").alias("hl"))
 
@@ -199,7 +202,7 @@ def q_docs_snippet_text(spark, sf_dir):
 def q_lineitem_longest_run(spark, sf_dir):
     v = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey")
     lr = L.longest_run(v, ["l_suppkey"], "l_orderkey")
-    si = L.longest_run_start_index(v, ["l_suppkey"], "l_orderkey")
+    si = L.longest_run_start_index(v, ["l_suppkey"], "l_orderkey", lr=lr)
     return lr.join(si, "l_suppkey").select("l_suppkey", "run_start", "run_end", F.col("run_len").cast("long"), "start_index")
 
 
