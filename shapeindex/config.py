@@ -98,4 +98,6 @@ class SearchOptions:
     max_lines: int = PREVIEW_MAX_LINES
     broadcast_max_rows: int = 2_000_000  # query-side rows below this are broadcast (checked by count)
     score_digits: int = 6  # scores are rounded before ranking so ties are exact
+    prune: bool = True  # exact top-k pruning by per-term score bounds (falls back per query)
+    prune_df: int | None = None  # "rare" term df limit; default max(10k, N/1000)
     extra: dict = field(default_factory=dict, compare=False)

@@ -196,10 +196,10 @@ def _commit(idx: Index, meta: dict, new_segment: str | None, new_tombstones: Dat
     v = meta["version"] + 1
     meta = dict(meta, version=v)
     n_docs, total_len = prev.stats_row() if meta.get("stats") else (0, 0)
-    deltas = [prev.terms().select("term_hash", "df")] if meta.get("terms") else []
+    deltas = [prev.terms().select("term_hash", "df", "max_tf", "min_dl")] if meta.get("terms") else []
     if new_segment:
         seg_post = prev._read(f"{new_segment}/postings", INDEX_POSTING)
-        deltas.append(doc_freq(seg_post))
+        deltas.append(term_stats(seg_post))
         r = prev._read(f"{new_segment}/snippets", TABLE_SCHEMAS["snippets"]).agg(
             F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
         n_docs, total_len = n_docs + int(r["n"]), total_len + int(r["t"])
@@ -221,13 +221,17 @@ def _commit(idx: Index, meta: dict, new_segment: str | None, new_tombstones: Dat
                               .select("snippet_id", "term_hash").distinct())
             else:
                 gone_terms = prev.postings().join(fresh, "snippet_id", "left_semi").select("snippet_id", "term_hash")
-            deltas.append(gone_terms.groupBy("term_hash").agg((-F.count(F.lit(1))).cast("long").alias("df")))
+            deltas.append(gone_terms.groupBy("term_hash").agg(
+                (-F.count(F.lit(1))).cast("long").alias("df"), F.lit(None).cast("int").alias("max_tf"),
+                F.lit(None).cast("int").alias("min_dl")))
         meta["tombstones"] = tname
     stats = spark.createDataFrame([(n_docs, total_len)], "n_docs long, total_len long")
     stats.coalesce(1).write.parquet(idx._p(f"stats-{v:06d}"))
     meta["stats"] = f"stats-{v:06d}"
     if deltas:
-        terms_df = (_union_all(deltas).groupBy("term_hash").agg(F.sum("df").cast("long").alias("df"))
+        terms_df = (_union_all(deltas).groupBy("term_hash")
+                    .agg(F.sum("df").cast("long").alias("df"), F.max("max_tf").alias("max_tf"),
+                         F.min("min_dl").alias("min_dl"))
                     .where(F.col("df") > 0))
     else:
         terms_df = spark.createDataFrame([], TERM_STAT)
@@ -255,6 +259,13 @@ def index_stats(snippets: DataFrame) -> DataFrame:
                         F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def term_stats(postings: DataFrame) -> DataFrame:
+    """IDX3 plus the inputs of a per-term score upper bound: (term_hash, df, max_tf, min_dl)."""
+    return postings.groupBy("term_hash").agg(F.count(F.lit(1)).cast("long").alias("df"),
+                                             F.max("tf").cast("int").alias("max_tf"),
+                                             F.min("dl").cast("int").alias("min_dl"))
+
+
 def doc_freq(postings: DataFrame) -> DataFrame:
     """IDX3: document frequency per term (postings are distinct per (term, snippet))."""
     return postings.groupBy("term_hash").agg(F.count(F.lit(1)).cast("long").alias("df"))

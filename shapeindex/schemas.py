@@ -80,6 +80,8 @@ INDEX_POSTING = T.StructType([
 TERM_STAT = T.StructType([
     T.StructField("term_hash", T.LongType()),
     T.StructField("df", T.LongType()),
+    T.StructField("max_tf", T.IntegerType()),  # upper-bound inputs for exact top-k pruning;
+    T.StructField("min_dl", T.IntegerType()),  # kept as bounds (not tightened) after deletes
 ])
 
 QUERY = T.StructType([
