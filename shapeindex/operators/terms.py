@@ -239,6 +239,7 @@ def word_array(text: Column, pattern: str = "[ \n]+") -> Column:
 def word_tokenizer(pattern: str = "[ \n]+") -> Tokenizer:
     """DataFrame(snippet_id, content) -> DataFrame(snippet_id, pos, term_hash, term); JVM only."""
     def run(df: DataFrame) -> DataFrame:
+        df = spread(df.select("snippet_id", "content"), "snippet_id")
         return (df.select("snippet_id", F.posexplode(word_array(F.col("content"), pattern)).alias("pos", "term"))
                 .select("snippet_id", F.col("pos").cast("int").alias("pos"),
                         F.xxhash64("term").alias("term_hash"), "term"))
