@@ -11,10 +11,14 @@ def scan_sources(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     Text mode newlines: ``\\r\\n`` and lone ``\\r`` become ``\\n``.
     """
     root = root.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    jroot = jvm.org.apache.hadoop.fs.Path(root)
+    fs = jroot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    prefix = fs.makeQualified(jroot).toString().rstrip("/") + "/"  # e.g. file:/data/repos/
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*.py").load(root).select("path", "content"))
-    raw = raw.where(~F.col("path").contains(".git"))
-    rel = F.regexp_extract("path", r"^.*?" + root.split("/")[-1] + r"/(.*)$", 1)
+    rel = F.when(F.col("path").startswith(prefix), F.expr(f"substring(path, {len(prefix) + 1})"))
+    raw = raw.where(~rel.contains(".git"))
     text = F.col("content").cast("string")
     df = raw.select(F.split(rel, "/", 2).getItem(0).alias("repo"),
                     F.regexp_extract(rel, r"^[^/]*/(.*)$", 1).alias("relpath"),

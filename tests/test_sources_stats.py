@@ -59,3 +59,12 @@ def test_stats(spark):
     assert rep == {"r1": (1, 1), "r2": (1, 0), None: (2, 1)}
     assert ST.repo_count(f).first().repo_count == 2
     assert ST.code_line_count(f).first().python_line_count == 3
+
+
+def test_scan_sources_root_name_repeated(spark):
+    root = os.path.join(tempfile.mkdtemp(), "repos")
+    os.makedirs(os.path.join(root, "alpha", "repos"))
+    with open(os.path.join(root, "alpha", "repos", "m.py"), "w") as f:
+        f.write("x = 1\n")
+    ok, _ = files.scan_sources(spark, root)
+    assert [(r.repo, r.relpath) for r in ok.collect()] == [("alpha", "repos/m.py")]
