@@ -215,6 +215,14 @@ def term_stream(parsed: DataFrame, id_col: str = "snippet_id", start_pos: int =
                     F.col("n.term").alias("term")))
 
 
+def term_texts(df: DataFrame, options: TokenizerOptions = DEFAULT_OPTIONS, text_col: str = "content",
+               id_col: str = "snippet_id") -> DataFrame:
+    """Audit table (term_hash, term): the printed dump of every distinct term of ``df``."""
+    p = parse_code(df.select(id_col, text_col), text_col=text_col, options=options, keep_nodes="terms",
+                   with_text=True, id_col=id_col)
+    return term_stream(p, id_col).select("term_hash", "term").dropDuplicates(["term_hash"])
+
+
 def type_sequence(parsed: DataFrame, id_col: str = "snippet_id") -> DataFrame:
     """TOK10: space-joined node type names in preorder (needs ``keep_nodes='all'``)."""
     return parsed.select(id_col, F.array_join(F.transform("nodes", lambda n: n["node_type"]), " ")

@@ -58,3 +58,9 @@ def test_structural_tokenizer_interface(spark):
     ts = TK.structural_tokenizer()(_docs(spark))
     assert set(ts.columns) == {"snippet_id", "pos", "term_hash", "term"}
     assert ts.count() == sum(TERMS.values())
+
+
+def test_term_texts_audit(spark):
+    t = {r.term_hash: r.term for r in TK.term_texts(_docs(spark)).collect()}
+    assert len(t) == sum(TERMS.values())  # every template term is distinct
+    assert any(v.startswith("Assign(targets=[Name(ctx=Store())], value=Call(") for v in t.values())
