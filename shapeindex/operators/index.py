@@ -156,9 +156,14 @@ def _meta_dir(path: str) -> str:
 
 
 def create_index(spark: SparkSession, path: str, kind: str = "structural",
-                 options: TokenizerOptions = DEFAULT_OPTIONS, term_buckets: int = 64,
-                 doc_buckets: int = 16) -> Index:
-    """SRC6: create an empty index; an existing one is an error."""
+                 options: TokenizerOptions = DEFAULT_OPTIONS, term_buckets: int | None = None,
+                 doc_buckets: int | None = None) -> Index:
+    """SRC6: create an empty index; an existing one is an error.
+
+    Bucket counts fix the hash layout of postings/terms (``term_buckets``) and of
+    snippets/nodes (``doc_buckets``). ``None`` sizes them at the first build from Spark's size
+    estimate of that input (``choose_buckets``); give them explicitly for an index that will grow
+    far beyond its first batch (e.g. fed by a stream)."""
     assert kind in KINDS
     if store.exists(spark, _meta_dir(path)):
         raise RuntimeError(f"Index already exists at {path}")
@@ -303,9 +308,34 @@ def _write_segment(idx: Index, seg: str, snippets: DataFrame, node_rows: DataFra
      .write.partitionBy("term_bucket").parquet(idx._p(f"{seg}/postings")))
 
 
+BUCKET_BYTES = 128 << 20
+
+
+def _pow2_at_least(x: float) -> int:
+    n = 1
+    while n < x:
+        n <<= 1
+    return n
+
+
+def choose_buckets(docs: DataFrame) -> tuple[int, int]:
+    """(term_buckets, doc_buckets) for about ``BUCKET_BYTES`` per bucket of this input, from
+    the optimizer's size estimate (no job is run)."""
+    try:
+        est = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # no JVM view of the plan: keep the minimum layout
+        est = 0
+    n = _pow2_at_least(est / BUCKET_BYTES)
+    return min(max(64, n), 1 << 16), min(max(16, n), 1 << 16)
+
+
 def _build_segment(idx: Index, docs: DataFrame, seq: int) -> tuple[str, int, int]:
     """Tokenize ``docs`` and write them as a new segment; returns (segment, accepted, rejected)."""
     docs = _with_defaults(docs, seq)
+    if idx.meta.get("term_buckets") is None or idx.meta.get("doc_buckets") is None:
+        tb, dbk = choose_buckets(docs)
+        idx.meta = dict(idx.meta, term_buckets=idx.meta.get("term_buckets") or tb,
+                        doc_buckets=idx.meta.get("doc_buckets") or dbk)
     seg = f"seg-{idx.version + 1:06d}"
     if idx.kind == "structural":
         # one Python pass feeds three outputs; keep its result instead of re-parsing

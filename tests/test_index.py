@@ -86,3 +86,16 @@ def test_search_on_empty_index(spark):
     r = results.first()
     assert not r.has_results and r.error is None
     assert I.index_len(idx) == 0
+
+
+def test_bucket_choice(spark):
+    small = spark.createDataFrame([(1, "t", "u", "x = a.f()")], "snippet_id long, title string, url string, content string")
+    assert I.choose_buckets(small) == (64, 16)
+    idx = I.create_index(spark, scratch_path(spark, "buckets"))
+    assert idx.meta["term_buckets"] is None
+    I.add_documents(idx, small)
+    assert (idx.term_buckets, idx.doc_buckets) == (64, 16)
+    assert I.open_index(spark, idx.path).meta["term_buckets"] == 64
+    fixed = I.create_index(spark, scratch_path(spark, "buckets2"), term_buckets=8, doc_buckets=4)
+    I.add_documents(fixed, small)
+    assert (fixed.term_buckets, fixed.doc_buckets) == (8, 4)
