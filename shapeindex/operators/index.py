@@ -322,7 +322,7 @@ def choose_buckets(docs: DataFrame) -> tuple[int, int]:
     """(term_buckets, doc_buckets) for about ``BUCKET_BYTES`` per bucket of this input, from
     the optimizer's size estimate (no job is run)."""
     try:
-        est = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        est = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # no JVM view of the plan: keep the minimum layout
         est = 0
     n = _pow2_at_least(est / BUCKET_BYTES)

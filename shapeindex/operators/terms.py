@@ -133,21 +133,27 @@ def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, wi
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+SPREAD_MAX_BYTES = 8 << 30
+
+
 def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
-    """Give a CPU-heavy Python pass at least ``factor`` tasks per core.
+    """Give a CPU-heavy Python pass at least ``factor`` tasks per core on a small input.
 
-    Large inputs already have far more splits than cores and pass through unchanged; a small
-    input (one parquet row group, a short query list) is hash-partitioned by ``key`` first,
-    which stays deterministic when a task is retried.
+    A small input (one parquet row group, a short query list; at most ``SPREAD_MAX_BYTES`` by
+    the optimizer's estimate) is hash-partitioned by ``key``, which stays deterministic when a
+    task is retried. Large inputs keep their splits: they already have many, and moving them
+    only for parallelism would cost a shuffle of the whole corpus.
     """
     if df.isStreaming:
         return df
     want = df.sparkSession.sparkContext.defaultParallelism * factor
     try:
         have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session): leave the plan alone
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no JVM view of the plan (e.g. a remote session): leave the plan alone
         return df
-    if have >= want:
+    known = est < (1 << 63) - 1  # Long.MaxValue means "no estimate" (e.g. local Python data)
+    if have >= want or (known and est > SPREAD_MAX_BYTES):
         return df
     return df.repartition(want, key) if key and key in df.columns else df.repartition(want)
 

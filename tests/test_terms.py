@@ -64,3 +64,12 @@ def test_term_texts_audit(spark):
     t = {r.term_hash: r.term for r in TK.term_texts(_docs(spark)).collect()}
     assert len(t) == sum(TERMS.values())  # every template term is distinct
     assert any(v.startswith("Assign(targets=[Name(ctx=Store())], value=Call(") for v in t.values())
+
+
+def test_spread_small_inputs_only(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        F.col("doc_id").alias("snippet_id"), F.col("text").alias("content")).coalesce(1)
+    want = spark.sparkContext.defaultParallelism * 2
+    assert TK.spread(d, "snippet_id").rdd.getNumPartitions() == want
+    monkeypatch.setattr(TK, "SPREAD_MAX_BYTES", 1)  # pretend the input is large: keep its splits
+    assert TK.spread(d, "snippet_id").rdd.getNumPartitions() == 1
