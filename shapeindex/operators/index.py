@@ -325,6 +325,8 @@ def choose_buckets(docs: DataFrame) -> tuple[int, int]:
         est = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # no JVM view of the plan: keep the minimum layout
         est = 0
+    if est >= (1 << 63) - 1:  # Long.MaxValue: no estimate (e.g. local Python data)
+        est = 0
     n = _pow2_at_least(est / BUCKET_BYTES)
     return min(max(64, n), 1 << 16), min(max(16, n), 1 << 16)
 
