@@ -420,6 +420,14 @@ def replace_by_key(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame
     return keep.unionByName(batch.withColumn("is_new", F.lit(True)))
 
 
+def df_quantiles(idx: Index) -> DataFrame:
+    """Skew report: exact df percentiles (linear interpolation) and the largest df of the index."""
+    t = idx.terms()
+    return t.agg(F.count(F.lit(1)).cast("long").alias("n_terms"),
+                 F.percentile("df", 0.5).alias("p50"), F.percentile("df", 0.9).alias("p90"),
+                 F.percentile("df", 0.99).alias("p99"), F.max("df").alias("max_df"))
+
+
 def index_len(idx: Index) -> int:
     """IDX7: live document count (replaced documents excluded)."""
     return idx.stats_row()[0]

@@ -264,3 +264,8 @@ WHERE length(word) > 1 AND word NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be
   'have', 'if', 'in', 'is', 'it', 'may', 'not', 'of', 'on', 'or', 'tbd', 'that', 'the', 'this', 'to', 'us', 'we',
   'when', 'will', 'with', 'yet', 'you', 'your')
 GROUP BY word"""
+
+SQL["word_df_quantiles"] = f"""WITH {WORDS},
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM occ GROUP BY term)
+SELECT CAST(count(*) AS BIGINT) AS n_terms, quantile_cont(df, 0.5) AS p50, quantile_cont(df, 0.9) AS p90,
+       quantile_cont(df, 0.99) AS p99, CAST(max(df) AS BIGINT) AS max_df FROM df"""

@@ -163,6 +163,10 @@ def q_word_stats(spark, sf_dir):
     return idx.stats().select("n_docs", "total_len", F.round(F.col("total_len") / F.col("n_docs"), 6).alias("avgdl"))
 
 
+def q_word_df_quantiles(spark, sf_dir):
+    return I.df_quantiles(_index(spark, sf_dir, "words"))
+
+
 def q_word_bm25_top10(spark, sf_dir):
     idx = _index(spark, sf_dir, "words")
     qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("code"))
@@ -321,6 +325,7 @@ QUERIES = {
     "word_postings": q_word_postings,
     "word_doc_freq": q_word_doc_freq,
     "word_stats": q_word_stats,
+    "word_df_quantiles": q_word_df_quantiles,
     "word_bm25_top10": q_word_bm25_top10,
     "doc_line_window": q_doc_line_window,
     "docs_code_lines": q_docs_code_lines,
