@@ -99,3 +99,18 @@ def test_bucket_choice(spark):
     fixed = I.create_index(spark, scratch_path(spark, "buckets2"), term_buckets=8, doc_buckets=4)
     I.add_documents(fixed, small)
     assert (fixed.term_buckets, fixed.doc_buckets) == (8, 4)
+
+
+def test_words_upsert_updates_df(spark):
+    idx = I.create_index(spark, scratch_path(spark, "wup"), kind="words")
+    first = spark.createDataFrame([("t", "u1", ["a b"], 0), ("t", "u2", ["b c"], 1)],
+                                  "title string, url string, code_snippets array<string>, item_ord long")
+    I.add_items(idx, first)
+    I.update_items(idx, spark.createDataFrame([("t", "u1", ["c d"], 0)],
+                                              "title string, url string, code_snippets array<string>, item_ord long"))
+    idx = I.open_index(spark, idx.path)
+    df = {r.term_hash: r.df for r in idx.terms().collect()}
+    from pyspark.sql import functions as F
+    h = {w: spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in "abcd"}
+    assert {w: df.get(h[w], 0) for w in "abcd"} == {"a": 0, "b": 1, "c": 2, "d": 1}
+    assert idx.stats_row() == (2, 4)
