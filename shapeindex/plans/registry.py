@@ -153,9 +153,9 @@ def q_word_postings(spark, sf_dir):
 
 
 def q_word_doc_freq(spark, sf_dir):
-    post = I.build_postings(_doc_terms(spark, sf_dir))
-    names = _doc_terms(spark, sf_dir).groupBy("term_hash").agg(F.min("term").alias("term"))
-    return I.doc_freq(post).join(names, "term_hash").select("term", "df")
+    per_doc = _doc_terms(spark, sf_dir).groupBy("term_hash", "snippet_id").agg(F.min("term").alias("term"))
+    return per_doc.groupBy("term_hash").agg(F.min("term").alias("term"),
+                                            F.count(F.lit(1)).cast("long").alias("df")).select("term", "df")
 
 
 def q_word_stats(spark, sf_dir):
