@@ -111,6 +111,29 @@ def resolve_url(base: Column, href: Column) -> Column:
             .otherwise(F.concat(directory, href)))
 
 
+# FIXED values: the HTML character references undone by the JVM-only link extraction
+SIMPLE_ENTITIES = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def unescape_simple(c: Column) -> Column:
+    """Undo the common character references (``&amp;`` last, so it is not undone twice)."""
+    for ent, ch in SIMPLE_ENTITIES:
+        c = F.replace(c, F.lit(ent), F.lit(ch))
+    return c
+
+
+def toc_links_regex(pages: DataFrame, container: str = "nav", key_cols=("url",)) -> DataFrame:
+    """EXT1 + EXT2 without Python, for simple markup: hrefs of ``<a href="...">`` inside the
+    first ``<container>`` element, unescaped and resolved with ``resolve_url``:
+    (keys, ord, href, link). Pages needing a real parser use ``toc_links``."""
+    block = F.regexp_extract("html", f"(?s)<{container}>(.*?)</{container}>", 1)
+    hrefs = F.regexp_extract_all(block, F.lit('<a href="([^"]*)"'), 1)
+    out = pages.select(*dict.fromkeys([*key_cols, "url"]), F.posexplode(hrefs).alias("ord", "href"))
+    href = unescape_simple(F.col("href"))
+    return out.select(*key_cols, F.col("ord").cast("int").alias("ord"), href.alias("href"),
+                      resolve_url(F.col("url"), href).alias("link"))
+
+
 def snippet_text_from_pieces(pieces: Column, prompts=SHELL_PROMPTS) -> Column:
     """EXT8 on an array of text pieces: drop whole pieces starting with a prompt, join with ''."""
     pattern = "^(" + "|".join(p.replace(".", r"\.") for p in prompts) + ")"

@@ -262,6 +262,10 @@ def q_pages_toc_links(spark, sf_dir):
     return H.toc_links(table(spark, sf_dir, "pages"), ARTICLE_RULES, key_cols=("page_id",)).select("page_id", "ord", "link")
 
 
+def q_pages_toc_links_jvm(spark, sf_dir):
+    return H.toc_links_regex(table(spark, sf_dir, "pages"), "nav", key_cols=("page_id",)).select("page_id", "ord", "link")
+
+
 def q_pages_sections(spark, sf_dir):
     s = H.extract_sections(table(spark, sf_dir, "pages"), ARTICLE_RULES, key_cols=("page_id",), validate=False)
     return s.select("page_id", "title", "url", F.size("snippets_raw").alias("n_blocks"),
@@ -293,6 +297,23 @@ def q_stream_dedup_urls(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def q_stream_events_dedup(spark, sf_dir):
+    """STR1 with event time: first event per (user, type) within a 1-hour watermark (bounded
+    state); the key set is deterministic, so that is what is returned."""
+    from ..streaming.items import dedup_stream
+    schema = table(spark, sf_dir, "events").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    keyed = (stream.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP, not NTZ
+             .withColumn("key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type")))
+    out, ck = scratch_path(spark, "stream-ev"), scratch_path(spark, "stream-ev-ck")
+    q = (dedup_stream(keyed, watermark=("ts", "1 hour"), url_col="key").select("user_id", "event_type")
+         .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
 def q_stream_index_stats(spark, sf_dir):
     from ..streaming.items import index_stream
     schema = table(spark, sf_dir, "lineitem").schema
@@ -338,8 +359,10 @@ QUERIES = {
     "lineitem_crawl": q_lineitem_crawl,
     "part_select_repos": q_part_select_repos,
     "pages_toc_links": q_pages_toc_links,
+    "pages_toc_links_jvm": q_pages_toc_links_jvm,
     "pages_sections": q_pages_sections,
     "pages_dedup_url": q_pages_dedup_url,
     "stream_dedup_urls": q_stream_dedup_urls,
+    "stream_events_dedup": q_stream_events_dedup,
     "stream_index_stats": q_stream_index_stats,
 }

@@ -85,3 +85,11 @@ def test_tutorial_crawl_is_one_level(spark):
     assert tut == {BASE + "index.html": (0, False), BASE + "demo.html": (1, True)}
     lib = {r.url: (r.depth, r.is_leaf) for r in H.crawl(pages, seeds, LIBRARY_RULES).collect()}
     assert lib == {BASE + "index.html": (0, False), BASE + "demo.html": (1, False), BASE + "other.html": (2, True)}
+
+
+def test_regex_links_equal_parser_links(spark):
+    from shapeindex.config import ARTICLE_RULES
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    a = sorted(tuple(r) for r in H.toc_links(pages, ARTICLE_RULES, key_cols=("page_id",)).select("page_id", "ord", "link").collect())
+    b = sorted(tuple(r) for r in H.toc_links_regex(pages, "nav", key_cols=("page_id",)).select("page_id", "ord", "link").collect())
+    assert a == b and len(a) > 0
