@@ -4,11 +4,11 @@ An index is a folder of immutable segments plus versioned metadata::
 
     <path>/_meta/v000001.json            kind, tokenizer options, python version, buckets,
                                          live segments, tombstones, terms/stats tables
-    <path>/seg-000001/snippets/          doc_bucket=.../part-*.parquet   (one row per document)
-    <path>/seg-000001/nodes/             doc_bucket=.../                 (pruned AST nodes, QRY7)
-    <path>/seg-000001/postings/          term_bucket=.../                (sorted by term_hash)
-    <path>/tomb-000002/                  snippet ids replaced by an upsert
-    <path>/terms-000002/, stats-000002/  document frequencies and collection statistics
+    <path>/seg-000001-<id>/snippets/     doc_bucket=.../part-*.parquet   (one row per document)
+    <path>/seg-000001-<id>/nodes/        doc_bucket=.../                 (pruned AST nodes, QRY7)
+    <path>/seg-000001-<id>/postings/     term_bucket=.../                (sorted by term_hash)
+    <path>/tomb-000002-<id>/             snippet ids replaced by an upsert
+    <path>/terms-…/, stats-…/            document frequencies and collection statistics
 
 A commit writes new folders and then a new metadata file (``overwrite=False``), so readers see
 either the old or the new version. Statistics are recomputed from live rows at each commit.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import sys
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -151,6 +152,12 @@ def _union_all(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _fresh(kind: str, version: int) -> str:
+    """A folder name no other attempt can use: a crashed or concurrent writer leaves only
+    unreferenced folders behind; the metadata write (overwrite disabled) decides who commits."""
+    return f"{kind}-{version:06d}-{uuid.uuid4().hex[:8]}"
+
+
 def _meta_dir(path: str) -> str:
     return f"{path.rstrip('/')}/_meta"
 
@@ -214,7 +221,7 @@ def _commit(idx: Index, meta: dict, new_segment: str | None, new_tombstones: Dat
         old_tomb = prev.tombstones()
         if old_tomb is not None:
             fresh = fresh.join(old_tomb.select("snippet_id"), "snippet_id", "left_anti")
-        tname = f"tomb-{v:06d}"
+        tname = _fresh("tomb", v)
         all_tomb = fresh if old_tomb is None else fresh.unionByName(old_tomb.select("snippet_id"))
         all_tomb.write.parquet(idx._p(tname))
         if prev.meta["segments"]:
@@ -231,8 +238,9 @@ def _commit(idx: Index, meta: dict, new_segment: str | None, new_tombstones: Dat
                 F.lit(None).cast("int").alias("min_dl")))
         meta["tombstones"] = tname
     stats = spark.createDataFrame([(n_docs, total_len)], "n_docs long, total_len long")
-    stats.coalesce(1).write.parquet(idx._p(f"stats-{v:06d}"))
-    meta["stats"] = f"stats-{v:06d}"
+    sname, tname_terms = _fresh("stats", v), _fresh("terms", v)
+    stats.coalesce(1).write.parquet(idx._p(sname))
+    meta["stats"] = sname
     if deltas:
         terms_df = (_union_all(deltas).groupBy("term_hash")
                     .agg(F.sum("df").cast("long").alias("df"), F.max("max_tf").alias("max_tf"),
@@ -242,8 +250,8 @@ def _commit(idx: Index, meta: dict, new_segment: str | None, new_tombstones: Dat
         terms_df = spark.createDataFrame([], TERM_STAT)
     terms_df = terms_df.withColumn("term_bucket", term_bucket(F.col("term_hash"), meta["term_buckets"]))
     (terms_df.repartitionByRange("term_bucket", "term_hash").sortWithinPartitions("term_hash")
-     .write.partitionBy("term_bucket").parquet(idx._p(f"terms-{v:06d}")))
-    meta["terms"] = f"terms-{v:06d}"
+     .write.partitionBy("term_bucket").parquet(idx._p(tname_terms)))
+    meta["terms"] = tname_terms
     store.write_text(spark, f"{_meta_dir(idx.path)}/v{v:06d}.json", json.dumps(meta), overwrite=False)
     idx.meta = meta
     return idx
@@ -338,7 +346,7 @@ def _build_segment(idx: Index, docs: DataFrame, seq: int) -> tuple[str, int, int
         tb, dbk = choose_buckets(docs)
         idx.meta = dict(idx.meta, term_buckets=idx.meta.get("term_buckets") or tb,
                         doc_buckets=idx.meta.get("doc_buckets") or dbk)
-    seg = f"seg-{idx.version + 1:06d}"
+    seg = _fresh("seg", idx.version + 1)
     if idx.kind == "structural":
         # one Python pass feeds three outputs; keep its result instead of re-parsing
         parsed = tok.parse_code(docs, options=idx.options, keep_nodes="index").persist(StorageLevel.MEMORY_AND_DISK)
@@ -405,7 +413,7 @@ def update_items(idx: Index, items: DataFrame) -> tuple[int, int]:
     seq = idx.meta.get("next_batch_seq", 0)
     replaced = (idx.snippets().select("snippet_id", "url")
                 .join(items.select("url").distinct(), "url", "left_semi").select("snippet_id"))
-    stage = idx._p(f"tomb-stage-{idx.version + 1:06d}")
+    stage = idx._p(_fresh("tomb-stage", idx.version + 1))
     replaced.write.parquet(stage)  # fixed before the new rows exist
     seg, accepted, rejected = _build_segment(idx, explode_items(items, seq), seq)
     meta = dict(idx.meta, next_batch_seq=seq + 1)

@@ -114,3 +114,17 @@ def test_words_upsert_updates_df(spark):
     h = {w: spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in "abcd"}
     assert {w: df.get(h[w], 0) for w in "abcd"} == {"a": 0, "b": 1, "c": 2, "d": 1}
     assert idx.stats_row() == (2, 4)
+
+
+def test_concurrent_commit_second_writer_fails(spark):
+    path = scratch_path(spark, "race")
+    I.create_index(spark, path)
+    a, b = I.open_index(spark, path), I.open_index(spark, path)
+    d1 = spark.createDataFrame([(1, "t", "u1", "x = a.f()")], "snippet_id long, title string, url string, content string")
+    d2 = spark.createDataFrame([(2, "t", "u2", "y = b.g()")], "snippet_id long, title string, url string, content string")
+    I.add_documents(a, d1)
+    with pytest.raises(Exception):
+        I.add_documents(b, d2)  # same version: the metadata file already exists
+    live = I.open_index(spark, path)
+    assert [r.snippet_id for r in I.iter_documents(live).collect()] == [1]
+    assert live.stats_row() == (1, 1)
