@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..config import LIBRARY_RULES, SHELL_PROMPTS, HtmlRules
 from ..functions import htmltree
-from ..session import ship_package
+from ..session import ensure_checkpoint_dir, ship_package
 
 _LINK = pa.struct([("ord", pa.int32()), ("href", pa.string()), ("link", pa.string())])
 _ITEM = pa.struct([("ord", pa.int32()), ("title", pa.string()), ("url", pa.string()),
@@ -179,6 +179,8 @@ def crawl_edges(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None
     """EXT3 frontier over an edge table (src, dst): (url, depth) with each url once at its
     smallest depth. A bounded loop of joins; the visited set is checkpointed to the shared folder
     at every level, so the lineage stays one level long and a lost executor recomputes one level."""
+    if checkpoint:
+        ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select("src", "dst").distinct()
     frontier = seeds.select(F.col("url")).distinct().withColumn("depth", F.lit(0))
     visited = frontier.checkpoint() if checkpoint else frontier
@@ -205,6 +207,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, rules: HtmlRules = LIBRARY_RULES,
     linked page is parsed."""
     links = toc_links(pages, rules).select(F.col("url").alias("src"), F.col("link").alias("dst"))
     links = links.join(pages.select(F.col("url").alias("dst")), "dst", "left_semi")  # only known pages
+    ensure_checkpoint_dir(pages.sparkSession)
     links = links.checkpoint()
     depth = max_depth if rules.recursive_toc else 1
     visited = crawl_edges(links, seeds, depth)

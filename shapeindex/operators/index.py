@@ -456,6 +456,8 @@ def running_sum_before(df: DataFrame, order_cols, value_col: str, n_parts: int |
     are prefix-summed and their offsets (exactly n_parts rows: a proven bound) are broadcast back.
     The ranged rows are checkpointed so both uses read the same partitioning.
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     n = n_parts or max(1, df.sparkSession.sparkContext.defaultParallelism)
     r = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()).checkpoint()
