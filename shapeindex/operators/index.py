@@ -421,6 +421,27 @@ def update_items(idx: Index, items: DataFrame) -> tuple[int, int]:
     return accepted, rejected
 
 
+def compact_index(idx: Index) -> Index:
+    """Merge all segments into one, dropping replaced documents, and clear the tombstones.
+
+    Same layout as a fresh build (range-partitioned, bucketed, sorted), one commit; statistics
+    are copied since they already describe the live rows. Queries then scan one folder per
+    table instead of one per micro-batch.
+    """
+    if len(idx.meta["segments"]) <= 1 and not idx.meta.get("tombstones"):
+        return idx
+    seg = _fresh("seg", idx.version + 1)
+    cols = [f.name for f in SNIPPET.fields]
+    node_rows = idx.nodes().select(*[f.name for f in INDEX_NODE.fields]) if idx.kind == "structural" else None
+    postings = idx.postings(live=True).select("term_hash", "snippet_id", "batch_seq", "tf", "dl", "positions")
+    _write_segment(idx, seg, idx.snippets().select(*cols), node_rows, postings)
+    v = idx.version + 1
+    meta = dict(idx.meta, version=v, segments=[seg], tombstones=None)
+    store.write_text(idx.spark, f"{_meta_dir(idx.path)}/v{v:06d}.json", json.dumps(meta), overwrite=False)
+    idx.meta = meta
+    return idx
+
+
 def replace_by_key(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """IDX6 relational core: rows of ``existing`` whose key occurs in the batch are replaced by
     all batch rows with that key (anti-join on the distinct batch keys + union)."""

@@ -128,3 +128,24 @@ def test_concurrent_commit_second_writer_fails(spark):
     live = I.open_index(spark, path)
     assert [r.snippet_id for r in I.iter_documents(live).collect()] == [1]
     assert live.stats_row() == (1, 1)
+
+
+def test_compact_keeps_answers(spark):
+    path = scratch_path(spark, "compact")
+    idx = I.create_index(spark, path)
+    for i, url in enumerate(["u1", "u2", "u3"]):
+        I.add_items(idx, spark.createDataFrame([("t", url, [f"v{i} = o.m{i}()", "w = a.b.c()"], 0)],
+                                               "title string, url string, code_snippets array<string>, item_ord long"))
+    I.update_items(idx, spark.createDataFrame([("t", "u2", ["z = q.r()"], 0)],
+                                              "title string, url string, code_snippets array<string>, item_ord long"))
+    idx = I.open_index(spark, path)
+    qs = spark.createDataFrame([(0, "x = o.m1()"), (1, "k = a.b.c()"), (2, "y = q.r()")], "query_id long, code string")
+    before = sorted((r.query_id, r.snippet_id, r.score, r.url) for r in S.search(idx, qs)[0].collect())
+    docs_before = sorted(tuple(r) for r in I.iter_documents(idx).collect())
+    assert len(idx.meta["segments"]) == 4 and idx.meta["tombstones"]
+    I.compact_index(idx)
+    c = I.open_index(spark, path)
+    assert len(c.meta["segments"]) == 1 and c.meta["tombstones"] is None
+    assert sorted(tuple(r) for r in I.iter_documents(c).collect()) == docs_before
+    assert sorted((r.query_id, r.snippet_id, r.score, r.url) for r in S.search(c, qs)[0].collect()) == before
+    assert c.stats_row() == idx.stats_row()
