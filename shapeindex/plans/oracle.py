@@ -267,8 +267,9 @@ GROUP BY word"""
 
 SQL["word_df_quantiles"] = f"""WITH {WORDS},
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM occ GROUP BY term)
-SELECT CAST(count(*) AS BIGINT) AS n_terms, quantile_cont(df, 0.5) AS p50, quantile_cont(df, 0.9) AS p90,
-       quantile_cont(df, 0.99) AS p99, CAST(max(df) AS BIGINT) AS max_df FROM df"""
+SELECT CAST(count(*) AS BIGINT) AS n_terms, round(quantile_cont(df, 0.5), 6) AS p50,
+       round(quantile_cont(df, 0.9), 6) AS p90, round(quantile_cont(df, 0.99), 6) AS p99,
+       CAST(max(df) AS BIGINT) AS max_df FROM df"""
 
 SQL["pages_toc_links_jvm"] = SQL["pages_toc_links"]
 

@@ -164,7 +164,8 @@ def q_word_stats(spark, sf_dir):
 
 
 def q_word_df_quantiles(spark, sf_dir):
-    return I.df_quantiles(_index(spark, sf_dir, "words"))
+    q = I.df_quantiles(_index(spark, sf_dir, "words"))
+    return q.select("n_terms", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")], "max_df")
 
 
 def q_word_bm25_top10(spark, sf_dir):
