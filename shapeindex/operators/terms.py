@@ -59,78 +59,98 @@ def _line_nodes(p: pyast.Parsed) -> list:
     return keep
 
 
+OUTPUT_SLICE_BYTES = 8 << 20  # source bytes per output batch: node arrays are several times larger
+
+
+def _slices(texts: list, limit: int):
+    """Row ranges of about ``limit`` text bytes (at least one row each)."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= limit:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, with_text: bool,
-                   lstrip: bool):
-    for batch in batches:
-        texts = batch.column(text_col).to_pylist()
-        valid, reason, n_nodes, dl = [], [], [], []
-        node_arrow = _INDEX_NODE_ARROW if keep == "index" else _NODE_ARROW
-        cols = {f: [] for f in node_arrow.names}
-        node_offsets = [0]
-        p_hash, p_tf, p_pos, p_pos_offsets, post_offsets = [], [], [], [0], [0]
-        for text in texts:
-            parsed = None
-            if text is None:
-                valid.append(False), reason.append("null text"), n_nodes.append(None), dl.append(None)
+                   lstrip: bool, slice_bytes: int = OUTPUT_SLICE_BYTES):
+    for whole in batches:
+        all_texts = whole.column(text_col).to_pylist()
+        for lo, hi in _slices(all_texts, slice_bytes):
+            yield _parse_slice(whole.slice(lo, hi - lo), all_texts[lo:hi], opts, keep, with_text, lstrip)
+
+
+def _parse_slice(batch, texts: list, opts: TokenizerOptions, keep: str, with_text: bool, lstrip: bool):
+    valid, reason, n_nodes, dl = [], [], [], []
+    node_arrow = _INDEX_NODE_ARROW if keep == "index" else _NODE_ARROW
+    cols = {f: [] for f in node_arrow.names}
+    node_offsets = [0]
+    p_hash, p_tf, p_pos, p_pos_offsets, post_offsets = [], [], [], [0], [0]
+    for text in texts:
+        parsed = None
+        if text is None:
+            valid.append(False), reason.append("null text"), n_nodes.append(None), dl.append(None)
+        else:
+            if lstrip:
+                text = text.lstrip()
+            try:
+                parsed = pyast.analyze(text, opts, with_text=with_text)
+            except pyast.PARSE_ERRORS as e:  # one bad row must not fail the job
+                valid.append(False)
+                reason.append(f"{type(e).__name__}: {e}"[:500])
+                n_nodes.append(None)
+                dl.append(None)
+        if parsed is not None:
+            n = len(parsed)
+            valid.append(True), reason.append(None), n_nodes.append(n)
+            th = parsed.term_hash
+            by_term: dict = {}
+            for i in range(n):
+                h = th[i]
+                if h is not None:
+                    by_term.setdefault(h, []).append(parsed.pos[i])
+            if keep == "all":
+                idx = range(n)
+            elif keep == "terms":
+                idx = [i for i in range(n) if th[i] is not None]
+            elif keep == "index":
+                idx = _line_nodes(parsed)
             else:
-                if lstrip:
-                    text = text.lstrip()
-                try:
-                    parsed = pyast.analyze(text, opts, with_text=with_text)
-                except pyast.PARSE_ERRORS as e:  # one bad row must not fail the job
-                    valid.append(False)
-                    reason.append(f"{type(e).__name__}: {e}"[:500])
-                    n_nodes.append(None)
-                    dl.append(None)
-            if parsed is not None:
-                n = len(parsed)
-                valid.append(True), reason.append(None), n_nodes.append(n)
-                th = parsed.term_hash
-                by_term: dict = {}
-                for i in range(n):
-                    h = th[i]
-                    if h is not None:
-                        by_term.setdefault(h, []).append(parsed.pos[i])
-                if keep == "all":
-                    idx = range(n)
-                elif keep == "terms":
-                    idx = [i for i in range(n) if th[i] is not None]
-                elif keep == "index":
-                    idx = _line_nodes(parsed)
-                else:
-                    idx = ()
-                if idx:
-                    cols["pre"].extend(idx)
-                    for name, src in (("size", parsed.size), ("parent", parsed.parent), ("depth", parsed.depth),
-                                      ("height", parsed.height), ("node_type", parsed.node_type),
-                                      ("lineno", parsed.lineno), ("term_hash", th), ("pos", parsed.pos),
-                                      ("first_term_hash", parsed.first_term_hash)):
-                        if name in cols:
-                            cols[name].extend([src[i] for i in idx])
-                    if "term" in cols:
-                        cols["term"].extend([parsed.term_text[i] for i in idx] if with_text else [None] * len(idx))
-                dl.append(sum(len(v) for v in by_term.values()))
-                for h, positions in by_term.items():
-                    p_hash.append(h)
-                    p_tf.append(len(positions))
-                    p_pos.extend(positions)
-                    p_pos_offsets.append(len(p_pos))
-            node_offsets.append(len(cols["pre"]))
-            post_offsets.append(len(p_hash))
-        node_values = pa.StructArray.from_arrays(
-            [pa.array(cols[f.name], type=f.type) for f in node_arrow], fields=list(node_arrow))
-        positions = pa.ListArray.from_arrays(pa.array(p_pos_offsets, pa.int32()), pa.array(p_pos, pa.int32()))
-        post_values = pa.StructArray.from_arrays(
-            [pa.array(p_hash, pa.int64()), pa.array(p_tf, pa.int32()), positions],
-            fields=list(_POSTING_ARROW))
-        arrays = list(batch.columns) + [
-            pa.array(valid, pa.bool_()), pa.array(reason, pa.string()), pa.array(n_nodes, pa.int32()),
-            pa.array(dl, pa.int32()),
-            pa.ListArray.from_arrays(pa.array(node_offsets, pa.int32()), node_values),
-            pa.ListArray.from_arrays(pa.array(post_offsets, pa.int32()), post_values),
-        ]
-        names = list(batch.schema.names) + ["valid", "reason", "n_nodes", "dl", "nodes", "postings"]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+                idx = ()
+            if idx:
+                cols["pre"].extend(idx)
+                for name, src in (("size", parsed.size), ("parent", parsed.parent), ("depth", parsed.depth),
+                                  ("height", parsed.height), ("node_type", parsed.node_type),
+                                  ("lineno", parsed.lineno), ("term_hash", th), ("pos", parsed.pos),
+                                  ("first_term_hash", parsed.first_term_hash)):
+                    if name in cols:
+                        cols[name].extend([src[i] for i in idx])
+                if "term" in cols:
+                    cols["term"].extend([parsed.term_text[i] for i in idx] if with_text else [None] * len(idx))
+            dl.append(sum(len(v) for v in by_term.values()))
+            for h, positions in by_term.items():
+                p_hash.append(h)
+                p_tf.append(len(positions))
+                p_pos.extend(positions)
+                p_pos_offsets.append(len(p_pos))
+        node_offsets.append(len(cols["pre"]))
+        post_offsets.append(len(p_hash))
+    node_values = pa.StructArray.from_arrays(
+        [pa.array(cols[f.name], type=f.type) for f in node_arrow], fields=list(node_arrow))
+    positions = pa.ListArray.from_arrays(pa.array(p_pos_offsets, pa.int32()), pa.array(p_pos, pa.int32()))
+    post_values = pa.StructArray.from_arrays(
+        [pa.array(p_hash, pa.int64()), pa.array(p_tf, pa.int32()), positions],
+        fields=list(_POSTING_ARROW))
+    arrays = list(batch.columns) + [
+        pa.array(valid, pa.bool_()), pa.array(reason, pa.string()), pa.array(n_nodes, pa.int32()),
+        pa.array(dl, pa.int32()),
+        pa.ListArray.from_arrays(pa.array(node_offsets, pa.int32()), node_values),
+        pa.ListArray.from_arrays(pa.array(post_offsets, pa.int32()), post_values),
+    ]
+    names = list(batch.schema.names) + ["valid", "reason", "n_nodes", "dl", "nodes", "postings"]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 SPREAD_MAX_BYTES = 8 << 30
@@ -175,7 +195,7 @@ def parse_code(df: DataFrame, text_col: str = "content", options: TokenizerOptio
         fields = [T.StructField("nodes", T.ArrayType(node_t)) if f.name == "nodes" else f for f in fields]
     out_schema = T.StructType(list(df.schema.fields) + fields)
     fn = partial(_parse_batches, text_col=text_col, opts=options, keep=keep_nodes,
-                 with_text=with_text, lstrip=lstrip)
+                 with_text=with_text, lstrip=lstrip, slice_bytes=OUTPUT_SLICE_BYTES)
     ship_package(df.sparkSession)
     return spread(df, id_col).mapInArrow(fn, out_schema)
 

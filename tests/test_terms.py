@@ -73,3 +73,13 @@ def test_spread_small_inputs_only(spark, monkeypatch):
     assert TK.spread(d, "snippet_id").rdd.getNumPartitions() == want
     monkeypatch.setattr(TK, "SPREAD_MAX_BYTES", 1)  # pretend the input is large: keep its splits
     assert TK.spread(d, "snippet_id").rdd.getNumPartitions() == 1
+
+
+def test_output_slices_by_text_size(spark, monkeypatch):
+    """Output batches are cut by source bytes; results do not depend on the cut."""
+    monkeypatch.setattr(TK, "OUTPUT_SLICE_BYTES", 40)
+    a = sorted(tuple(r) for r in TK.parse_code(_docs(spark), keep_nodes="none").select("snippet_id", "valid", "dl", "n_nodes").collect())
+    assert [list(TK._slices(["aaaa", None, "bb", "c" * 50, "d"], 5))] == [[(0, 3), (3, 4), (4, 5)]]
+    monkeypatch.setattr(TK, "OUTPUT_SLICE_BYTES", 8 << 20)
+    b = sorted(tuple(r) for r in TK.parse_code(_docs(spark), keep_nodes="none").select("snippet_id", "valid", "dl", "n_nodes").collect())
+    assert a == b and len(a) == 8
