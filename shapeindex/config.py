@@ -66,7 +66,12 @@ DEFAULT_OPTIONS = TokenizerOptions()
 
 @dataclass(frozen=True)
 class HtmlRules:
-    """Selectors for section extraction (class tests are substring tests on the class attribute)."""
+    """Selectors for section extraction (class tests are substring tests on the class attribute).
+
+    FIXED values: the defaults are the documentation markup the crawl reads (toc items of class
+    ``toctree-l1``; ``div`` sections of class ``section``; headers ``h1``-``h3`` with
+    ``headerlink`` anchors; code blocks of class ``highlight-python3``; definitions in ``dl``).
+    """
 
     name: str = "library"
     toc_container: str | None = None  # tag that must enclose toc links (None: any <ul>)
