@@ -1,6 +1,7 @@
 """Index lifecycle: create/open errors, bulk add, upsert golden, length, iteration, budget."""
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from shapeindex.operators import index as I
 from shapeindex.operators import search as S
@@ -149,3 +150,22 @@ def test_compact_keeps_answers(spark):
     assert sorted(tuple(r) for r in I.iter_documents(c).collect()) == docs_before
     assert sorted((r.query_id, r.snippet_id, r.score, r.url) for r in S.search(c, qs)[0].collect()) == before
     assert c.stats_row() == idx.stats_row()
+
+
+def test_hot_term_postings_are_split_across_files(spark):
+    """A term in two thirds of all snippets is written by several tasks (range partitioning on
+    (bucket, term, snippet)), not by one."""
+    rows = [(i, "t", f"u{i}", "x = a.f()" if i % 3 else f"y{i} = b.g{i}()") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "snippet_id long, title string, url string, content string")
+    idx = I.create_index(spark, scratch_path(spark, "hot"), term_buckets=4, doc_buckets=4)
+    # AQE would (rightly) merge these tiny partitions into one; at scale they stay apart
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        I.add_documents(idx, docs)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    post = idx.postings().withColumn("file", F.input_file_name())
+    hot = post.groupBy("term_hash").count().orderBy(F.desc("count")).first()
+    assert hot["count"] == 2000
+    files = post.where(F.col("term_hash") == hot["term_hash"]).select("file").distinct().count()
+    assert files > 1
