@@ -83,3 +83,13 @@ def test_output_slices_by_text_size(spark, monkeypatch):
     monkeypatch.setattr(TK, "OUTPUT_SLICE_BYTES", 8 << 20)
     b = sorted(tuple(r) for r in TK.parse_code(_docs(spark), keep_nodes="none").select("snippet_id", "valid", "dl", "n_nodes").collect())
     assert a == b and len(a) == 8
+
+
+def test_bad_rows_never_fail_the_job(spark):
+    bad = [(1, "x = 1\x00"), (2, "(" * 300 + ")" * 300), (3, "a" + ".b" * 20000), (4, "-" * 20000 + "1"),
+           (5, None), (6, "y = a.f()")]
+    rows = {r.snippet_id: r for r in TK.parse_status(
+        TK.parse_code(spark.createDataFrame(bad, "snippet_id long, content string"), keep_nodes="none")).collect()}
+    assert rows[6].valid and rows[6].n_nodes > 1
+    for i in range(1, 6):
+        assert not rows[i].valid and rows[i].reason
