@@ -274,3 +274,15 @@ SELECT CAST(count(*) AS BIGINT) AS n_terms, round(quantile_cont(df, 0.5), 6) AS
 SQL["pages_toc_links_jvm"] = SQL["pages_toc_links"]
 
 SQL["stream_events_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
+
+SQL["pages_item_feeds"] = f"""WITH {ARTICLE}
+SELECT CASE WHEN contains(url, '/en/') THEN 0 ELSE 1 END AS feed, url,
+       CAST(len(pieces) - 1 AS INTEGER) AS n_snippets
+FROM b WHERE art <> ''"""
+
+SQL["pages_explode_items"] = f"""WITH {ARTICLE},
+ex AS (SELECT url, unnest(pieces[2:]) AS piece, unnest(range(0, len(pieces) - 1)) AS ord FROM b WHERE art <> '')
+SELECT url, CAST(ord AS INTEGER) AS ord,
+       CAST(length({UNESCAPE.format(x="regexp_replace(split_part(piece, '</p>', 1), '<[^>]*>', '', 'g')")}) AS INTEGER)
+         AS text_len
+FROM ex"""

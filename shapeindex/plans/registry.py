@@ -277,6 +277,28 @@ def _norm_url(c):
     return F.regexp_replace(c, r"[?#].*$", "")
 
 
+def _page_items(spark, sf_dir):
+    s = H.extract_sections(table(spark, sf_dir, "pages"), ARTICLE_RULES, key_cols=("page_id",), validate=False)
+    return s.select("page_id", "title", "url", F.col("snippets_raw").alias("code_snippets"))
+
+
+def q_pages_item_feeds(spark, sf_dir):
+    """SRC5: items written as two JSON feeds (English pages first, then the others) and read
+    back as one bag union: (feed, url, n_snippets)."""
+    from ..sources.items import read_items, write_items
+    items = _page_items(spark, sf_dir)
+    first, second = scratch_path(spark, "feed-en"), scratch_path(spark, "feed-other")
+    write_items(items.where(F.col("url").contains("/en/")), first)
+    write_items(items.where(~F.col("url").contains("/en/")), second)
+    return read_items(spark, first, second).select("feed", "url", F.size("code_snippets").alias("n_snippets"))
+
+
+def q_pages_explode_items(spark, sf_dir):
+    """EXT12: one document per snippet of an item, title and url repeated: (url, ord, text_len)."""
+    docs = I.explode_items(_page_items(spark, sf_dir).withColumn("item_ord", F.col("page_id")))
+    return docs.select("url", F.col("ord").cast("int").alias("ord"), F.length("content").alias("text_len"))
+
+
 def q_pages_dedup_url(spark, sf_dir):
     s = H.extract_sections(table(spark, sf_dir, "pages"), ARTICLE_RULES, key_cols=("page_id",), validate=False)
     items = s.select("page_id", _norm_url(F.col("url")).alias("url"), F.col("snippets_raw").alias("code_snippets"))
@@ -363,6 +385,8 @@ QUERIES = {
     "pages_toc_links_jvm": q_pages_toc_links_jvm,
     "pages_sections": q_pages_sections,
     "pages_dedup_url": q_pages_dedup_url,
+    "pages_item_feeds": q_pages_item_feeds,
+    "pages_explode_items": q_pages_explode_items,
     "stream_dedup_urls": q_stream_dedup_urls,
     "stream_events_dedup": q_stream_events_dedup,
     "stream_index_stats": q_stream_index_stats,
