@@ -135,10 +135,16 @@ def analyze(source: str, opts: TokenizerOptions, with_text: bool = False) -> Par
                 if with_text:
                     term_text[i] = text
     else:
+        # only nodes at or below a term need a digest (a term's hash covers its whole subtree)
+        in_term = [False] * n
+        for i in range(n):
+            in_term[i] = is_term[i] or (i > 0 and in_term[parent[i]])
         digests: dict = {}
         seed = _SEED
         digest = xxhash.xxh64_digest
         for i in range(n - 1, -1, -1):
+            if not in_term[i]:
+                continue
             node = order[i]
             key = id(node)
             dg = digests.get(key)
