@@ -141,6 +141,8 @@ class Index:
         return self._read(self.meta["stats"], STATS_SCHEMA)
 
     def stats_row(self) -> tuple[int, int]:
+        if "n_docs" in self.meta:  # recorded at commit time
+            return int(self.meta["n_docs"]), int(self.meta["total_len"])
         r = self.stats().first()
         return (int(r["n_docs"]), int(r["total_len"])) if r else (0, 0)
 
@@ -237,6 +239,7 @@ def _commit(idx: Index, meta: dict, new_segment: str | None, new_tombstones: Dat
                 (-F.count(F.lit(1))).cast("long").alias("df"), F.lit(None).cast("int").alias("max_tf"),
                 F.lit(None).cast("int").alias("min_dl")))
         meta["tombstones"] = tname
+    meta["n_docs"], meta["total_len"] = n_docs, total_len
     stats = spark.createDataFrame([(n_docs, total_len)], "n_docs long, total_len long")
     sname, tname_terms = _fresh("stats", v), _fresh("terms", v)
     stats.coalesce(1).write.parquet(idx._p(sname))
