@@ -47,6 +47,9 @@ def test_search_prunes_buckets_and_limits_early(spark):
     assert re.search(r"PartitionFilters: \[[^\n]*term_bucket#\d+ IN(SET)? ", p)
     assert p.count("WindowGroupLimit") >= 2  # partial (before the shuffle) and final
     assert "BroadcastExchange" in p
+    # column pruning: scoring never reads positions or document text
+    schemas = re.findall(r"ReadSchema: (struct<[^\n]*>)", p)
+    assert schemas and not any("positions" in x or "content" in x for x in schemas)
 
 
 def test_first_wins_dedup_limits_before_shuffle(plans):
