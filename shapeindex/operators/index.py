@@ -329,20 +329,49 @@ def _pow2_at_least(x: float) -> int:
     return n
 
 
+def _size_estimate(df: DataFrame) -> int:
+    """The optimizer's size estimate in bytes (no job); 0 when unknown."""
+    try:
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no JVM view of the plan
+        return 0
+    return 0 if est >= (1 << 63) - 1 else est  # Long.MaxValue: no estimate (e.g. local Python data)
+
+
 def choose_buckets(docs: DataFrame) -> tuple[int, int]:
     """(term_buckets, doc_buckets) for about ``BUCKET_BYTES`` per bucket of this input, from
     the optimizer's size estimate (no job is run)."""
-    try:
-        est = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no JVM view of the plan: keep the minimum layout
-        est = 0
-    if est >= (1 << 63) - 1:  # Long.MaxValue: no estimate (e.g. local Python data)
-        est = 0
-    n = _pow2_at_least(est / BUCKET_BYTES)
+    n = _pow2_at_least(_size_estimate(docs) / BUCKET_BYTES)
     return min(max(64, n), 1 << 16), min(max(16, n), 1 << 16)
 
 
-def _build_segment(idx: Index, docs: DataFrame, seq: int) -> tuple[str, int, int]:
+DEDUPE_MIN_RATIO = 0.05  # estimated share of duplicate texts from which parsing distinct texts pays
+DEDUPE_MIN_BYTES = 1 << 30  # below this input size the estimate itself is not worth a job
+
+
+def _parse_once_per_text(docs: DataFrame, options: TokenizerOptions, dedupe: bool | None) -> DataFrame:
+    """The parse pass over ``docs``, run once per distinct text when duplicates are common.
+
+    Parsing costs far more CPU per byte than shuffling the same bytes, so with ``dedupe=None``
+    one aggregate estimates the duplicate share (HyperLogLog on a content hash); from
+    ``DEDUPE_MIN_RATIO`` on (inputs from ``DEDUPE_MIN_BYTES``), distinct texts are parsed and the results joined back on a 96-bit
+    key (two hashes and the length). A text repeated millions of times (empty files) is a skewed
+    join key that AQE's skew join splits.
+    """
+    key = [F.xxhash64("content").alias("_h1"), F.hash("content").alias("_h2"),
+           F.coalesce(F.length("content"), F.lit(-1)).alias("_len")]
+    if dedupe is None and _size_estimate(docs) >= DEDUPE_MIN_BYTES:  # small inputs parse fast anyway
+        r = docs.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("content")).alias("d")).first()
+        dedupe = r["n"] > 0 and 1 - r["d"] / r["n"] >= DEDUPE_MIN_RATIO
+    if not dedupe:
+        return tok.parse_code(docs, options=options, keep_nodes="index")
+    keyed = docs.select("*", *key)
+    texts = keyed.select("_h1", "_h2", "_len", "content").dropDuplicates(["_h1", "_h2", "_len"])
+    parsed = tok.parse_code(texts, options=options, keep_nodes="index", id_col="_h1").drop("content")
+    return keyed.join(parsed, ["_h1", "_h2", "_len"]).drop("_h1", "_h2", "_len")
+
+
+def _build_segment(idx: Index, docs: DataFrame, seq: int, dedupe: bool | None = None) -> tuple[str, int, int]:
     """Tokenize ``docs`` and write them as a new segment; returns (segment, accepted, rejected)."""
     docs = _with_defaults(docs, seq)
     if idx.meta.get("term_buckets") is None or idx.meta.get("doc_buckets") is None:
@@ -352,7 +381,7 @@ def _build_segment(idx: Index, docs: DataFrame, seq: int) -> tuple[str, int, int
     seg = _fresh("seg", idx.version + 1)
     if idx.kind == "structural":
         # one Python pass feeds three outputs; keep its result instead of re-parsing
-        parsed = tok.parse_code(docs, options=idx.options, keep_nodes="index").persist(StorageLevel.MEMORY_AND_DISK)
+        parsed = _parse_once_per_text(docs, idx.options, dedupe).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             counts = parsed.agg(F.count_if("valid").alias("a"), F.count_if(~F.col("valid")).alias("r")).first()
             ok = parsed.where("valid")
@@ -377,13 +406,15 @@ def _build_segment(idx: Index, docs: DataFrame, seq: int) -> tuple[str, int, int
     return seg, accepted, 0
 
 
-def add_documents(idx: Index, docs: DataFrame, batch_seq: int | None = None) -> tuple[int, int]:
+def add_documents(idx: Index, docs: DataFrame, batch_seq: int | None = None,
+                  dedupe: bool | None = None) -> tuple[int, int]:
     """IDX4 (bulk): invalid documents are not added; returns (accepted, rejected).
 
     ``docs`` has ``title, url, content`` and optionally ``snippet_id, batch_seq, ord``.
+    ``dedupe``: parse each distinct text once (None: decide from the estimated duplicate share).
     """
     seq = idx.meta.get("next_batch_seq", 0) if batch_seq is None else batch_seq
-    seg, accepted, rejected = _build_segment(idx, docs, seq)
+    seg, accepted, rejected = _build_segment(idx, docs, seq, dedupe)
     meta = dict(idx.meta, next_batch_seq=max(seq + 1, idx.meta.get("next_batch_seq", 0)))
     _commit(idx, meta, new_segment=seg, new_tombstones=None)
     return accepted, rejected

@@ -169,3 +169,29 @@ def test_hot_term_postings_are_split_across_files(spark):
     assert hot["count"] == 2000
     files = post.where(F.col("term_hash") == hot["term_hash"]).select("file").distinct().count()
     assert files > 1
+
+
+def test_parse_once_per_text_gives_the_same_index(spark):
+    """Duplicated texts (here 3 distinct among 90) index identically with and without dedupe."""
+    texts = ["x = a.f()\ny = b.g(1)\n", "def f(a):\n    return a.b.c()\n", "def (:\n"]
+    rows = [(i, "t", f"u{i}", texts[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "snippet_id long, title string, url string, content string")
+    out = {}
+    for mode in (False, True, None):
+        idx = I.create_index(spark, scratch_path(spark, f"dedupe-{mode}"))
+        counts = I.add_documents(idx, docs, dedupe=mode)
+        out[mode] = (counts, idx.stats_row(),
+                     sorted(tuple(r) for r in idx.postings().select("term_hash", "snippet_id", "tf", "dl", "positions").collect()),
+                     sorted(tuple(r) for r in idx.nodes().select("snippet_id", "pre", "size", "lineno", "term_hash", "first_term_hash").collect()))
+    assert out[False] == out[True] == out[None]
+    assert out[True][0] == (60, 30)
+
+
+def test_dedupe_estimate_on_large_inputs(spark, monkeypatch):
+    """Auto mode estimates the duplicate share only for large inputs; the result is the same."""
+    monkeypatch.setattr(I, "DEDUPE_MIN_BYTES", 0)
+    rows = [(i, "t", f"u{i}", "x = a.f()\n" if i % 2 else "def f(a):\n    return a.b.c()\n") for i in range(40)]
+    docs = spark.createDataFrame(rows, "snippet_id long, title string, url string, content string")
+    a = I.create_index(spark, scratch_path(spark, "est"))
+    assert I.add_documents(a, docs) == (40, 0)
+    assert a.stats_row() == (40, 20 * 1 + 20 * 3)
