@@ -63,7 +63,7 @@ class Parsed:
     """Flat preorder arrays of one parsed text."""
 
     __slots__ = ("node_type", "depth", "parent", "size", "height", "lineno", "term_hash", "pos",
-                 "first_term_hash", "term_text")
+                 "first_term_hash", "term_text", "n_terms")
 
     def __len__(self):
         return len(self.node_type)
@@ -86,8 +86,10 @@ def _type_info(cls, drop):
     return info
 
 
-def analyze(source: str, opts: TokenizerOptions, with_text: bool = False) -> Parsed:
-    """Parse ``source`` and return its nodes in preorder with term hashes. Raises PARSE_ERRORS."""
+def analyze(source: str, opts: TokenizerOptions, with_text: bool = False, hashes: bool = True) -> Parsed:
+    """Parse ``source`` and return its nodes in preorder with term hashes. Raises PARSE_ERRORS.
+
+    ``hashes=False`` skips hashing (term positions and counts only), for status-only callers."""
     tree = ast.parse(source)
     drop = frozenset(opts.drop_field_names) if opts.annotate_fields else frozenset()
     order, depth, parent, values_of, infos = [], [], [], [], []
@@ -127,7 +129,9 @@ def analyze(source: str, opts: TokenizerOptions, with_text: bool = False) -> Par
 
     term_hash = [None] * n
     term_text = [None] * n if with_text else None
-    if opts.uses_text_hash:
+    if not hashes:
+        pass
+    elif opts.uses_text_hash:
         for i in range(n):
             if is_term[i]:
                 text = dump_text(order[i], opts)
@@ -187,6 +191,7 @@ def analyze(source: str, opts: TokenizerOptions, with_text: bool = False) -> Par
     out.pos = pos
     out.first_term_hash = first
     out.term_text = term_text
+    out.n_terms = k
     return out
 
 

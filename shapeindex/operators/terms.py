@@ -75,14 +75,15 @@ def _slices(texts: list, limit: int):
 
 
 def _parse_batches(batches, text_col: str, opts: TokenizerOptions, keep: str, with_text: bool,
-                   lstrip: bool, slice_bytes: int = OUTPUT_SLICE_BYTES):
+                   lstrip: bool, slice_bytes: int = OUTPUT_SLICE_BYTES, hashes: bool = True):
     for whole in batches:
         all_texts = whole.column(text_col).to_pylist()
         for lo, hi in _slices(all_texts, slice_bytes):
-            yield _parse_slice(whole.slice(lo, hi - lo), all_texts[lo:hi], opts, keep, with_text, lstrip)
+            yield _parse_slice(whole.slice(lo, hi - lo), all_texts[lo:hi], opts, keep, with_text, lstrip, hashes)
 
 
-def _parse_slice(batch, texts: list, opts: TokenizerOptions, keep: str, with_text: bool, lstrip: bool):
+def _parse_slice(batch, texts: list, opts: TokenizerOptions, keep: str, with_text: bool, lstrip: bool,
+                 hashes: bool = True):
     valid, reason, n_nodes, dl = [], [], [], []
     node_arrow = _INDEX_NODE_ARROW if keep == "index" else _NODE_ARROW
     cols = {f: [] for f in node_arrow.names}
@@ -96,7 +97,7 @@ def _parse_slice(batch, texts: list, opts: TokenizerOptions, keep: str, with_tex
             if lstrip:
                 text = text.lstrip()
             try:
-                parsed = pyast.analyze(text, opts, with_text=with_text)
+                parsed = pyast.analyze(text, opts, with_text=with_text, hashes=hashes)
             except pyast.PARSE_ERRORS as e:  # one bad row must not fail the job
                 valid.append(False)
                 reason.append(f"{type(e).__name__}: {e}"[:500])
@@ -129,7 +130,7 @@ def _parse_slice(batch, texts: list, opts: TokenizerOptions, keep: str, with_tex
                         cols[name].extend([src[i] for i in idx])
                 if "term" in cols:
                     cols["term"].extend([parsed.term_text[i] for i in idx] if with_text else [None] * len(idx))
-            dl.append(sum(len(v) for v in by_term.values()))
+            dl.append(parsed.n_terms)
             for h, positions in by_term.items():
                 p_hash.append(h)
                 p_tf.append(len(positions))
@@ -180,22 +181,24 @@ def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
 
 def parse_code(df: DataFrame, text_col: str = "content", options: TokenizerOptions = DEFAULT_OPTIONS,
                keep_nodes: str = "all", with_text: bool = False, lstrip: bool = False,
-               id_col: str | None = "snippet_id") -> DataFrame:
+               id_col: str | None = "snippet_id", hashes: bool = True) -> DataFrame:
     """TOK1-TOK9, TOK11: parse every text once, keep all input columns, append
     ``valid, reason, n_nodes, dl, nodes, postings``.
 
     ``keep_nodes`` chooses the node records kept in ``nodes``: ``all``; ``index`` (the nodes line
     matching needs, see ``_line_nodes``); ``terms``; ``none``.
-    ``lstrip`` strips leading whitespace first (query preparation, QRY1).
+    ``lstrip`` strips leading whitespace first (query preparation, QRY1). ``hashes=False`` skips
+    term hashing (status columns only: ``postings`` stays empty, hashes are null).
     """
     assert keep_nodes in NODE_KEEP
+    assert hashes or keep_nodes in ("all", "none"), "term and index nodes need hashes"
     fields = list(PARSE_FIELDS)
     if keep_nodes == "index":  # only what line matching (QRY7) reads
         node_t = T.StructType([f for f in NODE.fields if f.name in _INDEX_FIELDS])
         fields = [T.StructField("nodes", T.ArrayType(node_t)) if f.name == "nodes" else f for f in fields]
     out_schema = T.StructType(list(df.schema.fields) + fields)
     fn = partial(_parse_batches, text_col=text_col, opts=options, keep=keep_nodes,
-                 with_text=with_text, lstrip=lstrip, slice_bytes=OUTPUT_SLICE_BYTES)
+                 with_text=with_text, lstrip=lstrip, slice_bytes=OUTPUT_SLICE_BYTES, hashes=hashes)
     ship_package(df.sparkSession)
     return spread(df, id_col).mapInArrow(fn, out_schema)
 

@@ -53,7 +53,7 @@ def _index(spark: SparkSession, sf_dir: str, kind: str) -> I.Index:
 
 def q_code_parse_status(spark, sf_dir):
     c = code_corpus(spark, sf_dir).select("snippet_id", "content")
-    return TK.parse_code(c, keep_nodes="none").select("snippet_id", "valid", "n_nodes", "dl")
+    return TK.parse_code(c, keep_nodes="none", hashes=False).select("snippet_id", "valid", "n_nodes", "dl")
 
 
 def q_code_term_roots(spark, sf_dir):
@@ -117,7 +117,7 @@ def q_code_search_json(spark, sf_dir):
 
 def q_code_ingest_report(spark, sf_dir):
     c = code_corpus(spark, sf_dir).select("snippet_id", "repo", "content")
-    return ST.ingest_report(TK.parse_code(c, keep_nodes="none"))
+    return ST.ingest_report(TK.parse_code(c, keep_nodes="none", hashes=False))
 
 
 def q_code_corpus_meta(spark, sf_dir):

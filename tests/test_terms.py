@@ -93,3 +93,9 @@ def test_bad_rows_never_fail_the_job(spark):
     assert rows[6].valid and rows[6].n_nodes > 1
     for i in range(1, 6):
         assert not rows[i].valid and rows[i].reason
+
+
+def test_status_without_hashes_matches(spark):
+    full = TK.parse_code(_docs(spark), keep_nodes="none").select("snippet_id", "valid", "n_nodes", "dl")
+    fast = TK.parse_code(_docs(spark), keep_nodes="none", hashes=False).select("snippet_id", "valid", "n_nodes", "dl")
+    assert sorted(full.collect()) == sorted(fast.collect())
