@@ -112,13 +112,15 @@ def resolve_url(base: Column, href: Column) -> Column:
 
 
 # FIXED values: the HTML character references undone by the JVM-only link extraction
-SIMPLE_ENTITIES = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&amp;", "&"))
+SIMPLE_ENTITIES = (("&quot", '"'), ("&lt", "<"), ("&gt", ">"), ("&amp", "&"))
 
 
 def unescape_simple(c: Column) -> Column:
-    """Undo the common character references (``&amp;`` last, so it is not undone twice)."""
+    """Undo the common character references, with or without the closing semicolon (the
+    legacy HTML5 rule a parser applies), ``&#39;`` too; ``&amp`` last so nothing is undone twice."""
+    c = F.replace(c, F.lit("&#39;"), F.lit("'"))
     for ent, ch in SIMPLE_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
+        c = F.replace(F.replace(c, F.lit(ent + ";"), F.lit(ch)), F.lit(ent), F.lit(ch))
     return c
 
 

@@ -198,8 +198,20 @@ SELECT p_name || '#' || p_partkey AS name, CAST(p_size AS BIGINT) AS stars,
 FROM part WHERE p_type = 'ECONOMY' AND p_size > 1 AND CAST(floor(p_retailprice * 11) AS BIGINT) > 10000
 ORDER BY stars DESC, name LIMIT 10"""
 
-UNESCAPE = ("replace(replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), "
-            "'&copy;', '©'), '&middot;', '·'), '&amp;', '&')")
+# HTML character references as a parser decodes them: with and (legacy HTML5 rule) without the
+# semicolon; "&amp" last so that nothing is decoded twice
+_ENTITIES = [("&quot", '"'), ("&lt", "<"), ("&gt", ">"), ("&copy", "©"), ("&middot", "·"), ("&amp", "&")]
+
+
+def _unescape_sql() -> str:
+    expr = "{x}"
+    for ent, ch in _ENTITIES:
+        lit = ch.replace("'", "''")
+        expr = f"replace(replace({expr}, '{ent};', '{lit}'), '{ent}', '{lit}')"
+    return expr
+
+
+UNESCAPE = _unescape_sql()
 
 SQL["pages_toc_links"] = f"""WITH nav AS (
   SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS hs
