@@ -93,3 +93,11 @@ def test_regex_links_equal_parser_links(spark):
     a = sorted(tuple(r) for r in H.toc_links(pages, ARTICLE_RULES, key_cols=("page_id",)).select("page_id", "ord", "link").collect())
     b = sorted(tuple(r) for r in H.toc_links_regex(pages, "nav", key_cols=("page_id",)).select("page_id", "ord", "link").collect())
     assert a == b and len(a) > 0
+
+
+def test_unescape_simple_matches_python(spark):
+    import html as pyhtml
+    samples = ["a&amp;b", "a&ampb", "x&lt;y&gt;z", "x&lty", "&quot;q&quot", "it&#39;s", "&amp;lt;", "plain"]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    got = [r.u for r in df.select(H.unescape_simple(F.col("s")).alias("u")).collect()]
+    assert got == [pyhtml.unescape(s) for s in samples]
