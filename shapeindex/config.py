@@ -55,11 +55,6 @@ class TokenizerOptions:
         """
         return self.max_depth is not None or bool(self.drop_field_values) or self.include_attributes
 
-    def fingerprint(self) -> str:
-        return repr((self.annotate_fields, self.include_attributes, sorted(self.drop_field_names),
-                     sorted(self.drop_field_values), sorted(self.drop_node_names), self.min_depth,
-                     self.max_depth))
-
 
 DEFAULT_OPTIONS = TokenizerOptions()
 
