@@ -185,7 +185,7 @@ def crawl_edges(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None
         ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select("src", "dst").distinct()
     frontier = seeds.select(F.col("url")).distinct().withColumn("depth", F.lit(0))
-    visited = frontier.checkpoint() if checkpoint else frontier
+    visited = frontier  # seeds are a cheap read; every level below is checkpointed
     level = 0
     while max_depth is None or level < max_depth:
         nxt = (frontier.join(e, frontier["url"] == e["src"]).select(F.col("dst").alias("url")).distinct()
