@@ -94,21 +94,42 @@ def extract_sections(pages: DataFrame, rules: HtmlRules = LIBRARY_RULES, key_col
 
 # --------------------------------------------------------------------------- column operators
 
+DOT_SEGMENT_LEVELS = 16  # "x/.." pairs removed per path (deeper nesting is left as written)
+
+
+def _remove_dot_segments(path: Column) -> Column:
+    """RFC 3986 dot-segment removal for a path starting with ``/``, as column expressions."""
+    p = F.regexp_replace(path, r"/\.(?=/)", "")  # "/./" -> "/"
+    p = F.regexp_replace(p, r"/\.$", "/")  # trailing "/." -> "/"
+    pair = r"/(?!\.\.(?:/|$))[^/]+/\.\.(?=/|$)"  # "seg/.." with seg not ".."
+    for _ in range(DOT_SEGMENT_LEVELS):
+        p = F.regexp_replace(p, pair, "")
+    p = F.regexp_replace(p, r"^(?:/\.\.)+(?=/|$)", "")  # ".." above the root
+    return F.when(p == "", F.lit("/")).otherwise(p)
+
+
 def resolve_url(base: Column, href: Column) -> Column:
-    """EXT2 as a column expression for absolute, ``//host``, ``/path``, ``?query``, ``#frag``,
-    relative and missing hrefs (``../`` segments are kept as written; the pass uses urljoin)."""
+    """EXT2 as a column expression: absolute, ``//host``, ``/path``, ``?query``, ``#frag``,
+    relative and missing hrefs, with dot segments removed (as ``urljoin`` does)."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     no_frag = F.regexp_replace(base, "#.*$", "")
     no_query = F.regexp_replace(no_frag, r"\?.*$", "")
-    directory = F.regexp_replace(no_query, "[^/]*$", "")
+    base_path = F.regexp_extract(no_query, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?", 1)
+    directory = F.regexp_replace(F.when(base_path == "", F.lit("/")).otherwise(base_path), "[^/]*$", "")
+
+    def with_path(rel: Column) -> Column:  # rel: path[?query][#fragment]
+        path = F.regexp_extract(rel, r"^([^?#]*)", 1)
+        rest = F.regexp_extract(rel, r"^[^?#]*(.*)$", 1)
+        return F.concat(origin, _remove_dot_segments(path), rest)
+
     return (F.when(href.isNull() | (href == ""), base)
             .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
             .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(origin, href))
+            .when(href.startswith("/"), with_path(href))
             .when(href.startswith("#"), F.concat(no_frag, href))
             .when(href.startswith("?"), F.concat(no_query, href))
-            .otherwise(F.concat(directory, href)))
+            .otherwise(with_path(F.concat(directory, href))))
 
 
 # FIXED values: the HTML character references undone by the JVM-only link extraction

@@ -58,7 +58,10 @@ def test_dedup_first_wins_after_drop_empty(spark):
 
 def test_resolve_url_matches_urljoin(spark):
     cases = [("http://h.org/a/b.html?x=1#f", h) for h in
-             ["/p", "#frag", "c.html", "?q=2", "//other.net/x", "https://z.com/y", None, ""]]
+             ["/p", "#frag", "c.html", "?q=2", "//other.net/x", "https://z.com/y", None, "",
+              "../c.html", "./c.html", "../../../x", "d/../e", "d/./e/", ".", "..", "/a/b/../c?q#f",
+              "../d/../e/./f#g", "x/y/z/../../w"]]
+    cases += [("http://h.org", "x.html"), ("http://h.org/dir/", "../up.html"), ("https://h.org/a/b/c/d.html", "../../e")]
     df = spark.createDataFrame(cases, "base string, href string")
     got = [r.u for r in df.select(H.resolve_url(F.col("base"), F.col("href")).alias("u")).collect()]
     assert got == [urljoin(b, h) if h else b for b, h in cases]
