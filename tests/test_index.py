@@ -195,3 +195,21 @@ def test_dedupe_estimate_on_large_inputs(spark, monkeypatch):
     a = I.create_index(spark, scratch_path(spark, "est"))
     assert I.add_documents(a, docs) == (40, 0)
     assert a.stats_row() == (40, 20 * 1 + 20 * 3)
+
+
+def test_compact_words_index(spark):
+    path = scratch_path(spark, "wcompact")
+    idx = I.create_index(spark, path, kind="words")
+    for i in range(3):
+        I.add_items(idx, spark.createDataFrame([("t", f"u{i}", [f"alpha beta w{i}"], 0)],
+                                               "title string, url string, code_snippets array<string>, item_ord long"))
+    I.update_items(idx, spark.createDataFrame([("t", "u1", ["gamma beta"], 0)],
+                                              "title string, url string, code_snippets array<string>, item_ord long"))
+    idx = I.open_index(spark, path)
+    qs = spark.createDataFrame([(0, "beta"), (1, "w1"), (2, "gamma")], "query_id long, code string")
+    before = sorted((r.query_id, r.snippet_id, r.score) for r in S.search(idx, qs, decorate_hits=False)[0].collect())
+    I.compact_index(idx)
+    c = I.open_index(spark, path)
+    after = sorted((r.query_id, r.snippet_id, r.score) for r in S.search(c, qs, decorate_hits=False)[0].collect())
+    assert after == before and len(c.meta["segments"]) == 1
+    assert {q for q, _, _ in after} == {0, 2}  # "w1" was replaced
