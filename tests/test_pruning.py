@@ -57,3 +57,16 @@ def test_code_pruned_equals_exhaustive(spark):
     for limit in (1, 100):
         got = _key(S.search(idx, qs, SearchOptions(prune=True, prune_df=limit), decorate_hits=False)[0])
         assert got == want
+
+
+def test_pruning_decides_a_rare_plus_common_query(spark):
+    """A specific term next to a ubiquitous one: the rare candidates alone settle the top-k."""
+    rows = [(i, "", "u", "common " + ("special " if i % 10 == 0 else "") + f"w{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "snippet_id long, title string, url string, content string")
+    idx = I.create_index(spark, scratch_path(spark, "prune-decide"), kind="words")
+    I.add_documents(idx, docs)
+    qs = spark.createDataFrame([(0, "common special")], "query_id long, code string")
+    want = _key(S.search(idx, qs, SearchOptions(prune=False), decorate_hits=False)[0])
+    got = _key(S.search(idx, qs, SearchOptions(prune=True, prune_df=30), decorate_hits=False)[0])
+    assert got == want and len(want) == 10
+    assert S.LAST_PRUNE["tried"] == 1 and S.LAST_PRUNE["decided"] == 1
