@@ -24,3 +24,33 @@ def prepare(df: DataFrame) -> SparkSession:
     ship_package(spark)
     return spark
 
+
+
+def with_columns_of_text(df: DataFrame, keep: list[str], make, fields: str, column: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``df``, untouched, and those that ``make()`` computes per task from a string column.
+
+    ``make()`` gives a function from a list of texts (null: the empty text) to one list per new column. ``fields`` is the
+    DDL of the new columns. Rows travel as Arrow batches: other columns keep their exact values and nulls.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    new = _parse_datatype_string(fields)
+    names = [f.name for f in new.fields]
+    clash = {c.lower() for c in keep} & {n.lower() for n in names}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} clash with the result's")
+    kept = df.select(*[F.col(f"`{c}`") for c in keep])
+    schema = type(new)([*kept.schema.fields, *new.fields])
+    types = list(to_arrow_schema(new).types)
+    all_names, k = [*keep, *names], len(keep)
+
+    def run(batches):
+        f = make()
+        for b in batches:
+            cols = f(["" if x is None else x for x in b.column(k).to_pylist()])
+            arrays = [pa.array(c, type=t) for c, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], *arrays], names=all_names)
+
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").cast("string").alias("_in")).mapInArrow(run, schema)

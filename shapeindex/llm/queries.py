@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from .sharding import OP1_SQL, op1_shard_interleave
 from .tokenizer import op10_bpe
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_shard_interleave": op1_shard_interleave,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 SQL = {"op1_shard_interleave": OP1_SQL}

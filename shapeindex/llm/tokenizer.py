@@ -17,11 +17,9 @@ import unicodedata
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, table, with_columns_of_text
 
 WORD_CACHE = 500_000  # words a worker remembers; then it starts anew (a cache only, results do not depend on it)
 DECODE_STEP = 1 << 18  # ids decoded at once
@@ -254,22 +252,15 @@ def _bpe(key: str, shipped) -> WordBpe:
     return _LOADED[key]
 
 
-def _run(df: DataFrame, path: str, keep: list[str], row, schema: str) -> DataFrame:
+def _run(df: DataFrame, path: str, keep: list[str], row, fields: str) -> DataFrame:
     spark = prepare(df)
-    shipped, key = spark.sparkContext.broadcast(load_spec(path)), path
+    shipped = spark.sparkContext.broadcast(load_spec(path))
 
-    def run(batches):
-        bpe = _bpe(key, shipped)
-        for b in batches:
-            rows = [row(bpe, "" if x is None else x) for x in b["_bpe_text"]]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.split(",")]
-            out = b.drop(columns="_bpe_text")
-            for name, values in zip((c.split()[0] for c in schema.split(",")), cols, strict=True):
-                out[name] = pd.Series(list(values), index=out.index, dtype=object if "long" not in schema.split(name)[1][:6] else "int64")
-            yield out
+    def make():
+        bpe = _bpe(path, shipped)
+        return lambda texts: list(zip(*[row(bpe, t) for t in texts], strict=True)) or [[] for _ in fields.split(", ")]
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
-    return df.select(*keep, F.col("text").alias("_bpe_text") if "text" in df.columns else F.lit(None).cast("string").alias("_bpe_text")).mapInPandas(run, f"{kept}, {schema}")
+    return with_columns_of_text(df, keep, make, fields)
 
 
 def _digest(bpe: WordBpe, text: str):
@@ -284,8 +275,6 @@ def encode_documents(df: DataFrame, path: str, keep: list[str] | None = None) ->
     """``df`` with ``ids`` (array of int), ``n_tokens`` and ``decoded`` for its column ``text``; null and empty texts
     have no tokens. Columns of ``keep`` (all, if None) stay; a clash of names with the three is an error."""
     keep = [c for c in df.columns if keep is None or c in keep]
-    if clash := {"ids", "n_tokens", "decoded", "_bpe_text"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} clash with the result's")
 
     def row(bpe: WordBpe, text: str):
         ids = np.frombuffer(bpe.encode(text), dtype="<u4")
