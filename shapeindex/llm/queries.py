@@ -1,13 +1,15 @@
 """Queries and SQL of this folder, by name."""
 from __future__ import annotations
 
+from .decontaminate import OP3_SQL, op3_decontaminate
 from .sharding import OP1_SQL, op1_shard_interleave
 from .tokenizer import op10_bpe
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_shard_interleave": op1_shard_interleave,
+    "op3_decontaminate": op3_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
-SQL = {"op1_shard_interleave": OP1_SQL}
+SQL = {"op1_shard_interleave": OP1_SQL, "op3_decontaminate": OP3_SQL}
