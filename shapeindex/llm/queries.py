@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .repeats import OP5_SQL, op5_substring_dedup
 from .sharding import OP1_SQL, op1_shard_interleave
 from .tokenizer import op10_bpe
 from .toxicity import op9_toxicity
@@ -9,7 +10,8 @@ from .toxicity import op9_toxicity
 QUERIES = {
     "op1_shard_interleave": op1_shard_interleave,
     "op3_decontaminate": op3_decontaminate,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
-SQL = {"op1_shard_interleave": OP1_SQL, "op3_decontaminate": OP3_SQL}
+SQL = {"op1_shard_interleave": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_substring_dedup": OP5_SQL}
