@@ -19,6 +19,8 @@ SPAN = 13
 SHARE = 20  # contaminated: at least one word in SHARE is hit
 #: Fingerprints of the benchmark are broadcast up to this many rows (16 bytes each), else both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Keys of contaminated rows (about 60 bytes each) are broadcast up to this many.
+BROADCAST_KEYS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: FIXED: what separates words (ASCII other than digits and lower-case letters).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -98,6 +100,18 @@ def hits(docs: DataFrame, key: list[str], windows: DataFrame, text: str = "text"
     return spans.select(*key, F.expr(merged).alias("n_hit"), "items")
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without its contaminated rows (see :func:`contamination`)."""
+    keyed = docs.select(doc_id, text).withColumn("_row", row_key(doc_id, text))
+    bad = stored(docs.sparkSession, contamination(keyed, items, doc_id, text).where("contaminated").select("_row").distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
+    return docs.withColumn("_row", row_key(doc_id, text)).join(bad, "_row", "left_anti").select(*docs.columns)
+
+
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, share: int = SHARE) -> DataFrame:
     """Per row of ``docs``: all its columns but the text, n_words, n_hit, n_items, items_sha256 (of the sorted item ids,
     comma-joined; of nothing without items) and contaminated.
@@ -108,7 +122,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """
     made = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated", text.lower()}
     keep = [c for c in docs.columns if c.lower() not in made]
-    d = docs.withColumn("_key", F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    d = docs.withColumn("_key", row_key(doc_id, text))
     windows = stored(docs.sparkSession, benchmark_windows(items, span=span), "windows")
     h = hits(d, ["_key"], windows, text, span)
     counts = d.select("_key", *keep, F.size(words(F.col(text))).cast("long").alias("n_words"))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .neardup import op4_minhash_near_dedup
 from .repeats import OP5_SQL, op5_substring_dedup
 from .sharding import OP1_SQL, op1_shard_interleave
 from .tokenizer import op10_bpe
@@ -10,6 +11,7 @@ from .toxicity import op9_toxicity
 QUERIES = {
     "op1_shard_interleave": op1_shard_interleave,
     "op3_decontaminate": op3_decontaminate,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
