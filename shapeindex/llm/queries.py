@@ -1,6 +1,7 @@
 """Queries and SQL of this folder, by name."""
 from __future__ import annotations
 
+from .bitsliced import OP2_SQL, op2_bitsliced_topk
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .neardup import op4_minhash_near_dedup
 from .repeats import OP5_SQL, op5_substring_dedup
@@ -10,10 +11,11 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_shard_interleave": op1_shard_interleave,
+    "op2_bitsliced_topk": op2_bitsliced_topk,
     "op3_decontaminate": op3_decontaminate,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
-SQL = {"op1_shard_interleave": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_substring_dedup": OP5_SQL}
+SQL = {"op2_bitsliced_topk": OP2_SQL, "op1_shard_interleave": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_substring_dedup": OP5_SQL}
