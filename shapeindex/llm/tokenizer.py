@@ -202,7 +202,8 @@ class WordBpe:
         self.words[word] = ids
         return ids
 
-    def _piece(self, text: str, out: list[bytes]) -> None:
+    def encode_ordinary(self, text: str, out: list[bytes]) -> None:
+        """Appends the ids of a text's words; special strings are text like any other."""
         if not text.isascii():
             # single characters are lowered one by one: no special final sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
@@ -215,13 +216,13 @@ class WordBpe:
         """Token ids of a text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         if self.cut is None or "<" not in text:
-            self._piece(text, out)
+            self.encode_ordinary(text, out)
         else:
             for n, part in enumerate(self.cut.split(text)):
                 if n % 2:
                     out.append(np.uint32(self.special[part]).tobytes())
                 elif part:
-                    self._piece(part, out)
+                    self.encode_ordinary(part, out)
         return b"".join(out)
 
     # decoding
