@@ -9,6 +9,7 @@ from .sharding import OP1_SQL, op1_shard_interleave
 from .token_counts import op6_token_counts
 from .tokenizer import op10_bpe
 from .toxicity import op9_toxicity
+from .wrapper import op7_wrapper_text
 
 QUERIES = {
     "op1_shard_interleave": op1_shard_interleave,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_wrapper_text": op7_wrapper_text,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
