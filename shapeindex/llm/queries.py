@@ -6,6 +6,7 @@ from .decontaminate import OP3_SQL, op3_decontaminate
 from .neardup import op4_minhash_near_dedup
 from .repeats import OP5_SQL, op5_substring_dedup
 from .sharding import OP1_SQL, op1_shard_interleave
+from .suffixes import op8_suffix_dedup
 from .token_counts import op6_token_counts
 from .tokenizer import op10_bpe
 from .toxicity import op9_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_wrapper_text": op7_wrapper_text,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
