@@ -109,7 +109,9 @@ def chunks(df: DataFrame, id_col: str, text: str, chunk_bytes: int = CHUNK_BYTES
 def _answers(sent: DataFrame, key: str, n_chunks: int, branches: bool) -> DataFrame:
     """For rows (key, [seg], doc) sorted out by key: which key is in several documents, and the first of them, back to the
     chunks that hold later ones. With ``branches``: kind 1 for keys whose segments differ."""
-    sent = sent.repartition(key)  # once; the aggregation and the join both stand on it
+    # dealt once: the aggregation and the join both stand on this exchange (the filter, which the join would add on its
+    # side only, keeps the two plans equal)
+    sent = sent.where(F.col(key).isNotNull()).repartition(key)
     aggs = [F.min("doc").alias("first"), F.max("doc").alias("_last")]
     if branches:
         aggs += [(F.min("seg") != F.max("seg")).alias("_branch")]
