@@ -2,7 +2,7 @@
 
 Every window of ``span`` words is an edge of a de Bruijn graph over tokens. Of the short grams inside an edge the one
 with the smallest hash is its anchor; consecutive edges of a text with the same anchor are a path segment. Grouping the
-segments of all texts by anchor (a Spark aggregation and join) tells
+segments of all texts by anchor (a Spark window over the anchor) tells
 
 * anchors in one document only: not repeated, dropped;
 * anchors whose segments are all equal: the path doesn't branch here, and the compacted segment as a whole is the
@@ -23,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, table
@@ -33,7 +33,6 @@ SPAN = 13
 GRAM = 5
 CHUNK_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1  # stands for a null id: later than all others
-ANSWER = "_chunk int, kind byte, h long, first long"
 
 
 class Chunk:
@@ -69,8 +68,10 @@ class Chunk:
         seg = mix(self.edge[first] * MUL + mix(self.edge[last] + (last - first).astype(U64) * MIX2))
         return self.anchor[first], seg, self.docs()[first], first
 
-    def edge_keys(self, which: np.ndarray) -> np.ndarray:
-        return mix(self.edge[which] ^ mix(self.anchor[which]))
+
+def both(edge: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """One key of an edge's two hashes, to look up answers within a chunk."""
+    return mix(edge ^ mix(anchor))
 
 
 def smallest_and_largest(keys: list[np.ndarray], docs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -106,21 +107,19 @@ def chunks(df: DataFrame, id_col: str, text: str, chunk_bytes: int = CHUNK_BYTES
     return out.repartition(parts, "_chunk"), n
 
 
-def _answers(sent: DataFrame, key: str, n_chunks: int, branches: bool) -> DataFrame:
-    """For rows (key, [seg], doc) sorted out by key: which key is in several documents, and the first of them, back to the
+def _answers(sent: DataFrame, key: list[str], n_chunks: int, branches: bool) -> DataFrame:
+    """For rows (key columns, [seg], doc) dealt by key: which key is in several documents, and the first of them, back to the
     chunks that hold later ones. With ``branches``: kind 1 for keys whose segments differ."""
-    # dealt once: the aggregation and the join both stand on this exchange (the filter, which the join would add on its
-    # side only, keeps the two plans equal)
-    sent = sent.where(F.col(key).isNotNull()).repartition(key)
-    aggs = [F.min("doc").alias("first"), F.max("doc").alias("_last")]
+    # one exchange: the window reads what was dealt by key, where a join would deal it a second time
+    own = Window.partitionBy(*key)
+    aggs = {"first": F.min("doc").over(own), "_last": F.max("doc").over(own)}
     if branches:
-        aggs += [(F.min("seg") != F.max("seg")).alias("_branch")]
-    groups = sent.groupBy(key).agg(*aggs).where("first < _last").drop("_last")
-    met = sent.join(groups.hint("shuffle_hash"), key)
+        aggs["_branch"] = F.min("seg").over(own) != F.max("seg").over(own)
+    met = sent.repartition(key[0]).withColumns(aggs).where("first < _last")
     branch = F.col("_branch") if branches else F.lit(False)
     met = met.where(branch | (F.col("doc") > F.col("first")))
     kind = F.when(branch, 1).otherwise(0 if branches else 2)
-    return met.select(F.pmod(F.xxhash64("doc"), F.lit(n_chunks)).cast("int").alias("_chunk"), kind.cast("byte").alias("kind"), F.col(key).alias("h"), "first")
+    return met.select(F.pmod(F.xxhash64("doc"), F.lit(n_chunks)).cast("int").alias("_chunk"), kind.cast("byte").alias("kind"), *key, "first")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM,
@@ -145,23 +144,24 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", sp
     def send_edges(t: pa.Table, answers: pa.Table) -> pa.Table:
         _, ids, texts = rows_of(t)
         c = Chunk(ids, texts, span, gram)
-        branching = np.unique(answers.column("h").to_numpy().view(U64))
+        branching = np.unique(answers.column("anchor").to_numpy().view(U64))
         which = np.flatnonzero(lookup(branching, np.ones(len(branching), dtype=np.int64), c.anchor, 0))
-        (key,), doc = smallest_and_largest([c.edge_keys(which)], c.docs()[which])
-        return pa.table({"edge": key.view(np.int64), "doc": doc})
+        (edge, anchor), doc = smallest_and_largest([c.edge[which], c.anchor[which]], c.docs()[which])
+        return pa.table({"edge": edge.view(np.int64), "anchor": anchor.view(np.int64), "doc": doc})
 
     def apply(t: pa.Table, answers: pa.Table) -> pa.Table:
         t, ids, texts = rows_of(t)
         c = Chunk(ids, texts, span, gram)
-        kind, h, first = (answers.column(x).to_numpy() for x in ("kind", "h", "first"))
+        kind, first = answers.column("kind").to_numpy(), answers.column("first").to_numpy()
+        anchor, edge = (answers.column(x).to_numpy().view(U64) for x in ("anchor", "edge"))
         gone = np.zeros(len(c.starts), dtype=bool)
-        if len(h):
+        if len(kind):
             docs_of = c.docs()
             hit = np.zeros(len(c.at), dtype=bool)
-            for k, keys in ((0, c.anchor), (2, c.edge_keys(np.arange(len(c.at))))):
+            for k, asked, keys in ((0, anchor, c.anchor), (2, both(edge, anchor), both(c.edge, c.anchor))):
                 own = kind == k
                 if own.any():
-                    hk = h[own].view(U64)
+                    hk = asked[own]
                     order = np.argsort(hk)
                     hit |= lookup(hk[order], first[own][order], keys, NO_ID) < docs_of
             cover = np.zeros(len(c.starts) + span + 1, dtype=np.int32)
@@ -181,10 +181,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", sp
 
     by = docs.groupBy("_chunk")
     segments = by.applyInArrow(send_segments, "anchor long, seg long, doc long")
-    first = _answers(segments, "anchor", n_chunks, branches=True)
-    edges = by.cogroup(first.where("kind = 1").groupBy("_chunk")).applyInArrow(send_edges, "edge long, doc long")
-    second = _answers(edges, "edge", n_chunks, branches=False)
-    answers = first.where("kind = 0").unionByName(second)
+    first = _answers(segments, ["anchor"], n_chunks, branches=True)
+    edges = by.cogroup(first.where("kind = 1").groupBy("_chunk")).applyInArrow(send_edges, "edge long, anchor long, doc long")
+    second = _answers(edges, ["edge", "anchor"], n_chunks, branches=False)
+    none = F.lit(0).cast("long").alias("edge")
+    answers = first.where("kind = 0").select("_chunk", "kind", none, "anchor", "first").unionByName(second)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     return by.cogroup(answers.groupBy("_chunk")).applyInArrow(apply, f"{schema}, n_words long, n_removed long, kept string")
 
