@@ -1,6 +1,8 @@
 """Helpers shared by the operators of this folder."""
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,21 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """While it holds, Arrow batches of actions are cut at ``size`` (wide rows are copied several times on their way)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def prepare(df: DataFrame) -> SparkSession:
     """The session of ``df``, with this package importable by its Python workers."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, table
+from .common import prepare, small_batches, stored, table
 from .components import components
 from .textbytes import MIX1, MIX2, MUL, U64, first_of_groups, grams, mix, word_hashes, word_table
 
@@ -159,7 +159,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = sets.select(F.col("_node").alias("a"), F.col("h").alias("ha"), F.col("n").alias("na"))
     right = sets.select(F.col("_node").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "na", "hb", "nb")
-    return both.mapInArrow(run, "a binary, b binary")
+    with small_batches(sets.sparkSession):
+        return stored(sets.sparkSession, both.mapInArrow(run, "a binary, b binary"), "similar")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -172,7 +173,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     spark = prepare(df)
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(body.cast("binary"))).alias("_node"), body.alias("text"))
-    rows = stored(spark, sketches(docs), "sketches")
+    with small_batches(spark):
+        rows = stored(spark, sketches(docs), "sketches")
     # one node per distinct text, found again by (text hash, smallest id): a text that most rows share is no hot key
     nodes = rows.where(F.size("bands") > 0).groupBy("_node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("_id"))
     nodes = rows.withColumn("_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(nodes, ["_node", "_id"]).dropDuplicates(["_node", "_id"])
@@ -181,10 +183,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     buckets = stored(spark, banded.join(sizes, "band").select("band", "_node", "_first", "_last"), "buckets")
     members = stored(spark, buckets.select("_node").distinct(), "members")
     few = members.count() <= BROADCAST_NODES
-    sets = stored(spark, shingle_sets(_one_per_node(docs, nodes, members, few)), "shingles")
+    with small_batches(spark):
+        sets = stored(spark, shingle_sets(_one_per_node(docs, nodes, members, few)), "shingles")
 
     pairs = buckets.where("_first != _node").select(F.col("_first").alias("a"), F.col("_node").alias("b")).distinct()
-    links = stored(spark, verified(pairs, sets, threshold), "similar")
+    links = verified(pairs, sets, threshold)
     for last in (True, False):
         comp = components(links)
         at = buckets.select("band", "_node", "_last").join(comp, buckets["_node"] == comp["node"], "left").select(
@@ -204,7 +207,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
         more = stored(spark, more.join(tried, ["a", "b"], "left_anti"), "pairs")
         pairs = pairs.union(more)
         if more.limit(1).count():
-            links = links.union(stored(spark, verified(more, sets, threshold), "similar"))
+            links = links.union(verified(more, sets, threshold))
     comp = components(links)
     # class of a node, then of a row; the smallest id of a class is an aggregation over nodes
     byid = nodes.select("_node", "_id").join(comp, nodes["_node"] == comp["node"], "left").select("_node", "_id", F.coalesce("comp", "_node").alias("comp"))
