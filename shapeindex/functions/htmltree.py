@@ -156,45 +156,51 @@ def _section_href(section: Element, rules: HtmlRules) -> str | None:
     return None
 
 
-def _definitions(dl: Element, parent_url: str, parent_title: str | None, rules: HtmlRules, out: list):
-    dts = dl.kids("dt")
-    name = next((dt.attrs["id"] for dt in dts if "id" in dt.attrs), None)
-    for dd in dl.kids("dd"):
-        for child in dd.kids("dl"):
-            _definitions(child, parent_url, name or parent_title, rules, out)
+def resolve(base: str, href: str) -> str:
+    """The link of ``href`` on a page; one that can't be resolved stays as written."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
+def _definition_item(dl: Element, name, parent_url: str, parent_title: str | None, rules: HtmlRules) -> tuple | None:
     blocks = [b for dd in dl.kids("dd") for b in dd.kids(rules.code_tag, rules.code_class)]
     if not blocks:
-        return
-    href = None
-    for dt in dts:
-        for a in dt.kids("a", rules.headerlink_class):
-            if "href" in a.attrs:
-                href = a.attrs["href"]
-                break
-        if href is not None:
-            break
-    out.append(("%s: %s" % (parent_title, name), urljoin(parent_url, href) if href else parent_url,
-                [snippet_text(b, rules.shell_prompts) for b in blocks]))
-
-
-def _section(section: Element, page_url: str, rules: HtmlRules, out: list):
-    title = _title(section, rules)
-    href = _section_href(section, rules)
-    url = urljoin(page_url, href) if href else page_url
-    for sub in section.kids(rules.section_tag, rules.section_class):
-        _section(sub, page_url, rules, out)
-    if rules.definitions:
-        for dl in section.kids("dl"):
-            _definitions(dl, url, title, rules, out)
-    blocks = section.kids(rules.code_tag, rules.code_class)
-    if blocks:
-        out.append((title, url, [snippet_text(b, rules.shell_prompts) for b in blocks]))
+        return None
+    links = (a.attrs["href"] for dt in dl.kids("dt") for a in dt.kids("a", rules.headerlink_class) if "href" in a.attrs)
+    href = next(links, None)
+    return ("%s: %s" % (parent_title, name), resolve(parent_url, href) if href else parent_url,
+            [snippet_text(b, rules.shell_prompts) for b in blocks])
+
+
+def _walk(first: Element, page_url: str, rules: HtmlRules) -> list[tuple]:
+    """Items of a section in crawl order: subsections, then definitions (inner ones first), then its own code. A stack of
+    open work instead of recursion: a page may be nested as deeply as it likes."""
+    out: list = []
+    stack: list[tuple] = [("section", first, page_url, None)]
+    while stack:
+        kind, e, url, title = stack.pop()
+        if kind == "item":
+            if e is not None:
+                out.append(e)
+        elif kind == "section":
+            title = _title(e, rules)
+            href = _section_href(e, rules)
+            url = resolve(page_url, href) if href else page_url
+            blocks = e.kids(rules.code_tag, rules.code_class)
+            own = (title, url, [snippet_text(b, rules.shell_prompts) for b in blocks]) if blocks else None
+            todo = [("section", sub, page_url, None) for sub in e.kids(rules.section_tag, rules.section_class)]
+            todo += [("dl", dl, url, title) for dl in e.kids("dl")] if rules.definitions else []
+            stack += reversed([*todo, ("item", own, None, None)])
+        else:
+            name = next((dt.attrs["id"] for dt in e.kids("dt") if "id" in dt.attrs), None)
+            todo = [("dl", child, url, name or title) for dd in e.kids("dd") for child in dd.kids("dl")]
+            stack += reversed([*todo, ("item", _definition_item(e, name, url, title, rules), None, None)])
+    return out
 
 
 def section_items(root: Element, page_url: str, rules: HtmlRules) -> list[tuple]:
     """EXT4-EXT7: (title, url, raw snippets) per section/definition with code, in crawl order."""
     first = next((e for e in root.iter() if e.tag == rules.section_tag and e.has_class(rules.section_class)), None)
-    out: list = []
-    if first is not None:
-        _section(first, page_url, rules, out)
-    return out
+    return [] if first is None else _walk(first, page_url, rules)

@@ -55,7 +55,8 @@ def _encode_value(value, digests: dict) -> bytes:
         return b"A" + digests[id(value)]
     if isinstance(value, list):
         return b"L" + len(value).to_bytes(4, "little") + b"".join(_encode_value(x, digests) for x in value)
-    r = repr(value).encode("utf-8", "surrogatepass")
+    # hexadecimal digits of integers: the decimal form of a long one is refused by the interpreter
+    r = (hex(value) if type(value) is int else repr(value)).encode("utf-8", "surrogatepass")
     return b"R" + len(r).to_bytes(4, "little") + r
 
 

@@ -46,7 +46,6 @@ def is_valid_snippet(code) -> bool:
 
 
 def _pages_batches(batches, url_col: str, html_col: str, rules: HtmlRules, validate: bool):
-    from urllib.parse import urljoin
     for batch in batches:
         urls = batch.column(url_col).to_pylist()
         htmls = batch.column(html_col).to_pylist()
@@ -54,7 +53,7 @@ def _pages_batches(batches, url_col: str, html_col: str, rules: HtmlRules, valid
         for url, html in zip(urls, htmls):
             root = htmltree.parse_html(html)
             hrefs = htmltree.toc_links(root, rules)
-            links.append([{"ord": i, "href": h, "link": urljoin(url or "", h) if h else url}
+            links.append([{"ord": i, "href": h, "link": htmltree.resolve(url or "", h) if h else url}
                           for i, h in enumerate(hrefs)])
             row = []
             for i, (title, iurl, raw) in enumerate(htmltree.section_items(root, url or "", rules)):
@@ -94,18 +93,18 @@ def extract_sections(pages: DataFrame, rules: HtmlRules = LIBRARY_RULES, key_col
 
 # --------------------------------------------------------------------------- column operators
 
-DOT_SEGMENT_LEVELS = 16  # "x/.." pairs removed per path (deeper nesting is left as written)
+def _remove_dot_segments(path: Column) -> Column:
+    """RFC 3986 dot-segment removal for a path starting with ``/``: one pass over its segments with an array as stack.
+    A last segment that is a dot segment leaves a closing slash."""
+    segments = F.slice(F.split(path, "/", -1), 2, F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(0)))
 
+    def step(kept: Column, s: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(s == "..", up).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
 
-def _remove_dot_segments(path: Column) -> Column:
-    """RFC 3986 dot-segment removal for a path starting with ``/``, as column expressions."""
-    p = F.regexp_replace(path, r"/\.(?=/)", "")  # "/./" -> "/"
-    p = F.regexp_replace(p, r"/\.$", "/")  # trailing "/." -> "/"
-    pair = r"/(?!\.\.(?:/|$))[^/]+/\.\.(?=/|$)"  # "seg/.." with seg not ".."
-    for _ in range(DOT_SEGMENT_LEVELS):
-        p = F.regexp_replace(p, pair, "")
-    p = F.regexp_replace(p, r"^(?:/\.\.)+(?=/|$)", "")  # ".." above the root
-    return F.when(p == "", F.lit("/")).otherwise(p)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    closing = F.when(F.element_at(F.split(path, "/", -1), -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(closing, "/"))
 
 
 def resolve_url(base: Column, href: Column) -> Column:

@@ -289,6 +289,17 @@ def doc_freq(postings: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- documents in
 
+def _own_ids(docs: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``snippet_id``, which no other document of the index has: it hashes the batch, the ``key`` columns and a number
+    among equal rows. Equal rows are counted (with partial sums) and numbered when the count is unfolded, so the ids
+    are the same on every run and a row that most of the batch repeats is no hot group."""
+    cols = docs.columns
+    counted = docs.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    # titles may differ where the key is equal: they count too
+    return counted.select(*cols, F.xxhash64("batch_seq", *key, "title", "_copy").alias("snippet_id"))
+
+
 def _with_defaults(docs: DataFrame, batch_seq: int) -> DataFrame:
     cols = docs.columns
     if "batch_seq" not in cols:
@@ -296,7 +307,7 @@ def _with_defaults(docs: DataFrame, batch_seq: int) -> DataFrame:
     if "ord" not in cols:
         docs = docs.withColumn("ord", F.lit(0))
     if "snippet_id" not in cols:
-        docs = docs.withColumn("snippet_id", F.xxhash64("url", "ord", "content"))
+        docs = _own_ids(docs.select("batch_seq", "ord", "title", "url", "content"), ["url", "ord", "content"])
     return docs.select(F.col("snippet_id").cast("long"), F.col("batch_seq").cast("long"),
                        F.col("ord").cast("int"), "title", "url", "content")
 
@@ -342,7 +353,7 @@ def choose_buckets(docs: DataFrame) -> tuple[int, int]:
     """(term_buckets, doc_buckets) for about ``BUCKET_BYTES`` per bucket of this input, from
     the optimizer's size estimate (no job is run)."""
     n = _pow2_at_least(_size_estimate(docs) / BUCKET_BYTES)
-    return min(max(64, n), 1 << 16), min(max(16, n), 1 << 16)
+    return max(64, n), max(16, n)
 
 
 DEDUPE_MIN_RATIO = 0.05  # estimated share of duplicate texts from which parsing distinct texts pays
@@ -410,7 +421,8 @@ def add_documents(idx: Index, docs: DataFrame, batch_seq: int | None = None,
                   dedupe: bool | None = None) -> tuple[int, int]:
     """IDX4 (bulk): invalid documents are not added; returns (accepted, rejected).
 
-    ``docs`` has ``title, url, content`` and optionally ``snippet_id, batch_seq, ord``.
+    ``docs`` has ``title, url, content`` and optionally ``snippet_id, batch_seq, ord``. Ids given by the caller must be
+    new to the index; without them repeats, within a batch or between batches, are documents of their own.
     ``dedupe``: parse each distinct text once (None: decide from the estimated duplicate share).
     """
     seq = idx.meta.get("next_batch_seq", 0) if batch_seq is None else batch_seq
@@ -424,15 +436,14 @@ def explode_items(items: DataFrame, batch_seq: int = 0) -> DataFrame:
     """EXT12: one document per snippet of a section item; title and url repeated.
 
     ``ord`` is the snippet's position in its item; the id hashes (url, item position, snippet
-    position, content, batch), so equal input gives equal ids on every run and a re-sent item
-    never collides with the copy it replaces.
+    position, content, batch, number among equal rows), so equal input gives equal ids on every run
+    and a re-sent or repeated item never collides with another copy.
     """
     if "item_ord" not in items.columns:
         items = items.withColumn("item_ord", F.lit(0).cast("long"))
-    return (items.select("title", "url", "item_ord", F.posexplode("code_snippets").alias("ord", "content"))
-            .withColumn("batch_seq", F.lit(batch_seq).cast("long"))
-            .withColumn("snippet_id", F.xxhash64("url", "item_ord", "ord", "content", "batch_seq"))
-            .drop("item_ord"))
+    rows = (items.select("title", "url", "item_ord", F.posexplode("code_snippets").alias("ord", "content"))
+            .withColumn("batch_seq", F.lit(batch_seq).cast("long")))
+    return _own_ids(rows, ["url", "item_ord", "ord", "content"]).drop("item_ord")
 
 
 def add_items(idx: Index, items: DataFrame) -> tuple[int, int]:

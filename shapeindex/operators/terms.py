@@ -100,7 +100,7 @@ def _parse_slice(batch, texts: list, opts: TokenizerOptions, keep: str, with_tex
                 parsed = pyast.analyze(text, opts, with_text=with_text, hashes=hashes)
             except pyast.PARSE_ERRORS as e:  # one bad row must not fail the job
                 valid.append(False)
-                reason.append(f"{type(e).__name__}: {e}"[:500])
+                reason.append(f"{type(e).__name__}: {e}")
                 n_nodes.append(None)
                 dl.append(None)
         if parsed is not None:
@@ -168,13 +168,12 @@ def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
     if df.isStreaming:
         return df
     want = df.sparkSession.sparkContext.defaultParallelism * factor
-    try:
-        have = df.rdd.getNumPartitions()
+    try:  # the plan's size estimate: no job is run (asking for the partitions would run the input's stages)
         est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # no JVM view of the plan (e.g. a remote session): leave the plan alone
         return df
     known = est < (1 << 63) - 1  # Long.MaxValue means "no estimate" (e.g. local Python data)
-    if have >= want or (known and est > SPREAD_MAX_BYTES):
+    if known and est > SPREAD_MAX_BYTES:
         return df
     return df.repartition(want, key) if key and key in df.columns else df.repartition(want)
 

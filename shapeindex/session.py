@@ -39,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     without it (tests) gets a fresh temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="shapeindex-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)

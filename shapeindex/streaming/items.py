@@ -39,14 +39,18 @@ def clean_stream(items: DataFrame, col: str = "code_snippets") -> DataFrame:
 
 def index_stream(items: DataFrame, index_path: str, checkpoint: str, upsert: bool = False,
                  trigger: dict | None = None, documents: bool = False):
-    """STR3: each micro-batch is added (or upserted) as one index commit. A batch id already
-    recorded in the index metadata is skipped, so a replayed batch is not indexed twice.
+    """STR3: each micro-batch is added (or upserted) as one index commit. The index
+    metadata keeps the last batch of each stream, so a replayed batch is not indexed twice and
+    any number of streams can feed one index.
     ``documents=True`` takes document rows (title, url, content[, snippet_id]) instead of items."""
     def sink(batch: DataFrame, batch_id: int):
         idx = I.open_index(batch.sparkSession, index_path)
-        if batch_id in idx.meta.get("stream_batches", []):
+        # the id of the query lives in its checkpoint: another stream, or a fresh checkpoint, has another one
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        done = idx.meta.get("streams", {})
+        if batch_id <= done.get(stream, -1):
             return
-        idx.meta = dict(idx.meta, stream_batches=idx.meta.get("stream_batches", []) + [batch_id])
+        idx.meta = dict(idx.meta, streams={**done, stream: batch_id})
         if documents:
             I.add_documents(idx, batch)
         else:

@@ -104,3 +104,31 @@ def test_unescape_simple_matches_python(spark):
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     got = [r.u for r in df.select(H.unescape_simple(F.col("s")).alias("u")).collect()]
     assert got == [pyhtml.unescape(s) for s in samples]
+
+
+def test_bad_pages_do_not_fail_a_job(spark):
+    """An href that can't be resolved stays as written; depth is no limit."""
+    from shapeindex.config import LIBRARY_RULES, HtmlRules
+    import dataclasses
+
+    deep = "<div class='section'><h1>t</h1>" * 1500 + "<div class='highlight'><pre>x = a.f()</pre></div>" + "</div>" * 1500
+    rules = dataclasses.replace(LIBRARY_RULES, toc_container="nav", section_tag="div", section_class="section", code_tag="div", code_class="highlight")
+    assert isinstance(rules, HtmlRules)
+    pages = spark.createDataFrame(
+        [("http://h/a", "<nav><a href='http://[bad/'>x</a><a href='b'>y</a></nav>"), ("http://h/deep", deep), (None, None)], "url string, html string")
+    from shapeindex.operators import html as H
+
+    assert sorted((r.href, r.link) for r in H.toc_links(pages, rules).collect()) == [("b", "http://h/b"), ("http://[bad/", "http://[bad/")]
+    assert [(r.title, r.code_snippets) for r in H.extract_sections(pages, rules).collect()] == [("t", ["x = a.f()"])]
+
+
+def test_dot_segments_have_no_limit(spark):
+    from urllib.parse import urljoin
+
+    from shapeindex.operators.html import resolve_url
+
+    base = "http://h/d/a.html"
+    hrefs = ["x/" * 20 + "../" * 20 + "x.html", "../" * 30 + "y", "./././z", "a/..", "a/.", "..", ".", "a/b/../../c/./d/../e?q#f", "/a/../b"]
+    df = spark.createDataFrame([(h,) for h in hrefs], "h string")
+    got = {r.h: r.u for r in df.select("h", resolve_url(F.lit(base), F.col("h")).alias("u")).collect()}
+    assert got == {h: urljoin(base, h) for h in hrefs}

@@ -213,3 +213,42 @@ def test_compact_words_index(spark):
     after = sorted((r.query_id, r.snippet_id, r.score) for r in S.search(c, qs, decorate_hits=False)[0].collect())
     assert after == before and len(c.meta["segments"]) == 1
     assert {q for q, _, _ in after} == {0, 2}  # "w1" was replaced
+
+
+def test_repeats_and_readded_documents_are_own_documents(spark):
+    path = scratch_path(spark, "repeats")
+    idx = I.create_index(spark, path)
+    docs = spark.createDataFrame([("t", "u1", "x = a.f()")] * 2 + [("t", "u2", "y = b.g()")], "title string, url string, content string")
+    assert I.add_documents(idx, docs) == (3, 0)
+    assert I.add_documents(I.open_index(spark, path), docs) == (3, 0)  # the same batch again
+    idx = I.open_index(spark, path)
+    assert I.index_len(idx) == 6 and idx.snippets().select("snippet_id").distinct().count() == 6
+    # replaced by url, then added again: the tombstones do not reach later documents
+    items = spark.createDataFrame([("t", "u1", ["z = c.h()"], 0)], "title string, url string, code_snippets array<string>, item_ord long")
+    assert I.update_items(idx, items) == (1, 0)
+    assert I.index_len(I.open_index(spark, path)) == 3
+    assert I.add_documents(I.open_index(spark, path), docs) == (3, 0)
+    idx = I.open_index(spark, path)
+    assert I.index_len(idx) == 6 and I.iter_documents(idx).count() == 6
+    q = spark.createDataFrame([(1, "x = a.f()")], "query_id long, code string")
+    hits = S.search(idx, q)[0].collect()
+    assert len(hits) == 2 and len({h.snippet_id for h in hits}) == 2 and {h.matched_tokens_count for h in hits} == {hits[0].matched_tokens_count}
+
+
+def test_long_integers_are_valid_in_both_passes(spark):
+    from shapeindex.operators import terms as TK
+
+    docs = spark.createDataFrame([(1, "v = c.load(0x" + "f" * 4000 + ")")], "snippet_id long, content string")
+    for hashes in (True, False):
+        assert [r.valid for r in TK.parse_code(docs, keep_nodes="none", hashes=hashes).select("valid").collect()] == [True]
+
+
+def test_building_a_plan_runs_no_job(spark):
+    from shapeindex.operators import terms as TK
+
+    docs = spark.range(100).groupBy((F.col("id") % 7).alias("snippet_id")).agg(F.max("id").cast("string").alias("content"))
+    spark.sparkContext.setJobGroup("plan-only", "no job")
+    TK.parse_code(docs, keep_nodes="none")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(jobs) == []

@@ -41,7 +41,7 @@ def test_index_stream_equals_batch(spark):
     assert s.stats_row() == I.open_index(spark, bpath).stats_row() == (6, 6)
     assert sorted(tuple(r) for r in s.terms().select("term_hash", "df").collect()) == \
         sorted(tuple(r) for r in I.open_index(spark, bpath).terms().select("term_hash", "df").collect())
-    assert len(s.meta["stream_batches"]) == 2
+    assert list(s.meta["streams"].values()) == [1]
 
 
 def test_dedup_within_watermark(spark):
@@ -69,3 +69,18 @@ def test_index_stream_upsert(spark):
     assert sorted((r.url, r.content) for r in I.iter_documents(idx).collect()) == [
         ("u1", "c = z.h()"), ("u1", "d = w.k()"), ("u2", "b = y.g()")]
     assert I.index_len(idx) == 3
+
+
+def test_two_streams_feed_one_index(spark):
+    """Each stream has its own checkpoint; the second one's batch 0 is not taken for a replay."""
+    spath = scratch_path(spark, "two-streams")
+    I.create_index(spark, spath)
+    for k in range(2):
+        src = scratch_path(spark, f"feed{k}")
+        rows = [(f"t{k}{i}", f"u{k}{i}", [f"v = o.m{i % 3}()"], i) for i in range(4)]
+        _write_feed(spark, rows, os.path.join(src, "0"))
+        stream = spark.readStream.schema(ITEM_STREAM_SCHEMA).json(src + "/*")
+        index_stream(stream, spath, f"{spath}-ck{k}").awaitTermination()
+        assert I.index_len(I.open_index(spark, spath)) == 4 * (k + 1)
+    idx = I.open_index(spark, spath)
+    assert len(idx.meta["streams"]) == 2
