@@ -43,6 +43,18 @@ def prepare(df: DataFrame) -> SparkSession:
 
 
 
+def slices(batch, column: int, size: int = 2 << 20):
+    """A batch in parts of about ``size`` bytes of a string column: what a task holds at once stays small."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(n + 64) - n - 64) // size
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for a, b in zip(cut, [*cut[1:], len(part)], strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
 def with_columns_of_text(df: DataFrame, keep: list[str], make, fields: str, column: str = "text") -> DataFrame:
     """Columns ``keep`` of ``df``, untouched, and those that ``make()`` computes per task from a string column.
 
@@ -65,9 +77,10 @@ def with_columns_of_text(df: DataFrame, keep: list[str], make, fields: str, colu
 
     def run(batches):
         f = make()
-        for b in batches:
-            cols = f(["" if x is None else x for x in b.column(k).to_pylist()])
-            arrays = [pa.array(c, type=t) for c, t in zip(cols, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], *arrays], names=all_names)
+        for whole in batches:
+            for b in slices(whole, k):
+                cols = f(["" if x is None else x for x in b.column(k).to_pylist()])
+                arrays = [pa.array(c, type=t) for c, t in zip(cols, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:k], *arrays], names=all_names)
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").cast("string").alias("_in")).mapInArrow(run, schema)

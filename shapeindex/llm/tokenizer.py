@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 
 from .common import prepare, table, with_columns_of_text
 
-WORD_CACHE = 500_000  # words a worker remembers; then it starts anew (a cache only, results do not depend on it)
+#: Words (in each of two generations) and pairs that a worker remembers; caches only, results do not depend on them.
+WORD_CACHE, PAIR_CACHE = 200_000, 250_000
 DECODE_STEP = 1 << 18  # ids decoded at once
 #: FIXED values of the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,6 +71,7 @@ class WordBpe:
     def __init__(self, spec: dict) -> None:
         vocab, suffix = spec["vocab"], spec["suffix"]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.alphabet = byte_alphabet()
         marked = {t: self._marked(t, suffix) for t in vocab}
         self.id_of = {marked[t]: i for t, i in vocab.items()}
@@ -146,7 +148,7 @@ class WordBpe:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > PAIR_CACHE:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
@@ -195,10 +197,12 @@ class WordBpe:
                 shorter = self._prefix(last)
             token = shorter
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self.words) >= WORD_CACHE:
-            self.words.clear()
-        ids = np.array(self.encode_symbols(self.symbols(word)), dtype="<u4").tobytes()
+    def _ids(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array(self.encode_symbols(self.symbols(word)), dtype="<u4").tobytes()
+        if len(self.words) >= WORD_CACHE:  # words that come again are carried over as they do
+            self.older, self.words = self.words, {}
         self.words[word] = ids
         return ids
 
@@ -207,10 +211,9 @@ class WordBpe:
         if not text.isascii():
             # single characters are lowered one by one: no special final sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        known, miss = self.words.get, self.__missing__
         text = text.lower()
         for w in (self.full if self.high.search(text) else self.low).findall(text):
-            out.append(known(w) or miss(w))
+            out.append(self.words.get(w) or self._ids(w))
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text as little-endian unsigned 32-bit integers."""

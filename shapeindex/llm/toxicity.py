@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, table, with_columns_of_text
+from .common import prepare, small_batches, stored, table, with_columns_of_text
 
 TRAIN_ROWS = 20_000
 LEXICON_TERMS = 2_000
@@ -43,7 +43,7 @@ FEATURES = ("word", "misspelt", "stem", "stem_misspelt", "quoted", "density")
 class Lexicon:
     """Trie of terms and its product with the Levenshtein automaton of one edit, determinised on demand."""
 
-    STATES = 100_000  # states kept; then the automaton starts anew (memory only)
+    STATES = 20_000  # states kept; then the automaton starts anew (memory only)
 
     def __init__(self, terms: list[tuple[str, bool]]) -> None:
         """``terms``: (text, whether it is a stem). A stem matches words that begin with it."""
@@ -146,7 +146,7 @@ class Scorer:
         if k is None:
             final, stem = self.lexicon.match(word)
             k = 1 if final == 0 else 3 if stem == 0 else 2 if final == 1 else 4 if stem == 1 else 0
-            if len(self.known) > 500_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             self.known[word] = k
         return k
@@ -239,7 +239,8 @@ def learn_lexicon(train: DataFrame, max_terms: int) -> list[tuple[str, bool]]:
     w = train.mapInPandas(words, "word string, ctx long, neg long")
     w = w.groupBy("word", "ctx").agg(F.sum("neg").alias("neg")).groupBy("word").agg(
         F.sum(F.when(F.col("ctx") != 0, 1).otherwise(0)).alias("pos"), F.sum("neg").alias("neg"))
-    w = stored(train.sparkSession, w, "toxic-words")
+    with small_batches(train.sparkSession):
+        w = stored(train.sparkSession, w, "toxic-words")
     base = train.agg(F.sum("_toxic").alias("p"), F.count("*").alias("n")).first()
     if not base["p"] or base["p"] == base["n"]:
         return []
@@ -287,7 +288,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_te
             yield pd.DataFrame(x, columns=list(FEATURES)).assign(y=b["_toxic"].to_numpy())
 
     # equal rows are counted together; what reaches the driver is bounded by max_rows rows of a few numbers
-    got = train.mapInPandas(rows, ", ".join(f"{f} double" for f in FEATURES) + ", y int").groupBy(*FEATURES, "y").count().toPandas()
+    with small_batches(docs.sparkSession):
+        got = train.mapInPandas(rows, ", ".join(f"{f} double" for f in FEATURES) + ", y int").groupBy(*FEATURES, "y").count().toPandas()
     x, y = got[list(FEATURES)].to_numpy(), got["y"].to_numpy(dtype=float)
     n = got["count"].to_numpy()
     order = np.lexsort([*x.T, y])
