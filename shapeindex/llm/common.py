@@ -48,9 +48,11 @@ def slices(batch, column: int, size: int = 2 << 20):
     import numpy as np
     import pyarrow.compute as pc
 
+    if not batch.num_rows:
+        return
     n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(n + 64) - n - 64) // size
-    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for a, b in zip(cut, [*cut[1:], len(part)], strict=True):
         yield batch.slice(int(a), int(b - a))
 
