@@ -233,12 +233,22 @@ SELECT b.page_id, {UNESCAPE.format(x="regexp_replace(regexp_extract(art, '(?s)<h
        CAST(coalesce((SELECT sum(length(txt)) FROM bt WHERE bt.page_id = b.page_id), 0) AS BIGINT) AS text_len
 FROM b WHERE art <> ''"""
 
-SQL["pages_dedup_url"] = f"""WITH {ARTICLE}
-SELECT regexp_replace(url, '[?#].*$', '') AS url, page_id FROM b
-WHERE len(pieces) > 1
-QUALIFY row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) = 1"""
+HOST_LANG = "regexp_extract(url, '^(https?://[^/]+/[^/?#]*)', 1)"
 
-SQL["stream_dedup_urls"] = "SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages"
+SQL["pages_dedup_url"] = f"""WITH {ARTICLE}
+SELECT {HOST_LANG} AS url, page_id FROM b
+WHERE len(pieces) > 1 AND page_id % 3 <> 0
+QUALIFY row_number() OVER (PARTITION BY {HOST_LANG} ORDER BY page_id) = 1"""
+
+SQL["stream_dedup_urls"] = f"SELECT DISTINCT {HOST_LANG} AS url FROM pages"
+
+SQL["stream_two_feeds"] = """
+WITH items AS (
+  SELECT 'https://h/' || o_custkey AS url, 'v = c.m' || o_orderkey || '()' AS content, o_orderstatus AS s
+  FROM orders WHERE o_orderkey % 7 <> 0
+)
+SELECT url, content FROM items
+WHERE s = 'P' OR url NOT IN (SELECT url FROM items WHERE s = 'P')"""
 
 SQL["code_type_sequences"] = f"""WITH {CORPUS},
 seqs(t, type_sequence) AS (VALUES

@@ -273,10 +273,6 @@ def q_pages_sections(spark, sf_dir):
                     F.aggregate("snippets_raw", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("text_len"))
 
 
-def _norm_url(c):
-    return F.regexp_replace(c, r"[?#].*$", "")
-
-
 def _page_items(spark, sf_dir):
     s = H.extract_sections(table(spark, sf_dir, "pages"), ARTICLE_RULES, key_cols=("page_id",), validate=False)
     return s.select("page_id", "title", "url", F.col("snippets_raw").alias("code_snippets"))
@@ -301,57 +297,72 @@ def q_pages_explode_items(spark, sf_dir):
 
 def q_pages_dedup_url(spark, sf_dir):
     s = H.extract_sections(table(spark, sf_dir, "pages"), ARTICLE_RULES, key_cols=("page_id",), validate=False)
-    items = s.select("page_id", _norm_url(F.col("url")).alias("url"), F.col("snippets_raw").alias("code_snippets"))
+    # items of a host and language share a url; every third comes without code and must not win
+    url = F.regexp_extract("url", r"^(https?://[^/]+/[^/?#]*)", 1)
+    items = s.select("page_id", url.alias("url"), F.when(F.col("page_id") % 3 == 0, F.array()).otherwise(F.col("snippets_raw")).cast("array<string>").alias("code_snippets"))
     return H.dedup_by_url(H.drop_empty_items(items), [F.col("page_id")]).select("url", "page_id")
 
 
 # =========================================================================== streaming
 
-def q_stream_dedup_urls(spark, sf_dir):
-    from ..streaming.items import dedup_stream
-    schema = table(spark, sf_dir, "pages").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-    items = stream.select(_norm_url(F.col("url")).alias("url"), "page_id")
+def _stream_of(spark, df, key=None, files=3):
+    """``df`` as a file stream of several micro-batches: written once to ``files`` files (rows of equal ``key`` in one) in the
+    shared folder, read one file at a time. The table itself may be a file or a folder."""
+    path = scratch_path(spark, "stream-in")
+    (df.repartition(files, key) if key else df.repartition(files)).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run_to_table(spark, stream):
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    q = (dedup_stream(items).select("url").writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
+def q_stream_dedup_urls(spark, sf_dir):
+    """STR1: the first page of each host and language wins; the urls repeat within and between micro-batches."""
+    from ..streaming.items import dedup_stream
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^(https?://[^/]+/[^/?#]*)", 1).alias("url"), "page_id")
+    return _run_to_table(spark, dedup_stream(_stream_of(spark, pages)).select("url"))
+
+
 def q_stream_events_dedup(spark, sf_dir):
-    """STR1 with event time: first event per (user, type) within a 1-hour watermark (bounded
-    state); the key set is deterministic, so that is what is returned."""
+    """STR1 over a month of events: the first event per (user, type) of all time, so the state is every key ever seen (a
+    watermark's window would let keys come again)."""
     from ..streaming.items import dedup_stream
-    schema = table(spark, sf_dir, "events").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-    keyed = (stream.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP, not NTZ
-             .withColumn("key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type")))
-    out, ck = scratch_path(spark, "stream-ev"), scratch_path(spark, "stream-ev-ck")
-    q = (dedup_stream(keyed, watermark=("ts", "1 hour"), url_col="key").select("user_id", "event_type")
-         .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    events = table(spark, sf_dir, "events").withColumn("key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    return _run_to_table(spark, dedup_stream(_stream_of(spark, events), url_col="key").select("user_id", "event_type"))
 
 
 def q_stream_index_stats(spark, sf_dir):
     from ..streaming.items import index_stream
-    schema = table(spark, sf_dir, "lineitem").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
     path = scratch_path(spark, "stream-index")
     I.create_index(spark, path)
-    from .corpus import code_corpus_from
-    docs = code_corpus_from(stream).select("snippet_id", "title", "url", "content")
-    q = index_stream(docs, path, scratch_path(spark, "stream-index-ck"), documents=True)
+    docs = code_corpus(spark, sf_dir).select("snippet_id", "title", "url", "content")
+    q = index_stream(_stream_of(spark, docs), path, scratch_path(spark, "stream-index-ck"), documents=True)
     q.awaitTermination()
     st = I.open_index(spark, path).stats()
     return st.select("n_docs", "total_len", F.round(F.col("total_len") / F.col("n_docs"), 6).alias("avgdl"))
 
 
+def q_stream_two_feeds(spark, sf_dir):
+    """STR2, STR3 and IDX6 together: one stream adds the items of finished and open orders, another one, with a checkpoint of
+    its own, replaces those of customers with a pending order. Every seventh order's only snippet does not parse: the
+    item is dropped by the cleaning pass. The live documents afterwards: (url, content)."""
+    from ..streaming.items import clean_stream, index_stream
+    bad = F.col("o_orderkey") % 7 == 0
+    items = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("title"), F.concat(F.lit("https://h/"), F.col("o_custkey").cast("string")).alias("url"),
+        F.array(F.concat(F.when(bad, F.lit("def (: ")).otherwise(F.lit("")), F.lit("v = c.m"), F.col("o_orderkey").cast("string"), F.lit("()"))).alias("code_snippets"),
+        F.col("o_orderkey").cast("long").alias("item_ord"), F.col("o_orderstatus").alias("_s"))
+    path = scratch_path(spark, "two-feeds")
+    I.create_index(spark, path)
+    for status, upsert in ((F.col("_s") != "P", False), (F.col("_s") == "P", True)):
+        feed = _stream_of(spark, items.where(status).drop("_s"), "url", 2)
+        index_stream(clean_stream(feed), path, scratch_path(spark, "two-feeds-ck"), upsert=upsert).awaitTermination()
+    return I.iter_documents(I.open_index(spark, path)).select("url", "content")
+
+
 QUERIES = {
     "code_parse_status": q_code_parse_status,
     "code_term_roots": q_code_term_roots,
@@ -390,4 +401,5 @@ QUERIES = {
     "stream_dedup_urls": q_stream_dedup_urls,
     "stream_events_dedup": q_stream_events_dedup,
     "stream_index_stats": q_stream_index_stats,
+    "stream_two_feeds": q_stream_two_feeds,
 }
