@@ -23,7 +23,7 @@ from .common import prepare, stored, table
 
 CONSTANT_SHARE = 0.6  # of a host's pages with different content
 CONSTANT_PAGES = 8  # fewer such pages tell no template
-BROADCAST_BYTES = 8 << 20  # references are broadcast up to this size, else joined by host
+BROADCAST_BYTES = 8 << 20  # references, and templates, are broadcast up to this size, else joined by host
 
 #: FIXED values: elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -304,8 +304,10 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     hosts = d.groupBy("_host", "_digest").count().groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= CONSTANT_PAGES)
     constant = counted.join(hosts, "_host").where(F.col("n") >= CONSTANT_SHARE * F.col("_pages"))
     # at most one text per node can be constant, so this is no longer than the host's reference page
+    constant = stored(spark, constant.select("_host", "node", "h"), "template")
     template = constant.groupBy("_host").agg(F.collect_list(F.struct("node", "h")).alias("_template"))
-    d = d.join(template, "_host", "left")
+    small = (constant.agg(F.sum(F.octet_length("_host") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    d = d.join(F.broadcast(template) if small else template, "_host", "left")
     slots = F.when(F.col("_template").isNull(), F.col("_blocks")).otherwise(
         F.filter("_blocks", lambda b: ~F.array_contains("_template", F.struct(b["node"].alias("node"), b["h"].alias("h")))))
     text = F.array_join(F.transform(slots, lambda b: b["text"]), "\n")
