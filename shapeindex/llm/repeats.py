@@ -96,14 +96,19 @@ def rows_of(t: pa.Table) -> tuple[pa.Table, np.ndarray, list[bytes]]:
     return t, ids, [x.encode() if x is not None else b"" for x in t.column("_text").to_pylist()]
 
 
+def own_columns(t: pa.Table, keep: list[str], text: str) -> pa.Table:
+    """The columns that the chunk's rows came with."""
+    return pa.table({c: t.column("_text" if c == text else c) for c in keep})
+
+
 def chunks(df: DataFrame, id_col: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """``df`` with _chunk, _id and _text, partitioned by chunk; and the number of chunks."""
+    """``df`` with _chunk and _id, its text renamed to _text (it travels once), partitioned by chunk; and the number of chunks."""
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, math.ceil(total / chunk_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 32))
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    out = df.withColumns({"_id": own, "_text": F.col(text), "_chunk": F.pmod(F.xxhash64(own), F.lit(n)).cast("int")})
+    out = df.withColumns({"_id": own, "_chunk": F.pmod(F.xxhash64(own), F.lit(n)).cast("int")}).withColumnRenamed(text, "_text")
     return out.repartition(parts, "_chunk"), n
 
 
@@ -176,7 +181,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", sp
             own = np.arange(ends[i] - n_words[i], ends[i])
             own = own[~gone[own]]
             kept.append(b" ".join([raw[a:b] for a, b in zip(c.starts[own].tolist(), c.ends[own].tolist(), strict=True)]).decode())
-        t = t.drop_columns(["_chunk", "_id", "_text"])
+        t = own_columns(t, keep, text)
         return t.append_column("n_words", pa.array(n_words.astype(np.int64))).append_column("n_removed", pa.array(n_removed.astype(np.int64))).append_column("kept", pa.array(kept, type=pa.string()))
 
     by = docs.groupBy("_chunk")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, table
-from .repeats import NO_ID, chunks, rows_of
+from .repeats import NO_ID, chunks, own_columns, rows_of
 from .textbytes import BYTE, MUL, U64, first_of_groups, minimizers, mix
 
 SPAN = 50
@@ -343,7 +343,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", sp
             n_removed.append(removed)
             n_spans.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n else 0)
             kept.append(buf[a : a + n][~own].tobytes() if removed else text_)
-        t = t.drop_columns(["_chunk", "_id", "_text"])
+        t = own_columns(t, keep, text)
         for name, values, kind in (("n_bytes", w.size, pa.int64()), ("n_removed", n_removed, pa.int64()), ("n_spans", n_spans, pa.int64()), ("kept", kept, pa.binary())):
             t = t.append_column(name, pa.array(values, kind))
         return t
