@@ -1,7 +1,7 @@
 """Scale properties of the physical plans of the registered queries (sf0.001)."""
 import pytest
 
-import __spark_entry__ as E
+from shapeindex.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +14,7 @@ def _plan_text(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: _plan_text(fn(spark, SF)) for name, fn in E.queries().items()}
+    return {name: _plan_text(fn(spark, SF)) for name, fn in QUERIES.items()}
 
 
 def test_no_cartesian_or_nested_loop_joins(plans):
