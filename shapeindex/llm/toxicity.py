@@ -220,25 +220,28 @@ def held_out(doc_id):
 
 
 def learn_lexicon(train: DataFrame, max_terms: int) -> list[tuple[str, bool]]:
-    """Terms of toxic texts. A word counts once per pair of neighbours in toxic texts, so that copies of one text do not
-    make all its words terms, and once per text in the others."""
+    """Terms of toxic texts: whole words of any length, and stems. A word counts once per pair of neighbours in toxic texts,
+    so that copies of one text do not make all its words terms, and once per text in the others. Words of any length are
+    also compared text by text, or else frequent short words would be terms for their many neighbours."""
 
     def words(batches):
         for b in batches:
             toxic: set = set()
+            texts: dict = {}
             clean: dict = {}
             for text, label in zip(b["_text"], b["_toxic"], strict=True):
                 w = WORD.findall(text.lower())
                 if label:
                     toxic.update(zip(w, ["", *w[:-1]], [*w[1:], ""], strict=True))
-                else:
-                    for x in set(w):
-                        clean[x] = clean.get(x, 0) + 1
-            yield pd.DataFrame([(x, hash_pair(p, q), 0) for x, p, q in toxic] + [(x, 0, n) for x, n in clean.items()], columns=["word", "ctx", "neg"])
-
-    w = train.mapInPandas(words, "word string, ctx long, neg long")
-    w = w.groupBy("word", "ctx").agg(F.sum("neg").alias("neg")).groupBy("word").agg(
-        F.sum(F.when(F.col("ctx") != 0, 1).otherwise(0)).alias("pos"), F.sum("neg").alias("neg"))
+                counts = texts if label else clean
+                for x in set(w):
+                    counts[x] = counts.get(x, 0) + 1
+            rows = [(x, hash_pair(p, q), 0, 0) for x, p, q in toxic] + [(x, 0, n, 0) for x, n in clean.items()] + [(x, 0, 0, n) for x, n in texts.items()]
+            yield pd.DataFrame(rows, columns=["word", "ctx", "neg", "texts"])
+
+    w = train.mapInPandas(words, "word string, ctx long, neg long, texts long")
+    w = w.groupBy("word", "ctx").agg(F.sum("neg").alias("neg"), F.sum("texts").alias("texts")).groupBy("word").agg(
+        F.sum(F.when(F.col("ctx") != 0, 1).otherwise(0)).alias("pos"), F.sum("neg").alias("neg"), F.sum("texts").alias("texts"))
     with small_batches(train.sparkSession):
         w = stored(train.sparkSession, w, "toxic-words")
     base = train.agg(F.sum("_toxic").alias("p"), F.count("*").alias("n")).first()
@@ -246,22 +249,29 @@ def learn_lexicon(train: DataFrame, max_terms: int) -> list[tuple[str, bool]]:
         return []
     odds = base["p"] / (base["n"] - base["p"])
     lo, hi = STEM_LETTERS
-    stems = w.select(F.explode(F.expr(f"transform(sequence({lo}, least(length(word), {hi})), i -> substr(word, 1, i))")).alias("term"), "pos", "neg").where(F.length("term") >= lo)
-    stems = stems.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("forms"), F.max("pos").alias("top"))
     share = base["p"] / base["n"]
     p, n = F.col("pos"), F.col("neg")
     g2 = 2 * (p * F.log(p / (p + n) / share) + F.when(n > 0, n * F.log(n / (p + n) / (1 - share))).otherwise(0))
-    good = stems.where((p > 0) & ((p + 0.5) / (n + 0.5) / odds >= MIN_ODDS)).where(g2 >= MIN_G2)
-    good = stored(train.sparkSession, good, "toxic-stems")
+
+    def telling(terms: DataFrame) -> DataFrame:
+        return terms.where((p > 0) & ((p + 0.5) / (n + 0.5) / odds >= MIN_ODDS)).where(g2 >= MIN_G2)
+
+    stems = w.where(F.length("word") >= lo).select(
+        F.explode(F.expr(f"transform(sequence({lo}, least(length(word), {hi})), i -> substr(word, 1, i))")).alias("term"), "pos", "neg", (F.length("word") > hi).alias("cut"))
+    stems = stems.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max(F.struct("pos", "cut")).alias("top"))
+    good = stored(train.sparkSession, telling(stems), "toxic-stems")
     # a stem whose occurrences all go on with the same letter is not the whole term
     longer = good.select(F.expr("substr(term, 1, length(term) - 1)").alias("term"), F.col("pos").alias("_next")).groupBy("term").agg(F.max("_next").alias("_next"))
     closed = good.join(longer, "term", "left").where(F.col("_next").isNull() | (F.col("_next") < 0.98 * p))
-    closed = closed.withColumn("stem", F.col("top") < 0.98 * p)
-    # and one that begins with another closed stem adds nothing
-    begins = closed.select("term", F.explode(F.expr(f"transform(sequence({lo}, greatest(length(term) - 1, {lo})), i -> substr(term, 1, i))")).alias("_head")).where("_head != term")
-    heads = closed.where("stem").select(F.col("term").alias("_head"))
-    inside = begins.join(heads, "_head", "left_semi").select("term").distinct()
-    rows = closed.join(inside, "term", "left_anti").orderBy(F.desc("pos"), "term").limit(max_terms).select("term", "stem").collect()
+    # nor is one a stem that is hardly more than one word, unless it is cut from a longer one
+    closed = closed.select("term", "pos", ((F.col("top.pos") < 0.98 * p) | ((F.length("term") == hi) & F.col("top.cut"))).alias("stem"))
+    whole = telling(w.withColumnRenamed("word", "term")).where((F.col("texts") + 0.5) / (n + 0.5) / odds >= MIN_ODDS).select("term", "pos", F.lit(False).alias("stem"))
+    terms = stored(train.sparkSession, closed.unionByName(whole).groupBy("term", "stem").agg(F.max("pos").alias("pos")), "toxic-terms")
+    # a term of up to as many letters that begins with another closed stem adds nothing
+    begins = terms.where(F.length("term").between(lo, hi)).select("term", "stem", F.explode(F.expr(f"transform(sequence({lo}, length(term)), i -> substr(term, 1, i))")).alias("_head"))
+    begins = begins.where("_head != term or not stem")
+    inside = begins.join(terms.where("stem").select(F.col("term").alias("_head")), "_head", "left_semi").select("term", "stem").distinct()
+    rows = terms.join(inside, ["term", "stem"], "left_anti").orderBy(F.desc("pos"), "term", "stem").limit(max_terms).select("term", "stem").collect()
     return [(r["term"], r["stem"]) for r in rows]
 
 

@@ -423,6 +423,27 @@ def test_toxicity_learns(spark):
     assert toxicity.score_texts(docs.limit(0), model).count() == 0
 
 
+def test_toxic_words_of_any_length(spark):
+    rng = random.Random(16)
+    clean = ["".join(rng.choice("lmnoprst") for _ in range(5)) for _ in range(300)] + ["der"] * 60 + ["hello"] * 10
+    bad, rows, labels = ["zzk", "zzvolksverhetzen", "hell"], [], []
+    for i in range(900):
+        n = 30 if i % 6 else 200  # frequent words have many neighbours in the long texts
+        w = [rng.choice(clean) for _ in range(n)]
+        if i % 6 == 0:
+            for _ in range(9):
+                w.insert(rng.randrange(n), bad[i // 6 % 3])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 6 == 0)))
+    rows += [(1000 + k, f"a {w} and {w} here {w}") for k, w in enumerate(bad)] + [(1010, "der hello der hello"), (1011, "volksverhetzen zz hello der")]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(docs, lab)
+    assert {(w, False) for w in bad} <= set(model["terms"]) and not {"der", "hello"} & {t for t, _ in model["terms"]}
+    out = {r.doc_id: r.score for r in toxicity.score_texts(docs, model).collect()}
+    assert all(out[1000 + k] >= 0.5 for k in range(len(bad))) and out[1010] < 0.5 and out[1011] < 0.5
+    assert all((out[i] >= 0.5) == bool(t) for i, t in labels)
+
+
 # 10
 
 
