@@ -15,6 +15,7 @@ import re
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,9 +74,11 @@ class Page:
             if p >= 0:
                 self.children[p].append(i)
         self.shape: list = [None] * len(self.tag)
+        self.height = [0] * len(self.tag)
         for i in range(len(self.tag) - 1, -1, -1):
             key = (self.tag[i], tuple(self.shape[c] for c in self.children[i]))
             self.shape[i] = hash(key)
+            self.height[i] = 1 + max((self.height[c] for c in self.children[i]), default=0)
 
     def _node(self, tag: str, parent: int, text: str = "", state: int = 0) -> int:
         self.tag.append(tag)
@@ -173,77 +176,95 @@ class Page:
         return free
 
 
+CELLS = 1 << 22  # of the table of a matching; longer child lists are halved (Hirschberg), with the same weight
+
+
 def align(page: Page, ref: Page) -> dict[int, int]:
-    """Partner in ``ref`` of each node of ``page`` that simple tree matching pairs up. Iterative, so depth is no limit; equal
-    subtrees pair up at once, and child lists are trimmed of equal ends before the quadratic step."""
-    pairs: list[tuple[int, int]] = [(0, 0)]
-    weight: dict[tuple[int, int], int] = {}
-    plan: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    seen = {(0, 0)}
+    """Partner in ``ref`` of each node of ``page`` that simple tree matching pairs up. Iterative, so depth is no limit. What two
+    subtrees give depends on their shapes alone and is computed once for each two shapes; child lists are trimmed of equal ends
+    before the quadratic step."""
+    top = (page.shape[0], ref.shape[0])
+    pairs, nodes = [top], {top: (0, 0)}  # two shapes, and a node of each
+    middles: dict[tuple, tuple[int, int, int]] = {}
     k = 0
-    middles: dict[tuple[int, int], tuple[list, list, list]] = {}
     while k < len(pairs):
-        a, b = pairs[k]
-        k += 1
-        x, y = page.children[a], ref.children[b]
-        fixed, lo, hx, hy = [], 0, len(x), len(y)
-        while lo < hx and lo < hy and page.shape[x[lo]] == ref.shape[y[lo]]:
-            fixed.append((x[lo], y[lo]))
+        a, b = nodes[pairs[k]]
+        x, y = [page.shape[c] for c in page.children[a]], [ref.shape[d] for d in ref.children[b]]
+        lo, hx, hy = 0, len(x), len(y)
+        while lo < hx and lo < hy and x[lo] == y[lo]:
             lo += 1
-        while hx > lo and hy > lo and page.shape[x[hx - 1]] == ref.shape[y[hy - 1]]:
+        while hx > lo and hy > lo and x[hx - 1] == y[hy - 1]:
             hx, hy = hx - 1, hy - 1
-            fixed.append((x[hx], y[hy]))
-        mx, my = x[lo:hx], y[lo:hy]
-        middles[a, b] = (fixed, mx, my)
-        candidates = fixed + ([(c, d) for c in mx for d in my if page.tag[c] == ref.tag[d]] if len(mx) * len(my) <= 4096 else _in_order(page, ref, mx, my))
-        for pair in candidates:
-            if pair not in seen:
-                seen.add(pair)
+        middles[pairs[k]] = (lo, hx, hy)
+        k += 1
+        some_x, some_y = dict(zip(x[lo:hx], page.children[a][lo:hx])), dict(zip(y[lo:hy], ref.children[b][lo:hy]))
+        found = [(c, d) for c in some_x.values() for d in some_y.values() if page.tag[c] == ref.tag[d]]
+        for c, d in [*zip(page.children[a][:lo], ref.children[b][:lo]), *zip(page.children[a][hx:], ref.children[b][hy:]), *found]:
+            pair = (page.shape[c], ref.shape[d])
+            if pair not in nodes:
+                nodes[pair] = (c, d)
                 pairs.append(pair)
-    for a, b in reversed(pairs):
-        fixed, mx, my = middles[a, b]
-        total, chosen = 1 + sum(weight[p] for p in fixed), list(fixed)
-        if mx and my:
-            if len(mx) * len(my) <= 4096:
-                best = [[0] * (len(my) + 1) for _ in range(len(mx) + 1)]
-                for i, c in enumerate(mx):
-                    row, above = best[i + 1], best[i]
-                    for j, d in enumerate(my):
-                        take = above[j] + weight[c, d] if page.tag[c] == ref.tag[d] else 0
-                        row[j + 1] = max(above[j + 1], row[j], take)
-                i, j = len(mx), len(my)
-                total += best[i][j]
-                while i and j:
-                    if best[i][j] == best[i - 1][j]:
-                        i -= 1
-                    elif best[i][j] == best[i][j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        chosen.append((mx[i], my[j]))
-            else:
-                rest = _in_order(page, ref, mx, my)
-                total += sum(weight[p] for p in rest)
-                chosen += rest
-        weight[a, b], plan[a, b] = total, chosen
+    weight: dict[tuple, int] = {}
+    plan: dict[tuple, list[tuple[int, int]]] = {}  # indices of children
+    # a pair's children are of less height, but may have been found before it
+    for pair in sorted(pairs, key=lambda p: page.height[nodes[p][0]]):
+        a, b = nodes[pair]
+        lo, hx, hy = middles[pair]
+        x, y = page.children[a], ref.children[b]
+        chosen = [(i, i) for i in range(lo)] + [(hx + i, hy + i) for i in range(len(x) - hx)]
+        if hx > lo and hy > lo:
+            sx, sy = [page.shape[c] for c in x[lo:hx]], [ref.shape[d] for d in y[lo:hy]]
+            chosen += [(lo + i, lo + j) for i, j in _match(sx, sy, weight)]
+        plan[pair] = chosen
+        weight[pair] = 1 + sum(weight[page.shape[x[i]], ref.shape[y[j]]] for i, j in chosen)
     out, todo = {}, [(0, 0)]
     while todo:
         a, b = todo.pop()
         out[a] = b
-        todo += plan[a, b]
+        todo += [(page.children[a][i], ref.children[b][j]) for i, j in plan[page.shape[a], ref.shape[b]]]
     return out
 
 
-def _in_order(page: Page, ref: Page, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
-    """Pairs of long child lists: the n-th child of a tag with the n-th of that tag, as far as the order allows."""
-    out, j = [], 0
-    for c in xs:
-        k = j
-        while k < len(ys) and ref.tag[ys[k]] != page.tag[c]:
-            k += 1
-        if k < len(ys):
-            out.append((c, ys[k]))
-            j = k + 1
+def _match(xs: list, ys: list, weight: dict) -> list[tuple[int, int]]:
+    """Indices of the heaviest order-preserving matching of two lists; elements without a weight together can't be paired."""
+    kinds: dict = {}
+    column = np.array([kinds.setdefault(s, len(kinds)) for s in ys])
+    gains = {s: np.array([weight.get((s, t), 0) for t in kinds], dtype=np.int64) for s in set(xs)}
+
+    def rows(i0: int, i1: int, columns: np.ndarray, step: int = 1):
+        """Row by row, the best weight with each number of columns, and whether rows before it give the same."""
+        best = np.zeros(len(columns) + 1, dtype=np.int64)
+        for i in range(i0, i1)[::step]:
+            gain = gains[xs[i]][columns]
+            row = np.zeros_like(best)
+            np.maximum.accumulate(np.maximum(best[1:], np.where(gain > 0, best[:-1] + gain, 0)), out=row[1:])
+            yield best, row
+            best = row
+
+    out, todo = [], [(0, len(xs), 0, len(ys))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        n, m = i1 - i0, j1 - j0
+        if not n or not m:
+            continue
+        if n > 1 and n * m > CELLS:
+            mid = (i0 + i1) // 2
+            for _, ahead in rows(i0, mid, column[j0:j1]):
+                pass
+            for _, behind in rows(mid, i1, column[j0:j1][::-1], -1):
+                pass
+            cut = j0 + int(np.argmax(ahead + behind[::-1]))
+            todo += [(i0, mid, j0, cut), (mid, i1, cut, j1)]
+            continue
+        move = np.zeros((n, m), dtype=np.int8)  # 0: the row is not paired, 1: the column is not, 2: both are, together
+        for i, (best, row) in enumerate(rows(i0, i1, column[j0:j1])):
+            move[i] = np.where(row[1:] == best[1:], 0, np.where(row[1:] == row[:-1], 1, 2))
+        i, j = n, m
+        while i and j:
+            step = move[i - 1, j - 1]
+            if step == 2:
+                out.append((i0 + i - 1, j0 + j - 1))
+            i, j = i - (step != 1), j - (step != 0)
     return out
 
 

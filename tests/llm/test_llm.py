@@ -369,6 +369,26 @@ def test_simple_tree_matching():
     assert same == {i: i for i in range(len(a.tag))}
 
 
+def test_tree_matching_of_long_lists(monkeypatch):
+    text = [f"<p>a {i}" for i in range(150)]
+    a = wrapper.Page("<article><table><tr><td>t</table>" + "".join(text) + "<div>end</div></article>")
+    b = wrapper.Page("<article>" + "".join(text[:90]) + "<table><tr><td>t</table><h2>h</h2><div>end</div></article>")
+    pairs = wrapper.align(a, b)
+    assert sum(a.text[x].startswith("a ") for x in pairs) == 90 and pairs[a.text.index("end")] == b.text.index("end")
+    rng = random.Random(4)
+    x, y = (wrapper.Page("<div>" + "".join(rng.choice(["<p>x</p>", "<ul><li>1</ul>", "<h2>h</h2>"]) for _ in range(n)) + "</div>") for n in (90, 70))
+    left, right = ([p.tag[c] for c in p.children[1]] for p in (x, y))
+    best = [[0] * 71 for _ in range(91)]
+    for i, j in itertools.product(range(90), range(70)):
+        pair = best[i][j] + (3 if left[i] == "ul" else 2) if left[i] == right[j] else 0
+        best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], pair)
+    for cells in (wrapper.CELLS, 50):  # in one table, and by halves
+        monkeypatch.setattr(wrapper, "CELLS", cells)
+        got = wrapper.align(x, y)
+        order = [got[c] for c in x.children[1] if c in got]
+        assert len(got) == 2 + best[90][70] and order == sorted(set(order)) and all(x.tag[c] == y.tag[d] for c, d in got.items())
+
+
 # 9
 
 
