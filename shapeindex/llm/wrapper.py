@@ -7,7 +7,8 @@ text): a node whose text is the same on most pages is template, a varying one is
 partner in the reference vary by definition.
 
 What a page itself marks as not content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of
-readers: by tag, role, class or id) is no slot. In a page with an article (or else a main part) the slots are those in it.
+readers: by tag, role, class or id) is no slot. In a page with an article (or else a main part) that holds the larger part of
+the other text the slots are those in it.
 """
 from __future__ import annotations
 
@@ -44,31 +45,49 @@ OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar footer masthead cookie cookies "
     "consent gdpr notice alert popup modal overlay newsletter subscribe signup share sharing social comment comments reply replies respond disqus related "
     "recommended breadcrumb breadcrumbs widget login search pagination pager skip toolbar topbar".split())
+#: FIXED values: what such a name may be joined with in one class or id ("site-footer", "ad-box-2").
+NAME_ADDS = frozenset("site page main global primary secondary top bottom left right inner outer box bar block area list item wrapper container section".split())
+READERS = frozenset("comment comments reply replies respond disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
+def _names(value: str) -> set[str]:
+    """Names of OUT_NAMES in a class or id: of its words those that consist of such names, NAME_ADDS and numbers only."""
+    out = set()
+    for word in value.split():
+        parts = {x for x in NAME_PARTS.split(word) if x and not x.isdigit()}
+        if parts <= OUT_NAMES | NAME_ADDS:
+            out |= parts & OUT_NAMES
+    return out
+
+
 @lru_cache(1 << 14)
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is marked as not content, and as a main part."""
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is marked as not content, as a main part, and whether its class or id alone marks it so that it
+    counts only beside other text."""
     if tag in OUT_TAGS:
-        return True, False
+        return True, False, False
     a = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
     role = a.get("role", "")
-    names = set(NAME_PARTS.split(f"{a.get('class', '')} {a.get('id', '')}"))
+    names = _names(f"{a.get('class', '')} {a.get('id', '')}")
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
-    out = hidden or bool(set(role.split()) & OUT_ROLES) or (tag not in ("body", "html", "article", "main") and bool(names & OUT_NAMES))
-    out = out or (tag == "article" and bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"}))
-    return out, tag == "main" or role == "main"
+    out = hidden or bool(set(role.split()) & OUT_ROLES)
+    if tag == "article":
+        named = bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"})
+    else:
+        named = tag not in ("body", "html", "main") and tag not in HEADINGS and bool(names)
+    return out or named, tag == "main" or role == "main", named and not out and not names & READERS
 
 
 class Page:
     """DOM in arrays: per node its tag (text blocks: "#"), parent, and for text blocks the text."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.text, self.state = ["html"], [-1], [""], [0]
-        self._build(html)
+        if around := self._build(html, frozenset()):
+            self._build(html, around)
         self.children: list[list[int]] = [[] for _ in self.tag]
         for i, p in enumerate(self.parent):
             if p >= 0:
@@ -87,9 +106,15 @@ class Page:
         self.state.append(state)
         return len(self.tag) - 1
 
-    def _build(self, html: str) -> None:
-        """state bits: 1 not content, 2 inside a main part, 4 inside an article."""
+    def _build(self, html: str, around: frozenset) -> frozenset:
+        """state bits: 1 not content, 2 inside a main part, 4 inside an article. The names of the elements that begin at
+        ``around`` mark nothing. Gives those whose names should not: they hold nine tenths of the text that is not marked
+        otherwise."""
+        self.tag, self.parent, self.text, self.state = ["html"], [-1], [""], [0]
         stack, words, pos = [0], [], 0
+        named: dict[int, list[int]] = {}  # by node: where it begins, letters in it before those of named elements inside, the one around it
+        inside, other = {0: 0}, {0: False}  # by node on the stack: the named element it is in; whether other marks hold
+        free = 0
 
         def flush():
             if words:
@@ -116,6 +141,12 @@ class Page:
                 if t[0] != "<" or t == "<":
                     if not self.state[stack[-1]] & 1:
                         words.append(unescape(t) if "&" in t else t)
+                    if not other[stack[-1]]:
+                        letters = sum(map(len, t.split()))
+                        if k := inside[stack[-1]]:
+                            named[k][1] += letters
+                        else:
+                            free += letters
                 continue
             name = name.lower()
             if m[1]:  # end tag
@@ -159,19 +190,33 @@ class Page:
                     pop_to(found)
             if name in BLOCK:
                 flush()
-            up = self.state[stack[-1]]
-            out, main = _marks(name, m[3].strip())
+            up, above = self.state[stack[-1]], stack[-1]
+            out, main, by_name = _marks(name, m[3].strip())
+            if by_name and m.start() in around:
+                out = by_name = False
             if name == "header":
                 out = out or not up & 6
             state = up | (1 if out else 0) | (2 if main else 0) | (4 if name == "article" and not out else 0)
             stack.append(self._node(name, stack[-1], "", state))
+            inside[stack[-1]], other[stack[-1]] = inside[above], other[above] or (out and not by_name)
+            if by_name and not other[above]:
+                named[stack[-1]] = [m.start(), 0, inside[above]]
+                inside[stack[-1]] = stack[-1]
         flush()
+        for k in sorted(named, reverse=True):  # those inside come after those around them
+            if named[k][2]:
+                named[named[k][2]][1] += named[k][1]
+        total = free + sum(n for _, n, k in named.values() if not k)
+        return frozenset(start for start, n, _ in named.values() if n and n >= 0.9 * total)
 
     def blocks(self) -> list[int]:
-        """Text blocks that may be content: in articles, or else in main parts, or else anywhere outside marked elements."""
+        """Text blocks that may be content: in articles, or else in main parts, if they hold the larger part of the text
+        outside marked elements; or else all of that."""
         free = [i for i, t in enumerate(self.tag) if t == "#" and not self.state[i] & 1]
+        total = sum(len(self.text[i]) for i in free)
         for bit in (4, 2):
-            if inside := [i for i in free if self.state[i] & bit]:
+            inside = [i for i in free if self.state[i] & bit]
+            if 2 * sum(len(self.text[i]) for i in inside) > total:
                 return inside
         return free
 

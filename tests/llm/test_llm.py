@@ -389,6 +389,21 @@ def test_tree_matching_of_long_lists(monkeypatch):
         assert len(got) == 2 + best[90][70] and order == sorted(set(order)) and all(x.tag[c] == y.tag[d] for c, d in got.items())
 
 
+def test_names_that_mark_no_content():
+    def text(html):
+        p = wrapper.Page(html)
+        return [p.text[i] for i in p.blocks()]
+
+    body = "<h2 id='search-algorithms'>Search algorithms</h2><p>long text</p><h2 id=search>S</h2><section id='social-policy'><p>policy</p></section><h2 id='related-work'>Related</h2>"
+    want = ["Search algorithms", "long text", "S", "policy", "Related"]
+    marked = "<nav>n</nav><div class='site-footer'>f</div><div class='x cookie-banner'>c</div><p id=ad-2>buy</p><div class=comments>no</div>"
+    for around in ("content no-sidebar", "has-sidebar", "widget"):
+        assert text(f"<body><nav>menu menu menu</nav><div class='{around}'>{body}</div></body>") == want
+    assert text(f"<article>{body}{marked}</article>") == want == text(f"<div>{body}{marked}</div>")
+    assert text("<div class=comments>only what readers say</div>") == []
+    assert text("<div><p>The main text of the page</p></div><article><p>teaser</p></article>") == ["The main text of the page", "teaser"]
+
+
 # 9
 
 
