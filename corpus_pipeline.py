@@ -45,7 +45,7 @@ STAGES = [
     ("benchmark_decontamination", drop_contaminated),
     ("bpe", encode),
 ]
-#: Learned scores, sampled registers and token merges can't be written in SQL; tests compare each stage with brute force.
+#: Learned scores, sampled registers and token merges can't be written in SQL; tests compare the operators behind the stages with brute force.
 ORACLE_SQL = None
 
 
