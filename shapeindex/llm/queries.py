@@ -10,6 +10,7 @@ from .suffixes import op8_suffix_dedup
 from .token_counts import op6_token_counts
 from .tokenizer import op10_bpe
 from .toxicity import op9_toxicity
+from .turns import OP11_SQL, op11_turn_repair
 from .wrapper import op7_wrapper_text
 
 QUERIES = {
@@ -23,5 +24,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_turn_repair": op11_turn_repair,
 }
-SQL = {"op2_bitsliced_topk": OP2_SQL, "op1_shard_interleave": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_substring_dedup": OP5_SQL}
+SQL = {"op2_bitsliced_topk": OP2_SQL, "op1_shard_interleave": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_substring_dedup": OP5_SQL,
+       "op11_turn_repair": OP11_SQL}
