@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 from .bitsliced import OP2_SQL, op2_bitsliced_topk
+from .curve_packing import op13_curve_packing
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .maxscore import OP12_SQL, op12_ranked_search
 from .neardup import op4_minhash_near_dedup
 from .repeats import OP5_SQL, op5_substring_dedup
 from .sharding import OP1_SQL, op1_shard_interleave
@@ -25,6 +27,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op11_turn_repair": op11_turn_repair,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_curve_packing": op13_curve_packing,
 }
 SQL = {"op2_bitsliced_topk": OP2_SQL, "op1_shard_interleave": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_substring_dedup": OP5_SQL,
-       "op11_turn_repair": OP11_SQL}
+       "op11_turn_repair": OP11_SQL, "op12_ranked_search": OP12_SQL}
