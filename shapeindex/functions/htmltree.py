@@ -204,3 +204,32 @@ def section_items(root: Element, page_url: str, rules: HtmlRules) -> list[tuple]
     """EXT4-EXT7: (title, url, raw snippets) per section/definition with code, in crawl order."""
     first = next((e for e in root.iter() if e.tag == rules.section_tag and e.has_class(rules.section_class)), None)
     return [] if first is None else _walk(first, page_url, rules)
+
+# --------------------------------------------------------------------------- the tree as rows
+
+def rows(root: Element) -> dict[str, list]:
+    """The tree in preorder, one entry per element and text node: ``pre`` numbers them, the subtree of a node is
+    ``[pre, pre + size - 1]``. Text nodes have the tag ``#text``; text inside scripts and styles has the tag ``#hidden``."""
+    out: dict[str, list] = {c: [] for c in ("pre", "size", "parent", "depth", "tag", "parent_tag", "cls", "id", "href", "text")}
+    stack: list[tuple] = [(root, -1, 0, False)]
+    n = 0
+    while stack:
+        node, parent, depth, hidden = stack.pop()
+        text = isinstance(node, str)
+        out["pre"].append(n)
+        out["size"].append(1)
+        out["parent"].append(parent)
+        out["depth"].append(depth)
+        out["tag"].append(("#hidden" if hidden else "#text") if text else node.tag)
+        out["parent_tag"].append(out["tag"][parent] if parent >= 0 else None)
+        out["cls"].append(None if text else node.attrs.get("class"))
+        out["id"].append(None if text else node.attrs.get("id"))
+        out["href"].append(None if text else node.attrs.get("href"))
+        out["text"].append(node if text else None)
+        if not text:
+            below = hidden or node.tag in ("script", "style")
+            stack += [(c, n, depth + 1, below) for c in reversed(node.children)]
+        n += 1
+    for k in range(n - 1, 0, -1):
+        out["size"][out["parent"][k]] += out["size"][k]
+    return out

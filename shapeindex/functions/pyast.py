@@ -5,49 +5,127 @@ contains no Spark code and no cross-row state. Everything after it is relational
 
 Nodes are numbered in preorder (``pre``); the subtree of node ``i`` is ``[i, i + size - 1]``.
 ``height`` is the longest downward path (leaf = 0), so "some node at relative depth >= k"
-is ``height >= k``. Hashes are computed bottom-up in O(n) (a Merkle hash over the canonical
-dump's structure) unless an option makes the dump depend on the term root, in which case the
-printed dump text is hashed.
+is ``height >= k``. Hashes are computed bottom-up in O(n) (a 128-bit Merkle digest over the canonical
+dump's structure, of which the first half is the term hash) unless an option makes the dump depend on the
+term root, in which case the printed dump text is hashed. Dumps are made bottom-up too; nothing recurses.
 """
 from __future__ import annotations
 
 import ast
+from decimal import Decimal
 
 import xxhash
 
 from ..config import TokenizerOptions
 
+AST = ast.AST
 _SEED = 42
 PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError)
 
 
-def signed64(data: bytes) -> int:
-    v = xxhash.xxh64_intdigest(data, seed=_SEED)
-    return v - (1 << 64) if v >= (1 << 63) else v
-
-
-def dump_text(node, opts: TokenizerOptions, depth: int = 0) -> str:
-    """Canonical dump of a subtree: ``Type(field=value, ...)``, ``[a, b]`` or ``repr``."""
-    if opts.max_depth is not None and depth > opts.max_depth:
-        return type(node).__name__
-    if isinstance(node, list):
-        return "[" + ", ".join(dump_text(x, opts, depth + 1) for x in node) + "]"
-    if not isinstance(node, ast.AST):
-        return repr(node)
-    pieces = []
-    any_field = False
-    for fname, value in ast.iter_fields(node):
-        any_field = True
-        text = dump_text(value, opts, depth + 1)
-        if not opts.annotate_fields:
-            pieces.append(text)
-        elif fname not in opts.drop_field_names and text not in opts.drop_field_values:
-            pieces.append(fname + "=" + text)
-    out = type(node).__name__ + "(" + ", ".join(pieces)
-    if opts.include_attributes and node._attributes:
-        out += ", " if any_field else " "
-        out += ", ".join(a + "=" + dump_text(getattr(node, a), opts, depth + 1) for a in node._attributes)
-    return out + ")"
+def halves(digest: bytes) -> tuple[int, int]:
+    """A 128-bit digest as two signed 64-bit integers: the term hash, and the check that tells hash clashes."""
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
+def text_digest(text: str) -> tuple[int, int]:
+    """Term hash and check of a printed term; the hash is that of ``xxhash64`` in Spark."""
+    data = text.encode("utf-8", "surrogatepass")
+    return halves(xxhash.xxh64_digest(data, seed=_SEED) + xxhash.xxh3_64_digest(data, seed=_SEED))
+
+
+def scalar_text(value) -> str:
+    """``repr`` of a field value that is neither a node nor a list; integers of any length in decimal digits."""
+    if type(value) is int and value.bit_length() > 14_000:  # the interpreter refuses to print these
+        return format(Decimal(value), "f")
+    return repr(value)
+
+
+class Dumps:
+    """Canonical dumps of subtrees, made from the leaves up: ``Type(field=value, ...)``, ``[a, b]`` or ``repr``.
+
+    A node keeps its variants by the number of levels that may still be printed below it (the last variant is the whole
+    subtree; without ``max_depth`` it is the only one). They are put together from the variants of its values, so
+    nothing recurses, and they go when the parent has used them.
+    """
+
+    def __init__(self, opts: TokenizerOptions) -> None:
+        self.opts = opts
+        self.drop_fields = opts.drop_field_names if opts.annotate_fields else frozenset()
+        self.drop_values = opts.drop_field_values if opts.annotate_fields else frozenset()
+        self.variants: dict[int, tuple[int, list[str]]] = {}  # by id(node): levels of the first, and all that may be asked for
+
+    def _levels(self, value) -> int:
+        """Levels below ``value`` in its longest dump."""
+        if isinstance(value, AST):
+            low, known = self.variants[id(value)]
+            return low + len(known) - 1
+        if type(value) is list:
+            return 1 + max(map(self._levels, value)) if value else 0
+        return 0
+
+    def _shown(self, value, left: int | None) -> str:
+        if left is not None and left < 0:
+            return type(value).__name__
+        if isinstance(value, AST):
+            low, known = self.variants[id(value)]
+            return known[-1 if left is None else min(left - low, len(known) - 1)]
+        if type(value) is list:
+            return "[" + ", ".join([self._shown(x, None if left is None else left - 1) for x in value]) + "]"
+        return scalar_text(value)
+
+    def _text(self, node, values: list, left: int | None) -> str:
+        below = None if left is None else left - 1
+        pieces = []
+        for name, value in zip(node._fields, values, strict=True):
+            if name in self.drop_fields:
+                continue
+            text = self._shown(value, below)
+            if text not in self.drop_values:
+                pieces.append(f"{name}={text}" if self.opts.annotate_fields else text)
+        out = f"{type(node).__name__}({', '.join(pieces)}"
+        if self.opts.include_attributes and node._attributes:
+            shown = ", ".join([f"{a}={self._shown(getattr(node, a), below)}" for a in node._attributes])
+            out += (", " if values else " ") + shown
+        return out + ")"
+
+    def add(self, node, values: list, depth: int) -> str:
+        """The dump of ``node`` under the options, given that all nodes below it have been added. At ``depth`` below the topmost
+        node that is printed, no more than two levels a step (a list is one) can be missing."""
+        low = 0
+        if self.opts.max_depth is None:
+            made = [self._text(node, values, None)]
+        else:
+            levels = 1 + max(map(self._levels, values)) if values else 0
+            if self.opts.include_attributes and node._attributes:
+                levels = max(levels, 1)
+            top = min(levels, self.opts.max_depth)
+            low = min(top, max(0, self.opts.max_depth - 2 * depth - 2))
+            made = [self._text(node, values, left) for left in range(low, top + 1)]
+        for v in values:
+            for x in v if type(v) is list else (v,):
+                if isinstance(x, AST) and x._fields:  # nodes without fields may be one object in many places
+                    self.variants.pop(id(x), None)
+        self.variants[id(node)] = low, made
+        return made[-1]
+
+
+def _values(node) -> list:
+    return [getattr(node, f, None) for f in node._fields]
+
+
+def dump_text(node, opts: TokenizerOptions) -> str:
+    """Canonical dump of the subtree of ``node``."""
+    order, stack = [], [(node, 0)]
+    while stack:
+        x, depth = stack.pop()
+        order.append((x, _values(x), depth))
+        for v in order[-1][1]:
+            stack += [(y, depth + 1) for y in (v if type(v) is list else (v,)) if isinstance(y, AST)]
+    dumps, text = Dumps(opts), ""
+    for x, values, depth in reversed(order):
+        text = dumps.add(x, values, depth)
+    return text
 
 
 def _encode_value(value, digests: dict) -> bytes:
@@ -63,16 +141,13 @@ def _encode_value(value, digests: dict) -> bytes:
 class Parsed:
     """Flat preorder arrays of one parsed text."""
 
-    __slots__ = ("node_type", "depth", "parent", "size", "height", "lineno", "term_hash", "pos",
+    __slots__ = ("node_type", "depth", "parent", "size", "height", "lineno", "term_hash", "term_check", "pos",
                  "first_term_hash", "term_text", "n_terms")
 
     def __len__(self):
         return len(self.node_type)
 
 
-AST = ast.AST
-
-
 _FIELD_CACHE: dict = {}
 
 
@@ -128,25 +203,27 @@ def analyze(source: str, opts: TokenizerOptions, with_text: bool = False, hashes
     drop_nodes = opts.drop_node_names
     is_term = [height[i] >= min_depth and names[i] not in drop_nodes for i in range(n)]
 
-    term_hash = [None] * n
+    term_hash, term_check = [None] * n, [None] * n
     term_text = [None] * n if with_text else None
-    if not hashes:
-        pass
-    elif opts.uses_text_hash:
-        for i in range(n):
-            if is_term[i]:
-                text = dump_text(order[i], opts)
-                term_hash[i] = signed64(text.encode("utf-8", "surrogatepass"))
-                if with_text:
-                    term_text[i] = text
-    else:
-        # only nodes at or below a term need a digest (a term's hash covers its whole subtree)
+    need_text = hashes and (with_text or opts.uses_text_hash)
+    if need_text or (hashes and not opts.uses_text_hash):
+        # only nodes at or below a term matter (a term covers its whole subtree)
         in_term = [False] * n
         for i in range(n):
             in_term[i] = is_term[i] or (i > 0 and in_term[parent[i]])
+    if need_text:
+        dumps, same = Dumps(opts), {}
+        for i in range(n - 1, -1, -1):
+            if in_term[i]:
+                text = dumps.add(order[i], values_of[i], depth[i])
+                if is_term[i]:
+                    if with_text:
+                        term_text[i] = same.setdefault(text, text)  # equal subtrees share one text
+                    if opts.uses_text_hash:
+                        term_hash[i], term_check[i] = text_digest(text)
+    if hashes and not opts.uses_text_hash:
         digests: dict = {}
-        seed = _SEED
-        digest = xxhash.xxh64_digest
+        digest = xxhash.xxh3_128_digest
         for i in range(n - 1, -1, -1):
             if not in_term[i]:
                 continue
@@ -160,11 +237,9 @@ def analyze(source: str, opts: TokenizerOptions, with_text: bool = False, hashes
                     if not dropped:
                         parts.append(fb)
                         parts.append(b"A" + digests[id(v)] if isinstance(v, AST) else _encode_value(v, digests))
-                dg = digests[key] = digest(b"".join(parts), seed=seed)
+                dg = digests[key] = digest(b"".join(parts), seed=_SEED)
             if is_term[i]:
-                term_hash[i] = int.from_bytes(dg, "big", signed=True)
-                if with_text:
-                    term_text[i] = dump_text(node, opts)
+                term_hash[i], term_check[i] = halves(dg)
 
     pos = [None] * n
     k = 0
@@ -189,6 +264,7 @@ def analyze(source: str, opts: TokenizerOptions, with_text: bool = False, hashes
     out.height = height
     out.lineno = [getattr(x, "lineno", None) for x in order]
     out.term_hash = term_hash
+    out.term_check = term_check
     out.pos = pos
     out.first_term_hash = first
     out.term_text = term_text

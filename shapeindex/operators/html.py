@@ -10,14 +10,13 @@ import ast
 from functools import partial
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import LIBRARY_RULES, SHELL_PROMPTS, HtmlRules
 from ..functions import htmltree
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import scratch_path, ship_package
 
 _LINK = pa.struct([("ord", pa.int32()), ("href", pa.string()), ("link", pa.string())])
 _ITEM = pa.struct([("ord", pa.int32()), ("title", pa.string()), ("url", pa.string()),
@@ -196,30 +195,28 @@ def files_to_documents(files: DataFrame, repos: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- EXT3
 
-def crawl_edges(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
-                checkpoint: bool = True) -> DataFrame:
-    """EXT3 frontier over an edge table (src, dst): (url, depth) with each url once at its
-    smallest depth. A bounded loop of joins; the visited set is checkpointed to the shared folder
-    at every level, so the lineage stays one level long and a lost executor recomputes one level."""
-    if checkpoint:
-        ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select("src", "dst").distinct()
-    frontier = seeds.select(F.col("url")).distinct().withColumn("depth", F.lit(0))
-    visited = frontier  # seeds are a cheap read; every level below is checkpointed
+def crawl_edges(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """EXT3 frontier over an edge table (src, dst): (url, depth) with each url once at its smallest depth.
+
+    A loop of joins; a level's new urls are written once to the shared folder, and no level before is written or computed
+    again, so the lineage stays one level long and a lost executor recomputes one level. A level's urls are made distinct after the
+    join, so ``edges`` are never shuffled for that.
+    """
+    spark = edges.sparkSession
+    root = scratch_path(spark, "crawl")
+    e = edges.select("src", "dst")
+    seeds.select(F.col("url").cast("string")).distinct().write.parquet(f"{root}/depth=0")
     level = 0
     while max_depth is None or level < max_depth:
+        seen = spark.read.schema("url string, depth int").parquet(root)
+        frontier = seen.where(F.col("depth") == level).select("url")
         nxt = (frontier.join(e, frontier["url"] == e["src"]).select(F.col("dst").alias("url")).distinct()
-               .join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(level + 1))
-               .persist(StorageLevel.MEMORY_AND_DISK))
-        if nxt.isEmpty():
-            nxt.unpersist()
+               .join(seen.select("url"), "url", "left_anti"))
+        nxt.write.parquet(f"{root}/depth={level + 1}")
+        if spark.read.schema("url string").parquet(f"{root}/depth={level + 1}").isEmpty():
             break
-        visited = visited.unionByName(nxt)
-        if checkpoint:
-            visited = visited.checkpoint()
-        frontier = nxt
         level += 1
-    return visited
+    return spark.read.schema("url string, depth int").parquet(root)
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, rules: HtmlRules = LIBRARY_RULES,
@@ -229,8 +226,9 @@ def crawl(pages: DataFrame, seeds: DataFrame, rules: HtmlRules = LIBRARY_RULES,
     linked page is parsed."""
     links = toc_links(pages, rules).select(F.col("url").alias("src"), F.col("link").alias("dst"))
     links = links.join(pages.select(F.col("url").alias("dst")), "dst", "left_semi")  # only known pages
-    ensure_checkpoint_dir(pages.sparkSession)
-    links = links.checkpoint()
+    path = scratch_path(pages.sparkSession, "links")
+    links.write.parquet(path)  # the pages are parsed once
+    links = pages.sparkSession.read.parquet(path)
     depth = max_depth if rules.recursive_toc else 1
     visited = crawl_edges(links, seeds, depth)
     if rules.recursive_toc:

@@ -11,7 +11,8 @@ An index is a folder of immutable segments plus versioned metadata::
     <path>/terms-…/, stats-…/            document frequencies and collection statistics
 
 A commit writes new folders and then a new metadata file (``overwrite=False``), so readers see
-either the old or the new version. Statistics are recomputed from live rows at each commit.
+either the old or the new version. Statistics are kept incrementally: previous values, plus the new segment's, minus
+those of replaced documents.
 """
 from __future__ import annotations
 
@@ -31,7 +32,7 @@ from ..schemas import INDEX_NODE, INDEX_POSTING, SNIPPET, TERM_STAT
 from ..sources import store
 from . import terms as tok
 
-KINDS = ("structural", "words")
+KINDS = ("structural", "words", "tokens")  # "tokens": a tokenizer given by the caller
 
 _DOC_BUCKET = T.StructField("doc_bucket", T.IntegerType())
 TABLE_SCHEMAS = {
@@ -75,6 +76,7 @@ class Index:
     spark: SparkSession
     path: str
     meta: dict = field(default_factory=dict)
+    tokenizer: tok.TokenizerSpec | None = None
 
     # ---- metadata
     @property
@@ -110,6 +112,10 @@ class Index:
             return None
         return _union_all([self._read(f"{s}/{table}", TABLE_SCHEMAS[table]) for s in segs])
 
+    def segment(self, name: str, table: str) -> DataFrame:
+        """One segment's rows of a table, as they were written."""
+        return self._read(f"{name}/{table}", TABLE_SCHEMAS[table])
+
     # ---- live views
     def tombstones(self) -> DataFrame | None:
         t = self.meta.get("tombstones")
@@ -160,41 +166,62 @@ def _fresh(kind: str, version: int) -> str:
     return f"{kind}-{version:06d}-{uuid.uuid4().hex[:8]}"
 
 
+def stored_beside(idx: Index, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a folder of its own under the index's, and read back."""
+    stage = idx._p(_fresh(f"{name}-stage", idx.version + 1))
+    df.write.parquet(stage)
+    return idx.spark.read.schema(df.schema).parquet(stage)
+
+
 def _meta_dir(path: str) -> str:
     return f"{path.rstrip('/')}/_meta"
 
 
 def create_index(spark: SparkSession, path: str, kind: str = "structural",
                  options: TokenizerOptions = DEFAULT_OPTIONS, term_buckets: int | None = None,
-                 doc_buckets: int | None = None) -> Index:
+                 doc_buckets: int | None = None, tokenizer: tok.TokenizerSpec | None = None) -> Index:
     """SRC6: create an empty index; an existing one is an error.
 
+    With ``tokenizer`` (UDF1) documents and queries are cut into terms by it; its name and version stay with the index.
+
     Bucket counts fix the hash layout of postings/terms (``term_buckets``) and of
     snippets/nodes (``doc_buckets``). ``None`` sizes them at the first build from Spark's size
     estimate of that input (``choose_buckets``); give them explicitly for an index that will grow
     far beyond its first batch (e.g. fed by a stream)."""
-    assert kind in KINDS
+    if tokenizer is not None:
+        kind = "tokens"
+    if kind not in KINDS or (kind == "tokens") != (tokenizer is not None):
+        raise ValueError(f"kind is structural or words, or a tokenizer is given; not {kind!r}")
     if store.exists(spark, _meta_dir(path)):
         raise RuntimeError(f"Index already exists at {path}")
     meta = {"version": 0, "kind": kind, "options": options_to_json(options), "python": python_tag(),
             "term_buckets": term_buckets, "doc_buckets": doc_buckets, "segments": [],
-            "tombstones": None, "terms": None, "stats": None, "next_batch_seq": 0}
+            "tombstones": None, "terms": None, "stats": None, "next_batch_seq": 0, "next_snippet_id": 0}
+    if tokenizer is not None:
+        meta["tokenizer"] = {"name": tokenizer.name, "version": tokenizer.version}
     store.mkdirs(spark, _meta_dir(path))
     idx = Index(spark, path, meta)
     _commit(idx, meta, new_segment=None, new_tombstones=None)
-    return open_index(spark, path)
+    return open_index(spark, path, tokenizer)
 
 
-def open_index(spark: SparkSession, path: str) -> Index:
+def open_index(spark: SparkSession, path: str, tokenizer: tok.TokenizerSpec | None = None) -> Index:
     """SRC6: open the latest version; a missing index is an error. A structural index built by
-    another Python version is refused (term text depends on the grammar version)."""
+    another Python version is refused (term text depends on the grammar version). So is an index of another tokenizer or
+    another version of it than ``tokenizer`` or, without one, the registered tokenizer of the index's name."""
     names = [n for n in store.list_names(spark, _meta_dir(path)) if n.endswith(".json")]
     if not names:
         raise RuntimeError(f"There is no index at {path}")
     meta = store.read_json(spark, f"{_meta_dir(path)}/{names[-1]}")
     if meta["kind"] == "structural" and meta["python"] != python_tag():
         raise RuntimeError(f"index built with Python {meta['python']}, this is {python_tag()}")
-    return Index(spark, path, meta)
+    if meta["kind"] == "tokens":
+        built = meta["tokenizer"]
+        tokenizer = tokenizer or tok.TOKENIZERS.get(built["name"])
+        if tokenizer is None or (tokenizer.name, tokenizer.version) != (built["name"], built["version"]):
+            known = "no tokenizer of that name" if tokenizer is None else f"{tokenizer.name} {tokenizer.version}"
+            raise RuntimeError(f"index built with tokenizer {built['name']} {built['version']}, there is {known}")
+    return Index(spark, path, meta, tokenizer if meta["kind"] == "tokens" else None)
 
 
 def _commit(idx: Index, meta: dict, new_segment: str | None, new_tombstones: DataFrame | None) -> Index:
@@ -215,8 +242,10 @@ def _commit(idx: Index, meta: dict, new_segment: str | None, new_tombstones: Dat
         seg_post = prev._read(f"{new_segment}/postings", INDEX_POSTING)
         deltas.append(term_stats(seg_post))
         r = prev._read(f"{new_segment}/snippets", TABLE_SCHEMAS["snippets"]).agg(
-            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t"), F.max("snippet_id").alias("m")).first()
         n_docs, total_len = n_docs + int(r["n"]), total_len + int(r["t"])
+        if r["m"] is not None:
+            meta["next_snippet_id"] = max(meta.get("next_snippet_id", 0), int(r["m"]) + 1)
         meta["segments"] = list(meta["segments"]) + [new_segment]
     if new_tombstones is not None:
         fresh = new_tombstones.select("snippet_id").distinct()
@@ -289,25 +318,35 @@ def doc_freq(postings: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- documents in
 
-def _own_ids(docs: DataFrame, key: list[str]) -> DataFrame:
-    """Adds ``snippet_id``, which no other document of the index has: it hashes the batch, the ``key`` columns and a number
-    among equal rows. Equal rows are counted (with partial sums) and numbered when the count is unfolded, so the ids
-    are the same on every run and a row that most of the batch repeats is no hot group."""
-    cols = docs.columns
-    counted = docs.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    counted = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    # titles may differ where the key is equal: they count too
-    return counted.select(*cols, F.xxhash64("batch_seq", *key, "title", "_copy").alias("snippet_id"))
-
+def _numbered(idx: Index, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``snippet_id``: the index's next numbers in the order of partitions and rows.
 
-def _with_defaults(docs: DataFrame, batch_seq: int) -> DataFrame:
+    The rows are written once, so every later pass sees the same numbers; only counts per partition are summed up (one
+    row a partition). No text is hashed, compared or shuffled: rows that are equal, or differ in a null only, are documents of
+    their own like any others.
+    """
+    spark = idx.spark
+    stage = idx._p(_fresh("docs-stage", idx.version + 1))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    docs.withColumns({"_part": F.spark_partition_id(), "_row": row}).write.parquet(stage)
+    docs = spark.read.parquet(stage)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    starts = docs.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
+    first = idx.meta.get("next_snippet_id", 0)
+    if first > (1 << 62):
+        raise ValueError("ids given by the caller leave no room for further ones; give the ids of this batch too")
+    numbered = docs.join(F.broadcast(starts), "_part").withColumn("snippet_id", F.col("_before") + F.col("_row") + F.lit(first).cast("long"))
+    return numbered.drop("_part", "_row", "_before")
+
+
+def _with_defaults(idx: Index, docs: DataFrame, batch_seq: int) -> DataFrame:
     cols = docs.columns
     if "batch_seq" not in cols:
         docs = docs.withColumn("batch_seq", F.lit(batch_seq).cast("long"))
     if "ord" not in cols:
         docs = docs.withColumn("ord", F.lit(0))
     if "snippet_id" not in cols:
-        docs = _own_ids(docs.select("batch_seq", "ord", "title", "url", "content"), ["url", "ord", "content"])
+        docs = _numbered(idx, docs.select("batch_seq", "ord", "title", "url", "content"))
     return docs.select(F.col("snippet_id").cast("long"), F.col("batch_seq").cast("long"),
                        F.col("ord").cast("int"), "title", "url", "content")
 
@@ -384,7 +423,7 @@ def _parse_once_per_text(docs: DataFrame, options: TokenizerOptions, dedupe: boo
 
 def _build_segment(idx: Index, docs: DataFrame, seq: int, dedupe: bool | None = None) -> tuple[str, int, int]:
     """Tokenize ``docs`` and write them as a new segment; returns (segment, accepted, rejected)."""
-    docs = _with_defaults(docs, seq)
+    docs = _with_defaults(idx, docs, seq)
     if idx.meta.get("term_buckets") is None or idx.meta.get("doc_buckets") is None:
         tb, dbk = choose_buckets(docs)
         idx.meta = dict(idx.meta, term_buckets=idx.meta.get("term_buckets") or tb,
@@ -404,6 +443,8 @@ def _build_segment(idx: Index, docs: DataFrame, seq: int, dedupe: bool | None =
         finally:
             parsed.unpersist()
         return seg, int(counts["a"]), int(counts["r"])
+    if idx.kind == "tokens":
+        return _build_tokens(idx, seg, docs)
     words = tok.spread(docs, "snippet_id").withColumn("words", tok.word_array(F.col("content")))
     words = words.withColumn("dl", F.size("words")).withColumn("n_nodes", F.lit(None).cast("int"))
     snippets = words.select("snippet_id", "batch_seq", "ord", "title", "url", "content", "dl", "n_nodes")
@@ -417,6 +458,24 @@ def _build_segment(idx: Index, docs: DataFrame, seq: int, dedupe: bool | None =
     return seg, accepted, 0
 
 
+def _build_tokens(idx: Index, seg: str, docs: DataFrame) -> tuple[str, int, int]:
+    """A segment of the index's own tokenizer: postings first, then documents with the lengths read back from them.
+    Texts without a term are documents of length 0, null texts are rejected."""
+    per_doc = build_postings(tok.run_tokenizer(idx.tokenizer, docs))
+    per_doc = per_doc.withColumn("dl", F.sum("tf").over(Window.partitionBy("snippet_id")).cast("int"))
+    own = docs.select("snippet_id", "batch_seq")
+    stage = idx._p(_fresh("postings-stage", idx.version + 1))
+    per_doc.write.parquet(stage)  # read for the postings and for the lengths
+    per_doc = idx.spark.read.parquet(stage)
+    postings = per_doc.join(own, "snippet_id").select("snippet_id", "batch_seq", "dl", "term_hash", "tf", "positions")
+    lengths = per_doc.groupBy("snippet_id").agg(F.max("dl").alias("dl"))
+    kept = docs.where(F.col("content").isNotNull()).join(lengths, "snippet_id", "left")
+    snippets = kept.withColumn("dl", F.coalesce("dl", F.lit(0))).withColumn("n_nodes", F.lit(None).cast("int"))
+    _write_segment(idx, seg, snippets.select(*[f.name for f in SNIPPET.fields]), None, postings)
+    accepted = idx._read(f"{seg}/snippets", TABLE_SCHEMAS["snippets"]).count()
+    return seg, accepted, docs.where(F.col("content").isNull()).count()
+
+
 def add_documents(idx: Index, docs: DataFrame, batch_seq: int | None = None,
                   dedupe: bool | None = None) -> tuple[int, int]:
     """IDX4 (bulk): invalid documents are not added; returns (accepted, rejected).
@@ -433,17 +492,10 @@ def add_documents(idx: Index, docs: DataFrame, batch_seq: int | None = None,
 
 
 def explode_items(items: DataFrame, batch_seq: int = 0) -> DataFrame:
-    """EXT12: one document per snippet of a section item; title and url repeated.
-
-    ``ord`` is the snippet's position in its item; the id hashes (url, item position, snippet
-    position, content, batch, number among equal rows), so equal input gives equal ids on every run
-    and a re-sent or repeated item never collides with another copy.
-    """
-    if "item_ord" not in items.columns:
-        items = items.withColumn("item_ord", F.lit(0).cast("long"))
-    rows = (items.select("title", "url", "item_ord", F.posexplode("code_snippets").alias("ord", "content"))
+    """EXT12: one document per snippet of a section item; title and url repeated: (title, url, ord, content, batch_seq).
+    ``ord`` is the snippet's position in its item. The index numbers the documents when it takes them."""
+    return (items.select("title", "url", F.posexplode("code_snippets").alias("ord", "content"))
             .withColumn("batch_seq", F.lit(batch_seq).cast("long")))
-    return _own_ids(rows, ["url", "item_ord", "ord", "content"]).drop("item_ord")
 
 
 def add_items(idx: Index, items: DataFrame) -> tuple[int, int]:

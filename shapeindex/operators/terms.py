@@ -7,6 +7,7 @@ map-side combine of the term stream). Everything downstream is DataFrame code.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import partial
 from typing import Callable
 
@@ -28,7 +29,7 @@ _NODE_ARROW = pa.struct([
     ("pre", pa.int32()), ("size", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
     ("height", pa.int32()), ("node_type", pa.string()), ("lineno", pa.int32()),
     ("term_hash", pa.int64()), ("pos", pa.int32()), ("first_term_hash", pa.int64()),
-    ("term", pa.string()),
+    ("term", pa.string()), ("term_check", pa.int64()),
 ])
 _INDEX_FIELDS = ("pre", "size", "lineno", "term_hash", "first_term_hash")
 _INDEX_NODE_ARROW = pa.struct([f for f in _NODE_ARROW if f.name in _INDEX_FIELDS])
@@ -125,7 +126,7 @@ def _parse_slice(batch, texts: list, opts: TokenizerOptions, keep: str, with_tex
                 for name, src in (("size", parsed.size), ("parent", parsed.parent), ("depth", parsed.depth),
                                   ("height", parsed.height), ("node_type", parsed.node_type),
                                   ("lineno", parsed.lineno), ("term_hash", th), ("pos", parsed.pos),
-                                  ("first_term_hash", parsed.first_term_hash)):
+                                  ("first_term_hash", parsed.first_term_hash), ("term_check", parsed.term_check)):
                     if name in cols:
                         cols[name].extend([src[i] for i in idx])
                 if "term" in cols:
@@ -243,6 +244,30 @@ def term_stream(parsed: DataFrame, id_col: str = "snippet_id", start_pos: int =
                     F.col("n.term").alias("term")))
 
 
+def term_identity(df: DataFrame, options: TokenizerOptions = DEFAULT_OPTIONS, text_col: str = "content",
+                  id_col: str = "snippet_id") -> DataFrame:
+    """TOK11: every distinct term of ``df`` by its text, with the digest that stands for it: (term, term_hash, term_check, df,
+    tf, hash_texts, digest_texts, digests). ``hash_texts`` and ``digest_texts`` count the texts that share the term's 64-bit
+    hash and its 128-bit digest, ``digests`` the digests of the text; all three are 1 where identity holds.
+
+    Terms are counted by (digest, SHA-256 of the text): texts are not grouping keys, and a frequent term is combined
+    before it is sent.
+    """
+    p = parse_code(df.select(id_col, text_col), text_col=text_col, options=options, keep_nodes="terms",
+                   with_text=True, id_col=id_col)
+    rows = p.select(id_col, F.explode("nodes").alias("n")).select(
+        id_col, "n.term_hash", "n.term_check", F.sha2("n.term", 256).alias("_sha"), F.col("n.term").alias("term"))
+    own = ["term_hash", "term_check", "_sha"]
+    per_doc = rows.groupBy(id_col, *own).agg(F.count(F.lit(1)).alias("tf"), F.max("term").alias("term"))
+    terms = per_doc.groupBy(*own).agg(F.count(F.lit(1)).cast("long").alias("df"), F.sum("tf").cast("long").alias("tf"), F.max("term").alias("term"))
+    # a clash is rare, so the counts are joined from groups that are nearly as many as terms
+    by_hash = terms.groupBy("term_hash").agg(F.count_distinct("_sha").cast("int").alias("hash_texts"))
+    by_digest = terms.groupBy("term_hash", "term_check").agg(F.count_distinct("_sha").cast("int").alias("digest_texts"))
+    by_text = terms.groupBy("_sha").agg(F.count_distinct("term_hash", "term_check").cast("int").alias("digests"))
+    out = terms.join(by_hash, "term_hash").join(by_digest, ["term_hash", "term_check"]).join(by_text, "_sha")
+    return out.select("term", "term_hash", "term_check", "df", "tf", "hash_texts", "digest_texts", "digests")
+
+
 def term_texts(df: DataFrame, options: TokenizerOptions = DEFAULT_OPTIONS, text_col: str = "content",
                id_col: str = "snippet_id") -> DataFrame:
     """Audit table (term_hash, term): the printed dump of every distinct term of ``df``."""
@@ -259,11 +284,41 @@ def type_sequence(parsed: DataFrame, id_col: str = "snippet_id") -> DataFrame:
 
 # --------------------------------------------------------------------------- tokenizers (UDF1)
 
-def structural_tokenizer(options: TokenizerOptions = DEFAULT_OPTIONS) -> Tokenizer:
-    """DataFrame(snippet_id, content) -> DataFrame(snippet_id, pos, term_hash, term)."""
+@dataclass(frozen=True)
+class TokenizerSpec:
+    """A tokenizer that an index can be built with: ``run`` takes DataFrame(snippet_id, content) to DataFrame(snippet_id,
+    pos, term), with any number of rows per text, ``pos`` counting from 0. A ``term_hash`` column of its own, if there is
+    one, stands for the term; else it is the hash of the term's text. Name and version are kept with the index."""
+
+    name: str
+    version: str
+    run: Tokenizer
+
+
+TOKENIZERS: dict[str, TokenizerSpec] = {}
+
+
+def register_tokenizer(spec: TokenizerSpec) -> TokenizerSpec:
+    """Make ``spec`` known by name, so that an index built with it can be opened by path alone."""
+    TOKENIZERS[spec.name] = spec
+    return spec
+
+
+def run_tokenizer(spec: TokenizerSpec, df: DataFrame) -> DataFrame:
+    """(snippet_id, pos, term_hash) of DataFrame(snippet_id, content); null texts have no terms."""
+    rows = spec.run(df.select("snippet_id", "content").where(F.col("content").isNotNull()))
+    missing = {"snippet_id", "pos"} - set(rows.columns)
+    if missing or not {"term", "term_hash"} & set(rows.columns):
+        raise ValueError(f"tokenizer {spec.name} must give snippet_id, pos and term; it gives {rows.columns}")
+    term_hash = F.col("term_hash").cast("long") if "term_hash" in rows.columns else F.xxhash64(F.col("term").cast("string"))
+    return rows.select(F.col("snippet_id").cast("long"), F.col("pos").cast("int"), term_hash.alias("term_hash")).where(F.col("term_hash").isNotNull())
+
+
+def structural_tokenizer(options: TokenizerOptions = DEFAULT_OPTIONS, with_text: bool = False) -> Tokenizer:
+    """DataFrame(snippet_id, content) -> DataFrame(snippet_id, pos, term_hash, term); texts that do not parse have no terms."""
     def run(df: DataFrame) -> DataFrame:
         return term_stream(parse_code(df.select("snippet_id", "content"), options=options,
-                                      keep_nodes="terms"))
+                                      keep_nodes="terms", with_text=with_text))
     return run
 
 
@@ -282,6 +337,25 @@ def word_tokenizer(pattern: str = "[ \n]+") -> Tokenizer:
     return run
 
 
+def gram_array(text: Column, n: int = 3) -> Column:
+    """All runs of ``n`` characters of the lower-cased text in order; a shorter text has none."""
+    low = F.lower(text)
+    return F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def gram_tokenizer(n: int = 3) -> Tokenizer:
+    """DataFrame(snippet_id, content) -> DataFrame(snippet_id, pos, term): character n-grams; JVM only."""
+    def run(df: DataFrame) -> DataFrame:
+        return df.select("snippet_id", F.posexplode(gram_array(F.col("content"), n)).alias("pos", "term"))
+    return run
+
+
+#: Terms that keep variable, function, class and argument names; character 3-grams.
+NAMES = register_tokenizer(TokenizerSpec("names", "1", structural_tokenizer(TokenizerOptions(drop_field_names=frozenset()))))
+GRAMS = register_tokenizer(TokenizerSpec("grams3", "1", gram_tokenizer(3)))
+
+
 def term_hash_of_text(term: Column) -> Column:
     """TOK11 for text terms: the same 64-bit hash as the pass's text path (xxh64, seed 42)."""
     return F.xxhash64(term)

@@ -5,6 +5,7 @@ term count and code lines (FIXTURES §2), a query template fixes the matched cor
 matched terms, lines, anchor and preview (FIXTURES §3-§4). Names never reach a term, so a
 template's terms occur exactly in the rows of that template: df = rows of the template.
 """
+from .fixtures import TEMPLATES
 
 CORPUS = """
 corpus AS (
@@ -93,6 +94,82 @@ SELECT 'r' || l_suppkey || ' ' || 'f' || l_linenumber || '_' || l_orderkey || '.
        || l_linenumber || '_' || l_orderkey || '.py' AS url
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0"""
 
+# the whole corpus with the texts of FIXTURES §2
+SQL["code_scan_documents"] = f"""WITH {CORPUS}
+SELECT sid AS snippet_id,
+  CASE WHEN l_returnflag = 'R' THEN 'T: m' || l_partkey || '.f' || sid
+       ELSE 'r' || l_suppkey || ' f' || l_partkey || '_' || l_linenumber || '.py' END AS title,
+  CASE WHEN l_returnflag = 'R' THEN 'https://docs.python.org/3/library/m' || l_partkey || '.html#f' || sid
+       ELSE 'https://github.com/x/r' || l_suppkey || '/blob/h' || l_suppkey || '/src/f' || l_partkey || '_'
+            || l_linenumber || '.py' END AS url,
+  md5(replace(CASE t {" ".join("WHEN " + str(t) + " THEN '" + text.replace("'", "''") + "'" for t, text in sorted(TEMPLATES.items()))} END, '{{k}}',
+      CAST(l_orderkey AS VARCHAR))) AS content_md5
+FROM corpus JOIN tmpl USING (t) WHERE valid"""
+
+# terms of the code made from documents: a statement per line has the term of its value and, around it, its own
+STATEMENTS = """
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
+stmts AS (SELECT doc_id, CAST(i AS INTEGER) AS i,
+  'Attribute(value=Call(func=Attribute(value=Name(ctx=Load()), attr=''m' || (length(line) % 40) || ''', ctx=Load()), args=[Constant(value='''
+  || substr(md5(line), 1, 8) || ''', kind=None), Constant(value=' || length(line) || ', kind=None)], keywords=[]), attr=''k'
+  || (length(line) % 3) || ''', ctx=Load())' AS inner_term FROM lines),
+terms AS (SELECT doc_id, i, inner_term, 'Assign(targets=[Name(ctx=Store())], value=' || inner_term || ', type_comment=None)' AS outer_term FROM stmts)"""
+
+SQL["code_term_identity"] = f"""WITH {STATEMENTS},
+occ AS (SELECT doc_id, outer_term AS term FROM terms UNION ALL SELECT doc_id, inner_term FROM terms)
+SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS tf, 1 AS hash_texts, 1 AS digest_texts, 1 AS digests
+FROM occ GROUP BY term"""
+
+SQL["code_term_positions"] = f"""WITH {STATEMENTS}
+SELECT doc_id, CAST(2 * (i - 1) AS INTEGER) AS pos, md5(outer_term) AS term_md5 FROM terms
+UNION ALL SELECT doc_id, CAST(2 * (i - 1) + 1 AS INTEGER), md5(inner_term) FROM terms"""
+
+# a statement is two terms of equal frequency; a hit's lines are those of its matched statements, or all if the first is matched
+DATA_SEARCH = f"""WITH {STATEMENTS},
+dl AS (SELECT doc_id, 2 * count(*) AS dl FROM stmts GROUP BY doc_id),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(dl) AS DOUBLE) / count(*) AS avgdl FROM dl),
+tf AS (SELECT doc_id, inner_term, count(*) AS tf FROM stmts GROUP BY ALL),
+df AS (SELECT inner_term, count(*) AS df FROM tf GROUP BY ALL),
+q AS (SELECT DISTINCT doc_id AS query_id, inner_term FROM stmts WHERE doc_id % 20 = 0 AND i <= 3),
+s AS (SELECT query_id, tf.doc_id, round(sum(2 * (ln(n / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score,
+             CAST(2 * count(*) AS INTEGER) AS matched_tokens_count
+      FROM q JOIN tf USING (inner_term) JOIN df USING (inner_term) JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN st GROUP BY query_id, tf.doc_id),
+top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10),
+own AS (SELECT query_id, doc_id, i FROM top JOIN stmts USING (doc_id) JOIN q USING (query_id, inner_term)),
+marked AS (SELECT query_id, doc_id, i FROM own UNION
+           SELECT query_id, doc_id, stmts.i FROM (SELECT * FROM own WHERE i = {{root}}) JOIN stmts USING (doc_id)),
+runs AS (SELECT query_id, doc_id, min(i) AS a, max(i) AS b FROM (
+           SELECT *, i - row_number() OVER (PARTITION BY query_id, doc_id ORDER BY i) AS g FROM marked) GROUP BY query_id, doc_id, g),
+best AS (SELECT query_id, doc_id, first(a ORDER BY b - a DESC, a) AS a, first(b ORDER BY b - a DESC, a) AS b FROM runs GROUP BY query_id, doc_id),
+hits AS (SELECT query_id, rank, doc_id, score, matched_tokens_count, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS lines,
+                'https://h/d' || doc_id || '#L' || a || CASE WHEN b > a THEN '-L' || b ELSE '' END AS url
+         FROM top JOIN best USING (query_id, doc_id) JOIN marked USING (query_id, doc_id) WHERE i >= a GROUP BY query_id, rank, doc_id, score, matched_tokens_count, a, b)"""
+
+SQL["code_data_search"] = DATA_SEARCH.replace("{root}", "1") + " SELECT query_id, rank, doc_id, score, matched_tokens_count, lines, url FROM hits"
+
+SQL["code_data_search_no_root"] = DATA_SEARCH.replace("{root}", "0") + " SELECT query_id, rank, doc_id, lines, url FROM hits"
+
+# with names kept, the terms that hold the row's own name are equal within an order only: the assignment of template 0, the
+# function of 1 and the class of 2; the others are as many as before
+SQL["code_names_df_histogram"] = f"""WITH {CORPUS},
+per AS (SELECT count(*) AS df, 1 AS k FROM corpus WHERE t IN (0, 1, 2) GROUP BY t, l_orderkey
+        UNION ALL SELECT count(*), CASE t WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 5 THEN 5 ELSE 4 END FROM corpus WHERE t IN (1, 2, 5, 7) GROUP BY t)
+SELECT CAST(df AS BIGINT) AS df, CAST(sum(k) AS BIGINT) AS n_terms FROM per GROUP BY df"""
+
+SQL["part_gram_top10"] = """WITH d AS (SELECT p_partkey, lower(concat_ws(' ', p_name, p_brand, p_type)) AS x FROM part),
+occ AS (SELECT p_partkey, unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) AS g FROM d),
+dl AS (SELECT p_partkey, greatest(length(x) - 2, 0) AS dl FROM d),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(dl) AS DOUBLE) / count(*) AS avgdl FROM dl),
+tf AS (SELECT p_partkey, g, count(*) AS tf FROM occ GROUP BY ALL), df AS (SELECT g, count(*) AS df FROM tf GROUP BY g),
+b AS (SELECT min(p_partkey) AS query_id, lower(concat_ws(' ', p_type, p_brand)) AS x FROM part GROUP BY p_brand, p_type),
+q AS (SELECT DISTINCT query_id, unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) AS g FROM b),
+s AS (SELECT query_id, p_partkey, round(sum((ln(n / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score,
+             CAST(count(*) AS INTEGER) AS matched_tokens_count
+      FROM q JOIN tf USING (g) JOIN df USING (g) JOIN dl USING (p_partkey) CROSS JOIN st GROUP BY query_id, p_partkey)
+SELECT query_id, rank, p_partkey, score, matched_tokens_count FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS INTEGER) AS rank FROM s) WHERE rank <= 10"""
+
 WORDS = """
 words AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS ws FROM documents),
 occ AS (SELECT doc_id, unnest(ws) AS term, unnest(range(0, len(ws))) AS pos FROM words)"""
@@ -308,3 +385,65 @@ SELECT url, CAST(ord AS INTEGER) AS ord,
        CAST(length({UNESCAPE.format(x="regexp_replace(split_part(piece, '</p>', 1), '<[^>]*>', '', 'g')")}) AS INTEGER)
          AS text_len
 FROM ex"""
+
+
+# the items of the manual pages, straight from the tables; sorted as the pages nest
+MANUAL = """
+items AS (
+  SELECT o_custkey AS c, o_orderkey AS o, 0 AS own, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_extendedprice AS e, 1 AS outside,
+         'Order ' || o_orderkey || ': p' || l_partkey AS title, '#p' || l_partkey AS frag,
+         CASE WHEN l_partkey % 10 = 0 THEN 'def (:' ELSE 'x = a.m' || l_suppkey || '()' END AS code, l_partkey % 10 <> 0 AS ok
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  UNION ALL
+  SELECT o_custkey, o_orderkey, 0, l_linenumber, l_partkey, l_suppkey, l_extendedprice, 0, 'p' || l_partkey || ': None', '#o' || o_orderkey, 'y = ' || l_linenumber, true
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber % 2 = 0
+  UNION ALL
+  SELECT o_custkey, o_orderkey, 1, 0, 0, 0, 0, 0, 'Order ' || o_orderkey, '#o' || o_orderkey, 'z = o.n' || o_orderkey || '()', true FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL
+  SELECT c_custkey, 9223372036854775807, 2, 0, 0, 0, 0, 0, 'Customer ' || c_name, coalesce('#o' || f, ''), 'w = c.m' || c_custkey || '()', true
+  FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS f FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey),
+ranked AS (
+  SELECT items.*, 'https://h/c' || c || '.html' || frag AS url, CAST(row_number() OVER (PARTITION BY c ORDER BY o, own, n, p, s, e, outside) - 1 AS INTEGER) AS ord
+  FROM items JOIN customer ON c_custkey = c)"""
+
+SQL["manual_items"] = f"""WITH {MANUAL}
+SELECT c AS custkey, ord, title, url, 1 AS n_raw, CASE WHEN ok THEN 1 ELSE 0 END AS n_ok, md5(code) AS raw_md5 FROM ranked"""
+
+SQL["manual_first_wins"] = f"""WITH {MANUAL}
+SELECT custkey, ord, url, code FROM (
+  SELECT c AS custkey, ord, url, code, row_number() OVER (PARTITION BY url ORDER BY c, ord) AS k FROM ranked WHERE ok) WHERE k = 1"""
+
+LINKS = """
+pages AS (SELECT c_custkey AS k FROM customer),
+links AS (SELECT DISTINCT k, d FROM (
+  SELECT k, k * 2 AS d FROM pages UNION ALL SELECT k, k * 2 + 1 FROM pages
+  UNION ALL SELECT k, k // 10 FROM pages WHERE k % 10 = 0 UNION ALL SELECT k, k FROM pages WHERE k % 10 = 0) WHERE d IN (SELECT k FROM pages))"""
+
+SQL["manual_crawl"] = f"""WITH RECURSIVE {LINKS},
+walk(k, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT d, depth + 1 FROM walk JOIN links USING (k) WHERE depth < 64),
+seen AS (SELECT k, min(depth) AS depth FROM walk GROUP BY k)
+SELECT 'https://h/c' || k || '.html' AS url, depth, k NOT IN (SELECT k FROM links) AS is_leaf FROM seen"""
+
+SQL["manual_crawl_tutorial"] = f"""WITH {LINKS},
+seeds AS (SELECT k FROM pages WHERE k % 20 = 0),
+seen AS (SELECT k, 0 AS depth FROM seeds UNION SELECT d, 1 FROM links WHERE k IN (SELECT k FROM seeds) AND d NOT IN (SELECT k FROM seeds))
+SELECT 'https://h/c' || k || '.html' AS url, depth, depth = 1 AS is_leaf FROM seen"""
+
+
+TEXTS = "CASE t " + " ".join(f"WHEN {t} THEN '" + text.replace("'", "''") + "'" for t, text in sorted(TEMPLATES.items())) + " END"
+
+SQL["code_ingest_budget"] = f"""WITH {CORPUS},
+per AS (SELECT l_suppkey AS k, CAST(sum(strlen(replace({TEXTS}, '{{k}}', CAST(l_orderkey AS VARCHAR)))) AS BIGINT) AS bytes, count(*) FILTER (valid) AS ok, count(*) AS n
+        FROM corpus JOIN tmpl USING (t) WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY l_suppkey),
+run AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 1000000 AS admitted FROM per)
+SELECT 'r' || k AS repo, bytes, admitted, CASE WHEN admitted THEN ok ELSE 0 END AS accepted, CASE WHEN admitted THEN n - ok ELSE 0 END AS skipped FROM run"""
+
+SQL["code_ingest_total"] = f"""WITH {CORPUS}
+SELECT 'r' || l_suppkey AS repo, CAST(count(*) FILTER (WHERE valid) AS BIGINT) AS accepted, CAST(count(*) FILTER (WHERE NOT valid) AS BIGINT) AS skipped
+FROM corpus JOIN tmpl USING (t) GROUP BY ROLLUP (l_suppkey)"""
+
+SQL["code_meta_file"] = SQL["code_corpus_meta"]
+
+SQL["part_repo_file"] = """WITH p AS (SELECT *, p_name || '#' || p_partkey AS name, CAST(floor(p_retailprice * 11) AS BIGINT) AS size_kb, p_partkey % 50 = 0 AS bad FROM part)
+SELECT name, p_type AS language, CAST(p_size AS BIGINT) AS stars, size_kb, NULL AS record FROM p WHERE NOT bad
+UNION ALL SELECT NULL, NULL, NULL, NULL, '{"name":"' || name || '","language":"' || p_type || '","stargazers_count":"many","size":' || size_kb || ',"owner":{"login":"' || p_brand || '"}}' FROM p WHERE bad"""

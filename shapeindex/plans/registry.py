@@ -11,7 +11,7 @@ import threading
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ARTICLE_RULES, SearchOptions
+from ..config import ARTICLE_RULES, LIBRARY_RULES, TUTORIAL_RULES, SearchOptions
 from ..operators import html as H
 from ..operators import index as I
 from ..operators import lines as L
@@ -20,7 +20,7 @@ from ..operators import stats as ST
 from ..operators import terms as TK
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources.repos import select_repos
-from .corpus import code_corpus, code_queries, table
+from .corpus import code_corpus, code_queries, document_code, document_queries, index_pages, manual_pages, part_labels, table
 
 _LOCK = threading.Lock()
 _INDEXES: dict = {}
@@ -37,9 +37,14 @@ def _index(spark: SparkSession, sf_dir: str, kind: str) -> I.Index:
             except Exception:
                 pass
         path = scratch_path(spark, f"index-{kind}")
-        idx = I.create_index(spark, path, kind=kind)
-        if kind == "structural":
+        own = {"names": TK.NAMES, "grams": TK.GRAMS}.get(kind)
+        idx = I.create_index(spark, path, kind="words" if kind == "words" else "structural", tokenizer=own)
+        if kind in ("structural", "names"):
             docs = code_corpus(spark, sf_dir).select("snippet_id", "title", "url", "content")
+        elif kind == "document_code":
+            docs = document_code(spark, sf_dir)
+        elif kind == "grams":
+            docs = part_labels(spark, sf_dir)
         else:
             docs = table(spark, sf_dir, "documents").select(
                 F.col("doc_id").alias("snippet_id"), F.lit("").alias("title"), F.col("source").alias("url"),
@@ -83,6 +88,54 @@ def q_code_iter_documents(spark, sf_dir):
     return I.iter_documents(idx, limit=10).select("snippet_id", "title", "url")
 
 
+def q_code_scan_documents(spark, sf_dir):
+    """IDX8 without a limit: every live document."""
+    return I.iter_documents(_index(spark, sf_dir, "structural")).select("snippet_id", "title", "url", F.md5("content").alias("content_md5"))
+
+
+def q_code_term_identity(spark, sf_dir):
+    """TOK6, TOK11: every term of code that depends on the data, by its printed text, and how many texts and digests stand
+    for one another."""
+    return TK.term_identity(document_code(spark, sf_dir)).select("term", "df", "tf", "hash_texts", "digest_texts", "digests")
+
+
+def q_code_term_positions(spark, sf_dir):
+    """TOK8: the term stream, (doc_id, pos) and the term's text."""
+    p = TK.parse_code(document_code(spark, sf_dir), keep_nodes="terms", with_text=True)
+    return TK.term_stream(p).select(F.col("snippet_id").alias("doc_id"), "pos", F.md5("term").alias("term_md5"))
+
+
+def _document_code_search(spark, sf_dir, opts):
+    return S.search(_index(spark, sf_dir, "document_code"), document_queries(spark, sf_dir), opts)[0]
+
+
+def q_code_data_search(spark, sf_dir):
+    """QRY1-QRY10 on code that depends on the data: scores, matched terms, lines and anchors."""
+    hits = _document_code_search(spark, sf_dir, SearchOptions())
+    return hits.select("query_id", "rank", F.col("snippet_id").alias("doc_id"), "score", "matched_tokens_count",
+                       F.array_join("lines", ",").alias("lines"), "url")
+
+
+def q_code_data_search_no_root(spark, sf_dir):
+    """QRY7 without the root rule: a file's first term marks its own lines only."""
+    hits = _document_code_search(spark, sf_dir, SearchOptions(root_rule=False))
+    return hits.select("query_id", "rank", F.col("snippet_id").alias("doc_id"), F.array_join("lines", ",").alias("lines"), "url")
+
+
+def q_code_names_df_histogram(spark, sf_dir):
+    """UDF1: document frequencies of an index whose tokenizer keeps names."""
+    t = _index(spark, sf_dir, "names").terms()
+    return t.groupBy("df").agg(F.count(F.lit(1)).cast("long").alias("n_terms"))
+
+
+def q_part_gram_top10(spark, sf_dir):
+    """UDF1: BM25 over character 3-grams of part labels, one query per brand and type."""
+    p = table(spark, sf_dir, "part")
+    qs = p.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("query_id")).select("query_id", F.concat_ws(" ", "p_type", "p_brand").alias("code"))
+    hits, _ = S.search(_index(spark, sf_dir, "grams"), qs, SearchOptions(), decorate_hits=False)
+    return hits.select("query_id", "rank", F.col("snippet_id").alias("p_partkey"), "score", "matched_tokens_count")
+
+
 def q_code_title_terms(spark, sf_dir):
     idx = _index(spark, sf_dir, "structural")
     return I.title_terms(idx.snippets()).groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("n"))
@@ -124,6 +177,50 @@ def q_code_corpus_meta(spark, sf_dir):
     return ST.corpus_meta(code_corpus(spark, sf_dir))
 
 
+def q_code_ingest_budget(spark, sf_dir):
+    """IDX9, EXT13, IDX4, STA3 as one operator: suppliers are repositories in the order of their keys, and files are added until a
+    million bytes are in."""
+    from ..operators.ingest import ingest_repositories
+    files = code_corpus(spark, sf_dir).select("repo", F.concat(F.lit("src/"), F.col("snippet_id").cast("string"), F.lit(".py")).alias("relpath"), "content")
+    key = F.col("s_suppkey").cast("string")
+    repos = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("r"), key).alias("name"),
+                                                    F.concat(F.lit("https://h/r"), key).alias("html_url"), F.lit("h").alias("head"))
+    idx = I.create_index(spark, scratch_path(spark, "ingest"))
+    return ingest_repositories(idx, repos, files, max_bytes=1_000_000, already=0).select("repo", "bytes", "admitted", "accepted", "skipped")
+
+
+def q_code_ingest_total(spark, sf_dir):
+    """STA3 with its total row (repo is null)."""
+    c = code_corpus(spark, sf_dir).select("snippet_id", "repo", "content")
+    return ST.ingest_report(TK.parse_code(c, keep_nodes="none", hashes=False), with_total=True)
+
+
+def q_code_meta_file(spark, sf_dir):
+    """SRC7: the metadata aggregate written as a file and read back."""
+    from ..sources.items import read_meta, write_meta
+    path = scratch_path(spark, "meta")
+    write_meta(ST.corpus_meta(code_corpus(spark, sf_dir)), path)
+    return read_meta(spark, path)
+
+
+def q_part_repo_file(spark, sf_dir):
+    """SRC1: lists of repositories in the published form, written from parts and read back; every fiftieth has a text where its
+    stars should be and is kept aside."""
+    from ..sources.repos import read_repos, rejected_repos
+    p = table(spark, sf_dir, "part")
+    name = F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string"))
+    text = F.to_json(F.struct(name.alias("name"), F.col("p_type").alias("language"), F.col("p_size").cast("long").alias("stargazers_count"),
+                              F.floor(F.col("p_retailprice") * 11).cast("long").alias("size"), F.struct(F.col("p_brand").alias("login")).alias("owner")))
+    text = F.when(F.col("p_partkey") % 50 == 0, F.regexp_replace(text, '"stargazers_count":[0-9]+', '"stargazers_count":"many"')).otherwise(text)
+    path = scratch_path(spark, "repo-lists")
+    files = p.groupBy((F.col("p_partkey") % 8).alias("k")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ","), F.lit("]")).alias("value"))
+    files.repartition(8, "k").select(F.regexp_replace("value", "\n", " ").alias("value")).write.text(path)
+    good = read_repos(spark, path).select("name", "language", "stars", "size_kb", F.lit(None).cast("string").alias("record"))
+    bad = rejected_repos(spark, path).select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("language"),
+                                             F.lit(None).cast("long").alias("stars"), F.lit(None).cast("long").alias("size_kb"), "record")
+    return good.unionByName(bad)
+
+
 def q_code_files_to_documents(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     files = li.select(F.concat(F.lit("r"), F.col("l_suppkey").cast("string")).alias("repo"),
@@ -303,6 +400,33 @@ def q_pages_dedup_url(spark, sf_dir):
     return H.dedup_by_url(H.drop_empty_items(items), [F.col("page_id")]).select("url", "page_id")
 
 
+def q_manual_items(spark, sf_dir):
+    """EXT4-EXT9 on nested sections and definitions, by joins over DOM rows."""
+    from ..operators import dom as D
+    found = D.extract_items(manual_pages(spark, sf_dir), F.col("custkey"))
+    return found.select(F.col("page").alias("custkey"), "ord", "title", "url", F.size("snippets_raw").alias("n_raw"), F.size("code_snippets").alias("n_ok"),
+                        F.md5(F.array_join("snippets_raw", "|")).alias("raw_md5"))
+
+
+def q_manual_first_wins(spark, sf_dir):
+    """EXT9-EXT11: items left with code, the first of every url."""
+    from ..operators import dom as D
+    found = D.clean_items(D.extract_items(manual_pages(spark, sf_dir), F.col("custkey")))
+    return found.select(F.col("page").alias("custkey"), "ord", "url", F.array_join("code_snippets", "|").alias("code"))
+
+
+def q_manual_crawl(spark, sf_dir):
+    """EXT3, library rule: any depth, pages without links are leaves; the links have cycles."""
+    seeds = spark.createDataFrame([("https://h/c1.html",)], "url string")
+    return H.crawl(index_pages(spark, sf_dir), seeds, LIBRARY_RULES).select("url", F.col("depth").cast("int").alias("depth"), "is_leaf")
+
+
+def q_manual_crawl_tutorial(spark, sf_dir):
+    """EXT3, tutorial rule: the seeds are expanded once, what they link to is parsed."""
+    seeds = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("https://h/c"), F.col("c_custkey").cast("string"), F.lit(".html")).alias("url"))
+    return H.crawl(index_pages(spark, sf_dir), seeds, TUTORIAL_RULES).select("url", F.col("depth").cast("int").alias("depth"), "is_leaf")
+
+
 # =========================================================================== streaming
 
 def _stream_of(spark, df, key=None, files=3):
@@ -369,6 +493,13 @@ QUERIES = {
     "code_type_sequences": q_code_type_sequences,
     "code_index_stats": q_code_index_stats,
     "code_iter_documents": q_code_iter_documents,
+    "code_scan_documents": q_code_scan_documents,
+    "code_term_identity": q_code_term_identity,
+    "code_term_positions": q_code_term_positions,
+    "code_data_search": q_code_data_search,
+    "code_data_search_no_root": q_code_data_search_no_root,
+    "code_names_df_histogram": q_code_names_df_histogram,
+    "part_gram_top10": q_part_gram_top10,
     "code_title_terms": q_code_title_terms,
     "code_df_histogram": q_code_df_histogram,
     "code_search_hits": q_code_search_hits,
@@ -376,6 +507,10 @@ QUERIES = {
     "code_search_json": q_code_search_json,
     "code_ingest_report": q_code_ingest_report,
     "code_corpus_meta": q_code_corpus_meta,
+    "code_ingest_budget": q_code_ingest_budget,
+    "code_ingest_total": q_code_ingest_total,
+    "code_meta_file": q_code_meta_file,
+    "part_repo_file": q_part_repo_file,
     "code_files_to_documents": q_code_files_to_documents,
     "word_postings": q_word_postings,
     "word_doc_freq": q_word_doc_freq,
@@ -398,6 +533,10 @@ QUERIES = {
     "pages_dedup_url": q_pages_dedup_url,
     "pages_item_feeds": q_pages_item_feeds,
     "pages_explode_items": q_pages_explode_items,
+    "manual_items": q_manual_items,
+    "manual_first_wins": q_manual_first_wins,
+    "manual_crawl": q_manual_crawl,
+    "manual_crawl_tutorial": q_manual_crawl_tutorial,
     "stream_dedup_urls": q_stream_dedup_urls,
     "stream_events_dedup": q_stream_events_dedup,
     "stream_index_stats": q_stream_index_stats,

@@ -13,6 +13,7 @@ NODE = T.StructType([
     T.StructField("pos", T.IntegerType()),
     T.StructField("first_term_hash", T.LongType()),
     T.StructField("term", T.StringType()),
+    T.StructField("term_check", T.LongType()),  # with the hash, a term's 128-bit digest
 ])
 
 POSTING = T.StructType([

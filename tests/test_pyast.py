@@ -1,8 +1,12 @@
 """Per-text structural tokenizer: FIXTURES §2 goldens (Python 3.13) and option semantics."""
+import ast
+import itertools
+import os
+
 import pytest
 
 from shapeindex.config import DEFAULT_OPTIONS, TokenizerOptions
-from shapeindex.functions.pyast import analyze, terms_of
+from shapeindex.functions.pyast import analyze, dump_text, terms_of
 from shapeindex.plans.fixtures import NODES, TEMPLATES, TERMS, template_text
 
 T0_POS0 = ("Assign(targets=[Name(ctx=Store())], value=Call(func=Attribute(value=Name(ctx=Load()), attr='load', "
@@ -126,3 +130,65 @@ def test_parse_failures_are_reported():
                      ("x = 1\x00", (SyntaxError, ValueError))]:
         with pytest.raises(exc):
             analyze(src, DEFAULT_OPTIONS)
+
+
+# ------------------------------------------------------------------ dumps made from the leaves up
+
+OPTIONS = [TokenizerOptions(annotate_fields=a, include_attributes=i, drop_field_values=d, drop_field_names=n, min_depth=m, max_depth=x)
+           for a, i, d, n, (m, x) in itertools.product((True, False), (True, False), (frozenset(), frozenset({"None", "[]"})), (frozenset(), frozenset({"id", "arg", "name"})),
+                                                      ((None, None), (None, 0), (None, 1), (2, 4), (4, 30)))]
+
+
+def plain_dump(value, o, depth=0):
+    """The definition of a dump, top down."""
+    if o.max_depth is not None and depth > o.max_depth:
+        return type(value).__name__
+    if isinstance(value, list):
+        return "[" + ", ".join(plain_dump(x, o, depth + 1) for x in value) + "]"
+    if not isinstance(value, ast.AST):
+        return repr(value)
+    shown = [(f, plain_dump(v, o, depth + 1)) for f, v in ast.iter_fields(value)]
+    if o.annotate_fields:
+        shown = [f"{f}={t}" for f, t in shown if f not in o.drop_field_names and t not in o.drop_field_values]
+    else:
+        shown = [t for _, t in shown]
+    text = type(value).__name__ + "(" + ", ".join(shown)
+    if o.include_attributes and value._attributes:
+        text += (", " if list(ast.iter_fields(value)) else " ") + ", ".join(f"{a}={plain_dump(getattr(value, a), o, depth + 1)}" for a in value._attributes)
+    return text + ")"
+
+
+@pytest.mark.parametrize("k", range(len(OPTIONS)))
+def test_dumps_equal_the_definition(k):
+    o = OPTIONS[k]
+    sources = [t.replace("{k}", "1") for n, t in TEMPLATES.items() if n != 3]
+    for name in ("bisect.py",):
+        with open(os.path.join(os.path.dirname(os.__file__), name), encoding="utf-8") as f:
+            sources.append(f.read())
+    for source in sources:
+        tree = ast.parse(source)
+        for node in ast.walk(tree):
+            if isinstance(node, ast.stmt):
+                assert dump_text(node, o) == plain_dump(node, o)
+        p = analyze(source, o, with_text=True)
+        texts = [t for t in p.term_text if t is not None]
+        assert len(texts) == p.n_terms
+        assert len({(h, c) for h, c in zip(p.term_hash, p.term_check) if h is not None}) == len({h for h in p.term_hash if h is not None}) == len(set(texts))
+
+
+@pytest.mark.parametrize("o", [TokenizerOptions(), TokenizerOptions(include_attributes=True), TokenizerOptions(max_depth=6), TokenizerOptions(max_depth=5000),
+                               TokenizerOptions(drop_field_values=frozenset({"None"})), TokenizerOptions(annotate_fields=False)])
+def test_deep_trees_and_long_integers_under_all_options(o):
+    """Neither the depth of a tree nor the length of a number makes a valid file invalid."""
+    deep = "x = a" + ".b" * 2000
+    p = analyze(deep, o, with_text=True)
+    assert p.n_terms and all(p.term_text[i] for i in range(len(p)) if p.term_hash[i] is not None)
+    number = int("f" * 4000, 16)
+    p = analyze(f"x = a.f(0x{'f' * 4000})", o, with_text=True)
+    digits = next(t for t in p.term_text if t)
+    if o.max_depth is None or o.max_depth > 6:
+        found = digits[digits.index("Constant(") :].split("value=")[-1] if o.annotate_fields else digits[digits.index("Constant(") + 9 :]
+        head, value = found.split(",")[0].split(")")[0], 0
+        for i in range(0, len(head), 4000):  # the interpreter reads no longer number at once
+            value = value * 10 ** len(head[i : i + 4000]) + int(head[i : i + 4000])
+        assert value == number
