@@ -119,6 +119,9 @@ class Index:
         return (words[at] * 64 + bit)[:most]
 
 
+LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
+
+
 def quantised(df: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> DataFrame:
     """(id, v): floor(scale * x) of each component as long. Rows with a null id, a null vector, or null, NaN or infinite
     components have no part."""
@@ -133,18 +136,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
     rows of another id, ties to smaller ids; all rows, if fewer.
 
     Vectors of fewer dimensions count as zero in the others; empty vectors score 0. Rows of one id are rows of their own,
-    and so are queries of one id that differ in their vector (equal ones are one query). Empty tables give no rows.
+    and so are queries of one id that differ in their vector (equal ones are one query). Empty tables give no rows. Scores
+    beyond 64 bits are the least or the greatest long.
     """
     spark = prepare(vectors)
     stats = vectors.agg(F.count("*").alias("n"), F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi"), F.max(F.size("v")).alias("dims")).first()
-    queries = queries.dropDuplicates(["id", "v"])
+    # queries of one id are told apart by their number among those of the id
+    queries = queries.dropDuplicates(["id", "v"]).withColumn("q", F.row_number().over(Window.partitionBy("id").orderBy("v")).cast("long"))
     n_queries = queries.count()
     base, width = min(0, stats["lo"] or 0), max(1, (max(0, stats["hi"] or 0) - min(0, stats["lo"] or 0)).bit_length())
     dims = stats["dims"] or 0
     blocks, groups = max(1, math.ceil((stats["n"] or 0) / block_rows)), max(1, math.ceil(n_queries / chunk_queries))
     cell = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(groups)).cast("int")
     left = vectors.select("id", "v", cell[0].alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("chunk"))
-    right = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), cell[1].alias("chunk"))
+    right = queries.select("id", "v", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), cell[1].alias("chunk"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks * groups, 4096))
 
     def matrix(t: pa.Table) -> np.ndarray:
@@ -159,9 +164,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
         out: list[tuple] = []
         if rows.num_rows and asked.num_rows:
             index = Index(rows.column("id").to_numpy(), matrix(rows), base, width)
-            for qid, q in zip(asked.column("id").to_pylist(), asked.column("v").to_pylist(), strict=True):
+            for qid, q, number in zip(*[asked.column(c).to_pylist() for c in ("id", "v", "q")], strict=True):
                 ids, scores = index.top(np.array(q[:dims], dtype=object), k, qid)
-                out += [(qid, hash(tuple(q)), int(i), s) for i, s in zip(ids, scores, strict=True)]
+                out += [(qid, number, int(i), max(LEAST, min(GREATEST, s))) for i, s in zip(ids, scores, strict=True)]
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table({c: pa.array(x, type=pa.int64()) for c, x in zip(("query_id", "_q", "vec_id", "score"), cols, strict=True)})
 
