@@ -31,34 +31,47 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), "")
 
 
+def _pairs_sql(array: str, step: int, made: str) -> str:
+    """SQL for ``made`` of (a, b) = each element of ``array`` and the one ``step`` further on."""
+    return f"zip_with(slice({array}, 1, size({array}) - {step}), slice({array}, {step + 1}, size({array}) - {step}), (a, b) -> {made})"
+
+
+def _sliding_sql(array: str, width: int, made: str) -> tuple[list[str], str]:
+    """SQL steps for ``made`` over each ``width`` consecutive elements, by doubling: let-bindings of x1, x2, ... and the last."""
+    steps, now, size = [], array, 1
+    while size < width:
+        step = min(size, width - size)
+        steps.append(_pairs_sql(now, step, made))
+        now, size = f"{array}{len(steps)}", size + step
+    return steps, now
+
+
 def kept_hashes(n_words: str, hashes: str, t: int) -> tuple[str, int]:
     """SQL for the kept fingerprints of an array of word hashes: array of (position from 0, hash), and k.
 
-    A hash of k words keeps its upper 48 bits, with the position's lower 16 bits below: the smallest value of a window
-    then tells its position, and the same minimum in neighbouring windows is kept once.
+    A hash of k words is hashed from those of its halves (they may overlap). It keeps its upper 48 bits, with the position's
+    lower 16 bits below: the smallest value of a window then tells its position, and the same minimum in neighbouring
+    windows is kept once.
     """
     k = (t + 1) // 2
-    w = t - k + 1
-    grams = f"""transform(sequence(0, {n_words} - {k}), i -> (xxhash64(slice({hashes}, i + 1, {k})) & -65536L) | (i & 65535L))"""
-    if w == 1:
-        mins = "g"
-    else:
-        mins = f"transform(sequence(0, size(g) - {w}), j -> array_min(slice(g, j + 1, {w})))"
-    pick = """filter(transform(m, (x, j) -> struct(cast(j + pmod((x & 65535L) - j, 65536L) as int) as pos, shiftright(x, 16) as h, j = 0 or x != m[j - 1] as fresh)), s -> s.fresh)"""
+    grams, g = _sliding_sql("h", k, "xxhash64(a, b)")
+    place = f"transform({g}, (x, i) -> (x & -65536L) | (i & 65535L))"
+    mins, m = _sliding_sql("m", t - k + 1, "least(a, b)")
+    pick = f"""filter(transform({m}, (x, j) -> struct(cast(j + pmod((x & 65535L) - j, 65536L) as int) as pos, shiftright(x, 16) as h, j = 0 or x != {m}[j - 1] as fresh)), s -> s.fresh)"""
     # nested let-bindings: each array is computed once, as the single element of an array that is transformed
-    sql = f"""if({n_words} < {t}, cast(array() as array<struct<pos:int,h:bigint,fresh:boolean>>),
-        transform(array({grams}), g -> transform(array({mins}), m -> {pick})[0])[0])"""
-    return sql, k
-
-
-def _windows_sql(array: str, first: str, last: str, t: int) -> str:
-    """SQL for (start, text of t words) of the windows of ``array`` that start from ``first`` to ``last``."""
-    return f"transform(sequence({first}, {last}), s -> struct(s as start, array_join(slice({array}, s + 1, {t}), ' ') as win))"
+    sql = pick
+    for n in range(len(mins), 0, -1):
+        sql = f"transform(array({mins[n - 1]}), m{n} -> {sql})[0]"
+    sql = f"transform(array({place}), m -> {sql})[0]"
+    for n in range(len(grams), 0, -1):
+        sql = f"transform(array({grams[n - 1]}), h{n} -> {sql})[0]"
+    return f"if({n_words} < {t}, cast(array() as array<struct<pos:int,h:bigint,fresh:boolean>>), transform(array({hashes}), h -> {sql})[0])", k
 
 
 def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """(t, win, item_id as text): the distinct windows of every item. Items without words or id have none."""
-    d = items.select(F.col(item_id).cast("string").alias("_item"), words(F.col(text)).alias("_w")).where(F.col("_item").isNotNull() & (F.size("_w") > 0))
+    """(t, win, item_id as text): the distinct windows of every item. Items without words have none; rows with a null id
+    are one item."""
+    d = items.select(F.col(item_id).cast("string").alias("_item"), words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
     d = d.withColumn("_t", F.least(F.size("_w"), F.lit(span)))
     wins = F.expr("transform(sequence(0, size(_w) - _t), s -> array_join(slice(_w, s + 1, _t), ' '))")
     return d.select("_item", "_t", F.explode(F.array_distinct(wins)).alias("_win")).distinct()
@@ -66,38 +79,45 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
 
 def hits(docs: DataFrame, key: list[str], windows: DataFrame, text: str = "text", span: int = SPAN,
          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per document (``key``) with a hit: ``n_hit`` words inside occurrences of windows, and the sorted ``items``."""
+    """One row per document (``key``) with a hit: ``n_hit`` words inside occurrences of windows, the sorted ``items``, and
+    ``n_items``, which counts the item of null id as well.
+
+    Only fingerprints travel at first, (key, position, hash). Documents that keep one of the items' are then read once
+    more, and around each of its positions the windows that hold it are compared as texts.
+    """
     spark = docs.sparkSession
     sizes = sorted(r["_t"] for r in windows.groupBy("_t").count().collect())  # at most ``span`` of them
     d = docs.select(*key, words(F.col(text)).alias("_w")).withColumn("_n", F.size("_w"))
-    d = d.withColumn("_h", F.expr("transform(_w, x -> xxhash64(x))"))
-    found = None
+    hashed = F.expr("transform(_w, x -> xxhash64(x))")
+    met = None
     for t in sizes:
-        own = windows.where(F.col("_t") == t)
         # fingerprints of the items: the same function on each window's words
-        b = own.select("_win").distinct().withColumn("_w", F.split("_win", " ")).withColumn("_n", F.lit(t)).withColumn("_h", F.expr("transform(_w, x -> xxhash64(x))"))
-        sql, k = kept_hashes("_n", "_h", t)
+        b = windows.where(F.col("_t") == t).select("_win").distinct().withColumn("_w", F.split("_win", " ")).withColumn("_n", F.lit(t)).withColumn("_h", hashed)
+        sql, _ = kept_hashes("_n", "_h", t)
         b = stored(spark, b.select(F.explode(F.expr(sql)).alias("f")).select(F.col("f.h").alias("_f")).distinct(), f"fingerprints-{t}")
         small = b.count() <= broadcast_rows
-        # a document's fingerprint travels with the words around it: t - k to each side hold all windows that contain it
-        ctx = f"struct(f.pos as pos, f.h as h, array_join(slice(_w, greatest(f.pos - {t - k}, 0) + 1, least(f.pos, {t - k}) + {t}), ' ') as ctx)"
-        f = d.withColumn("_k", F.expr(sql)).select(*key, F.explode(F.expr(f"transform(_k, f -> {ctx})")).alias("f"))
-        f = f.select(*key, F.col("f.pos").alias("_pos"), F.col("f.h").alias("_f"), F.col("f.ctx").alias("_ctx"))
-        f = f.join(F.broadcast(b) if small else b, "_f", "left_semi")
-        f = f.withColumn("_c", F.split("_ctx", " ")).where(F.size("_c") >= t)
-        f = f.select(*key, F.greatest(F.col("_pos") - (t - k), F.lit(0)).alias("_from"), F.explode(F.expr(_windows_sql("_c", "0", f"size(_c) - {t}", t))).alias("x"))
-        f = f.select(*key, (F.col("_from") + F.col("x.start")).alias("_s"), F.col("x.win").alias("_win")).distinct()
-        wins = own.select("_win", "_item")
-        if small:  # windows are as many as fingerprints, times at most t
-            wins = F.broadcast(wins) if wins.count() <= broadcast_rows // 4 else wins
-        f = f.join(wins, "_win").select(*key, "_s", F.lit(t).alias("_t"), "_item")
-        found = f if found is None else found.unionByName(f)
-    if found is None:
-        return docs.select(*key).limit(0).withColumn("n_hit", F.lit(0).cast("long")).withColumn("items", F.lit(None).cast("array<string>"))
+        f = d.withColumn("_h", hashed).select(*key, F.explode(F.expr(sql)).alias("f")).select(*key, F.col("f.pos").alias("_pos"), F.col("f.h").alias("_f"))
+        f = f.join(F.broadcast(b) if small else b, "_f", "left_semi").select(*key, F.lit(t).alias("_t"), "_pos")
+        met = f if met is None else met.unionByName(f)
+    if met is None:
+        return docs.select(*key).limit(0).withColumns({"n_hit": F.lit(0).cast("long"), "items": F.lit(None).cast("array<string>"), "n_items": F.lit(0).cast("long")})
+    # equal rows of the table are one document here
+    met = stored(spark, met.distinct().groupBy(*key).agg(F.collect_list(F.struct("_t", "_pos")).alias("_at")), "fingerprint-hits")
+    few = met.count() <= BROADCAST_KEYS
+    near = d.join(F.broadcast(met.select(*key)) if few else met.select(*key), key, "left_semi").dropDuplicates(key).join(met, key)
+    near = near.select(*key, "_w", "_n", F.explode("_at").alias("a")).select(*key, "_w", "_n", "a._t", "a._pos").where("_n >= _t")
+    k = F.expr("cast(_t - (_t + 1) div 2 as int)")  # a window that holds the fingerprint starts so many words before it, at most
+    near = near.withColumns({"_from": F.greatest(F.col("_pos") - k, F.lit(0)), "_to": F.least(F.col("_pos"), F.col("_n") - F.col("_t"))}).where("_from <= _to")
+    cut = F.expr("explode(transform(sequence(_from, _to), s -> struct(s as s, array_join(slice(_w, s + 1, _t), ' ') as win)))")
+    near = near.select(*key, "_t", cut.alias("x")).select(*key, "_t", F.col("x.s").alias("_s"), F.col("x.win").alias("_win")).distinct()
+    wins = windows.select("_t", "_win", "_item")
+    wins = F.broadcast(wins) if wins.count() <= broadcast_rows // 4 else wins
+    found = near.join(wins, ["_t", "_win"]).select(*key, "_s", "_t", "_item")
     # spans per document: sorted by start, the longest first; each adds what lies beyond the end of those before
-    spans = found.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("_s", "_t"))).alias("_spans"), F.sort_array(F.collect_set("_item")).alias("items"))
+    spans = found.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("_s", "_t"))).alias("_spans"), F.sort_array(F.collect_set("_item")).alias("items"),
+                                    F.max(F.col("_item").isNull().cast("long")).alias("_null"))
     merged = """aggregate(_spans, struct(cast(0 as bigint) as n, 0 as e), (a, x) -> struct(a.n + greatest(0, x._s + x._t - greatest(a.e, x._s)) as n, greatest(a.e, x._s + x._t) as e)).n"""
-    return spans.select(*key, F.expr(merged).alias("n_hit"), "items")
+    return spans.select(*key, F.expr(merged).alias("n_hit"), "items", (F.size("items") + F.col("_null")).alias("n_items"))
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -114,7 +134,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, share: int = SHARE) -> DataFrame:
     """Per row of ``docs``: all its columns but the text, n_words, n_hit, n_items, items_sha256 (of the sorted item ids,
-    comma-joined; of nothing without items) and contaminated.
+    comma-joined; of nothing without items) and contaminated. Items of a null id hit like others and are one item, whose
+    id adds nothing to the joined ids.
 
     Null texts have no words. Rows are told apart by id and MD5 of the text, so null and repeated ids are allowed and
     repeated rows get equal results. Empty tables give an empty result or no hits. Columns of ``docs`` that clash with
@@ -128,7 +149,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     counts = d.select("_key", *keep, F.size(words(F.col(text))).cast("long").alias("n_words"))
     out = counts.join(h, "_key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    out = out.select(*keep, "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("_i"), "items")
+    out = out.select(*keep, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("_i"), "items")
     none = F.col("items").isNull()
     return out.select(
         *keep, "n_words", "n_hit", F.when(none, 0).otherwise(F.col("_i")).cast("long").alias("n_items"),
