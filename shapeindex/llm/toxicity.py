@@ -8,7 +8,8 @@ or beside words that report speech. A logistic regression over sums of these sco
 probability of label 1.
 
 Learning uses at most about ``TRAIN_ROWS`` labelled rows (chosen by a hash of the id, at random and alike on each run);
-the lexicon and the regression are models of bounded size. Every text is scored whole.
+the lexicon, which has every term that tells, and the regression are as large as these rows make them. Every text is
+scored whole.
 """
 from __future__ import annotations
 
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import prepare, small_batches, stored, table, with_columns_of_text
 
 TRAIN_ROWS = 20_000
-LEXICON_TERMS = 2_000
 WINDOW = 6  # words to each side of a hit
 MIN_G2 = 28.0  # likelihood ratio that a term needs
 MIN_ODDS = 20.0
@@ -43,7 +43,7 @@ FEATURES = ("word", "misspelt", "stem", "stem_misspelt", "quoted", "density")
 class Lexicon:
     """Trie of terms and its product with the Levenshtein automaton of one edit, determinised on demand."""
 
-    STATES = 20_000  # states kept; then the automaton starts anew (memory only)
+    ITEMS = 300_000  # items of all states kept, some 100 bytes each; then the automaton starts anew (memory only)
 
     def __init__(self, terms: list[tuple[str, bool]]) -> None:
         """``terms``: (text, whether it is a stem). A stem matches words that begin with it."""
@@ -67,6 +67,7 @@ class Lexicon:
         self.next: list[dict[str, int]] = []
         self.stem: list[int] = []  # best edits of a stem matched so far in this state, 2: none
         self.final: list[int] = []  # best edits of a whole word that ends here, 2: none
+        self.items = 0
         self.start = self._state(self._closure({(0, 0, "")}))
 
     def _closure(self, states: set) -> frozenset:
@@ -93,6 +94,7 @@ class Lexicon:
                     final = min(final, edits)
         k = self.ids[states] = len(self.sets)
         self.sets.append(states)
+        self.items += len(states)
         self.next.append({})
         self.stem.append(stem)
         self.final.append(final)
@@ -121,7 +123,7 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[int, int]:
         """Edits of the best whole word and of the best stem (2: none)."""
-        if len(self.sets) > self.STATES:
+        if self.items > self.ITEMS:
             self._reset()
         state, stem = self.start, 2
         for c in word:
@@ -146,7 +148,7 @@ class Scorer:
         if k is None:
             final, stem = self.lexicon.match(word)
             k = 1 if final == 0 else 3 if stem == 0 else 2 if final == 1 else 4 if stem == 1 else 0
-            if len(self.known) > 150_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             self.known[word] = k
         return k
@@ -219,7 +221,7 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn_lexicon(train: DataFrame, max_terms: int) -> list[tuple[str, bool]]:
+def learn_lexicon(train: DataFrame) -> list[tuple[str, bool]]:
     """Terms of toxic texts: whole words of any length, and stems. A word counts once per pair of neighbours in toxic texts,
     so that copies of one text do not make all its words terms, and once per text in the others. Words of any length are
     also compared text by text, or else frequent short words would be terms for their many neighbours."""
@@ -271,8 +273,9 @@ def learn_lexicon(train: DataFrame, max_terms: int) -> list[tuple[str, bool]]:
     begins = terms.where(F.length("term").between(lo, hi)).select("term", "stem", F.explode(F.expr(f"transform(sequence({lo}, length(term)), i -> substr(term, 1, i))")).alias("_head"))
     begins = begins.where("_head != term or not stem")
     inside = begins.join(terms.where("stem").select(F.col("term").alias("_head")), "_head", "left_semi").select("term", "stem").distinct()
-    rows = terms.join(inside, ["term", "stem"], "left_anti").orderBy(F.desc("pos"), "term", "stem").limit(max_terms).select("term", "stem").collect()
-    return [(r["term"], r["stem"]) for r in rows]
+    # bounded like the rows that are learned from: a term has MIN_G2 behind it
+    rows = terms.join(inside, ["term", "stem"], "left_anti").select("term", "stem").collect()
+    return sorted((r["term"], r["stem"]) for r in rows)
 
 
 def hash_pair(a: str, b: str) -> int:
@@ -282,11 +285,11 @@ def hash_pair(a: str, b: str) -> int:
     return (xxhash.xxh64_intdigest(f"{a} {b}") >> 1) or 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_terms: int = LEXICON_TERMS) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> dict:
     """The model: lexicon terms, weights and the score of texts without any label to learn from (0)."""
     prepare(docs)
     train = training_rows(docs, labels, max_rows)
-    terms = learn_lexicon(train, max_terms)
+    terms = learn_lexicon(train)
     if not terms:
         share = train.agg(F.avg("_toxic")).first()[0]
         return {"terms": [], "weights": None, "base": float(share or 0.0)}
