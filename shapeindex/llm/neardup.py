@@ -6,10 +6,12 @@ that came first. Arrivals later than the latest register end a shingle's process
 probability equal to their probability Jaccard similarity (for plain sets: the Jaccard similarity).
 
 Registers are banded. Texts that share a band are candidates; their exact similarity is computed from the shingles.
-Equal texts are one node. In a band's bucket all members are compared with the first one, then, where members of more
-than one component are left, with the last one, and then whoever is still outside the bucket's largest component with all
-members of other components: members that are linked already need no comparing, and no cross-component pair of a bucket
-stays unseen. Classes are the components of the links with similarity of ``THRESHOLD`` or more.
+Equal texts are one node. In a band's bucket all members are compared with the first one. Where members of more than one
+component are left, whoever is outside the bucket's largest component is compared with all members of other components:
+members that are linked already need no comparing, and no cross-component pair of a bucket stays unseen. For that a bucket is
+cut into blocks of bounded rows and bytes, and a task meets two blocks with an index of their shingles: what all shared
+shingles leave possible is computed per pair in numpy, and only pairs that may reach the threshold become rows. Classes are the
+components of the links with similarity of ``THRESHOLD`` or more.
 """
 from __future__ import annotations
 
@@ -26,7 +28,11 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6
 REGISTERS = BANDS * ROWS
+#: Pairs with fewer registers (of a byte each) in common are not verified: at 0.8 that has a probability below 1e-10.
+LEAST_EQUAL = 50
 BATCH_BYTES = 1 << 20
+#: Members and bytes of shingles of a block.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
 #: Candidate nodes (16 bytes each) are broadcast to fetch their texts up to this many, else the join shuffles.
 BROADCAST_NODES = 400_000
 
@@ -104,25 +110,28 @@ def _lower(column: pa.Array) -> list[bytes]:
 
 
 def sketches(docs: DataFrame, threshold_bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
-    """(_node, doc_id, bands) per row: one hash per band; none for texts without words."""
+    """(_node, doc_id, bands, sig) per row: one hash per band and a byte of each register; none for texts without words."""
     n_bands, n_rows = threshold_bands
 
     def run(batches):
         for b in batches:
             texts = _lower(b.column(2))
-            out: list = []
+            out, sigs = [], []
             for lo, hi in _batches(texts):
                 row, h, n = shingles(texts[lo:hi])
                 kept = signatures(hi - lo, row, h, n, n_bands * n_rows).reshape(hi - lo, n_bands, n_rows)
+                short = mix(kept.reshape(hi - lo, -1)).astype(np.uint8)
                 acc = np.arange(1, n_bands + 1, dtype=U64) * MIX2
                 acc = np.broadcast_to(acc, kept.shape[:2]).copy()
                 for k in range(n_rows):
                     acc = mix(acc * MUL + kept[:, :, k])
                 some = np.bincount(row, minlength=hi - lo) > 0
                 out += [v.view(np.int64) if s else [] for v, s in zip(acc, some, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.list_(pa.int64()))], names=["_node", "doc_id", "bands"])
+                sigs += [v.tobytes() if s else None for v, s in zip(short, some, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.list_(pa.int64())), pa.array(sigs, type=pa.binary())],
+                                             names=["_node", "doc_id", "bands", "sig"])
 
-    return docs.select("_node", "doc_id", "text").mapInArrow(run, "_node binary, doc_id long, bands array<long>")
+    return docs.select("_node", "doc_id", "text").mapInArrow(run, "_node binary, doc_id long, bands array<long>, sig binary")
 
 
 def shingle_sets(nodes: DataFrame) -> DataFrame:
@@ -142,6 +151,20 @@ def shingle_sets(nodes: DataFrame) -> DataFrame:
     return nodes.select("_node", "text").mapInArrow(run, "_node binary, h binary, n binary")
 
 
+def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with LEAST_EQUAL equal registers or more."""
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1) for k in (2, 3))
+                keep = pa.array((x == y).sum(axis=1) >= LEAST_EQUAL * x.shape[1] // REGISTERS)
+                yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], names=["a", "b"])
+
+    left, right = sigs.select(F.col("_node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("_node").alias("b"), F.col("sig").alias("sb"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) with a similarity of ``threshold`` or more."""
 
@@ -163,6 +186,104 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         return stored(sets.sparkSession, both.mapInArrow(run, "a binary, b binary"), "similar")
 
 
+def slim_sets(sets: DataFrame) -> DataFrame:
+    """(_node, hs, ws): the upper half of each shingle's hash, and the counts unless all are 1. Shingles that fall together only
+    add to what two texts may share."""
+
+    def run(batches):
+        for t in batches:
+            hs, ws = [], []
+            for h, n in zip(t.column(1), t.column(2), strict=True):
+                hs.append((np.frombuffer(h.as_buffer(), dtype=U64) >> U64(32)).astype(np.uint32).tobytes())
+                n = np.frombuffer(n.as_buffer(), dtype=np.int32)
+                ws.append(b"" if (n == 1).all() else n.tobytes())
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["_node", "hs", "ws"])
+
+    return sets.select("_node", "h", "n").mapInArrow(run, "_node binary, hs binary, ws binary")
+
+
+def possible_pairs(nodes: list, comps: list, index: list[bool], probes: list[int], hs: list[bytes], ws: list[bytes], threshold: float) -> set:
+    """Pairs of a probe and an index row of another component whose common shingles allow a similarity of ``threshold``.
+
+    With shares p and q of the weights in common, the probability Jaccard similarity is at most p q / (p + q - p q): each shingle's
+    part of it is a concave function of its two shares, homogeneous of degree 1, so their sum is largest if all have one ratio.
+    """
+    own = [k for k, i in enumerate(index) if i]
+    sets = [np.frombuffer(h, dtype=np.uint32) for h in hs]
+    weights = [np.frombuffer(w, dtype=np.int32).astype(float) if w else np.ones(len(s)) for w, s in zip(ws, sets, strict=True)]
+    total = np.array([w.sum() for w in weights])
+    h = np.concatenate([sets[k] for k in own])
+    order = np.argsort(h, kind="stable")
+    h, w = h[order], np.concatenate([weights[k] for k in own])[order]
+    row = np.repeat(np.arange(len(own)), [len(sets[k]) for k in own])[order]
+    of, comp_of = total[own], np.array([comps[k] for k in own])
+    out = set()
+    for k in probes:
+        lo, hi = np.searchsorted(h, sets[k], "left"), np.searchsorted(h, sets[k], "right")
+        n = hi - lo
+        at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        p = np.minimum(1, np.bincount(row[at], np.repeat(weights[k], n), len(own)) / total[k])
+        q = np.minimum(1, np.bincount(row[at], w[at], len(own)) / of)
+        most = p * q / np.maximum(p + q - p * q, 1e-300)
+        for j in np.flatnonzero((most >= threshold - 1e-9) & (comp_of != comps[k])).tolist():
+            a, b = nodes[k], nodes[own[j]]
+            out.add((a, b) if a < b else (b, a))
+    return out
+
+
+def across(at: DataFrame, sets: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different components that may reach ``threshold``, for all members outside the
+    bucket's largest component. ``at``: (band, _node, comp) of the buckets with more than one component."""
+    spark = at.sparkSession
+    at = at.join(slim_sets(sets), "_node")
+    at = stored(spark, at, "open-sets")
+    size = F.length("hs") + F.length("ws") + 64
+    sizes = at.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum(size).alias("s"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("_rows"), F.sum("s").alias("_bytes"))
+
+    def blocks(rows, size_):
+        return F.greatest(F.ceil(rows / F.lit(block_rows)), F.ceil(size_ / F.lit(block_bytes)), F.lit(1)).cast("int")
+
+    out_rows, out_bytes = F.col("_rows") - F.col("m.n"), F.col("_bytes") * (F.col("_rows") - F.col("m.n")) / F.col("_rows")
+    plan = largest.select("band", F.col("m.comp").alias("_main"), blocks(F.col("_rows"), F.col("_bytes")).alias("_nb"), blocks(out_rows, out_bytes).alias("_ob"))
+    x = at.join(plan, "band").withColumn("out", F.col("comp") != F.col("_main"))
+    one = (F.col("_nb") == 1) & (F.col("_ob") == 1)
+    place = F.xxhash64("_node")
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    cols = ["band", "_node", "comp", "hs", "ws"]
+    index = x.select(*cols, F.pmod(place, F.col("_nb")).cast("int").alias("i"), every("_ob").alias("o"), F.lit(True).alias("index"), (one & F.col("out")).alias("probe"))
+    probe = x.where(~one & F.col("out")).select(*cols, every("_nb").alias("i"), F.pmod(place, F.col("_ob")).cast("int").alias("o"), F.lit(False).alias("index"), F.lit(True).alias("probe"))
+
+    def run(batches):
+        key, held = None, []
+
+        def done():
+            if not held:
+                return None
+            nodes, comps, hs, ws, index_, probe_ = zip(*held, strict=True)
+            if not any(index_):
+                return None
+            pairs = possible_pairs(nodes, comps, index_, [k for k, p in enumerate(probe_) if p], hs, ws, threshold)
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]) if pairs else None
+
+        for t in batches:
+            for r in zip(*[t.column(c).to_pylist() for c in range(9)], strict=True):
+                if r[:3] != key:
+                    if (found := done()) is not None:
+                        yield found
+                    key, held = r[:3], []
+                held.append(r[3:])
+        if (found := done()) is not None:
+            yield found
+
+    rows = index.unionByName(probe).select("band", "i", "o", "_node", "comp", "hs", "ws", "index", "probe")
+    with small_batches(spark):
+        return stored(spark, rows.repartition("band", "i", "o").sortWithinPartitions("band", "i", "o").mapInArrow(run, "a binary, b binary"), "possible").distinct()
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, _node, class_id) per row of ``df``: class_id is the smallest id of the row's class.
 
@@ -179,35 +300,20 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     nodes = rows.where(F.size("bands") > 0).groupBy("_node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("_id"))
     nodes = rows.withColumn("_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(nodes, ["_node", "_id"]).dropDuplicates(["_node", "_id"])
     banded = nodes.select("_node", F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("_n"), F.min("_node").alias("_first"), F.max("_node").alias("_last")).where("_n > 1")
-    buckets = stored(spark, banded.join(sizes, "band").select("band", "_node", "_first", "_last"), "buckets")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("_n"), F.min("_node").alias("_first")).where("_n > 1")
+    buckets = stored(spark, banded.join(sizes, "band").select("band", "_node", "_first"), "buckets")
     members = stored(spark, buckets.select("_node").distinct(), "members")
     few = members.count() <= BROADCAST_NODES
     with small_batches(spark):
         sets = stored(spark, shingle_sets(_one_per_node(docs, nodes, members, few)), "shingles")
 
+    sigs = nodes.join(members, "_node", "left_semi").select("_node", "sig")
     pairs = buckets.where("_first != _node").select(F.col("_first").alias("a"), F.col("_node").alias("b")).distinct()
-    links = verified(pairs, sets, threshold)
-    for last in (True, False):
-        comp = components(links)
-        at = buckets.select("band", "_node", "_last").join(comp, buckets["_node"] == comp["node"], "left").select(
-            "band", "_node", "_last", F.coalesce("comp", "_node").alias("comp"))
-        open_ = at.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("band")
-        at = stored(spark, at.join(open_, "band"), "open")
-        if last:
-            pivot = at.where("_node = _last").select("band", F.col("comp").alias("_c"))
-            more = at.where("_node != _last").join(pivot, "band").where("comp != _c").select(F.col("_last").alias("a"), F.col("_node").alias("b"))
-        else:
-            sizes = at.groupBy("band", "comp").agg(F.count("*").alias("_n"))
-            largest = sizes.groupBy("band").agg(F.max(F.struct("_n", "comp")).alias("_m")).select("band", F.col("_m.comp").alias("_main"))
-            out = at.join(largest, "band").where("comp != _main").select("band", F.col("_node").alias("a"), F.col("comp").alias("_c"), "_main")
-            more = at.select("band", F.col("_node").alias("b"), "comp").join(out, "band").where("comp != _c and (comp = _main or a < b)").select("a", "b")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stored(spark, more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.union(more)
-        if more.limit(1).count():
-            links = links.union(verified(more, sets, threshold))
+    links = verified(stored(spark, likely(pairs, sigs), "likely"), sets, threshold)
+    comp = components(links)
+    at = buckets.join(comp, buckets["_node"] == comp["node"], "left").select("band", "_node", F.coalesce("comp", "_node").alias("comp"))
+    open_ = at.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("band")
+    links = links.union(verified(across(at.join(open_, "band"), sets, threshold), sets, threshold))
     comp = components(links)
     # class of a node, then of a row; the smallest id of a class is an aggregation over nodes
     byid = nodes.select("_node", "_id").join(comp, nodes["_node"] == comp["node"], "left").select("_node", "_id", F.coalesce("comp", "_node").alias("comp"))

@@ -2,13 +2,14 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
 #: Odd multipliers of the hashes.
 MUL = U64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 POS_BITS = U64((1 << 20) - 1)
-STEP = 1 << 20  # bytes hashed at once
+LONG = 256  # bytes of a word that are hashed in lanes
 #: FIXED: white space between words (space and 9 to 13).
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,23 +39,29 @@ def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return buf, starts, ends, np.searchsorted(first, starts, side="right") - 1
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, in blocks of about STEP bytes."""
-    out = np.empty(len(starts), dtype=U64)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word; other seeds give independent hashes.
+
+    Eight bytes at a time go through ``mix``, which is no polynomial: no choice of letters makes words of equal hash as
+    sums of products do. Words of more than LONG bytes are hashed one by one (xxh3).
+    """
+    n = ends - starts
+    out = mix(n.astype(U64) * MIX1 ^ U64((seed * int(MUL)) & 0xFFFFFFFFFFFFFFFF))
     if not len(starts):
         return out
-    longest = int((ends - starts).max())
-    power = np.cumprod(np.full(longest, MUL, dtype=U64))
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + STEP)))
-        n = ends[i:j] - starts[i:j]
-        first = np.cumsum(n) - n
-        inner = np.arange(int(n.sum())) - np.repeat(first, n)
-        v = BYTE[buf[inner + np.repeat(starts[i:j], n)]] * power[inner]
-        out[i:j] = np.add.reduceat(v, first) + n.astype(U64) * MIX1
-        i = j
-    return mix(out)
+    lanes = np.ndarray(len(buf), dtype="<u8", buffer=np.append(buf, np.zeros(8, dtype=np.uint8)), strides=(1,))
+    own = np.flatnonzero(n <= LONG)
+    at = 0
+    while len(own):
+        left = n[own] - at
+        word = lanes[starts[own] + at]
+        short = left < 8
+        word[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        out[own] = mix((out[own] ^ word) * MUL)
+        own, at = own[left > 8], at + 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed=seed)
+    return out
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

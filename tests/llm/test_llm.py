@@ -115,8 +115,8 @@ def contaminated(docs, items):
     for i, t in items:
         w = cut(t)
         for s in range(max(0, len(w) - 13) + 1):
-            if w and i is not None:
-                wins[tuple(w[s : s + 13])].add(str(i))
+            if w:
+                wins[tuple(w[s : s + 13])].add(i if i is None else str(i))
     out = []
     for d, t in docs:
         w, hit, found = cut(t), set(), set()
@@ -125,7 +125,7 @@ def contaminated(docs, items):
                 if own := wins.get(tuple(w[s : s + n])):
                     hit.update(range(s, s + n))
                     found |= own
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
 
@@ -225,6 +225,42 @@ def test_near_duplicate_classes(spark, docs):
     assert neardup.classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_rows,block_bytes", [(7, 1 << 20), (4096, 3000), (4096, 8 << 20)])
+def test_templates_make_no_pairs(spark, monkeypatch, block_rows, block_bytes):
+    """Texts that share seven tenths with one another, but for two that are closer: no pair of the others becomes a row, whatever
+    the size of blocks."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    head = [word() for _ in range(100)]
+    rows = [(i, " ".join(head + [word() for _ in range(21)])) for i in range(90)]
+    rows.append((90, rows[40][1] + " end"))
+    made = []
+    real = neardup.across
+
+    def counted(at, sets, threshold):
+        out = real(at, sets, threshold, block_rows, block_bytes)
+        made.append((out.count(), at.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "across", counted)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 40 if i == 90 else i for i in range(91)}
+    assert made[0][0] <= 1 and made[0][1] > 300  # members of open buckets, and the pairs made of them
+
+
+def test_shared_shingles_bound_the_similarity():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ({rng.randint(0, 30): rng.choice([1, 1, 1, 2, 7]) for _ in range(rng.randint(1, 25))} for _ in range(2))
+        x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
+        wx, wy = (np.array([s[k] for k in sorted(s)], dtype=np.int32) for s in (a, b))
+        s = neardup.probability_jaccard(x, wx, y, wy)
+        pairs = lambda t: neardup.possible_pairs([b"a", b"b"], [1, 2], [True, True], [0], [v.astype(np.uint32).tobytes() for v in (x, y)], [wx.tobytes(), wy.tobytes()], t)
+        assert pairs(s) == {(b"a", b"b")} or s == 0
+        if (wx == 1).all() and (wy == 1).all():
+            assert not pairs(s + 1e-6)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100, rng.randint(101, 140)) for _ in range(30)] + [(7, 100)] * 0
@@ -522,3 +558,40 @@ def test_pipeline_stages(spark):
 def test_crc_of_texts(spark, docs):
     got = docs[1].select("text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("c")).collect()
     assert all(r.c == zlib.crc32((r.text or "").encode()) for r in got)
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two texts of ``2 ** n`` letters, complements of each other, that polynomial hashes modulo 2 ** 64 cannot tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    x, y = thue_morse(10)
+    head = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{head} {x}"), (2, f"{head} {y}"), (3, f"{head} {x}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 13}
+    df = spark.createDataFrame([(1, f"{x} b c d e"), (2, f"{y} b c d e"), (3, f"{x} b c d e")], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_items_of_null_id_hit(spark):
+    docs_ = spark.createDataFrame([(1, "alpha beta gamma"), (2, "other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (None, "beta gamma"), (7, "gamma")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(docs_, items).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (3, 2, sha("7"), True), 2: (0, 0, sha(""), False)}
+    only = decontaminate.contamination(docs_, items.where("item_id is null")).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in only} == {1: (3, 1, sha("")), 2: (0, 0, sha(""))}
+
+
+def test_queries_of_one_id_are_told_apart(spark):
+    v = spark.createDataFrame([(i, [i, 1]) for i in range(20)], "id long, v array<long>")
+    q = spark.createDataFrame([(50, [-1, 256]), (50, [-2, 256]), (50, [-1, 256])], "id long, v array<long>")
+    got = Counter((r.query_id, r.rank) for r in bitsliced.top_k(v, q, 5).collect())
+    assert got == {(50, r): 2 for r in range(1, 6)}
+    big = spark.createDataFrame([(1, [1 << 40, 1]), (2, [-(1 << 40), 1])], "id long, v array<long>")
+    scores = {r.vec_id: r.score for r in bitsliced.top_k(big, spark.createDataFrame([(9, [1 << 40, 1])], "id long, v array<long>"), 5).collect()}
+    assert scores == {1: (1 << 63) - 1, 2: -(1 << 63)}
