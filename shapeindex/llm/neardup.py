@@ -9,8 +9,8 @@ Registers are banded. Texts that share a band are candidates; their exact simila
 Equal texts are one node. In a band's bucket all members are compared with the first one. Where members of more than one
 component are left, whoever is outside the bucket's largest component is compared with all members of other components:
 members that are linked already need no comparing, and no cross-component pair of a bucket stays unseen. For that a bucket is
-cut into blocks of bounded rows and bytes, and a task meets two blocks with an index of their shingles: what all shared
-shingles leave possible is computed per pair in numpy, and only pairs that may reach the threshold become rows. Classes are the
+cut into blocks of bounded rows and bytes, and a task meets two blocks with an index of their shingles: what they
+share is computed per pair in numpy, and only pairs that link two components become rows, about as many as components. Classes are the
 components of the links with similarity of ``THRESHOLD`` or more.
 """
 from __future__ import annotations
@@ -202,21 +202,29 @@ def slim_sets(sets: DataFrame) -> DataFrame:
     return sets.select("_node", "h", "n").mapInArrow(run, "_node binary, hs binary, ws binary")
 
 
-def possible_pairs(nodes: list, comps: list, index: list[bool], probes: list[int], hs: list[bytes], ws: list[bytes], threshold: float) -> set:
-    """Pairs of a probe and an index row of another component whose common shingles allow a similarity of ``threshold``.
+def possible_links(nodes: list, comps: list, index: list[bool], probes: list[int], hs: list[bytes], ws: list[bytes], threshold: float) -> set:
+    """Pairs of a probe and an index row of another component that reach ``threshold``, enough of them to link all components of
+    the block that any such pair links.
 
     With shares p and q of the weights in common, the probability Jaccard similarity is at most p q / (p + q - p q): each shingle's
-    part of it is a concave function of its two shares, homogeneous of degree 1, so their sum is largest if all have one ratio.
+    part of it is a concave function of its two shares, homogeneous of degree 1, so their sum is largest if all have one ratio. Where
+    all weights are 1 it is just that; else it is computed for the pairs that may reach the threshold. Halves of hashes only add
+    to what is shared: a pair is certain, and stands for all others of its two components, if it stays above the threshold without two
+    of its shingles. Of other components all pairs are given.
     """
     own = [k for k, i in enumerate(index) if i]
     sets = [np.frombuffer(h, dtype=np.uint32) for h in hs]
-    weights = [np.frombuffer(w, dtype=np.int32).astype(float) if w else np.ones(len(s)) for w, s in zip(ws, sets, strict=True)]
-    total = np.array([w.sum() for w in weights])
+    weights = [np.frombuffer(w, dtype=np.int32) if w else np.ones(len(s), dtype=np.int32) for w, s in zip(ws, sets, strict=True)]
+    total = np.array([float(w.sum()) for w in weights])
+    margin = np.array([2.0 * w.max() for w in weights]) / total
     h = np.concatenate([sets[k] for k in own])
     order = np.argsort(h, kind="stable")
     h, w = h[order], np.concatenate([weights[k] for k in own])[order]
     row = np.repeat(np.arange(len(own)), [len(sets[k]) for k in own])[order]
-    of, comp_of = total[own], np.array([comps[k] for k in own])
+    of = total[own]
+    kinds = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([kinds[c] for c in comps])
+    up = np.arange(len(kinds))  # components that certain pairs of this block have linked
     out = set()
     for k in probes:
         lo, hi = np.searchsorted(h, sets[k], "left"), np.searchsorted(h, sets[k], "right")
@@ -225,15 +233,30 @@ def possible_pairs(nodes: list, comps: list, index: list[bool], probes: list[int
         p = np.minimum(1, np.bincount(row[at], np.repeat(weights[k], n), len(own)) / total[k])
         q = np.minimum(1, np.bincount(row[at], w[at], len(own)) / of)
         most = p * q / np.maximum(p + q - p * q, 1e-300)
-        for j in np.flatnonzero((most >= threshold - 1e-9) & (comp_of != comps[k])).tolist():
-            a, b = nodes[k], nodes[own[j]]
+        found = np.flatnonzero((most >= threshold - 1e-9) & (up[comp[own]] != up[comp[k]]))
+        if not len(found):
+            continue
+        score = most[found]
+        for i, j in enumerate(found.tolist()):
+            if ws[k] or ws[own[j]]:
+                (x, a), (y, b) = ((sets[r], weights[r]) for r in (k, own[j]))
+                if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):
+                    score[i] = min(score[i], probability_jaccard(x, a, y, b))
+        reach = score >= threshold - 1e-9
+        for i in np.argsort(-score, kind="stable").tolist():
+            r = own[found[i]]
+            if not reach[i] or up[comp[r]] == up[comp[k]]:
+                continue
+            a, b = nodes[k], nodes[r]
             out.add((a, b) if a < b else (b, a))
+            if score[i] >= threshold + margin[k] + margin[r]:
+                up[up == up[comp[r]]] = up[comp[k]]
     return out
 
 
 def across(at: DataFrame, sets: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Pairs (a, b) of members of one bucket and different components that may reach ``threshold``, for all members outside the
-    bucket's largest component. ``at``: (band, _node, comp) of the buckets with more than one component."""
+    """Pairs (a, b) of members of one bucket and different components that reach ``threshold``, for all members outside the
+    bucket's largest component; no more than link the components of a block. ``at``: (band, _node, comp) of the buckets with more than one component."""
     spark = at.sparkSession
     at = at.join(slim_sets(sets), "_node")
     at = stored(spark, at, "open-sets")
@@ -265,7 +288,7 @@ def across(at: DataFrame, sets: DataFrame, threshold: float, block_rows: int = B
             nodes, comps, hs, ws, index_, probe_ = zip(*held, strict=True)
             if not any(index_):
                 return None
-            pairs = possible_pairs(nodes, comps, index_, [k for k, p in enumerate(probe_) if p], hs, ws, threshold)
+            pairs = possible_links(nodes, comps, index_, [k for k, p in enumerate(probe_) if p], hs, ws, threshold)
             a, b = zip(*pairs, strict=True) if pairs else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]) if pairs else None
 
