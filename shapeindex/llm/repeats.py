@@ -10,8 +10,9 @@ segments of all texts by anchor (a Spark window over the anchor) tells
 * anchors with different segments: the path branches or ends here. Only these segments are taken apart into edges,
   which are grouped one by one.
 
-An edge determines its anchor, so equal edges always meet. Edges are told apart by the hashes of the anchor and of the
-window together (128 bits); at the source coordinates each covered word is then removed.
+An edge determines its anchor, so equal edges always meet. Edges are told apart by the hash of the anchor and an independent
+hash of all the window's words together (128 bits, both over the words' bytes); at the source coordinates each covered word is
+then removed.
 
 Rows lie in chunks by a hash of the id, of about ``CHUNK_BYTES`` each. A chunk sends each of its distinct segments or
 edges once (with its smallest and its largest document), so a passage that most documents share is one row per chunk;
@@ -52,7 +53,8 @@ class Chunk:
         anchor_at = minimizers(g, span - gram + 1)[:n]
         inside = self.row[:n] == self.row[span - 1 :]
         self.at = np.flatnonzero(inside)  # word where each edge starts
-        self.edge = grams(h, span)[self.at]
+        # by an independent hash of the words: a clash of words in one of the two does not carry over to the other
+        self.edge = grams(word_hashes(self.buf, self.starts, self.ends, seed=1), span)[self.at]
         place = anchor_at[self.at]
         self.anchor = g[place]
         self.segment_of = np.cumsum(first_of_groups(place)) - 1
