@@ -6,8 +6,9 @@ window the one with the smallest hash is its anchor, and equal windows have equa
 
 1. Each chunk of documents sends the hashes of its distinct anchors to the shards that own them; a shard merges the sorted
    lists and answers which anchors are in several documents (binary search in the merged list). All others are done.
-2. For those a chunk sends the bytes around each anchor (its windows, as one string per distinct context). A shard sorts all
-   suffixes of its contexts with Larsson-Sadakane refinement (ranks of 7 symbols, then doubling of the groups that are not
+2. For those a chunk sends the bytes around each anchor (its windows, as one string per distinct context). Where all contexts
+   of an anchor are equal bytes, their smallest document is the answer to all of its windows. A shard sorts all suffixes of
+   its other contexts with Larsson-Sadakane refinement (ranks of 7 symbols, then doubling of the groups that are not
    yet single), takes the common prefixes of neighbours with Kasai's scan, and cuts the order where they fall below
    ``span``: each part is one window, whose smallest document is the answer.
 3. The chunk finds its contexts in the answers by binary search and removes the bytes.
@@ -29,6 +30,9 @@ from .textbytes import BYTE, MUL, U64, first_of_groups, minimizers, mix
 
 SPAN = 50
 GRAM = 20
+#: What a chunk sends of its contexts: bytes, their sizes, the smallest documents, which have others and the largest of those, and half of
+#: the anchors' hashes (anchors that fall together are compared like one).
+SENT = ("bytes", "sizes", "lo", "hi", "anchor")
 ANSWER = "_chunk int, shard int, kind byte, a binary, b binary, c binary"
 
 
@@ -78,24 +82,20 @@ class Windows:
         self.doc = ids[row[self.at]]
 
     def contexts(self, wanted: np.ndarray):
-        """For runs with an anchor in the sorted ``wanted``: the runs, the distinct (anchor, bytes) in order, which of them each
-        run is, and their smallest and largest document."""
+        """For runs with an anchor in the sorted ``wanted``: the runs, the distinct contexts (equal bytes have equal anchors) and
+        their anchors in order, which of them each run is, and their smallest and largest document."""
         hit = np.minimum(np.searchsorted(wanted, self.anchor), max(0, len(wanted) - 1))
         runs = np.flatnonzero(wanted[hit] == self.anchor) if len(wanted) else np.zeros(0, dtype=np.int64)
-        seen: dict[tuple[int, bytes], int] = {}
-        which, lo, hi = np.empty(len(runs), dtype=np.int64), [], []
-        raw = self.raw
-        for i, (h, a, b, d) in enumerate(zip(self.anchor[runs].tolist(), self.at[runs].tolist(), self.until[runs].tolist(), self.doc[runs].tolist(), strict=True)):
-            k = seen.setdefault((h, raw[a:b]), len(seen))
-            which[i] = k
-            if k == len(lo):
-                lo.append(d)
-                hi.append(d)
-            elif d < lo[k]:
-                lo[k] = d
-            elif d > hi[k]:
-                hi[k] = d
-        return runs, list(seen), which, np.array(lo, dtype=np.int64), np.array(hi, dtype=np.int64)
+        raw, seen = self.raw, {}
+        strings = [raw[a:b] for a, b in zip(self.at[runs].tolist(), self.until[runs].tolist(), strict=True)]
+        which = np.array([seen.setdefault(x, len(seen)) for x in strings], dtype=np.int64)
+        doc = self.doc[runs]
+        lo, hi = np.full(len(seen), NO_ID, dtype=np.int64), np.full(len(seen), -(1 << 63), dtype=np.int64)
+        np.minimum.at(lo, which, doc)
+        np.maximum.at(hi, which, doc)
+        anchor = np.zeros(len(seen), dtype=U64)
+        anchor[which] = self.anchor[runs]
+        return runs, list(seen), anchor, which, lo, hi
 
 
 def suffix_array(symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +200,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", sp
         """Columns with a row for each shard that has any of the (sorted by shard) entries."""
         cut = np.flatnonzero(first_of_groups(shard))
         rows = [(chunk, int(shard[a]), *make(a, b)) for a, b in zip(cut, np.append(cut[1:], len(shard)), strict=True)]
-        return list(zip(*rows, strict=True)) or [[]] * 7
+        return list(zip(*rows, strict=True)) or [[]] * 8
 
     def send_anchors(t: pa.Table) -> pa.Table:
         chunk = t.column("_chunk")[0].as_py()
@@ -241,50 +241,59 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", sp
         own = [np.frombuffer(x, dtype=U64) for x, k in zip(answers.column("a").to_pylist(), answers.column("kind").to_pylist(), strict=True) if k == 0]
         return np.sort(np.concatenate(own)) if own else np.zeros(0, dtype=U64)
 
-    def by_shard(keys: list) -> tuple[np.ndarray, np.ndarray]:
+    def by_shard(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Contexts in the order of their shards, and the shards."""
-        shard = shard_of(np.array([k[0] for k in keys], dtype=U64))
+        shard = shard_of(anchor)
         order = np.argsort(shard, kind="stable")
         return order, shard[order]
 
     def send_contexts(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return pa.table({"_chunk": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("bytes", "sizes", "lo", "hi")}})
+            return pa.table({"_chunk": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in SENT}})
         chunk = t.column("_chunk")[0].as_py()
         _, ids, texts = rows_of(t)
-        _, keys, _, lo, hi = Windows(ids, texts, span, gram).contexts(wanted_of(answers))
-        order, shard = by_shard(keys)
+        _, keys, anchor, _, lo, hi = Windows(ids, texts, span, gram).contexts(wanted_of(answers))
+        order, shard = by_shard(anchor)
 
         def make(a, b):
             own = order[a:b]
-            strings = [keys[k][1] for k in own]
-            return b"".join(strings), np.array([len(s) for s in strings], dtype=np.uint16).tobytes(), lo[own].tobytes(), hi[own].tobytes()
+            strings = [keys[k] for k in own]
+            more = hi[own] != lo[own]  # mostly a context is in one document of the chunk
+            return (b"".join(strings), np.array([len(s) for s in strings], dtype=np.uint16).tobytes(), lo[own].tobytes(),
+                    np.packbits(more).tobytes() + hi[own][more].tobytes(), anchor[own].astype(np.uint32).tobytes())
 
         c = packed(chunk, shard, make)
-        return pa.table({"_chunk": pa.array(c[0], pa.int32()), "shard": pa.array(c[1], pa.int32()), **{n: pa.array(c[k], pa.binary()) for k, n in enumerate(("bytes", "sizes", "lo", "hi"), 2)}})
+        return pa.table({"_chunk": pa.array(c[0], pa.int32()), "shard": pa.array(c[1], pa.int32()), **{n: pa.array(c[k], pa.binary()) for k, n in enumerate(SENT, 2)}})
 
     def merge_contexts(t: pa.Table) -> pa.Table:
         """Runs of windows of each context with an earlier document: (number of the context in the chunk's list, first window,
         windows) and that document."""
         seen: dict[bytes, int] = {}
-        strings, least, sent = [], [], []
-        for chunk, raw, sizes, lo, hi in zip(*[t.column(c).to_pylist() for c in ("_chunk", "bytes", "sizes", "lo", "hi")], strict=True):
+        sent, lows, anchors = [], [], []
+        for chunk, raw, sizes, lo, hi, anchor in zip(*[t.column(c).to_pylist() for c in ("_chunk", *SENT)], strict=True):
             ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint16).astype(np.int64)).tolist()
-            own, a = [], 0
-            for b, d in zip(ends, np.frombuffer(lo, dtype=np.int64).tolist(), strict=True):
-                k = seen.setdefault(raw[a:b], len(strings))
-                if k == len(strings):
-                    strings.append(raw[a:b])
-                    least.append(d)
-                elif d < least[k]:
-                    least[k] = d
-                own.append(k)
-                a = b
-            sent.append((chunk, np.array(own), np.frombuffer(hi, dtype=np.int64)))
+            own = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *ends], ends, strict=False)], dtype=np.int64)
+            lo = np.frombuffer(lo, dtype=np.int64)
+            most, flags = lo.copy(), (len(lo) + 7) // 8
+            more = np.unpackbits(np.frombuffer(hi[:flags], dtype=np.uint8))[: len(lo)].astype(bool)
+            most[more] = np.frombuffer(hi[flags:], dtype=np.int64)
+            sent.append((chunk, own, most))
+            lows.append(lo)
+            anchors.append(np.frombuffer(anchor, dtype=np.uint32))
+        strings = list(seen)
         if not strings:
             return answer([])
+        least = np.full(len(strings), NO_ID, dtype=np.int64)
+        np.minimum.at(least, np.concatenate([own for _, own, _ in sent]), np.concatenate(lows))
+        anchor = np.zeros(len(strings), dtype=np.uint32)
+        anchor[np.concatenate([own for _, own, _ in sent])] = np.concatenate(anchors)
         size = np.array([len(s) for s in strings], dtype=np.int64)
-        firsts = window_firsts(strings, np.array(least, dtype=np.int64), span)
+        # contexts whose anchor has no other: all of their windows have one first document
+        _, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
+        branch = np.flatnonzero(times[which] > 1)
+        firsts = np.repeat(least, size)
+        if len(branch):
+            firsts[np.repeat(times[which] > 1, size)] = window_firsts([strings[k] for k in branch], least[branch], span)
         # runs of windows with the same first document, per distinct context
         string = np.repeat(np.arange(len(strings)), size)
         offset = np.arange(len(firsts)) - np.repeat(np.cumsum(size) - size, size)
@@ -310,8 +319,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", sp
         w = Windows(ids, texts, span, gram)
         cover = np.zeros(len(w.raw) + 1, dtype=np.int32)
         if answers.num_rows and len(texts):
-            runs, keys, which, _, _ = w.contexts(wanted_of(answers))
-            order, shard = by_shard(keys)
+            runs, keys, anchor, which, _, _ = w.contexts(wanted_of(answers))
+            order, shard = by_shard(anchor)
             place = np.empty(len(keys), dtype=np.int64)  # of a context in the order that was sent
             place[order] = np.arange(len(keys))
             found = [[], [], []]
@@ -351,7 +360,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", sp
     by = docs.groupBy("_chunk")
     anchors = by.applyInArrow(send_anchors, "_chunk int, shard int, h binary, several binary").repartition(parts, "shard")
     first = anchors.groupBy("shard").applyInArrow(merge_anchors, ANSWER)
-    contexts = by.cogroup(first.groupBy("_chunk")).applyInArrow(send_contexts, "_chunk int, shard int, bytes binary, sizes binary, lo binary, hi binary").repartition(parts, "shard")
+    contexts = by.cogroup(first.groupBy("_chunk")).applyInArrow(send_contexts, "_chunk int, shard int, " + ", ".join(f"{c} binary" for c in SENT)).repartition(parts, "shard")
     second = contexts.groupBy("shard").applyInArrow(merge_contexts, ANSWER)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     return by.cogroup(first.unionByName(second).groupBy("_chunk")).applyInArrow(apply, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
