@@ -1,10 +1,11 @@
 """Operator 7, main text by wrapper induction.
 
-Every page becomes a DOM tree. One page of each host (the smallest by a hash of its id) is the host's reference; each page
-of the host is aligned with it by simple tree matching: the largest order-preserving matching of equal tags, level by
-level. Aligned text nodes are then counted over all pages of the host (a Spark aggregation by host, reference node and
-text): a node whose text is the same on most pages is template, a varying one is a slot, hence content. Nodes without a
-partner in the reference vary by definition.
+Every page becomes a DOM tree. Pages of a host that nest their structural elements alike are a layout; those whose layout no
+other page has are one group together. One page of each (the smallest by a hash of its id, empty ones aside) is the reference;
+each page of the group is aligned with it by simple tree matching: the largest order-preserving matching of equal tags, level by
+level. Aligned text nodes are then counted over all pages of the group (a Spark aggregation by group, reference node and
+text): a node whose text is the same on most pages, and on two at least, is template, a varying one is a slot, hence content. Nodes
+without a partner in the reference vary by definition.
 
 What a page itself marks as not content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of
 readers: by tag, role, class or id) is no slot. In a page with an article (or else a main part) that holds the larger part of
@@ -13,6 +14,7 @@ the other text the slots are those in it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -23,13 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stored, table
 
-CONSTANT_SHARE = 0.6  # of a host's pages with different content
-CONSTANT_PAGES = 8  # fewer such pages tell no template
+CONSTANT_SHARE = 0.6  # of a layout's pages with different content
+CONSTANT_PAGES = 2  # one page tells no template
+LAYOUT_DEPTH = 3  # levels of structural elements that tell a layout
+BROADCAST_GROUPS = 100_000  # layouts of hosts (about 60 bytes each) are broadcast up to this many
 BROADCAST_BYTES = 8 << 20  # references, and templates, are broadcast up to this size, else joined by host
 
 #: FIXED values: elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object audio video canvas select button".split())
+RAW = frozenset("script style textarea title noscript template iframe select button".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -39,7 +43,7 @@ ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl")
         "option": ("option", "select"), "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tr td th", "table")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 #: FIXED values: what marks an element as not content.
-OUT_TAGS = frozenset("nav footer aside form menu dialog label head datalist fieldset search".split()) | RAW
+OUT_TAGS = frozenset("nav footer aside form menu dialog head datalist fieldset search".split()) | RAW
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar footer masthead cookie cookies "
@@ -49,7 +53,10 @@ OUT_NAMES = frozenset(
 NAME_ADDS = frozenset("site page main global primary secondary top bottom left right inner outer box bar block area list item wrapper container section".split())
 READERS = frozenset("comment comments reply replies respond disqus".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+RAW_ENDS = {name: re.compile(f"</{name}[^>]*>", re.I) for name in RAW}
+STRUCTURE = re.compile(r"<(/?)(div|section|article|main|nav|header|footer|aside|form|body)\b", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -82,6 +89,38 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     return out or named, tag == "main" or role == "main", named and not out and not names & READERS
 
 
+class Tokens:
+    """(start, text or match of a tag) in order, comments and declarations left out; ``at`` may be moved on in between. In time linear
+    in the page: when a quote in a tag does not close, quotes mean nothing from there on."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.at = html, 0
+
+    def __iter__(self):
+        html, size, last, tag = self.html, len(self.html), self.html.rfind(">"), TAG
+        while self.at < size:
+            at = self.at
+            lt = html.find("<", at)
+            if lt != at:
+                self.at = size if lt < 0 else lt
+                yield at, html[at : self.at]
+                continue
+            after = html[at + 1 : at + 3]
+            if after[:1] in ("!", "?"):
+                mark = "-->" if html.startswith("<!--", at) else ">"
+                end = html.find(mark, at + (4 if mark == "-->" else 2))
+                self.at = size if end < 0 else end + len(mark)
+                continue
+            m = None
+            if at < last and after.lstrip("/")[:1].isalpha():
+                m = tag.match(html, at)
+                if m is None and tag is TAG:
+                    tag = PLAIN
+                    m = tag.match(html, at)
+            self.at = at + 1 if m is None else m.end()
+            yield at, "<" if m is None else m
+
+
 class Page:
     """DOM in arrays: per node its tag (text blocks: "#"), parent, and for text blocks the text."""
 
@@ -112,6 +151,7 @@ class Page:
         otherwise."""
         self.tag, self.parent, self.text, self.state = ["html"], [-1], [""], [0]
         stack, words, pos = [0], [], 0
+        blocks, opened = [0], Counter()  # nearest block element of each entry of the stack; open elements by name
         named: dict[int, list[int]] = {}  # by node: where it begins, letters in it before those of named elements inside, the one around it
         inside, other = {0: 0}, {0: False}  # by node on the stack: the named element it is in; whether other marks hold
         free = 0
@@ -121,43 +161,38 @@ class Page:
                 text = " ".join("".join(words).split())
                 words.clear()
                 if text:
-                    k = len(stack) - 1
-                    while self.tag[stack[k]] not in BLOCK:
-                        k -= 1
-                    self._node("#", stack[k], text, self.state[stack[-1]])
+                    self._node("#", blocks[-1], text, self.state[stack[-1]])
 
         def pop_to(k: int):
             if any(self.tag[n] in BLOCK for n in stack[k:]):
                 flush()
-            del stack[k:]
-
-        size = len(html)
-        while pos < size:
-            m = TOKEN.match(html, pos)
-            pos = m.end()
-            name = m[2]
-            if name is None:
-                t = m[0]
-                if t[0] != "<" or t == "<":
-                    if not self.state[stack[-1]] & 1:
-                        words.append(unescape(t) if "&" in t else t)
-                    if not other[stack[-1]]:
-                        letters = sum(map(len, t.split()))
-                        if k := inside[stack[-1]]:
-                            named[k][1] += letters
-                        else:
-                            free += letters
+            opened.subtract(self.tag[n] for n in stack[k:])
+            del stack[k:], blocks[k:]
+
+        source = Tokens(html)
+        for start, m in source:
+            if isinstance(m, str):
+                if not self.state[stack[-1]] & 1:
+                    words.append(unescape(m) if "&" in m else m)
+                if not other[stack[-1]]:
+                    letters = sum(map(len, m.split()))
+                    if k := inside[stack[-1]]:
+                        named[k][1] += letters
+                    else:
+                        free += letters
                 continue
+            name = m[2]
             name = name.lower()
             if m[1]:  # end tag
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        pop_to(k)
-                        break
+                if opened[name] > 0:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if self.tag[stack[k]] == name:
+                            pop_to(k)
+                            break
                 continue
             if name in RAW:
-                end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(html, pos)
-                pos = end.end() if end else size
+                end = RAW_ENDS[name].search(html, source.at)
+                source.at = end.end() if end else len(html)
                 words.append(" ")
                 continue
             if name == "br":
@@ -169,7 +204,7 @@ class Page:
                 continue
             if name == "body" or name == "html":  # the root stands for both
                 continue
-            if name in CLOSES_P:
+            if name in CLOSES_P and opened["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     t = self.tag[stack[k]]
                     if t == "p":
@@ -180,7 +215,7 @@ class Page:
             if name in ENDS:
                 ends, bounds = ENDS[name]
                 found = 0
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[t] > 0 for t in ends) else ():
                     t = self.tag[stack[k]]
                     if t in bounds:
                         break
@@ -192,15 +227,17 @@ class Page:
                 flush()
             up, above = self.state[stack[-1]], stack[-1]
             out, main, by_name = _marks(name, m[3].strip())
-            if by_name and m.start() in around:
+            if by_name and start in around:
                 out = by_name = False
             if name == "header":
                 out = out or not up & 6
             state = up | (1 if out else 0) | (2 if main else 0) | (4 if name == "article" and not out else 0)
             stack.append(self._node(name, stack[-1], "", state))
+            blocks.append(stack[-1] if name in BLOCK else blocks[-1])
+            opened[name] += 1
             inside[stack[-1]], other[stack[-1]] = inside[above], other[above] or (out and not by_name)
             if by_name and not other[above]:
-                named[stack[-1]] = [m.start(), 0, inside[above]]
+                named[stack[-1]] = [start, 0, inside[above]]
                 inside[stack[-1]] = stack[-1]
         flush()
         for k in sorted(named, reverse=True):  # those inside come after those around them
@@ -317,19 +354,57 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def layout(html: str) -> int:
+    """Hash of the ways that structural elements nest, down to LAYOUT_DEPTH levels; how many there are does not count."""
+    import xxhash
+
+    ways, path = set(), []
+    for m in STRUCTURE.finditer(html):
+        name = m[2].lower()
+        if name == "body":
+            continue
+        if not m[1]:
+            path.append(name)
+            if len(path) <= LAYOUT_DEPTH:
+                ways.add("/".join(path))
+        elif path and path[-1] == name:
+            path.pop()
+    return xxhash.xxh64_intdigest("\n".join(sorted(ways))) >> 1
+
+
+def groups(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+    """``pages`` with ``_host``: the host and, where it is that of two pages or more, the layout; ``_h``: a hash of id and url."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    d = pages.withColumns({"_name": host_of(F.col(url)), "_h": F.xxhash64(F.col(page_id), F.col(url))})
+    at = d.columns.index(html)
+    schema = StructType([*d.schema.fields, StructField("_layout", LongType())])
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([layout(x) if x else None for x in b.column(at).to_pylist()], pa.int64())], names=[*b.schema.names, "_layout"])
+
+    d = d.mapInArrow(run, schema)
+    shared = d.where(F.col("_layout").isNotNull()).groupBy("_name", "_layout").agg(F.count("*").alias("_n")).where("_n > 1").select("_name", "_layout", F.lit(True).alias("_own"))
+    shared = stored(pages.sparkSession, shared, "layouts")
+    d = d.join(F.broadcast(shared) if shared.count() <= BROADCAST_GROUPS else shared, ["_name", "_layout"], "left")
+    key = F.concat_ws("#", F.when(F.col("_own"), F.col("_layout").cast("string")).otherwise(""), "_name")
+    return d.withColumn("_host", key).drop("_name", "_layout", "_own")
+
+
 def page_blocks(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``pages`` without the html, with _host, _digest (of the page's blocks) and _blocks: (node of the host's reference or -1,
-    hash of the text, text) of each block that may be content."""
+    """``pages`` without the html, with _host (of pages of one layout), _digest (of the page's blocks) and _blocks: (node of the
+    group's reference or -1, hash of the text, text) of each block that may be content."""
     spark = prepare(pages)
     keep = [c for c in pages.columns if c != html]
-    d = pages.withColumn("_host", host_of(F.col(url)))
-    order = F.struct(F.xxhash64(F.col(page_id), F.col(url)).alias("h"), F.col(page_id).cast("string").alias("i"), F.col(url).alias("u"))
-    first = d.groupBy("_host").agg(F.min(order).alias("_o")).select("_host", "_o.h")
+    d = groups(pages, page_id, url, html)
+    order = F.struct(F.col("_h").alias("h"), F.col(page_id).cast("string").alias("i"), F.col(url).alias("u"))
+    first = d.where(F.length(html) > 0).groupBy("_host").agg(F.min(order).alias("_o")).select("_host", F.col("_o.h").alias("_h"))
     first = stored(spark, first, "references")
-    refs = d.withColumn("h", F.xxhash64(F.col(page_id), F.col(url))).join(F.broadcast(first) if first.count() <= 200_000 else first, ["_host", "h"])
-    refs = stored(spark, refs.groupBy("_host").agg(F.max(F.coalesce(html, F.lit(""))).alias("_ref")), "reference-pages")
+    refs = d.where(F.length(html) > 0).join(F.broadcast(first) if first.count() <= BROADCAST_GROUPS else first, ["_host", "_h"])
+    refs = stored(spark, refs.groupBy("_host").agg(F.max(html).alias("_ref")), "reference-pages")
     small = (refs.agg(F.sum(F.octet_length("_ref") + 64)).first()[0] or 0) <= BROADCAST_BYTES
-    joined = d.join(F.broadcast(refs) if small else refs, "_host")
+    joined = d.join(F.broadcast(refs) if small else refs, "_host", "left")
     k = len(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*keep).schema.fields)
     block_type = pa.list_(pa.struct([("node", pa.int32()), ("h", pa.int64()), ("text", pa.string())]))
@@ -344,7 +419,7 @@ def page_blocks(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
                 if host not in known:
                     if len(known) >= 256:
                         known.clear()
-                    known[host] = Page(ref)
+                    known[host] = Page(ref or "")
                 page = Page(html_ or "")
                 partner = align(page, known[host])
                 rows = [{"node": partner.get(i, -1), "h": xxhash.xxh64_intdigest(page.text[i]) - (1 << 63), "text": page.text[i]} for i in page.blocks()]
@@ -369,7 +444,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     counted = counted.groupBy("_host", "node", "h").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES * CONSTANT_SHARE)
     hosts = d.groupBy("_host", "_digest").count().groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= CONSTANT_PAGES)
     constant = counted.join(hosts, "_host").where(F.col("n") >= CONSTANT_SHARE * F.col("_pages"))
-    # at most one text per node can be constant, so this is no longer than the host's reference page
+    # at most one text per node can be constant, so this is no longer than the group's reference page
     constant = stored(spark, constant.select("_host", "node", "h"), "template")
     template = constant.groupBy("_host").agg(F.collect_list(F.struct("node", "h")).alias("_template"))
     small = (constant.agg(F.sum(F.octet_length("_host") + 64)).first()[0] or 0) <= BROADCAST_BYTES
