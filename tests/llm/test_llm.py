@@ -255,12 +255,31 @@ def test_shared_shingles_bound_the_similarity():
         x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
         wx, wy = (np.array([s[k] for k in sorted(s)], dtype=np.int32) for s in (a, b))
         s = neardup.probability_jaccard(x, wx, y, wy)
-        pairs = lambda t: neardup.possible_pairs([b"a", b"b"], [1, 2], [True, True], [0], [v.astype(np.uint32).tobytes() for v in (x, y)], [wx.tobytes(), wy.tobytes()], t)
+        pairs = lambda t: neardup.possible_links([b"a", b"b"], [1, 2], [True, True], [0], [v.astype(np.uint32).tobytes() for v in (x, y)], [wx.tobytes(), wy.tobytes()], t)
         assert pairs(s) == {(b"a", b"b")} or s == 0
         if (wx == 1).all() and (wy == 1).all():
             assert not pairs(s + 1e-6)
 
 
+def test_links_of_a_block_are_few():
+    """Many texts that are all alike, in components of their own: as many links as connect them."""
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(0, 1 << 32, 400, dtype=np.uint64)).astype(np.uint32)
+    hs = []
+    for _ in range(60):
+        own = base.copy()
+        own[rng.integers(0, 400, 6)] = rng.integers(0, 1 << 32, 6, dtype=np.uint64).astype(np.uint32)
+        hs.append(np.sort(own).tobytes())
+    nodes = [bytes([k]) for k in range(60)]
+    links = neardup.possible_links(nodes, list(range(60)), [True] * 60, list(range(60)), hs, [b""] * 60, 0.8)
+    assert len(links) == 59
+    up = list(range(60))
+    for a, b in links:
+        x, y = up[a[0]], up[b[0]]
+        up = [x if u == y else u for u in up]
+    assert len(set(up)) == 1
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100, rng.randint(101, 140)) for _ in range(30)] + [(7, 100)] * 0
@@ -595,3 +614,67 @@ def test_queries_of_one_id_are_told_apart(spark):
     big = spark.createDataFrame([(1, [1 << 40, 1]), (2, [-(1 << 40), 1])], "id long, v array<long>")
     scores = {r.vec_id: r.score for r in bitsliced.top_k(big, spark.createDataFrame([(9, [1 << 40, 1])], "id long, v array<long>"), 5).collect()}
     assert scores == {1: (1 << 63) - 1, 2: -(1 << 63)}
+
+
+# 7, further
+
+
+@pytest.mark.parametrize("html", ["<div " * 200_000, "<a x='" * 100_000, "<b>" * 20_000 + "</i>" * 20_000, "<b>" * 8000 + "<div></div>" * 8000, "<!-- " * 100_000, "</" * 100_000,
+                                  "<title>" * 30_000, "<li>" * 30_000, "<p title='>" * 30_001])
+def test_hostile_pages_take_linear_time(html):
+    import time
+
+    began = time.process_time()
+    wrapper.Page(html)
+    wrapper.layout(html)
+    assert time.process_time() - began < 5
+
+
+def test_tags_with_quotes():
+    texts = lambda h: [wrapper.Page(h).text[i] for i in wrapper.Page(h).blocks()]
+    assert texts("<p title='a > b'>x</p><p class=\"it's\">y</p>") == ["x", "y"]
+    assert texts("<p>a</p><script>if (a<b && '\"') {<p>}</script><p title='1>2'>z</p><!-- <p>c -->d") == ["a", "z", "d"]
+    assert texts("a < b <3 c <p>d</p> <") == ["a < b <3 c", "d", "<"]
+    assert texts("<p>The formula <math><mi>E</mi>=<mi>mc</mi></math> holds</p>") == ["The formula E = mc holds".replace(" = ", "=")]
+
+
+def slots(pages):
+    """A template by brute force: a block is constant if its text stands at the same place (way of tags with their numbers) of most
+    pages, and of two at least."""
+    seen = defaultdict(set)
+    cut = []
+    for text in pages:
+        p = wrapper.Page(text or "")
+        ways = {}
+        for i, up in enumerate(p.parent):
+            ways[i] = () if up < 0 else (*ways[up], (p.tag[i], sum(p.tag[j] == p.tag[i] for j in p.children[up] if j < i)))
+        cut.append([(ways[i], p.text[i]) for i in p.blocks()])
+        for b in cut[-1]:
+            seen[b].add(tuple(cut[-1]))
+    n = len({tuple(c) for c in cut})
+    return ["\n".join(t for w, t in c if not (len(seen[w, t]) >= 2 and len(seen[w, t]) >= 0.6 * n)) for c in cut]
+
+
+def marked_free(k, n, other=False):
+    """A page without any mark: constant head, menu and imprint in plain elements around a text of its own."""
+    body = "".join(f"<p>story {k} line {j} of {n}</p>" for j in range(3))
+    if other:
+        return f"<div><div><p>Section of b</p></div><section><h2>news {k}</h2>{body}</section></div><div><p>Imprint of b</p></div>"
+    return f"<div><div>Home of a</div><div>Topics today</div></div><div><h1>title {k}</h1>{body}</div><div><div><p>Imprint of a.org</p></div></div>"
+
+
+@pytest.mark.parametrize("n", [2, 7, 50])
+def test_templates_without_marks(spark, n):
+    """Hosts of two, seven and fifty pages, two layouts, an empty page that would be the reference: constant nodes alone decide."""
+    a = [marked_free(k, n) for k in range(n)]
+    b = [marked_free(k, n, True) for k in range(n)]
+    rows = [(i, "https://a.org/x", h) for i, h in enumerate(a + b)] + [(1000 + i, "https://a.org/x", None if i % 2 else "") for i in range(12)]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[i] for i in range(2 * n)] == slots(a) + slots(b)
+    assert got[0].split("\n")[0] == "title 0" and got[n].split("\n")[0] == "news 0" and "Imprint" not in "".join(got.values())
+    assert all(got[1000 + i] == "" for i in range(12))
+
+
+def test_one_page_tells_no_template(spark):
+    df = spark.createDataFrame([(1, "https://a.org/", "<div><p>only</p></div>"), (2, "https://a.org/", "<div><p>only</p></div>"), (3, "https://b.org/", "<p>x</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrapper.main_text(df).collect()} == {1: "only", 2: "only", 3: "x"}
