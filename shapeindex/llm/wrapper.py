@@ -5,7 +5,8 @@ other page has are one group together. One page of each (the smallest by a hash
 each page of the group is aligned with it by simple tree matching: the largest order-preserving matching of equal tags, level by
 level. Aligned text nodes are then counted over all pages of the group (a Spark aggregation by group, reference node and
 text): a node whose text is the same on most pages, and on two at least, is template, a varying one is a slot, hence content. Nodes
-without a partner in the reference vary by definition.
+without a partner in the reference vary by definition. What a page marks as article or main part is template only where eight pages
+or more tell so.
 
 What a page itself marks as not content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of
 readers: by tag, role, class or id) is no slot. In a page with an article (or else a main part) that holds the larger part of
@@ -27,6 +28,7 @@ from .common import prepare, stored, table
 
 CONSTANT_SHARE = 0.6  # of a layout's pages with different content
 CONSTANT_PAGES = 2  # one page tells no template
+MARKED_PAGES = 8  # against the page's own mark of an article or a main part fewer tell nothing: two versions of an article share paragraphs
 LAYOUT_DEPTH = 3  # levels of structural elements that tell a layout
 BROADCAST_GROUPS = 100_000  # layouts of hosts (about 60 bytes each) are broadcast up to this many
 BROADCAST_BYTES = 8 << 20  # references, and templates, are broadcast up to this size, else joined by host
@@ -394,7 +396,7 @@ def groups(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
 
 def page_blocks(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` without the html, with _host (of pages of one layout), _digest (of the page's blocks) and _blocks: (node of the
-    group's reference or -1, hash of the text, text) of each block that may be content."""
+    group's reference or -1, hash of the text, whether in a marked article or main part, text) of each block that may be content."""
     spark = prepare(pages)
     keep = [c for c in pages.columns if c != html]
     d = groups(pages, page_id, url, html)
@@ -407,7 +409,7 @@ def page_blocks(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
     joined = d.join(F.broadcast(refs) if small else refs, "_host", "left")
     k = len(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*keep).schema.fields)
-    block_type = pa.list_(pa.struct([("node", pa.int32()), ("h", pa.int64()), ("text", pa.string())]))
+    block_type = pa.list_(pa.struct([("node", pa.int32()), ("h", pa.int64()), ("marked", pa.bool_()), ("text", pa.string())]))
 
     def run(batches):
         import xxhash
@@ -422,12 +424,12 @@ def page_blocks(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
                     known[host] = Page(ref or "")
                 page = Page(html_ or "")
                 partner = align(page, known[host])
-                rows = [{"node": partner.get(i, -1), "h": xxhash.xxh64_intdigest(page.text[i]) - (1 << 63), "text": page.text[i]} for i in page.blocks()]
+                rows = [{"node": partner.get(i, -1), "h": xxhash.xxh64_intdigest(page.text[i]) - (1 << 63), "marked": bool(page.state[i] & 6), "text": page.text[i]} for i in page.blocks()]
                 out.append(rows)
                 digests.append(xxhash.xxh64_intdigest("\n".join(r["text"] for r in rows)) - (1 << 63))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], b.column(k + 1), pa.array(digests, pa.int64()), pa.array(out, block_type)], names=[*keep, "_host", "_digest", "_blocks"])
 
-    return joined.select(*keep, F.col(html), "_host", "_ref").mapInArrow(run, f"{fields}, _host string, _digest long, _blocks array<struct<node:int,h:bigint,text:string>>")
+    return joined.select(*keep, F.col(html), "_host", "_ref").mapInArrow(run, f"{fields}, _host string, _digest long, _blocks array<struct<node:int,h:bigint,marked:boolean,text:string>>")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -440,17 +442,18 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     spark = pages.sparkSession
     keep = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
     d = stored(spark, page_blocks(pages.select(*keep), page_id, url, html), "page-blocks")
-    counted = d.select("_host", "_digest", F.explode("_blocks").alias("b")).where("b.node >= 0").select("_host", "_digest", "b.node", "b.h").distinct()
-    counted = counted.groupBy("_host", "node", "h").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES * CONSTANT_SHARE)
+    counted = d.select("_host", "_digest", F.explode("_blocks").alias("b")).where("b.node >= 0").select("_host", "_digest", "b.node", "b.h", "b.marked").distinct()
+    counted = counted.groupBy("_host", "node", "h", "marked").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_PAGES * CONSTANT_SHARE)
     hosts = d.groupBy("_host", "_digest").count().groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= CONSTANT_PAGES)
-    constant = counted.join(hosts, "_host").where(F.col("n") >= CONSTANT_SHARE * F.col("_pages"))
+    enough = F.col("n") >= CONSTANT_SHARE * F.col("_pages")
+    constant = counted.join(hosts, "_host").where(enough & (~F.col("marked") | (F.col("_pages") >= MARKED_PAGES)))
     # at most one text per node can be constant, so this is no longer than the group's reference page
-    constant = stored(spark, constant.select("_host", "node", "h"), "template")
-    template = constant.groupBy("_host").agg(F.collect_list(F.struct("node", "h")).alias("_template"))
+    constant = stored(spark, constant.select("_host", "node", "h", "marked"), "template")
+    template = constant.groupBy("_host").agg(F.collect_list(F.struct("node", "h", "marked")).alias("_template"))
     small = (constant.agg(F.sum(F.octet_length("_host") + 64)).first()[0] or 0) <= BROADCAST_BYTES
     d = d.join(F.broadcast(template) if small else template, "_host", "left")
     slots = F.when(F.col("_template").isNull(), F.col("_blocks")).otherwise(
-        F.filter("_blocks", lambda b: ~F.array_contains("_template", F.struct(b["node"].alias("node"), b["h"].alias("h")))))
+        F.filter("_blocks", lambda b: ~F.array_contains("_template", F.struct(b["node"].alias("node"), b["h"].alias("h"), b["marked"].alias("marked")))))
     text = F.array_join(F.transform(slots, lambda b: b["text"]), "\n")
     out = d.select(*[c for c in keep if c != html], text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
