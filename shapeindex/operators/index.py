@@ -282,7 +282,7 @@ def _commit(idx: Index, meta: dict, new_segment: str | None, new_tombstones: Dat
         terms_df = spark.createDataFrame([], TERM_STAT)
     terms_df = terms_df.withColumn("term_bucket", term_bucket(F.col("term_hash"), meta["term_buckets"]))
     (terms_df.repartitionByRange("term_bucket", "term_hash").sortWithinPartitions("term_hash")
-     .write.partitionBy("term_bucket").parquet(idx._p(tname_terms)))
+     .write.options(**BLOOM).partitionBy("term_bucket").parquet(idx._p(tname_terms)))
     meta["terms"] = tname_terms
     store.write_text(spark, f"{_meta_dir(idx.path)}/v{v:06d}.json", json.dumps(meta), overwrite=False)
     idx.meta = meta
@@ -366,10 +366,12 @@ def _write_segment(idx: Index, seg: str, snippets: DataFrame, node_rows: DataFra
     (postings.withColumn("term_bucket", term_bucket(F.col("term_hash"), tb))
      .repartitionByRange("term_bucket", "term_hash", "snippet_id")
      .sortWithinPartitions("term_bucket", "term_hash", "snippet_id")
-     .write.partitionBy("term_bucket").parquet(idx._p(f"{seg}/postings")))
+     .write.options(**BLOOM).partitionBy("term_bucket").parquet(idx._p(f"{seg}/postings")))
 
 
 BUCKET_BYTES = 128 << 20
+#: A Bloom filter of terms per row group: a scan for few terms skips the groups that have none of them.
+BLOOM = {"parquet.bloom.filter.enabled#term_hash": "true", "parquet.bloom.filter.expected.ndv#term_hash": "100000"}
 
 
 def _pow2_at_least(x: float) -> int:

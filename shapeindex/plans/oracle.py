@@ -5,7 +5,7 @@ term count and code lines (FIXTURES §2), a query template fixes the matched cor
 matched terms, lines, anchor and preview (FIXTURES §3-§4). Names never reach a term, so a
 template's terms occur exactly in the rows of that template: df = rows of the template.
 """
-from .fixtures import TEMPLATES
+from .fixtures import QUERIES, TEMPLATES
 
 CORPUS = """
 corpus AS (
@@ -447,3 +447,26 @@ SQL["code_meta_file"] = SQL["code_corpus_meta"]
 SQL["part_repo_file"] = """WITH p AS (SELECT *, p_name || '#' || p_partkey AS name, CAST(floor(p_retailprice * 11) AS BIGINT) AS size_kb, p_partkey % 50 = 0 AS bad FROM part)
 SELECT name, p_type AS language, CAST(p_size AS BIGINT) AS stars, size_kb, NULL AS record FROM p WHERE NOT bad
 UNION ALL SELECT NULL, NULL, NULL, NULL, '{"name":"' || name || '","language":"' || p_type || '","stargazers_count":"many","size":' || size_kb || ',"owner":{"login":"' || p_brand || '"}}' FROM p WHERE bad"""
+
+# the response envelope as text: hits with their nested fields in order, or the parser's message
+QUERY_TEXTS = "CASE qt " + " ".join(f"WHEN {t} THEN '" + v[0].replace("'", "''") + "'" for t, v in sorted(QUERIES.items())) + " END"
+
+SQL["code_search_json"] = SEARCH + f""",
+hits AS (
+  SELECT query_id, rnk, '{{"rank":' || rnk || ',"snippet_id":' || sid || ',"score":' || score || ',"matched_tokens_count":' || m
+    || ',"title":{{"repo":"' || CASE WHEN l_returnflag = 'R' THEN 'Python Docs' ELSE 'r' || l_suppkey END || '","filename":"'
+    || CASE WHEN l_returnflag = 'R' THEN 'T: m' || l_partkey || '.f' || sid ELSE 'f' || l_partkey || '_' || l_linenumber || '.py' END
+    || '"}},"url":"' || CASE WHEN l_returnflag = 'R' THEN 'https://docs.python.org/3/library/m' || l_partkey || '.html#f' || sid
+       ELSE 'https://github.com/x/r' || l_suppkey || '/blob/h' || l_suppkey || '/src/f' || l_partkey || '_' || l_linenumber || '.py' || anchor END
+    || '","lines":[' || lines || '],"preview":{{"line_start":' || line_start || ',"display_start":' || display_start || ',"rows":['
+    || array_to_string(list_transform(string_split(replace({TEXTS}, '{{k}}', CAST(l_orderkey AS VARCHAR)), chr(10))[line_start:line_start + n_rows - 1],
+                                      lambda x: '"' || replace(x, '"', '\\"') || '"'), ',') || '],"hl":[' || hl || ']}}}}' AS hit
+  FROM (SELECT *, target AS t FROM (SELECT * EXCLUDE (t) FROM ranked)) WHERE rnk <= 10),
+per_q AS (SELECT query_id, string_agg(hit, ',' ORDER BY rnk) AS shown FROM hits GROUP BY query_id),
+asked AS (SELECT query_id, qt, '"' || replace(replace(replace({QUERY_TEXTS}, '{{k}}', CAST(query_id AS VARCHAR)), '"', '\\"'), chr(10), '\\n') || '"' AS code FROM q)
+SELECT query_id, '{{"previous_input":' || code || CASE WHEN qt = 6 THEN ',"errors":"invalid syntax (<unknown>, line 1)"}}'
+  ELSE ',"similar":[' || coalesce(shown, '') || '],"has_results":' || CASE WHEN shown IS NULL THEN 'false' ELSE 'true' END || '}}' END AS json
+FROM asked LEFT JOIN per_q USING (query_id)"""
+
+SQL["stream_state"] = """SELECT count(*) AS n_first, count(*) AS n_keys, count(*) AS state_rows, 20::BIGINT AS batches
+FROM (SELECT DISTINCT user_id, event_type FROM events)"""

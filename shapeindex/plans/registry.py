@@ -458,6 +458,21 @@ def q_stream_events_dedup(spark, sf_dir):
     return _run_to_table(spark, dedup_stream(_stream_of(spark, events), url_col="key").select("user_id", "event_type"))
 
 
+def q_stream_state(spark, sf_dir):
+    """STR1 over twenty micro-batches with the state of all keys in RocksDB, by their hashes: first events per (user, type), and how many
+    keys the state holds at the end."""
+    from ..streaming.items import dedup_stream, rocksdb_state, state_rows
+    events = table(spark, sf_dir, "events").withColumn("key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    first = dedup_stream(_stream_of(spark, events, files=20), url_col="key", hashed=True).select("key")
+    with rocksdb_state(spark):
+        query = first.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+        query.awaitTermination()
+    keys = spark.read.parquet(out)
+    return keys.agg(F.count("*").alias("n_first"), F.count_distinct("key").alias("n_keys")).select(
+        "n_first", "n_keys", F.lit(state_rows(query)).cast("long").alias("state_rows"), F.lit(len({p["batchId"] for p in query.recentProgress if p["numInputRows"]})).cast("long").alias("batches"))
+
+
 def q_stream_index_stats(spark, sf_dir):
     from ..streaming.items import index_stream
     path = scratch_path(spark, "stream-index")
@@ -539,6 +554,7 @@ QUERIES = {
     "manual_crawl_tutorial": q_manual_crawl_tutorial,
     "stream_dedup_urls": q_stream_dedup_urls,
     "stream_events_dedup": q_stream_events_dedup,
+    "stream_state": q_stream_state,
     "stream_index_stats": q_stream_index_stats,
     "stream_two_feeds": q_stream_two_feeds,
 }

@@ -1,6 +1,7 @@
 """Incremental indexing with Structured Streaming (STR1-STR3)."""
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import partial
 
 import pyarrow as pa
@@ -13,13 +14,45 @@ from ..operators.html import is_valid_snippet
 from ..session import ship_package
 
 
-def dedup_stream(items: DataFrame, watermark: tuple[str, str] | None = None, url_col: str = "url") -> DataFrame:
+#: State on executors' disks in RocksDB; a checkpoint of a micro-batch holds its changes only.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+@contextmanager
+def rocksdb_state(spark):
+    """Streams that start while this holds keep their state in RocksDB (:data:`ROCKSDB`) instead of the executors' heap, so the urls of
+    all time need not fit in memory. A stream stays with what its checkpoint was begun with."""
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def state_rows(query) -> int:
+    """Keys in the state of a stream's stateful operators after its last micro-batch that reported any."""
+    reports = [[op["numRowsTotal"] for op in p["stateOperators"]] for p in query.recentProgress]
+    return max((sum(r) for r in reports if r), default=0)
+
+
+def dedup_stream(items: DataFrame, watermark: tuple[str, str] | None = None, url_col: str = "url", hashed: bool = False) -> DataFrame:
     """STR1: first item per url wins. Without a watermark the state is every url ever seen (as
-    the batch build); with ``(event_time_col, delay)`` state is bounded by the watermark."""
+    the batch build); with ``(event_time_col, delay)`` state is bounded by the watermark. With ``hashed`` the state holds the
+    SHA-256 of a url (32 bytes) instead of its text; a null url stays null."""
+    key = url_col
+    if hashed:
+        key = "_url_key"
+        items = items.withColumn(key, F.unhex(F.sha2(F.col(url_col), 256)))
     if watermark is None:
-        return items.dropDuplicates([url_col])
-    col, delay = watermark
-    return items.withWatermark(col, delay).dropDuplicatesWithinWatermark([url_col])
+        out = items.dropDuplicates([key])
+    else:
+        col, delay = watermark
+        out = items.withWatermark(col, delay).dropDuplicatesWithinWatermark([key])
+    return out.drop("_url_key") if hashed else out
 
 
 def _valid_batches(batches, col: str):

@@ -52,5 +52,26 @@ def test_search_prunes_buckets_and_limits_early(spark):
     assert schemas and not any("positions" in x or "content" in x for x in schemas)
 
 
+def test_few_terms_are_filtered_in_the_scan(spark, monkeypatch):
+    """The values of a small term set reach the Parquet reader, which has a Bloom filter for them; a large set is joined."""
+    import re
+
+    from shapeindex.config import SearchOptions
+    from shapeindex.operators import search as S
+    from shapeindex.plans import registry as R
+    from shapeindex.plans.corpus import code_queries
+    idx = R._index(spark, SF, "structural")
+    qs = code_queries(spark, SF).select("query_id", "code")
+    sig = S.signature_terms(S.prepare_queries(idx, qs)).cache()
+    some = S.touched(idx, sig, list(range(idx.term_buckets)))
+    assert some.terms and len(some.terms) == sig.select("term_hash").distinct().count()
+    plan = _plan_text(S._postings(idx, some))
+    assert re.search(r"PushedFilters: \[[^\n]*(In|Or)\([^\n]*term_hash", plan)
+    hits = {tuple(r)[:4] for r in S.search(idx, qs, SearchOptions(), decorate_hits=False)[0].collect()}
+    monkeypatch.setattr(S, "PUSHED_TERMS", 1)
+    assert S.touched(idx, sig, [0]).terms is None
+    assert {tuple(r)[:4] for r in S.search(idx, qs, SearchOptions(), decorate_hits=False)[0].collect()} == hits
+
+
 def test_first_wins_dedup_limits_before_shuffle(plans):
     assert plans["events_first_wins"].count("WindowGroupLimit") >= 2
