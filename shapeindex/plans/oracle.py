@@ -461,7 +461,7 @@ hits AS (
     || '","lines":[' || lines || '],"preview":{{"line_start":' || line_start || ',"display_start":' || display_start || ',"rows":['
     || array_to_string(list_transform(string_split(replace({TEXTS}, '{{k}}', CAST(l_orderkey AS VARCHAR)), chr(10))[line_start:line_start + n_rows - 1],
                                       lambda x: '"' || replace(x, '"', '\\"') || '"'), ',') || '],"hl":[' || hl || ']}}}}' AS hit
-  FROM (SELECT *, target AS t FROM (SELECT * EXCLUDE (t) FROM ranked)) WHERE rnk <= 10),
+  FROM (SELECT *, target AS t FROM ranked) WHERE rnk <= 10),
 per_q AS (SELECT query_id, string_agg(hit, ',' ORDER BY rnk) AS shown FROM hits GROUP BY query_id),
 asked AS (SELECT query_id, qt, '"' || replace(replace(replace({QUERY_TEXTS}, '{{k}}', CAST(query_id AS VARCHAR)), '"', '\\"'), chr(10), '\\n') || '"' AS code FROM q)
 SELECT query_id, '{{"previous_input":' || code || CASE WHEN qt = 6 THEN ',"errors":"invalid syntax (<unknown>, line 1)"}}'
