@@ -203,8 +203,8 @@ def slim_sets(sets: DataFrame) -> DataFrame:
 
 
 def possible_links(nodes: list, comps: list, index: list[bool], probes: list[int], hs: list[bytes], ws: list[bytes], threshold: float) -> set:
-    """Pairs of a probe and an index row of another component that reach ``threshold``, enough of them to link all components of
-    the block that any such pair links.
+    """(a, b, component of a, of b, whether certain): pairs of a probe and an index row of another component that reach ``threshold``,
+    enough of them to link all components of the block that any such pair links.
 
     With shares p and q of the weights in common, the probability Jaccard similarity is at most p q / (p + q - p q): each shingle's
     part of it is a concave function of its two shares, homogeneous of degree 1, so their sum is largest if all have one ratio. Where
@@ -247,16 +247,17 @@ def possible_links(nodes: list, comps: list, index: list[bool], probes: list[int
             r = own[found[i]]
             if not reach[i] or up[comp[r]] == up[comp[k]]:
                 continue
-            a, b = nodes[k], nodes[r]
-            out.add((a, b) if a < b else (b, a))
-            if score[i] >= threshold + margin[k] + margin[r]:
+            sure = bool(score[i] >= threshold + margin[k] + margin[r])
+            a, b = sorted(((nodes[k], comps[k]), (nodes[r], comps[r])))
+            out.add((a[0], b[0], a[1], b[1], sure))
+            if sure:
                 up[up == up[comp[r]]] = up[comp[k]]
     return out
 
 
 def across(at: DataFrame, sets: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Pairs (a, b) of members of one bucket and different components that reach ``threshold``, for all members outside the
-    bucket's largest component; no more than link the components of a block. ``at``: (band, _node, comp) of the buckets with more than one component."""
+    """(a, b, ca, cb, sure): pairs of members of one bucket and different components that reach ``threshold``, their components and whether
+    that is certain, for all members outside the bucket's largest component; no more than link the components of a block. ``at``: (band, _node, comp) of the buckets with more than one component."""
     spark = at.sparkSession
     at = at.join(slim_sets(sets), "_node")
     at = stored(spark, at, "open-sets")
@@ -289,8 +290,10 @@ def across(at: DataFrame, sets: DataFrame, threshold: float, block_rows: int = B
             if not any(index_):
                 return None
             pairs = possible_links(nodes, comps, index_, [k for k, p in enumerate(probe_) if p], hs, ws, threshold)
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]) if pairs else None
+            if not pairs:
+                return None
+            cols = [pa.array(c, pa.binary() if k < 4 else pa.bool_()) for k, c in enumerate(zip(*pairs, strict=True))]
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "ca", "cb", "sure"])
 
         for t in batches:
             for r in zip(*[t.column(c).to_pylist() for c in range(9)], strict=True):
@@ -304,7 +307,7 @@ def across(at: DataFrame, sets: DataFrame, threshold: float, block_rows: int = B
 
     rows = index.unionByName(probe).select("band", "i", "o", "_node", "comp", "hs", "ws", "index", "probe")
     with small_batches(spark):
-        return stored(spark, rows.repartition("band", "i", "o").sortWithinPartitions("band", "i", "o").mapInArrow(run, "a binary, b binary"), "possible").distinct()
+        return stored(spark, rows.repartition("band", "i", "o").sortWithinPartitions("band", "i", "o").mapInArrow(run, "a binary, b binary, ca binary, cb binary, sure boolean"), "possible")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -336,10 +339,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     comp = components(links)
     at = buckets.join(comp, buckets["_node"] == comp["node"], "left").select("band", "_node", F.coalesce("comp", "_node").alias("comp"))
     open_ = at.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("band")
-    links = links.union(verified(across(at.join(open_, "band"), sets, threshold), sets, threshold))
-    comp = components(links)
+    met = across(at.join(open_, "band"), sets, threshold)
+    # links between components: many buckets find the same ones, by other pairs
+    unsure = met.where("not sure").select("a", "b", "ca", "cb").distinct()
+    checked = unsure.join(verified(unsure.select("a", "b").distinct(), sets, threshold), ["a", "b"])
+    pair = [F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")]
+    upper = components(met.where("sure").select(*pair).union(checked.select(*pair)).distinct())
     # class of a node, then of a row; the smallest id of a class is an aggregation over nodes
-    byid = nodes.select("_node", "_id").join(comp, nodes["_node"] == comp["node"], "left").select("_node", "_id", F.coalesce("comp", "_node").alias("comp"))
+    byid = nodes.select("_node", "_id").join(comp, nodes["_node"] == comp["node"], "left").select("_node", "_id", F.coalesce("comp", "_node").alias("_c"))
+    byid = byid.join(upper, byid["_c"] == upper["node"], "left").select("_node", "_id", F.coalesce("comp", "_c").alias("comp"))
     byid = stored(spark, byid, "node-classes")
     least = byid.groupBy("comp").agg(F.min("_id").alias("class_id"))
     own = byid.join(least, "comp").select("_node", F.nullif("class_id", F.lit((1 << 63) - 1)).alias("class_id"))

@@ -256,7 +256,7 @@ def test_shared_shingles_bound_the_similarity():
         wx, wy = (np.array([s[k] for k in sorted(s)], dtype=np.int32) for s in (a, b))
         s = neardup.probability_jaccard(x, wx, y, wy)
         pairs = lambda t: neardup.possible_links([b"a", b"b"], [1, 2], [True, True], [0], [v.astype(np.uint32).tobytes() for v in (x, y)], [wx.tobytes(), wy.tobytes()], t)
-        assert pairs(s) == {(b"a", b"b")} or s == 0
+        assert {x[:2] for x in pairs(s)} == {(b"a", b"b")} or s == 0
         if (wx == 1).all() and (wy == 1).all():
             assert not pairs(s + 1e-6)
 
@@ -274,7 +274,7 @@ def test_links_of_a_block_are_few():
     links = neardup.possible_links(nodes, list(range(60)), [True] * 60, list(range(60)), hs, [b""] * 60, 0.8)
     assert len(links) == 59
     up = list(range(60))
-    for a, b in links:
+    for a, b, *_ in links:
         x, y = up[a[0]], up[b[0]]
         up = [x if u == y else u for u in up]
     assert len(set(up)) == 1
