@@ -187,14 +187,13 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def slim_sets(sets: DataFrame) -> DataFrame:
-    """(_node, hs, ws): the upper half of each shingle's hash, and the counts unless all are 1. Shingles that fall together only
-    add to what two texts may share."""
+    """(_node, hs, ws): the shingles, and the counts unless all are 1."""
 
     def run(batches):
         for t in batches:
             hs, ws = [], []
             for h, n in zip(t.column(1), t.column(2), strict=True):
-                hs.append((np.frombuffer(h.as_buffer(), dtype=U64) >> U64(32)).astype(np.uint32).tobytes())
+                hs.append(h.as_py())
                 n = np.frombuffer(n.as_buffer(), dtype=np.int32)
                 ws.append(b"" if (n == 1).all() else n.tobytes())
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["_node", "hs", "ws"])
@@ -203,20 +202,17 @@ def slim_sets(sets: DataFrame) -> DataFrame:
 
 
 def possible_links(nodes: list, comps: list, index: list[bool], probes: list[int], hs: list[bytes], ws: list[bytes], threshold: float) -> set:
-    """(a, b, component of a, of b, whether certain): pairs of a probe and an index row of another component that reach ``threshold``,
-    enough of them to link all components of the block that any such pair links.
+    """(a, b, component of a, of b): pairs of a probe and an index row of another component that reach ``threshold``, as many as link all
+    components of the block that any such pair links.
 
     With shares p and q of the weights in common, the probability Jaccard similarity is at most p q / (p + q - p q): each shingle's
     part of it is a concave function of its two shares, homogeneous of degree 1, so their sum is largest if all have one ratio. Where
-    all weights are 1 it is just that; else it is computed for the pairs that may reach the threshold. Halves of hashes only add
-    to what is shared: a pair is certain, and stands for all others of its two components, if it stays above the threshold without two
-    of its shingles. Of other components all pairs are given.
+    all weights are 1 it is just that; else it is computed for the pairs that may reach the threshold.
     """
     own = [k for k, i in enumerate(index) if i]
-    sets = [np.frombuffer(h, dtype=np.uint32) for h in hs]
+    sets = [np.frombuffer(h, dtype=U64) for h in hs]
     weights = [np.frombuffer(w, dtype=np.int32) if w else np.ones(len(s), dtype=np.int32) for w, s in zip(ws, sets, strict=True)]
     total = np.array([float(w.sum()) for w in weights])
-    margin = np.array([2.0 * w.max() for w in weights]) / total
     h = np.concatenate([sets[k] for k in own])
     order = np.argsort(h, kind="stable")
     h, w = h[order], np.concatenate([weights[k] for k in own])[order]
@@ -224,7 +220,7 @@ def possible_links(nodes: list, comps: list, index: list[bool], probes: list[int
     of = total[own]
     kinds = {c: i for i, c in enumerate(dict.fromkeys(comps))}
     comp = np.array([kinds[c] for c in comps])
-    up = np.arange(len(kinds))  # components that certain pairs of this block have linked
+    up = np.arange(len(kinds))  # components that pairs of this block have linked
     out = set()
     for k in probes:
         lo, hi = np.searchsorted(h, sets[k], "left"), np.searchsorted(h, sets[k], "right")
@@ -240,24 +236,21 @@ def possible_links(nodes: list, comps: list, index: list[bool], probes: list[int
         for i, j in enumerate(found.tolist()):
             if ws[k] or ws[own[j]]:
                 (x, a), (y, b) = ((sets[r], weights[r]) for r in (k, own[j]))
-                if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):
-                    score[i] = min(score[i], probability_jaccard(x, a, y, b))
-        reach = score >= threshold - 1e-9
+                score[i] = probability_jaccard(x, a, y, b)
+        reach = score >= threshold - 1e-12
         for i in np.argsort(-score, kind="stable").tolist():
             r = own[found[i]]
             if not reach[i] or up[comp[r]] == up[comp[k]]:
                 continue
-            sure = bool(score[i] >= threshold + margin[k] + margin[r])
             a, b = sorted(((nodes[k], comps[k]), (nodes[r], comps[r])))
-            out.add((a[0], b[0], a[1], b[1], sure))
-            if sure:
-                up[up == up[comp[r]]] = up[comp[k]]
+            out.add((a[0], b[0], a[1], b[1]))
+            up[up == up[comp[r]]] = up[comp[k]]
     return out
 
 
 def across(at: DataFrame, sets: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(a, b, ca, cb, sure): pairs of members of one bucket and different components that reach ``threshold``, their components and whether
-    that is certain, for all members outside the bucket's largest component; no more than link the components of a block. ``at``: (band, _node, comp) of the buckets with more than one component."""
+    """(a, b, ca, cb): pairs of members of one bucket and different components that reach ``threshold``, and their components, for all
+    members outside the bucket's largest component; no more than link the components of a block. ``at``: (band, _node, comp) of the buckets with more than one component."""
     spark = at.sparkSession
     at = at.join(slim_sets(sets), "_node")
     at = stored(spark, at, "open-sets")
@@ -292,8 +285,7 @@ def across(at: DataFrame, sets: DataFrame, threshold: float, block_rows: int = B
             pairs = possible_links(nodes, comps, index_, [k for k, p in enumerate(probe_) if p], hs, ws, threshold)
             if not pairs:
                 return None
-            cols = [pa.array(c, pa.binary() if k < 4 else pa.bool_()) for k, c in enumerate(zip(*pairs, strict=True))]
-            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "ca", "cb", "sure"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], names=["a", "b", "ca", "cb"])
 
         for t in batches:
             for r in zip(*[t.column(c).to_pylist() for c in range(9)], strict=True):
@@ -307,7 +299,7 @@ def across(at: DataFrame, sets: DataFrame, threshold: float, block_rows: int = B
 
     rows = index.unionByName(probe).select("band", "i", "o", "_node", "comp", "hs", "ws", "index", "probe")
     with small_batches(spark):
-        return stored(spark, rows.repartition("band", "i", "o").sortWithinPartitions("band", "i", "o").mapInArrow(run, "a binary, b binary, ca binary, cb binary, sure boolean"), "possible")
+        return stored(spark, rows.repartition("band", "i", "o").sortWithinPartitions("band", "i", "o").mapInArrow(run, "a binary, b binary, ca binary, cb binary"), "possible")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -341,10 +333,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     open_ = at.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("band")
     met = across(at.join(open_, "band"), sets, threshold)
     # links between components: many buckets find the same ones, by other pairs
-    unsure = met.where("not sure").select("a", "b", "ca", "cb").distinct()
-    checked = unsure.join(verified(unsure.select("a", "b").distinct(), sets, threshold), ["a", "b"])
-    pair = [F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")]
-    upper = components(met.where("sure").select(*pair).union(checked.select(*pair)).distinct())
+    upper = components(met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
     # class of a node, then of a row; the smallest id of a class is an aggregation over nodes
     byid = nodes.select("_node", "_id").join(comp, nodes["_node"] == comp["node"], "left").select("_node", "_id", F.coalesce("comp", "_node").alias("_c"))
     byid = byid.join(upper, byid["_c"] == upper["node"], "left").select("_node", "_id", F.coalesce("comp", "_c").alias("comp"))
