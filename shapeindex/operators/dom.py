@@ -19,8 +19,8 @@ from pyspark.sql import Window
 from ..config import LIBRARY_RULES, HtmlRules
 from ..functions import htmltree
 from ..session import scratch_path, ship_package
-from .html import dedup_by_url, drop_empty_items, resolve_url
-from .terms import parse_code
+from .html import dedup_by_url, drop_empty_items, is_valid_snippet, resolve_url
+from .terms import spread
 
 _INTS, _TEXTS = ("pre", "size", "parent", "depth"), ("tag", "parent_tag", "cls", "id", "href", "text")
 NODE = T.StructType([*[T.StructField(c, T.IntegerType()) for c in _INTS], *[T.StructField(c, T.StringType()) for c in _TEXTS]])
@@ -53,7 +53,7 @@ def dom(pages: DataFrame, page: Column, html_col: str = "html") -> DataFrame:
     ship_package(pages.sparkSession)
     rows = pages.select(page.cast("long").alias(PAGE), F.col(html_col).alias("html"))
     schema = T.StructType([T.StructField(PAGE, T.LongType()), T.StructField("nodes", T.ArrayType(NODE))])
-    return rows.mapInArrow(partial(_dom_batches), schema).select(PAGE, F.inline("nodes"))
+    return spread(rows, PAGE).mapInArrow(partial(_dom_batches), schema).select(PAGE, F.inline("nodes"))
 
 
 # --------------------------------------------------------------------------- selectors
@@ -208,17 +208,32 @@ def extract_items(pages: DataFrame, page: Column, rules: HtmlRules = LIBRARY_RUL
     """
     nodes = _kept(dom(pages, page, html_col), "dom")
     urls = pages.select(page.cast("long").alias(PAGE), F.coalesce(F.col(url_col), F.lit("")).alias("page_url"))
-    found = items(nodes, urls, rules).join(urls, PAGE)
+    found = items(nodes, urls, rules)
     if not validate:
+        found = found.join(urls, PAGE)
         return found.select(PAGE, "page_url", "ord", "title", "url", "snippets_raw", F.col("snippets_raw").alias("code_snippets"), F.lit(0).alias("skipped"))
-    found = _kept(found, "dom-items")
-    each = found.select(PAGE, "ord", F.posexplode("snippets_raw").alias("_at", "content"))
-    ok = parse_code(each, keep_nodes="none", hashes=False, id_col=None).where(F.col("valid") & (F.col("n_nodes") > 1))
-    kept = ok.groupBy(PAGE, "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "content"))), lambda x: x["content"]).alias("code_snippets"))
-    out = found.join(kept, [PAGE, "ord"], "left").withColumn("code_snippets", F.coalesce("code_snippets", F.array().cast("array<string>")))
+    # a page row that repeats repeats its snippets, too
+    urls = urls.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(PAGE)).cast("int"))
+    out = with_valid_snippets(found).join(urls, PAGE)
+    out = out.withColumn("code_snippets", F.when(F.col("_rows") == 1, F.col("code_snippets")).otherwise(
+        F.flatten(F.transform("code_snippets", lambda x: F.array_repeat(x, F.col("_rows"))))))
     return out.select(PAGE, "page_url", "ord", "title", "url", "snippets_raw", "code_snippets", (F.size("snippets_raw") - F.size("code_snippets")).alias("skipped"))
 
 
+def _valid_batches(batches):
+    for b in batches:
+        at = b.schema.get_field_index("snippets_raw")
+        kept = [[x for x in raw if is_valid_snippet(x)] for raw in b.column(at).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept, pa.list_(pa.string()))], names=[*b.schema.names, "code_snippets"])
+
+
+def with_valid_snippets(found: DataFrame) -> DataFrame:
+    """EXT9: ``found`` with ``code_snippets``, the snippets of ``snippets_raw`` that are valid. An item's snippets stay in its row: nothing is
+    regrouped."""
+    schema = T.StructType([*found.schema.fields, T.StructField("code_snippets", T.ArrayType(T.StringType()))])
+    return spread(found, PAGE).mapInArrow(_valid_batches, schema)
+
+
 def clean_items(found: DataFrame) -> DataFrame:
     """EXT10, EXT11: items with code, the first of every url in the order of pages and items."""
     return dedup_by_url(drop_empty_items(found), [F.col(PAGE), F.col("ord")])

@@ -80,3 +80,30 @@ def test_no_pages(spark):
 def test_empty_items_do_not_win(spark):
     df = spark.createDataFrame([(1, 0, "u", []), (1, 1, "u", ["a"]), (2, 0, "u", ["b"])], "page long, ord int, url string, code_snippets array<string>")
     assert [(r.page, r.ord) for r in D.clean_items(df).collect()] == [(1, 1)]
+
+
+def test_pages_of_one_file_are_parsed_by_many_tasks(spark):
+    pages = spark.createDataFrame([(i, "<div class=section></div>") for i in range(50)], "k long, html string").coalesce(1)
+    tasks = D.dom(pages, F.col("k")).select("page", F.spark_partition_id().alias("t")).distinct().collect()
+    assert len({r.page for r in tasks}) == 50 and len({r.t for r in tasks}) > 1
+
+
+def test_plain_markup_gives_the_tree_of_the_parser():
+    pieces = ['<div class="a b">', "</div>", "<p>", "<dl>", '<dt id="x" id="y">', "<dd>", "</dl>", "text", "a &lt; b", "&amp", "<br>", '<a href="u?x=1">', "</a>", "\n", "é ¶",
+              "<br/>", "<script>", "</script>", "<!-- c -->", "<DIV>", "< ", "<p id=k>", '<p id="a&amp;b">', '<p id="a>b">', "&"]
+    rng, plain = random.Random(5), 0
+    for k in range(4000):
+        html = "".join(rng.choice(pieces[: 15 if k % 2 else None]) for _ in range(rng.randint(0, 9)))
+        b = htmltree._Builder()
+        b.feed(html)
+        b.close()
+        assert htmltree.rows(htmltree.parse_html(html)) == htmltree.rows(b.root), html
+        plain += htmltree._plain_tokens(html) is not None
+    assert 1000 < plain < 4000
+
+
+def test_repeated_pages_repeat_their_snippets(spark):
+    page = (1, "u", '<div class="section"><h1>a</h1><div class="highlight-python3">x = 1</div><div class="highlight-python3">def (:</div></div>')
+    df = spark.createDataFrame([page, page], "page_id long, url string, html string")
+    once = D.extract_items(df.limit(1), F.col("page_id")).collect()
+    assert [(r.snippets_raw, r.code_snippets, r.skipped) for r in once] == [(["x = 1", "def (:"], ["x = 1"], 1)]
