@@ -99,3 +99,20 @@ def test_status_without_hashes_matches(spark):
     full = TK.parse_code(_docs(spark), keep_nodes="none").select("snippet_id", "valid", "n_nodes", "dl")
     fast = TK.parse_code(_docs(spark), keep_nodes="none", hashes=False).select("snippet_id", "valid", "n_nodes", "dl")
     assert sorted(full.collect()) == sorted(fast.collect())
+
+
+def test_terms_and_counts_without_hashes_equal_those_with(spark):
+    """A pass whose result needs no hash makes none; nodes, positions and counts are the same."""
+    from pyspark.sql import functions as F
+
+    from shapeindex.operators import terms as TK
+
+    texts = ["x = a.f()\ny = b.g(1)\n", "def f(a):\n    return a.b.c()\n", "def (:\n", "", None, "match a:\n    case {'k': v, **r} if v.x.y:\n        pass\n",
+             "type A[T] = list[T]\nasync def f[T: int](*a, b=1, **k) -> int:\n    global g\n    return f'{a.b.c()!r:>{k}}'\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "snippet_id long, content string")
+    kept = ["snippet_id", "pre", "size", "parent", "depth", "height", "node_type", "lineno", "pos"]
+    got = {h: sorted(map(tuple, TK.nodes(TK.parse_code(docs, keep_nodes="terms", hashes=h)).select(*kept).collect())) for h in (True, False)}
+    assert got[True] == got[False] and len(got[True]) > 8
+    status = {k: sorted(map(str, TK.parse_code(docs, keep_nodes=k, hashes=k == "index").select("snippet_id", "valid", "reason", "n_nodes", "dl").collect())) for k in ("none", "index")}
+    assert status["none"] == status["index"]
+    assert TK.parse_code(docs, keep_nodes="terms", hashes=False).where(F.size("postings") > 0).count() == 0
