@@ -116,3 +116,18 @@ def test_terms_and_counts_without_hashes_equal_those_with(spark):
     status = {k: sorted(map(str, TK.parse_code(docs, keep_nodes=k, hashes=k == "index").select("snippet_id", "valid", "reason", "n_nodes", "dl").collect())) for k in ("none", "index")}
     assert status["none"] == status["index"]
     assert TK.parse_code(docs, keep_nodes="terms", hashes=False).where(F.size("postings") > 0).count() == 0
+
+
+def test_a_task_of_a_spread_input_does_not_grow_with_it(spark, monkeypatch):
+    from shapeindex.operators import terms as TK
+
+    monkeypatch.setattr(TK, "SPREAD_TASK_BYTES", 16_000, raising=False)
+    least = 2 * spark.sparkContext.defaultParallelism
+    big = spark.range(4 * least * 2000, numPartitions=1)  # 8 bytes a row
+    monkeypatch.setattr(TK, "SPREAD_MAX_BYTES", 1 << 40)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert TK.spread(big, "id").rdd.getNumPartitions() == 4 * least
+        assert TK.spread(spark.range(10), "id").rdd.getNumPartitions() == least
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
