@@ -1,4 +1,6 @@
 """Exact top-k pruning returns the same hits as exhaustive scoring, for any rare-term limit."""
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,30 @@ def test_pruning_decides_a_rare_plus_common_query(spark):
     got = _key(S.search(idx, qs, SearchOptions(prune=True, prune_df=30), decorate_hits=False)[0])
     assert got == want and len(want) == 10
     assert S.LAST_PRUNE["tried"] == 1 and S.LAST_PRUNE["decided"] == 1
+
+
+def test_a_posting_is_not_sent_once_per_signature(spark, word_index, monkeypatch):
+    """Documents are dealt before they meet the signatures: what is sent does not grow with the signatures of a term, and there
+    are more tasks as the matches grow."""
+    common = [r[0] for r in word_index.terms().orderBy(F.desc("df"), "term_hash").limit(3).collect()]
+    sigs = [(s, t) for s in range(40) for t in common]
+    st = S.term_side(word_index, spark.createDataFrame(sigs, "qsig long, term_hash long"), len(sigs),
+                     list(range(word_index.term_buckets)), SearchOptions(), 300.0, 1000).cache()
+    buckets = list(range(word_index.term_buckets))
+    monkeypatch.setattr(S, "TASK_MATCHES", 5000, raising=False)
+    scored = S.score_candidates(word_index, st, len(sigs), buckets, SearchOptions(), 300.0)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    matches = st.agg(F.sum("df")).first()[0]
+    assert "Exchange hashpartitioning(qsig" not in plan
+    assert re.search(rf"Exchange hashpartitioning\(snippet_id#\d+L, {-(-matches // 5000)}\), REPARTITION", plan) and matches > 5000
+    one = word_index.postings().where(F.col("term_hash").isin(common)).select("snippet_id").distinct().count()
+    assert scored.count() == 40 * one and scored.where("matched_tokens_count = 3").count() > 0
+
+
+def test_texts_are_spread_before_they_are_cut_into_grams(spark):
+    from shapeindex.operators import terms as TK
+
+    texts = spark.createDataFrame([(i, f"label {i}") for i in range(10)], "snippet_id long, content string").coalesce(1)
+    grams = TK.gram_tokenizer(3)(texts)
+    assert grams.rdd.getNumPartitions() > 1
+    assert grams.where("snippet_id = 7").orderBy("pos").first()["term"] == "lab" and grams.count() == 10 * 5
