@@ -6,6 +6,7 @@ import os
 import pytest
 
 from shapeindex.config import DEFAULT_OPTIONS, TokenizerOptions
+from shapeindex.functions import pyast
 from shapeindex.functions.pyast import analyze, dump_text, terms_of
 from shapeindex.plans.fixtures import NODES, TEMPLATES, TERMS, template_text
 
@@ -192,3 +193,14 @@ def test_deep_trees_and_long_integers_under_all_options(o):
         for i in range(0, len(head), 4000):  # the interpreter reads no longer number at once
             value = value * 10 ** len(head[i : i + 4000]) + int(head[i : i + 4000])
         assert value == number
+
+
+@pytest.mark.parametrize("min_depth", [None, 1, 2, 4])
+def test_counts_and_types_are_those_of_the_analysis(min_depth):
+    opts = TokenizerOptions(min_depth=min_depth, drop_node_names=frozenset({"Module", "Call"}))
+    for text in ("", "x", "a.b(c, *d, e=-1)[2:3] = not f and g or h < i <= j", "@d\nclass A(B, m=C):\n    def f[T](self, /, *a: b, **k) -> c:\n        global z\n        return lambda: (yield)",
+                 "match x:\n    case [1, *y] if z: pass\n    case {'a': _, **r}: del y", "async def f():\n    async with a as b: x += [i async for i in f'{i!r:>{w}}']"):
+        p = pyast.analyze(text, opts)
+        assert pyast.counts(text, opts) == (len(p), p.n_terms)
+        assert pyast.node_types(text, opts) == (len(p), p.n_terms, p.node_type)
+        assert pyast.node_types(text, opts, terms_only=True) == (len(p), p.n_terms, [p.node_type[i] for i in p.term_at])

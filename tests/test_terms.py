@@ -131,3 +131,12 @@ def test_a_task_of_a_spread_input_does_not_grow_with_it(spark, monkeypatch):
         assert TK.spread(spark.range(10), "id").rdd.getNumPartitions() == least
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_types_alone_are_those_of_the_whole_records(spark):
+    for keep in ("all", "terms"):
+        whole = TK.parse_code(_docs(spark), keep_nodes=keep, hashes=False)
+        types = TK.parse_code(_docs(spark), keep_nodes=keep, hashes=False, types_only=True)
+        assert types.schema["nodes"].dataType.elementType.names == ["node_type"]
+        own = ("snippet_id", "valid", "reason", "n_nodes", "dl", "nodes.node_type")
+        assert sorted(map(str, types.select(*own).collect())) == sorted(map(str, whole.select(*own).collect()))
