@@ -204,3 +204,27 @@ def test_counts_and_types_are_those_of_the_analysis(min_depth):
         assert pyast.counts(text, opts) == (len(p), p.n_terms)
         assert pyast.node_types(text, opts) == (len(p), p.n_terms, p.node_type)
         assert pyast.node_types(text, opts, terms_only=True) == (len(p), p.n_terms, [p.node_type[i] for i in p.term_at])
+
+
+def test_index_records_are_those_of_the_full_analysis():
+    """The index's own pass numbers, hashes and picks nodes as the full analysis and ``_line_nodes`` do."""
+    from shapeindex.operators.terms import _line_nodes
+
+    texts = [template_text(t, 7) for t in NODES] + [
+        "", "pass", "x = []\n", "a" + " + a" * 1500, "f(x)(y)(z)(\n1)\n", "lambda: (yield)", "a < b < c and not d", "s = 'é'\nf'{a!r:>{w}}'\n",
+        "match a:\n case {1: 2, **r}:\n  pass\n case [a, *b] | c if d:\n  x.y.z()\n case A(1, k=2):\n  break_(y)\n",
+        "async def f[T](a, /, *b, c=1, **d) -> int:\n  async with x as y, z:\n    await q\n  return {**a, 1: -2}\n",
+        "def f():\n  while a:\n    if b: continue\n    else: break\n  def g():\n    return (1,\n 2,\n [k for k in x\n if k])\n"]
+    for opts in (DEFAULT_OPTIONS, TokenizerOptions(min_depth=2), TokenizerOptions(min_depth=3, drop_field_names=frozenset(), drop_node_names=frozenset())):
+        assert pyast.has_index_records(opts)
+        for text in texts:
+            p = analyze(text, opts)
+            kept = _line_nodes(p)
+            columns = tuple([column[i] for i in kept] for column in (range(len(p)), p.size, p.lineno, p.term_hash, p.first_term_hash))
+            positions = {}
+            for at, i in enumerate(p.term_at):
+                positions.setdefault(p.term_hash[i], []).append(at)
+            assert pyast.index_records(text, opts) == (len(p), p.n_terms, columns, positions), text
+    assert not pyast.has_index_records(TokenizerOptions(min_depth=1)) and not pyast.has_index_records(TokenizerOptions(max_depth=5))
+    with pytest.raises(SyntaxError):
+        pyast.index_records(template_text(3, 1), DEFAULT_OPTIONS)
