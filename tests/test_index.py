@@ -252,3 +252,26 @@ def test_building_a_plan_runs_no_job(spark):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert list(jobs) == []
+
+
+def test_tasks_of_a_build_grow_with_its_nodes_and_terms(spark, monkeypatch):
+    """What a task sorts does not grow with the input, and nothing is cached: the parsed rows are written once."""
+    cores = spark.sparkContext.defaultParallelism
+    assert I._write_tasks(spark, 0, 1600) == I._write_tasks(spark, 100, 1600) == 1
+    assert I._write_tasks(spark, 1600, 1600) == min(cores, 16)
+    assert I._write_tasks(spark, 1600 * 50 + 1, 1600) == max(51, min(cores, 801))
+    monkeypatch.setattr(I, "TASK_NODES", 320)
+    monkeypatch.setattr(I, "TASK_TERMS", 32)
+    monkeypatch.setattr("pyspark.sql.DataFrame.persist", lambda *a, **k: pytest.fail("the parsed rows are cached"))
+    rows = [(i, "t", f"u{i}", None if i == 7 else "def (:" if i == 8 else f"x = a.m{i}()\ny = b.g({i})\n") for i in range(400)]
+    docs = spark.createDataFrame(rows, "snippet_id long, title string, url string, content string")
+    idx = I.create_index(spark, scratch_path(spark, "tasks"), term_buckets=1, doc_buckets=1)
+    assert I.add_documents(idx, docs) == (398, 2)
+    seg = idx.meta["segments"][0]
+    files = {t: idx.segment(seg, t).select(F.input_file_name()).distinct().count() for t in ("snippets", "nodes", "postings")}
+    assert files["snippets"] > 15 and files["nodes"] > 15 and files["postings"] > 15
+    assert idx.snippets().where("content like 'x = a.m%'").count() == 398
+    per_file = [r["ids"] for r in idx.segment(seg, "nodes").groupBy(F.input_file_name()).agg(F.collect_list("snippet_id").alias("ids")).collect()]
+    assert all(ids == sorted(ids) for ids in per_file)
+    spans = sorted((min(ids), max(ids)) for ids in per_file)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
