@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import prepare, slices, table
+from .common import prepare, slices, small_batches, stored, table
 
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
 #: Distinct (item, term) rows of a group of items, about; more items make more groups.
@@ -104,8 +104,9 @@ def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_docs: int
     spark = prepare(docs)
     path = scratch_path(spark, "lists")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    # small row groups: a reader decodes a whole one
-    rows.mapInArrow(_index(block_bytes, block_docs), BLOCKS).write.option("parquet.block.size", 16 << 20).parquet(path)
+    # a row group a block: a reader decodes a whole group, and the writer looks at a group's size after a hundred rows only
+    with small_batches(spark):
+        rows.mapInArrow(_index(block_bytes, block_docs), BLOCKS).write.option("parquet.block.row.count.limit", 1).parquet(path)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     n = blocks.agg(F.sum(F.size("lengths")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     return Index(blocks, n[0] or 0, n[1] or 0)
@@ -292,8 +293,14 @@ def pair_lists(index: Index, terms: list[bytes], pairs: list[tuple], weights: np
 
 
 def _answer(index: Index, items: dict, k: int) -> DataFrame:
-    """Hits of one group of items: {item_id: terms}."""
+    """Hits of one group of items: {item_id: terms}. All passes are run here, so that a task never has more than a few blocks on
+    their way."""
     spark = index.blocks.sparkSession
+    with small_batches(spark):
+        return _passes(spark, index, items, k)
+
+
+def _passes(spark, index: Index, items: dict, k: int) -> DataFrame:
     send = spark.sparkContext.broadcast
     terms = sorted({t for ts in items.values() for t in ts})
     base = {"terms": terms, "n_docs": index.n_docs, "n_terms": index.n_terms, "k": k}
@@ -321,7 +328,7 @@ def _answer(index: Index, items: dict, k: int) -> DataFrame:
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     ids = spark.createDataFrame([(n, i) for n, i in enumerate(order)], "q int, item_id long")
-    return hits.join(ids, "q").select("item_id", "rank", "doc_id", "score")
+    return stored(spark, hits.join(ids, "q").select("item_id", "rank", "doc_id", "score"), "ranked")
 
 
 def search(index: Index, items: DataFrame, k: int = 10, group_terms: int = GROUP_TERMS) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from shapeindex.llm import maxscore
@@ -124,3 +125,22 @@ def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(maxscore, "PIECE", 7)
     text = "Ab,cd-EF éÉ x1 " * 50
     assert maxscore.term_counts(text) == Counter(w.encode() for w in words(text))
+
+
+def test_a_row_group_is_a_block(spark):
+    """A reader decodes a whole row group: many blocks of one task must not stand in one."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} x{i}", 1, "x") for i in range(64)], DOC).coalesce(1)
+    blocks = maxscore.build_index(docs, block_docs=4).blocks
+    sizes = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    groups = [m.row_group(g).num_rows for m in sizes for g in range(m.num_row_groups)]
+    assert groups == [1] * 16
+
+
+def test_passes_send_small_batches(spark, monkeypatch):
+    seen = []
+    whole = maxscore._passes
+    monkeypatch.setattr(maxscore, "_passes", lambda s, *a: seen.append(s.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or whole(s, *a))
+    index = maxscore.build_index(spark.createDataFrame([(1, "a b", 1, "x")], DOC))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    assert maxscore.search(index, spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 1
+    assert seen == ["8m"] and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
