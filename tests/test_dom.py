@@ -1,6 +1,8 @@
 """Section extraction as joins over DOM rows equals the walk of the tree, on nested, broken and empty pages."""
+import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from shapeindex.config import ARTICLE_RULES, LIBRARY_RULES, TUTORIAL_RULES
 from shapeindex.functions import htmltree
 from shapeindex.operators import dom as D
 from shapeindex.operators import html as H
+from shapeindex.session import ensure_checkpoint_dir
 
 
 def random_page(rng, deep=4):
@@ -107,3 +110,65 @@ def test_snippets_are_checked_in_their_row(spark):
     df = spark.createDataFrame([page], "page_id long, url string, html string")
     once = D.extract_items(df, F.col("page_id")).collect()
     assert [(r.snippets_raw, r.code_snippets, r.skipped) for r in once] == [(["x = 1", "def (:"], ["x = 1"], 1)]
+
+
+def test_node_rows_are_not_written(spark):
+    """Items are joined where a page's rows are: nothing is left in the shared folder, and pages are sent once, by their key."""
+    root = ensure_checkpoint_dir(spark).removeprefix("file://")
+    page = (1, "u", '<div class="section"><h1>a</h1><div class="highlight-python3">x = 1</div></div>')
+    df = spark.createDataFrame([page], "page_id long, url string, html string")
+    before = set(os.listdir(root))
+    found = D.extract_items(df, F.col("page_id"))
+    assert found.count() == 1 and not {n for n in set(os.listdir(root)) - before if n.startswith("dom")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1 and plan.count("Repartition") == 1
+
+
+def test_first_items_take_one_pass_over_pages(spark):
+    page = '<div class="section"><h1>a<a class="headerlink" href="#%s">x</a></h1><div class="highlight-python3">x = %d</div></div>'
+    df = spark.createDataFrame([(1, "u", page % ("b", 1)), (2, "u", page % ("b", 2)), (3, "u", page % ("c", 3))], "page_id long, url string, html string")
+    kept = D.clean_items(D.extract_items(df, F.col("page_id")))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1 and "Relation" not in plan
+    assert sorted((r.page, r.url, r.code_snippets) for r in kept.collect()) == [(1, "u#b", ["x = 1"]), (3, "u#c", ["x = 3"])]
+
+
+def test_more_tables_behind_pages_make_more_tasks(spark, tmp_path):
+    """The estimate of a join of small tables is their product; tasks follow the tables."""
+    spark.range(1000).selectExpr("id", "concat('<p>', id, '</p>') as html", "'u' as url").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    least = 2 * spark.sparkContext.defaultParallelism
+    joined = t.join(t.select("id", F.lit(1).alias("a")), "id", "left").join(t.select("id", F.col("html").alias("b")), "id", "left")
+    assert D._page_tasks(joined) == least
+    monkey, D.SPREAD_TASK_BYTES = D.SPREAD_TASK_BYTES, 100
+    try:
+        assert D._page_tasks(joined) > least
+    finally:
+        D.SPREAD_TASK_BYTES = monkey
+
+
+def test_rows_of_markup_without_a_tree():
+    rng = random.Random(11)
+    pieces = ['<div class="a b">', "</div>", "<p>", "</p>", "<dl>", '<dt id="x" id="y">', "<dd>", "</dl>", "text", "a &lt; b", "<br>", '<a href="u?x=1">', "</a>", "<table>", "</table>", "<li>",
+              "<ul>", "</ul>", "<button>", "</html>", "<html>", "&amp", "<script>", "</script>", "< ", "<!-- c -->"]
+    for k in range(4000):
+        html = "".join(rng.choice(pieces[: 21 if k % 2 else None]) for _ in range(rng.randint(0, 14)))
+        assert htmltree.markup_rows(html) == htmltree.rows(htmltree.parse_html(html)), html
+    assert htmltree.markup_rows(None) == htmltree.rows(htmltree.parse_html(None))
+
+
+def test_pages_of_a_key_stay_together(monkeypatch):
+    monkeypatch.setattr(D, "PAGE_BYTES", 10)
+    rows = [(k // 3, "u", "x" * 4) for k in range(20)]
+    batches = [pa.RecordBatch.from_pydict({"page": [r[0] for r in rows[a:b]], "url": [r[1] for r in rows[a:b]], "html": [r[2] for r in rows[a:b]]}) for a, b in ((0, 4), (4, 5), (5, 16), (16, 20))]
+    out = [b.column(0).to_pylist() for b in D._whole_pages(batches)]
+    assert [k for b in out for k in b] == [r[0] for r in rows] and len(out) > 3
+    assert all(a[-1] < b[0] for a, b in zip(out, out[1:]))
+
+
+def test_deeply_nested_definitions(spark):
+    code = '<div class="highlight-python3">x = 1</div>'
+    page = '<div class="section"><h1>a</h1>' + "".join(f'<dl><dt id="d{k}">n</dt><dd>{code}' for k in range(400)) + "</dd></dl>" * 400 + "</div>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    got = [(r.title, r.url, r.snippets_raw) for r in sorted(D.extract_items(df, F.col("page_id")).collect(), key=lambda r: r.ord)]
+    assert got == htmltree.section_items(htmltree.parse_html(page), "u", LIBRARY_RULES) and len(got) == 400
