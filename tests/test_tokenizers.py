@@ -9,6 +9,7 @@ from shapeindex.operators import index as I
 from shapeindex.operators import search as S
 from shapeindex.operators import terms as TK
 from shapeindex.session import scratch_path
+from shapeindex.sources import store
 
 DOC = "snippet_id long, title string, url string, content string"
 
@@ -115,3 +116,19 @@ def test_no_room_for_numbers(spark):
     I.add_documents(idx, spark.createDataFrame([((1 << 63) - 2, "t", "u", "a b")], DOC))
     with pytest.raises(ValueError, match="room"):
         I.add_documents(idx, spark.createDataFrame([("t", "u", "a b")], "title string, url string, content string"))
+
+
+def test_terms_combined_by_the_pass_make_the_same_index(spark):
+    """UDF1 without shuffles: a tokenizer that gives a text's postings in its row builds what its rows would."""
+    texts = ["x = a.b(c).d(c)\ny = a.b(c).d(c)", "def (:", "", None, "z = 1", "def f(a):\n    return g(a.b(c).d(a))"]
+    docs = spark.createDataFrame([(i, "t", f"u{i}", t) for i, t in enumerate(texts)] + [(None, "t", "u9", texts[0])], DOC)
+    rows_only = TK.TokenizerSpec("names", "1", TK.NAMES.run)
+    assert TK.NAMES.postings is not None
+    built = []
+    for spec in (TK.NAMES, rows_only):
+        idx = I.create_index(spark, scratch_path(spark, "names"), tokenizer=spec, term_buckets=4, doc_buckets=2)
+        counts = I.add_documents(idx, docs)
+        tables = [sorted(map(str, t.select(*sorted(t.columns)).collect())) for t in (idx.snippets(), idx.postings(), idx.terms(), idx.stats())]
+        built.append((counts, *tables))
+        assert any(n.startswith("postings-stage") for n in store.list_names(spark, idx.path)) == (spec is rows_only)
+    assert built[0] == built[1] and built[0][0] == (6, 1) and len(built[0][2]) > 4
