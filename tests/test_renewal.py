@@ -42,11 +42,14 @@ def test_errors_and_early_ends(monkeypatch):
     assert next(rows).num_rows == 1
     with pytest.raises(RuntimeError, match="no such text"):
         next(rows)
+    made = []
+    begin = renewal._Child.__init__
+    monkeypatch.setattr(renewal._Child, "__init__", lambda self, f: (begin(self, f), made.append(self.pid))[0])
     rows = renewal.renewed(lambda b: iter([b] * 500), [batch("x" * 10_000)] * 3, size, 1)
     next(rows)
     rows.close()  # the child is waited for
     with pytest.raises(ChildProcessError):
-        os.waitpid(-1, os.WNOHANG)
+        os.waitpid(made[-1], os.WNOHANG)
     dies = renewal.renewed(lambda b: os._exit(3), [batch("x")], size, 1)
     with pytest.raises(RuntimeError, match="before it was done"):
         next(dies)
